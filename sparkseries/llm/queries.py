@@ -7,26 +7,110 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_dedup, substring_dedup
+from . import decontaminate, minhash_dedup, mixing, sharding, substring_dedup, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SHARD_BYTES = 16 << 20
+
+
+def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return placed.select("doc_id", "shard", "shard_depth", "shard_bytes")
+
+
+OP3_SQL = f"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS bytes,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS bits
+  FROM documents),
+bucket(d, p, bytes) AS (
+  SELECT 0, 0::BIGINT, sum(bytes)::BIGINT FROM sized HAVING count(*) > 0
+  UNION ALL
+  SELECT s.d, s.p, s.bytes FROM (
+    SELECT b.d + 1 AS d, x.bits >> (60 - b.d - 1) AS p, sum(x.bytes)::BIGINT AS bytes
+    FROM bucket b JOIN sized x ON (x.bits >> (60 - b.d)) = b.p
+    WHERE b.bytes > {SHARD_BYTES} AND b.d < 60 GROUP BY 1, 2) s)
+SELECT x.doc_id, CASE WHEN b.d = 0 THEN '' ELSE lpad(bin(b.p), b.d, '0') END AS shard, b.d::INT AS shard_depth, b.bytes AS shard_bytes
+FROM sized x JOIN bucket b ON b.bytes <= {SHARD_BYTES} AND (x.bits >> (60 - b.d)) = b.p
+"""
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
     return found.select(F.col("rid").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return warc.digests(warc.write(pages), pages)
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("rid").alias("doc_id"), "item_id", "item_words", "matched_words", "coverage", F.size("tiles").alias("n_tiles"))
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
+    vectors = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024)).alias("vector"))
+    found = topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.parse(_table(spark, sf_dir, "documents"), window=35)
     return found.select(F.col("rid").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "mix_order")
+
+
+OP9_SQL = """
+WITH sizes AS (SELECT source, count(*)::BIGINT AS n FROM documents GROUP BY source),
+total AS (SELECT sum(pow(n, 0.5)) AS w, sum(n) AS n FROM sizes),
+rate AS (SELECT s.source, pow(s.n, 0.5) / t.w * t.n / s.n AS r FROM sizes s, total t),
+p AS (SELECT source, k, exp(-r + CASE WHEN k > 0 THEN k * ln(r) ELSE 0 END - lgamma(k + 1)) AS p
+      FROM rate, range(0, 200) g(k) WHERE k <= ceil(r + 10 * sqrt(r) + 20)),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM p),
+keyed AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, '~') || '|' || md5(coalesce(text, '~')) AS key FROM documents),
+u AS (SELECT *, ('0x' || substr(md5('17|' || key), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM keyed),
+copies AS (SELECT u.doc_id, u.source, u.key, c.k AS copy FROM u JOIN cdf c ON u.source IS NOT DISTINCT FROM c.source AND c.c <= u.u)
+SELECT doc_id, source, copy::INT AS copy,
+       ('0x' || substr(md5('18|' || key || '|' || copy::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS mix_order
+FROM copies
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_extendible_sharding": op3_extendible_sharding,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_warc": op5_warc,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_exact_topk": op7_exact_topk,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_poisson_mixing": op9_poisson_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_extendible_sharding": OP3_SQL,
+    "op7_exact_topk": OP7_SQL,
+    "op9_poisson_mixing": OP9_SQL,
+}
