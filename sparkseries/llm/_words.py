@@ -16,6 +16,8 @@ U = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -44,12 +46,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of several texts: byte bounds and hashes of each word, and each text's word range."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool, apart: np.ndarray = SPACE):
         self.raw, self.bounds = data, bounds
         data = LOWER[data] if lower else data
         n = len(data)
         solid = np.zeros(n + 2, bool)
-        solid[1:-1] = ~SPACE[data]
+        solid[1:-1] = ~apart[data]
         first = np.zeros(n + 1, bool)
         first[bounds] = True  # a text begins: words never cross
         begin = solid[1:-1] & (~solid[:-2] | first[:-1])
@@ -59,10 +61,18 @@ class Words:
         up, down = _powers(_BYTE_BASE, n + 1)
         total = np.zeros(n + 1, U)
         np.cumsum((data.astype(U) + U(1)) * up[:n], out=total[1:])
+        self.byte_sums = total
         size = (self.stop - self.start).astype(U)
         self.hash = mix((total[self.stop] - total[self.start]) * down[self.start] + size)
         self.text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(self.offsets))
 
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first n bytes of all words that long, and the index of these words."""
+        at = np.flatnonzero(self.stop - self.start >= n)
+        _, down = _powers(_BYTE_BASE, len(self.byte_sums))
+        start = self.start[at]
+        return mix((self.byte_sums[start + n] - self.byte_sums[start]) * down[start] + U(n * 0xC2B2AE3D27D4EB4F % (1 << 64))), at
+
     def left(self) -> np.ndarray:
         """Words from each word to the end of its text, itself included."""
         return self.offsets[1:][self.text_of] - np.arange(len(self.start))
@@ -86,7 +96,7 @@ class Words:
         return self.ranges(self.sums() if total is None else total, at, k), at
 
 
-def slices(texts: pa.Array, lower: bool = False, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
+def slices(texts: pa.Array, lower: bool = False, max_bytes: int = 1 << 20, apart: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, words) of consecutive rows with about max_bytes of text.
 
     Null texts count as empty. A longer text makes a slice of its own, so memory follows the longest
@@ -105,7 +115,7 @@ def slices(texts: pa.Array, lower: bool = False, max_bytes: int = 1 << 20) -> It
     a = 0
     while a < len(texts):
         b = max(a + 1, int(np.searchsorted(at, at[a] + max_bytes, "right")) - 1)
-        yield a, b, Words(raw[at[a] : at[b]], at[a : b + 1] - at[a], lower)
+        yield a, b, Words(raw[at[a] : at[b]], at[a : b + 1] - at[a], lower, apart)
         a = b
 
 

@@ -7,13 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash_dedup, mixing, sharding, substring_dedup, topk, warc
+from . import decontaminate, language_id, minhash_dedup, mixing, quality, sharding, substring_dedup, topk, toxicity, warc
+from ._state import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(id_col: str, n: int):
+    """crc32 of the id as text, modulo n (0 for null ids, which no label has)."""
+    return F.pmod(F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)), F.lit(n))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(_remainder("doc_id", 5) != 0))
+    found = language_id.predict(docs, model).withColumnRenamed("rid", "doc_id")
+    return found.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    stats = written(quality.statistics(docs), "statistics")
+    model = quality.fit(stats, labels.where(_remainder("doc_id", 5) != 0))
+    found = quality.score(stats, model).withColumnRenamed("rid", "doc_id")
+    return found.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 SHARD_BYTES = 16 << 20
 
 
@@ -99,7 +120,16 @@ FROM copies
 """
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(_remainder("doc_id", 4) != 2))
+    found = toxicity.score(docs, model).withColumnRenamed("rid", "doc_id")
+    return found.select("doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_quality_rules": op2_quality_rules,
     "op3_extendible_sharding": op3_extendible_sharding,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_warc": op5_warc,
@@ -107,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_topk": op7_exact_topk,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_poisson_mixing": op9_poisson_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
