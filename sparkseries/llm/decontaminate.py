@@ -154,13 +154,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, part_words: int = PART_WORDS) -> DataFrame:
     """Rows of ``docs`` that no item contaminates (all columns; no shuffle)."""
     for held in _parts(items, item_col, item_text_col, min_match, part_words):
+        docs = docs.where(~_leaked(held, coverage)(F.col(text_col).cast("string")))
+    return docs
 
-        @F.arrow_udf("boolean")
-        def leaked(texts: pa.Array, held=held) -> pa.Array:
-            hit = np.zeros(len(texts), bool)
-            for row, _, _ in found_in(texts, held.value, coverage):
-                hit[row] = True
-            return pa.array(hit)
 
-        docs = docs.where(~leaked(F.col(text_col).cast("string")))
-    return docs
+def _leaked(held, coverage: float):
+    @F.arrow_udf("boolean")
+    def leaked(texts: pa.Array) -> pa.Array:
+        hit = np.zeros(len(texts), bool)
+        for row, _, _ in found_in(texts, held.value, coverage):
+            hit[row] = True
+        return pa.array(hit)
+
+    return leaked

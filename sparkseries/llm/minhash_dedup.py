@@ -182,10 +182,11 @@ def confirmed_links(members: DataFrame, shingle: int, percent: int) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, width: int = WIDTH, errors: int = ERRORS, chunks: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: (rid, th, n_shingles, component_id, kept).
+    """One row per row of ``docs``: (rid, th, n_shingles, component_id, kept, cluster).
 
     ``component_id`` is the smallest id reachable over links with 100 * intersection >= percent * union
-    of the shingle sets; ``kept`` marks the row that carries it. Null or empty texts and texts without
+    of the shingle sets; ``kept`` marks the row that carries it; ``cluster`` is
+    a hash that names the component (null without shingles). Null or empty texts and texts without
     words have no shingles, link with nothing and are kept. Repeated rows share id and component and are
     all kept or all dropped (callers that need one of them use ``deduplicate``). Null ids link like
     others but never name a component unless it has no other id. Other columns are not read. Empty
@@ -207,12 +208,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = connected_components(confirmed_links(members, shingle, percent))
     joined = linked.join(nodes.select("node", "low"), "node")
     lows = joined.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = linked.join(lows, "component").select("node", "component_id")
-    own = nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
+    named = linked.join(lows, "component").select("node", "component_id", "component")
+    own = nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("component", "node").alias("cluster"))
     own = written(own, "components")
     out = drawn.select("rid", "th", "n_shingles", "node").join(own, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("rid")).otherwise(F.col("component_id"))
-    return out.select("rid", "th", "n_shingles", component.alias("component_id"), F.col("rid").eqNullSafe(component).alias("kept"))
+    return out.select("rid", "th", "n_shingles", component.alias("component_id"), F.col("rid").eqNullSafe(component).alias("kept"), "cluster")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, **how) -> DataFrame:
@@ -223,9 +224,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with the smallest text hash.
     """
     found = near_duplicates(docs, id_col, text_col, shingle, percent, **how)
-    keep = (found.where("kept").groupBy("rid", F.when(F.col("n_shingles") == 0, F.col("th")).alias("blank"), "component_id")
-            .agg(F.min("th").alias("th")).select(F.col("rid").alias("_r"), F.col("th").alias("_h")))
+    first = found.where("cluster is not null").groupBy("cluster").agg(F.min(F.struct(F.col("rid").isNull().alias("n"), "rid", "th")).alias("x"))
+    keep = first.select(F.col("x.rid").alias("_r"), F.col("x.th").alias("_h")).union(found.where("cluster is null").select("rid", "th").distinct())
     hashed = docs.withColumn("_th", F.xxhash64(text_col))
-    key = F.struct(F.col(id_col), F.col("_th"))
     kept = hashed.join(keep, F.col("_th").eqNullSafe(F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_r")), "left_semi")
-    return kept.withColumn("_key", key).dropDuplicates(["_key"]).select(*[F.col(c) for c in docs.columns])
+    return kept.dropDuplicates([id_col, "_th"]).select(*[F.col(c) for c in docs.columns])
