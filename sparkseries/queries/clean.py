@@ -227,9 +227,9 @@ def sc4_ramp(spark, d):
 
 
 @query(f"""WITH {TICKS} SELECT id, CASE WHEN v <= 2 THEN 1 WHEN v <= 12 THEN 1 - (v - 2) * 0.05 WHEN v <= 48 THEN 0.5 - (v - 12) * (0.5 / 36) ELSE 0 END AS f,
-  greatest(0, least(1, (v / 3.0 / nullif(vol, 0) - 0.2) / 0.8)) * CASE WHEN v / 100 - 0.6 <= -0.5 THEN 0.5 ELSE 1 END AS h FROM ticks""", "f h")
+  CASE WHEN vol <> 0 THEN 1 END * greatest(0, least(1, (v * 0.3333771 / nullif(vol, 0) - 0.2) / 0.8)) * CASE WHEN v / 100 - 0.6 <= -0.5 THEN 0.5 ELSE 1 END AS h FROM ticks""", "f h")
 def sc5_freshness_health(spark, d):
-    h = S.health(F.col("v") / 3.0, "vol", F.col("v") / 100 - 0.6)
+    h = S.health(F.col("v") * 0.3333771, "vol", F.col("v") / 100 - 0.6)
     return ticks(spark, d).select("id", S.freshness("v").alias("f"), h.alias("h"))
 
 
