@@ -16,10 +16,22 @@ class Series:
     def __init__(self, by: str | list[str], order: str | list[str]):
         self.by = [by] if isinstance(by, str) else by
         self.order = [order] if isinstance(order, str) else order
-        self.w = Window.partitionBy(*self.by).orderBy(*self.order)
-        self.all = Window.partitionBy(*self.by)
-        self.past = self.w.rowsBetween(Window.unboundedPreceding, 0)
-        self.future = self.w.rowsBetween(0, Window.unboundedFollowing)
+
+    @property
+    def w(self):
+        return Window.partitionBy(*self.by).orderBy(*self.order)
+
+    @property
+    def all(self):
+        return Window.partitionBy(*self.by)
+
+    @property
+    def past(self):
+        return self.w.rowsBetween(Window.unboundedPreceding, 0)
+
+    @property
+    def future(self):
+        return self.w.rowsBetween(0, Window.unboundedFollowing)
 
     # --- shifts and growth ----------------------------------------------------------------------
 

@@ -127,7 +127,7 @@ def wn24_life_signals(spark, d):
     return X.life_signals(bars_u(spark, d), U, "v", "vol", "h").select("k", "id", "holder_trend", "volume_surge", "drawdown", "dry_rows")
 
 
-@query(f"""WITH {BARS_U}, x AS (SELECT *, v / nullif(lag(v) OVER w, 0) - 1 AS r FROM bars_u {W}) SELECT k, id, coalesce(v / nullif(lag(v, 12) OVER w, 0) - 1, 0) AS roc_12, coalesce(CASE WHEN {fr(6, 'count(r)')} >= 2 THEN {fr(6, 'stddev_pop(r)')} END, 0) AS vol_6, coalesce(CASE WHEN {fr(6, 'count(v)')} >= 6 THEN {fr(6, 'regr_slope(v, i)')} END / nullif(v, 0), 0) AS slope_6, ln(1 + i) AS age FROM x {W}""", "roc_12 vol_6 slope_6 age", 5)
+@query(f"""WITH {BARS_U}, x AS (SELECT *, v / nullif(lag(v) OVER w, 0) - 1 AS r FROM bars_u {W}) SELECT k, id, coalesce(v / nullif(lag(v, 12) OVER w, 0) - 1, 0) AS roc_12, coalesce(CASE WHEN {fr(6, 'count(r)')} >= 2 THEN {fr(6, 'stddev_pop(r)')} END, 0) AS vol_6, coalesce(CASE WHEN {fr(6, 'count(v)')} >= 6 THEN {fr(6, 'regr_slope(v, i)')} END / nullif(v, 0), 0) AS slope_6, ln(1 + i) AS age FROM x {W}""", "roc_12 vol_6 slope_6 age", 7)
 def wn25_momentum_features(spark, d):
     return X.momentum_features(bars_u(spark, d), U, "v", "vol", "i").select("k", "id", "roc_12", "vol_6", "slope_6", "age")
 
