@@ -35,6 +35,6 @@ def query(sql: str | None = None, floats: str = "", digits: int = 6) -> Callable
 
 
 def load_all() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import clean, joins, kernels, sources, stats, streams, topk, windows  # noqa: F401
+    from . import clean, joins, kernels, models, sources, stats, streams, topk, windows  # noqa: F401
 
     return QUERIES, ORACLE_SQL
