@@ -66,6 +66,11 @@ class Words:
         self.hash = mix((total[self.stop] - total[self.start]) * down[self.start] + size)
         self.text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(self.offsets))
 
+    def bytes_between(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges, wherever they stand."""
+        _, down = _powers(_BYTE_BASE, len(self.byte_sums))
+        return mix((self.byte_sums[stop] - self.byte_sums[start]) * down[start] + (stop - start).astype(U))
+
     def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the first n bytes of all words that long, and the index of these words."""
         at = np.flatnonzero(self.stop - self.start >= n)

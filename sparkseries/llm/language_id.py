@@ -1,6 +1,6 @@
 """Language identification by word-first backoff.
 
-Training counts every word (maximal run of letters, lower-cased) for each language over all training texts,
+Training counts every word (maximal run of ASCII letters and characters beyond ASCII, lower-cased) for each language over all training texts,
 and from the words' counts every character n-gram of the word between blanks. The model keeps, for each
 language, the ``max_words`` most frequent words and the ``max_grams`` most frequent n-grams of each
 length, so its size is bounded by the number of languages. A word known to some language scores by its log
@@ -11,55 +11,52 @@ A text scores the mean over its words; the language with the largest mean wins (
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._state import written
+from ._words import NO_LETTER, U, Words, slices
 
-WORD = regex.compile(r"\p{L}+")
+LETTER = regex.compile(r"\p{L}")
 MAX_WORDS, MAX_GRAMS, ORDER, PENALTY, SHARPNESS = 20_000, 4_000, 5, 2.0, 4.0
 
 
 @dataclass(frozen=True)
 class Model:
-    """Languages (sorted) and, for words and each n-gram length, entry -> row of ``scores``."""
+    """Languages (sorted); for words (index 0) and n-grams of each length: sorted hashes and their rows of ``scores``."""
 
     languages: tuple[str, ...]
-    words: dict[str, int]
-    grams: tuple[dict[str, int], ...]
+    tables: tuple[tuple[np.ndarray, np.ndarray], ...]
     scores: np.ndarray
 
 
-def _letters(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+def _lowered(texts: pa.Array) -> pa.Array:
+    return pc.utf8_lower(texts.fill_null("") if texts.null_count else texts)
 
 
 def word_counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """(lang, word, n) over all rows with a language; tasks pre-aggregate each batch."""
+    """(lang, word, n) over all rows with a language, counted by slices before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-
-        def drain() -> pa.RecordBatch:
-            rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
-
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if text.is_valid:
-                    counts.setdefault(lang, Counter()).update(_letters(text.as_py()))
-                if sum(map(len, counts.values())) > 200_000:
-                    yield drain()
-        yield drain()
+            langs, code = np.unique(np.array(batch.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True)
+            for a, b, w in slices(_lowered(batch.column(1)), max_bytes=4 << 20, apart=NO_LETTER):
+                lang = code[a:b][w.text_of]
+                order = np.lexsort((w.hash, lang))
+                h, g = w.hash[order], lang[order]
+                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))) if len(h) else np.zeros(0, int)
+                raw, at = w.raw.tobytes(), order[first]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(langs[g[first]].astype(str), pa.string()), pa.array([raw[x:y] for x, y in zip(w.start[at].tolist(), w.stop[at].tolist())], pa.binary()).cast(pa.string()),
+                    pa.array(np.diff(np.append(first, len(h))), pa.int64())], names=["lang", "word", "n"])
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -82,7 +79,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_wor
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     grams = counts.withColumn("p", padded).select("lang", "n", "p", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("len")).where(F.length("p") >= F.col("len"))
     grams = grams.select("lang", "len", "n", F.explode(F.expr("transform(sequence(1, length(p) - len + 1), i -> substring(p, i, len))")).alias("entry"))
-    grams = grams.groupBy("lang", "len", "entry").agg(F.sum("n").alias("n"))
+    grams = written(grams.where(F.trim("entry") != "").groupBy("lang", "len", "entry").agg(F.sum("n").alias("n")), "grams")
     words = counts.select("lang", F.lit(0).alias("len"), F.col("word").alias("entry"), "n")
     rows, totals = [], {}
     for part, limit in ((words, max_words), (grams, max_grams)):
@@ -90,58 +87,89 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_wor
             totals[r["lang"], r["len"]] = r["n"]
         rows += _most_frequent(part, ["lang", "len"], "entry", limit).select("lang", "len", "entry", "n").collect()  # bounded by the limits
     languages = tuple(sorted({lang for lang, _ in totals}))
-    tables: list[dict[str, int]] = [{} for _ in range(order + 1)]
-    scores = []
-    floor = {}
+    tables, scores = [], []
     for length in range(order + 1):
-        low = min((np.log(r["n"] / totals[r["lang"], length]) for r in rows if r["len"] == length), default=0.0)
-        floor[length] = low - PENALTY
-    for r in rows:
-        at = tables[r["len"]].setdefault(r["entry"], len(scores))
-        if at == len(scores):
-            scores.append(np.full(len(languages), floor[r["len"]], np.float32))
-        scores[at][languages.index(r["lang"])] = np.log(r["n"] / totals[r["lang"], r["len"]])
-    return Model(languages, tables[0], tuple(tables[1:]), np.array(scores, np.float32).reshape(len(scores), len(languages)))
-
-
-def word_score(model: Model, word: str) -> np.ndarray | None:
-    """Scores of one word in all languages; None if not even its characters are known."""
-    at = model.words.get(word)
-    if at is not None:
-        return model.scores[at]
-    padded = f" {word} "
-    for length in range(len(model.grams), 0, -1):
-        known = [x for x in (model.grams[length - 1].get(padded[i : i + length]) for i in range(len(padded) - length + 1)) if x is not None]
-        if known:
-            return model.scores[known].mean(axis=0)
-    return None
-
-
-def classify(model: Model, texts: list[str | None], memo: dict) -> list[tuple[str, float]]:
-    """(language, confidence) of each text; confidence is the winner's share of exp(SHARPNESS * mean score)."""
-    out = []
-    for text in texts:
-        counts = Counter(_letters(text)) if text else None
-        if not counts or not model.languages:
-            out.append(("und", 0.0))
-            continue
-        total, n = np.zeros(len(model.languages)), 0
-        for word, times in counts.items():
-            if word not in memo:
-                if len(memo) > 300_000:
-                    memo.clear()
-                memo[word] = word_score(model, word)
-            score = memo[word]
-            if score is not None:
-                total += times * score.astype(np.float64)
-                n += times
-        if not n:
-            out.append((model.languages[0], 1 / len(model.languages)))
-            continue
-        mean = total / n
-        best = int(np.argmax(np.round(mean, 9)))
-        out.append((model.languages[best], float(1 / np.exp(SHARPNESS * (mean - mean[best])).sum())))
-    return out
+        own = [r for r in rows if r["len"] == length]
+        entries = sorted({r["entry"] for r in own})
+        place = {e: i for i, e in enumerate(entries)}
+        found = np.full((len(entries), len(languages)), np.nan)
+        for r in own:
+            found[place[r["entry"]], languages.index(r["lang"])] = np.log(r["n"] / totals[r["lang"], length])
+        found = np.where(np.isnan(found), (np.nanmin(found) if own else 0.0) - PENALTY, found)
+        h = _entry_hashes(entries)
+        rank = np.argsort(h)
+        tables.append((h[rank], rank + sum(map(len, scores))))
+        scores.append(found)
+    return Model(languages, tuple(tables), np.concatenate(scores) if scores else np.zeros((0, 0)))
+
+
+def _hashes(w: Words, start: np.ndarray, stop: np.ndarray, lead: np.ndarray | bool, trail: np.ndarray | bool) -> np.ndarray:
+    """Hashes of byte ranges with flags for a blank before and behind."""
+    return w.bytes_between(start, stop) ^ (np.asarray(lead).astype(U) * U(0x9FB21C651E98DF25)) ^ (np.asarray(trail).astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def _entry_hashes(entries: list[str]) -> np.ndarray:
+    """Hashes of words and n-grams; blanks at the ends of an n-gram become flags."""
+    cores = [e.strip(" ").encode() for e in entries]
+    ends = np.cumsum([0] + [len(c) for c in cores])
+    w = Words(np.frombuffer(b"".join(cores), np.uint8), np.array([0, ends[-1]]), False, NO_LETTER)
+    return _hashes(w, ends[:-1], ends[1:], np.array([e.startswith(" ") for e in entries], bool), np.array([e.endswith(" ") for e in entries], bool))
+
+
+def _find(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Row of each hash, -1 if it is not in the table."""
+    known, rows = table
+    if not len(known):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, rows[at], -1)
+
+
+def _grams(w: Words, chars: np.ndarray, first: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash) of all n-grams of words between blanks; ``first`` and ``size`` are in characters."""
+    words, hashes = [], []
+    for lead, trail in ((0, 0), (1, 0), (0, 1), (1, 1)):
+        m = n - lead - trail
+        fits = np.flatnonzero((size == m) if lead and trail else (size >= m)) if m > 0 else np.zeros(0, int)
+        times = size[fits] - m + 1 if not (lead or trail) else np.ones(len(fits), int)
+        word = np.repeat(fits, times)
+        step = np.arange(len(word)) - np.repeat(np.cumsum(times) - times, times)
+        at = first[word] + (step if not (lead or trail) else size[word] - m if trail else 0)
+        words.append(word)
+        hashes.append(_hashes(w, chars[at], chars[at + m], bool(lead), bool(trail)))
+    return np.concatenate(words), np.concatenate(hashes)
+
+
+def classify(model: Model, w: Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(language number or -1, confidence) of the texts of a slice; confidence is the winner's share of
+    exp(SHARPNESS * mean score). -1 stands for a text of which the model knows nothing."""
+    k = len(model.languages)
+    _, at, which = np.unique(w.hash, return_index=True, return_inverse=True)
+    start, stop = w.start[at], w.stop[at]
+    row = _find(model.tables[0], _hashes(w, start, stop, False, False))
+    score, known = np.zeros((len(at), k)), row >= 0
+    score[known] = model.scores[row[known]]
+    begins = (w.raw & 0xC0) != 0x80
+    chars = np.append(np.flatnonzero(begins), len(w.raw))  # byte of each character, and the end
+    number = np.cumsum(begins) - 1
+    left = np.flatnonzero(~known)
+    for n in range(len(model.tables) - 1, 0, -1):
+        if not len(left):
+            break
+        word, h = _grams(w, chars, number[start[left]], number[stop[left] - 1] - number[start[left]] + 1, n)
+        found = _find(model.tables[n], h)
+        word, found = word[found >= 0], found[found >= 0]
+        times = np.bincount(word, minlength=len(left))
+        got = times > 0
+        for j in range(k):
+            score[left[got], j] = np.bincount(word, weights=model.scores[found, j], minlength=len(left))[got] / times[got]
+        known[left[got]] = True
+        left = left[~got]
+    n_known = np.bincount(w.text_of, weights=known[which], minlength=rows)
+    mean = np.stack([np.bincount(w.text_of, weights=score[which, j], minlength=rows) for j in range(k)], axis=1) / np.maximum(n_known, 1)[:, None]
+    best = np.argmax(np.round(mean, 9), axis=1)
+    share = 1 / np.exp(SHARPNESS * (mean - mean[np.arange(rows), best][:, None])).sum(axis=1)
+    return np.where(n_known > 0, best, -1), np.where(n_known > 0, share, 1 / k)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,11 +182,21 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     schema = T.StructType([T.StructField("rid", rid), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict = {}
+        model = held.value
+        names = np.array([*model.languages, model.languages[0] if model.languages else "und"], dtype=object)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                got = classify(held.value, part.column(1).to_pylist(), memo)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["rid", "lang_pred", "score"])
+            texts = _lowered(batch.column(1))
+            for a, b, w in slices(texts, apart=NO_LETTER):
+                if not model.languages:
+                    lang, score = np.zeros(b - a, int), np.zeros(b - a)
+                else:
+                    lang, score = classify(model, w, b - a)
+                text = texts.slice(a, b - a)
+                pred = names[lang]
+                ascii_letters = np.bincount(w.text_of, weights=w.raw[w.start] < 128, minlength=b - a)
+                for i in np.flatnonzero(ascii_letters == 0):  # bytes above 127 need not be letters
+                    if not LETTER.search(text[int(i)].as_py()):
+                        pred[i], score[i] = "und", 0.0
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(pred, pa.string()), pa.array(score)], names=["rid", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).alias("rid"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
