@@ -79,6 +79,12 @@ def guarded(a: ColumnLike, b: ColumnLike) -> Column:
     return col(a) / F.greatest(col(b), F.lit(1.0))
 
 
+def correlation(x: ColumnLike, y: ColumnLike) -> Column:
+    """Aggregate: Pearson correlation of the rows that have both, NULL where either is constant."""
+    a, b = (F.when(col(x).isNotNull() & col(y).isNotNull(), col(c)) for c in (x, y))
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 # --- maths ------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import epoch, first_reason, guarded, ratio
+from ..functions.scalars import correlation, epoch, first_reason, guarded, ratio
 from ..functions.windows import Series, streak
 from .clean import lifecycle_window, peak_ts
 from .joins import future_windows, history_at, origins, padded_windows, sliding_windows
@@ -77,7 +77,7 @@ def holder_features(metric: DataFrame, keys: DataFrame, by: str, ts: str, h: str
 
 def window_corr(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Correlation of two columns in each group; 0 where it is undefined."""
-    return rows.groupBy(*by).agg(F.coalesce(F.nanvl(F.corr(x, y), F.lit(None)), F.lit(0.0)).alias("corr"))
+    return rows.groupBy(*by).agg(F.coalesce(correlation(x, y), F.lit(0.0)).alias("corr"))
 
 
 def early_features(bars: DataFrame, by: str, ts: str, v: str, volume: str, hours: float = 24) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import epoch, first_reason, ratio, tags
+from ..functions.scalars import correlation, epoch, first_reason, ratio, tags
 from ..functions.windows import Series
 
 # --- trades -----------------------------------------------------------------------------------------
@@ -252,7 +252,7 @@ def regression_report(df: DataFrame, actual: str, pred: str, strong: float) -> D
     """One row: Spearman correlation, mean absolute error, share of right directions, mean outcome of predictions
     of at least ``strong``."""
     x = mean_rank(mean_rank(df.select(actual, pred), actual, "ra"), pred, "rp")
-    return x.agg(F.count("*").alias("n"), F.corr("ra", "rp").alias("spearman"), F.avg(F.abs(F.col(actual) - F.col(pred))).alias("mae"), F.avg((F.signum(actual) == F.signum(pred)).cast("double")).alias("direction"), F.avg(F.when(F.col(pred) >= strong, F.col(actual))).alias("strong_mean"))
+    return x.agg(F.count("*").alias("n"), correlation("ra", "rp").alias("spearman"), F.avg(F.abs(F.col(actual) - F.col(pred))).alias("mae"), F.avg((F.signum(actual) == F.signum(pred)).cast("double")).alias("direction"), F.avg(F.when(F.col(pred) >= strong, F.col(actual))).alias("strong_mean"))
 
 
 def threshold_sweep(df: DataFrame, score: str, cuts: list[float], ret: str = "return_pct") -> DataFrame:

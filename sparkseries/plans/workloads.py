@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import forward_label
+from ..functions.scalars import forward_label, ratio
 from ..functions.windows import Series
 from ..kernels import trades as R
 from ..operators import clean, cluster, features, kernels, ml, scoring, stats, topk
@@ -16,7 +16,7 @@ def scan_labels(bars: DataFrame, by: str, ts: str, v: str, threshold: float, min
     scan predicate, and the label's count and mean forward multiple for each key."""
     s = Series(by, ts)
     x = clean.trim_from_crossing(bars, by, ts, v, threshold)
-    x = x.withColumns({"roc4": s.roc(v, 4), "drawdown": s.drawdown(v), "up": s.future_extreme(v, horizon, "max", True) / F.col(v), "down": s.future_extreme(v, horizon, "min", True) / F.col(v)})
+    x = x.withColumns({"roc4": s.roc(v, 4), "drawdown": s.drawdown(v), "up": ratio(s.future_extreme(v, horizon, "max", True), v), "down": ratio(s.future_extreme(v, horizon, "min", True), v)})
     hit = x.where((F.col(v) >= min_value) & (F.col("roc4") >= min_gain) & F.col("up").isNotNull())
     return hit.withColumn("label", forward_label("up", "down", up, down)).groupBy(by, "label").agg(F.count("*").alias("n"), F.avg("up").alias("mean_multiple"), F.avg("drawdown").alias("mean_drawdown"))
 
@@ -59,7 +59,7 @@ def funnel(bars: DataFrame, by: str, order: list[str], v: str, volume: str, hold
     """W4: scan and scam filters give candidates, a class-balanced tree model scores them out of fold, the funnel kernel
     trades the scored rows with drawdown actions; risk statistics overall."""
     s = Series(by, order)
-    x = features.funnel_features(bars, s, v, volume, idx).withColumn("y", F.coalesce(s.future_extreme(v, 12, "max", True) / F.col(v) >= 1.5, F.lit(False)).cast("int"))
+    x = features.funnel_features(bars, s, v, volume, idx).withColumn("y", F.coalesce(ratio(s.future_extreme(v, 12, "max", True), v) >= 1.5, F.lit(False)).cast("int"))
     cand = x.where((F.col(v) >= min_value) & (F.col("roc_6") >= min_gain))
     cols = ["roc_1", "roc_3", "roc_6", "roc_12", "accel_3", "vwap_gap", "vwap_slope", "std_12", "volume_trend", "drawdown"]
     scored = ml.train_binary(ml.hashed_folds(cand, by, 3), cols, "y", folds=3, **how).select(by, idx, "p")

@@ -300,10 +300,10 @@ def sc18_behaviour_tags(spark, d):
     return g.select("k", S.tags([("steady", F.col("m") > 8), ("spiky", F.col("x") > 10 * F.col("m")), ("busy", F.col("n") > 70)]).alias("tags"))
 
 
-@query(f"""WITH {BARS_U}, f AS (SELECT *, max(v) OVER w / v AS up, min(v) OVER w / v AS dn FROM bars_u WINDOW w AS (PARTITION BY k ORDER BY ts, id ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING))
+@query(f"""WITH {BARS_U}, f AS (SELECT *, max(v) OVER w / nullif(v, 0) AS up, min(v) OVER w / nullif(v, 0) AS dn FROM bars_u WINDOW w AS (PARTITION BY k ORDER BY ts, id ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING))
 SELECT k, id, CASE WHEN up >= 2 THEN 'pump' WHEN dn <= 0.5 THEN 'dump' ELSE 'flat' END AS label FROM f""")
 def sc19_forward_label(spark, d):
-    x = bars_u(spark, d).withColumns({"up": U.future_extreme("v", 6, "max", True) / F.col("v"), "dn": U.future_extreme("v", 6, "min", True) / F.col("v")})
+    x = bars_u(spark, d).withColumns({"up": S.ratio(U.future_extreme("v", 6, "max", True), "v"), "dn": S.ratio(U.future_extreme("v", 6, "min", True), "v")})
     return x.select("k", "id", S.forward_label("up", "dn", 2.0, 0.5).alias("label"))
 
 

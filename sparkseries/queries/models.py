@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ratio
 from ..operators import cluster as K
 from ..operators import features as X
 from ..operators import ml as M
@@ -18,7 +19,7 @@ HOW = {"trees": 5, "depth": 3}
 
 
 def rows(spark, d):
-    x = X.position_features(bars_u(spark, d), U, "v", "vol").withColumn("mult", U.future_extreme("v", 6, "max", True) / F.col("v")).where("mult is not null")
+    x = X.position_features(bars_u(spark, d), U, "v", "vol").withColumn("mult", ratio(U.future_extreme("v", 6, "max", True), "v")).where("mult is not null")
     return x.select("k", "id", *COLS, "mult", (F.col("mult") >= 2).cast("int").alias("y"), F.when(F.col("mult") >= 3, 2).when(F.col("mult") >= 1.2, 1).otherwise(0).alias("cls"))
 
 
@@ -76,7 +77,7 @@ def ml13_validate_oos(spark, d):
 
 
 SCAN = f"""WITH {BARS_H}, t0 AS (SELECT k, min(ts) AS t0 FROM bars_h WHERE c >= 30 GROUP BY k), x AS (SELECT b.* FROM bars_h b JOIN t0 USING (k) WHERE ts >= t0),
-y AS (SELECT *, c / nullif(lag(c, 4) OVER w, 0) - 1 AS r, c / max(c) OVER w - 1 AS dd, max(c) OVER f / c AS up, min(c) OVER f / c AS dn FROM x WINDOW w AS (PARTITION BY k ORDER BY ts), f AS (PARTITION BY k ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 48 FOLLOWING))
+y AS (SELECT *, c / nullif(lag(c, 4) OVER w, 0) - 1 AS r, c / max(c) OVER w - 1 AS dd, max(c) OVER f / nullif(c, 0) AS up, min(c) OVER f / nullif(c, 0) AS dn FROM x WINDOW w AS (PARTITION BY k ORDER BY ts), f AS (PARTITION BY k ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 48 FOLLOWING))
 SELECT k, CASE WHEN up >= 4 THEN 'pump' WHEN dn <= 0.05 THEN 'dump' ELSE 'flat' END AS label, count(*) AS n, avg(up) AS mean_multiple, avg(dd) AS mean_drawdown FROM y WHERE c >= 50 AND r >= 0.1 AND up IS NOT NULL GROUP BY ALL"""
 
 
