@@ -7,8 +7,9 @@ passages have equal anchors wherever they stand, so every document can be parsed
 indexed block by joining on the anchor's seed, without comparing documents with each other.
 
 Parse. A block whose seed occurs once starts no long factor and is dropped. If a seed occurs more often and
-always with the same block, the whole block is matched. Otherwise some occurrence meets the end of a
-factor: there the block's windows are matched one by one (the check at factor boundaries). Going
+always with the same block, the whole block is matched; so is a block that itself occurs again under a seed
+with different blocks. What is left meets the end of a factor: there one occurrence of each different block
+of the seed is compared window by window (the check at factor boundaries). Going
 through a document from left to right, a factor is extended while the next match continues in the same
 reference document at the same distance; otherwise the next factor begins. Factors are at least
 ``window`` words long by construction and become duplicate spans.
@@ -107,10 +108,14 @@ def matches(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, windo
     index = blocks(docs, id_col, text_col, window, seed)
     seen = (index.groupBy("seed").agg(F.count("*").alias("times"), F.min("block").alias("lo"), F.max("block").alias("hi"), F.min("rid").alias("ref_id"), F.min_by("start", "rid").alias("ref_start"))
             .where("times > 1").select("seed", (F.col("lo") != F.col("hi")).alias("mixed"), "ref_id", "ref_start"))
-    hits = written(index.drop("block").join(seen, "seed").drop("seed"), "hits")
-    whole = hits.where("not mixed").select("rid", "th", "start", "n", "ref_id", "ref_start")
-    edges = hits.where("mixed").groupBy("rid", "th").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
-    edge_texts = texts.join(edges.withColumnsRenamed({"rid": "e_rid", "th": "e_th"}), F.col("rid").eqNullSafe(F.col("e_rid")) & (F.col("th") == F.col("e_th"))).select("rid", "th", "text", "runs")
+    hits = written(index.join(seen, "seed"), "hits")
+    mixed = hits.where("mixed")
+    own = written(mixed.groupBy("seed", "block").agg(F.count("*").alias("times"), F.min(F.struct("rid", "th", "start")).alias("x"), F.max("n").alias("n"))
+                  .select("seed", "block", "times", "n", F.col("x.rid").alias("ref_id"), F.col("x.th").alias("ref_th"), F.col("x.start").alias("ref_start")), "blocks")
+    whole = hits.where("not mixed").select("rid", "th", "start", "n", "ref_id", "ref_start").unionByName(
+        mixed.drop("ref_id", "ref_start").join(own.where("times > 1").select("seed", "block", "ref_id", "ref_start"), ["seed", "block"]).select("rid", "th", "start", "n", "ref_id", "ref_start"))
+    edges = own.groupBy(F.col("ref_id").alias("e_rid"), F.col("ref_th").alias("e_th")).agg(F.collect_set(F.struct(F.col("ref_start").alias("start"), "n")).alias("runs"))
+    edge_texts = texts.join(edges, F.col("rid").eqNullSafe(F.col("e_rid")) & (F.col("th") == F.col("e_th"))).select("rid", "th", "text", "runs")
     windows = written(_window_hashes(edge_texts, window), "windows")
     again = windows.groupBy("h").agg(F.count("*").alias("times"), F.min("rid").alias("ref_id"), F.min_by("start", "rid").alias("ref_start")).where("times > 1").drop("times")
     return whole.unionByName(windows.join(again, "h").select("rid", "th", "start", F.lit(1).alias("n"), "ref_id", "ref_start"))
