@@ -138,6 +138,13 @@ def test_factors_point_at_equal_words(docs):
     assert [(f.start, f.words) for f in got[2].factors] == [(2, 70)]
 
 
+def test_one_id_with_different_texts(docs):
+    p = [f"q{j}" for j in range(60)]
+    rows = [(1, " ".join(["a"] * 3 + p)), (1, " ".join(["b"] * 40 + p[5:] + ["c"])), (1, " ".join(p[:40])), (2, " ".join(p[20:] + p[:10]))]
+    got = sorted(((g.rid, g.n_words, g.n_removed, g.kept_text) for g in substring_dedup.parse(docs(rows)).collect()), key=repr)
+    assert got == brute_removed(rows, 35)
+
+
 def test_odd_texts(odd):
     got = substring_dedup.parse(odd).collect()
     assert len(got) == 10
