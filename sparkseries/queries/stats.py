@@ -238,7 +238,7 @@ def ag38_extents(spark, d):
 # --- scores and groups ------------------------------------------------------------------------------
 
 CAND = """cand AS (SELECT k, CAST(t AS BIGINT) AS ts, c / nullif(lag(c, 4) OVER w, 0) - 1 AS chg, vol, avg(vol) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS mv, buy, sell, (t - min(t) OVER (PARTITION BY k)) / 3600 AS age, c, max(c) OVER w AS pk FROM bars_h WINDOW w AS (PARTITION BY k ORDER BY ts))"""
-SCORE = """SELECT k, ts, age, round(0.25 * m + 0.2 * s + 0.2 * p + 0.2 * f + 0.15 * hl, 4) AS score FROM (SELECT *, greatest(0, least(1, coalesce(chg, 0))) AS m, coalesce(greatest(0, least(1, (vol / nullif(mv, 0) - 1) / 4)), 0) AS s, coalesce(greatest(0, least(1, (coalesce(buy / nullif(buy + sell, 0), 0.4) - 0.4) / 0.3)), 0) AS p,
+SCORE = """SELECT k, ts, age, round(0.25 * m + 0.2 * s + 0.2 * p + 0.2 * f + 0.15 * hl, 4) AS score FROM (SELECT *, greatest(0, least(1, coalesce(chg, 0))) AS m, greatest(0, least(1, (coalesce(vol / nullif(mv, 0), 0) - 1) / 4)) AS s, coalesce(greatest(0, least(1, (coalesce(buy / nullif(buy + sell, 0), 0.4) - 0.4) / 0.3)), 0) AS p,
 CASE WHEN age <= 2 THEN 1 WHEN age <= 12 THEN 1 - (age - 2) * 0.05 WHEN age <= 48 THEN 0.5 - (age - 12) * (0.5 / 36) ELSE 0 END AS f, coalesce(greatest(0, least(1, (c / pk - 0.2) / 0.8)) * CASE WHEN chg <= -0.5 THEN 0.5 ELSE 1 END, 0) AS hl FROM cand)"""
 
 

@@ -39,7 +39,7 @@ def wn4_rolling(spark, d):
     return bars_u(spark, d).select("k", "id", U.rolling("v", 6).alias("ma"), U.rolling("v", 6, "sum", 1).alias("sm"), U.rolling("v", 12, "stddev_samp", 3).alias("sd"), U.rolling("v", 12, "max", 1).alias("mx"), U.rolling("v", 12, "min", 1).alias("mn"))
 
 
-@query(f"""WITH {BARS_U}, x AS (SELECT *, coalesce({fr(12, 'sum(v * vol)')} / nullif({fr(12, 'sum(vol)')}, 0), v) AS vw FROM bars_u) SELECT k, id, vw, v / nullif(vw, 0) AS r, vw / nullif(lag(vw, 3) OVER w, 0) - 1 AS slope FROM x {W}""", "vw r slope")
+@query(f"""WITH {BARS_U}, x AS (SELECT *, coalesce({fr(12, 'sum(v * vol)')} / nullif({fr(12, 'sum(vol)')}, 0), v) AS vw FROM bars_u) SELECT k, id, vw, v / nullif(vw, 0) AS r, vw / nullif(lag(vw, 3) OVER w, 0) - 1 AS slope FROM x {W}""", "vw r slope", 9)
 def wn5_vwap(spark, d):
     x = bars_u(spark, d).withColumn("vw", U.vwap("v", "vol", 12))
     return x.select("k", "id", "vw", ratio("v", "vw").alias("r"), U.roc("vw", 3).alias("slope"))
