@@ -27,7 +27,7 @@ def query(sql: str | None = None, floats: str = "", digits: int = 6) -> Callable
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[fn.__name__] = run
         if sql:
-            rounded = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in floats.split())
+            rounded = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in floats.split())
             ORACLE_SQL[fn.__name__] = f"SELECT *{f' REPLACE ({rounded})' if rounded else ''} FROM ({sql})"
         return run
 
