@@ -71,6 +71,10 @@ class Words:
         _, down = _powers(_BYTE_BASE, len(self.byte_sums))
         return mix((self.byte_sums[stop] - self.byte_sums[start]) * down[start] + (stop - start).astype(U))
 
+    def text_hashes(self) -> np.ndarray:
+        """One hash of each text's words."""
+        return self.ranges(self.sums(), self.offsets[:-1], np.diff(self.offsets))
+
     def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the first n bytes of all words that long, and the index of these words."""
         at = np.flatnonzero(self.stop - self.start >= n)

@@ -36,7 +36,8 @@ def _features(w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def entry_counts(docs: DataFrame) -> DataFrame:
-    """(length, h, toxic, clean): documents of each class that hold an entry, from ``docs(text, label)``."""
+    """(length, h, toxic, clean, held): documents of each class that hold an entry, from ``docs(text, label)``;
+    ``held`` sums a hash of these documents, so entries that occur in the same ones have equal sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,17 +51,18 @@ def entry_counts(docs: DataFrame) -> DataFrame:
                     h, doc = h[order], doc[order]
                     new = np.ones(len(h), bool)
                     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                    h, bad = h[new], label[a:b][doc[new]]
+                    h, bad, key = h[new], label[a:b][doc[new]], (w.text_hashes() >> U(24)).astype(np.int64)[doc[new]]
                     first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
                     toxic = np.add.reduceat(bad, first)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), n, np.int32)), pa.array(signed(h[first])), pa.array(toxic.astype(np.int64)), pa.array((np.diff(np.append(first, len(h))) - toxic).astype(np.int64))], names=["length", "h", "toxic", "clean"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), n, np.int32)), pa.array(signed(h[first])), pa.array(toxic.astype(np.int64)), pa.array((np.diff(np.append(first, len(h))) - toxic).astype(np.int64)), pa.array(np.add.reduceat(key, first))], names=["length", "h", "toxic", "clean", "held"])
 
-    return docs.mapInArrow(run, "length int, h bigint, toxic bigint, clean bigint").groupBy("length", "h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = docs.mapInArrow(run, "length int, h bigint, toxic bigint, clean bigint, held bigint")  # 40-bit hashes: sums of a sample do not overflow
+    return counted.groupBy("length", "h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("held").alias("held"))
 
 
 def candidates(docs: DataFrame, limit: int = CANDIDATES, min_docs: int = MIN_DOCS, min_precision: float = MIN_PRECISION) -> list[tuple[int, int]]:
     """The entries (length, hash) with the most toxic evidence: a lower bound of the precision of at least
-    ``min_precision``, then the largest number of toxic documents. Of entries with equal counts the shortest stays."""
+    ``min_precision``, then the largest number of toxic documents. Of entries in the same documents the shortest stays."""
     n = F.col("toxic") + F.col("clean")
     p = F.col("toxic") / n
     low = p - F.sqrt(p * (1 - p) / n + 1 / (n * n))
@@ -68,7 +70,7 @@ def candidates(docs: DataFrame, limit: int = CANDIDATES, min_docs: int = MIN_DOC
     top = rows.orderBy(F.desc(F.col("toxic") * F.col("low")), "length", "h").limit(8 * limit).collect()
     kept = {}
     for r in top:
-        kept.setdefault((r["toxic"], r["clean"]) if r["toxic"] >= 20 else (r["length"], r["h"]), (r["length"], r["h"]))
+        kept.setdefault((r["toxic"], r["clean"], r["held"]), (r["length"], r["h"]))
     return list(kept.values())[:limit]
 
 
