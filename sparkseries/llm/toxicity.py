@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Voters. Lexicon entries (whole words and word prefixes, by document frequency among labelled rows of a
-bounded sample) vote "toxic" where they occur; pattern voters look at how the hits lie (several entries,
+Voters. Lexicon entries (whole words and word prefixes that occur at least once or at least twice in a text,
+by document frequency among labelled rows of a bounded sample) vote "toxic" where they occur so often; pattern voters look at how the hits lie (several entries,
 density, hits close together, none at all) and vote either way or abstain.
 
 Label model. Votes are generated by a hidden class: prior and each voter's vote rates in both classes are
@@ -36,13 +36,14 @@ def _features(w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def entry_counts(docs: DataFrame) -> DataFrame:
-    """(length, h, toxic, clean, held): documents of each class that hold an entry, from ``docs(text, label)``;
-    ``held`` sums a hash of these documents, so entries that occur in the same ones have equal sums."""
+    """(length, h, times, toxic, clean, held): documents of each class that hold an entry at least ``times`` (1, 2)
+    times, from ``docs(text, label)``; ``held`` sums a hash of them, so entries of the same documents have equal sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
             for a, b, w in slices(batch.column(0), lower=True, max_bytes=8 << 20, apart=NO_LETTER):
+                keys = (w.text_hashes() >> U(24)).astype(np.int64)
                 for n, h, at in _features(w):
                     if not len(h):
                         continue
@@ -51,26 +52,30 @@ def entry_counts(docs: DataFrame) -> DataFrame:
                     h, doc = h[order], doc[order]
                     new = np.ones(len(h), bool)
                     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                    h, bad, key = h[new], label[a:b][doc[new]], (w.text_hashes() >> U(24)).astype(np.int64)[doc[new]]
-                    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                    toxic = np.add.reduceat(bad, first)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), n, np.int32)), pa.array(signed(h[first])), pa.array(toxic.astype(np.int64)), pa.array((np.diff(np.append(first, len(h))) - toxic).astype(np.int64)), pa.array(np.add.reduceat(key, first))], names=["length", "h", "toxic", "clean", "held"])
+                    again = np.append(~new[1:], False) & new
+                    for times, at in ((1, np.flatnonzero(new)), (2, np.flatnonzero(again))):
+                        if not len(at):
+                            continue
+                        own, bad, key = h[at], label[a:b][doc[at]], keys[doc[at]]
+                        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                        toxic = np.add.reduceat(bad, first).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), n, np.int32)), pa.array(signed(own[first])), pa.array(np.full(len(first), times, np.int32)), pa.array(toxic), pa.array(np.diff(np.append(first, len(own))) - toxic), pa.array(np.add.reduceat(key, first))], names=["length", "h", "times", "toxic", "clean", "held"])
 
-    counted = docs.mapInArrow(run, "length int, h bigint, toxic bigint, clean bigint, held bigint")  # 40-bit hashes: sums of a sample do not overflow
-    return counted.groupBy("length", "h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("held").alias("held"))
+    counted = docs.mapInArrow(run, "length int, h bigint, times int, toxic bigint, clean bigint, held bigint")  # 40-bit hashes: sums of a sample do not overflow
+    return counted.groupBy("length", "h", "times").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("held").alias("held"))
 
 
-def candidates(docs: DataFrame, limit: int = CANDIDATES, min_docs: int = MIN_DOCS, min_precision: float = MIN_PRECISION) -> list[tuple[int, int]]:
-    """The entries (length, hash) with the most toxic evidence: a lower bound of the precision of at least
+def candidates(docs: DataFrame, limit: int = CANDIDATES, min_docs: int = MIN_DOCS, min_precision: float = MIN_PRECISION) -> list[tuple[int, int, int]]:
+    """The entries (length, hash, times) with the most toxic evidence: a lower bound of the precision of at least
     ``min_precision``, then the largest number of toxic documents. Of entries in the same documents the shortest stays."""
     n = F.col("toxic") + F.col("clean")
     p = F.col("toxic") / n
     low = p - F.sqrt(p * (1 - p) / n + 1 / (n * n))
     rows = entry_counts(docs).where(F.col("toxic") >= min_docs).withColumn("low", low).where(F.col("low") >= min_precision)
-    top = rows.orderBy(F.desc(F.col("toxic") * F.col("low")), "length", "h").limit(8 * limit).collect()
+    top = rows.orderBy(F.desc(F.col("toxic") * F.col("low")), "times", "length", "h").limit(8 * limit).collect()
     kept = {}
     for r in top:
-        kept.setdefault((r["toxic"], r["clean"], r["held"]), (r["length"], r["h"]))
+        kept.setdefault((r["toxic"], r["clean"], r["held"]), (r["length"], r["h"], r["times"]))
     return list(kept.values())[:limit]
 
 
@@ -92,19 +97,20 @@ def cover(counts: np.ndarray, label: np.ndarray, limit: int = MAX_ENTRIES) -> li
 class Lexicon:
     """Vectorised look-up of entries in texts."""
 
-    def __init__(self, entries: list[tuple[int, int]]):
-        self.size, self.tables = len(entries), {}
+    def __init__(self, entries: list[tuple[int, int, int]]):
+        self.size, self.tables = len(entries), []
+        self.times = np.array([t for _, _, t in entries], np.float32)
         for n in LENGTHS:
-            own = sorted((np.int64(h).astype(U), i) for i, (m, h) in enumerate(entries) if m == n)
-            if own:
-                self.tables[n] = (np.array([h for h, _ in own], U), np.array([i for _, i in own]))
+            for times in (1, 2):
+                own = sorted((np.int64(h).astype(U), i) for i, (m, h, t) in enumerate(entries) if m == n and t == times)
+                if own:
+                    self.tables.append((n, np.array([h for h, _ in own], U), np.array([i for _, i in own])))
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(word index, entry) of all hits."""
         words, entries = [np.zeros(0, int)], [np.zeros(0, int)]
         for n, h, at in _features(w):
-            if n in self.tables and len(h):
-                known, index = self.tables[n]
+            for _, known, index in (t for t in self.tables if t[0] == n and len(h)):
                 place = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 hit = np.flatnonzero(known[place] == h)
                 words.append(at[hit])
@@ -119,7 +125,8 @@ class Lexicon:
             doc = w.text_of[word]
             counts = np.zeros((rows, self.size), np.float32)
             np.add.at(counts, (doc, entry), 1)
-            hit_words = np.unique(word)
+            counts = np.maximum(counts - (self.times - 1), 0)
+            hit_words = np.unique(word[counts[doc, entry] > 0])
             hit_doc = w.text_of[hit_words]
             n_hits = np.bincount(hit_doc, minlength=rows)
             close = np.zeros(len(hit_words), bool)
@@ -178,7 +185,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25)
 
 @dataclass(frozen=True)
 class Model:
-    entries: tuple[tuple[int, int], ...]
+    entries: tuple[tuple[int, int, int], ...]
     weights: np.ndarray
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -188,7 +195,7 @@ class Model:
         return out
 
 
-def _described(texts: DataFrame, entries: list[tuple[int, int]], max_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _described(texts: DataFrame, entries: list[tuple[int, int, int]], max_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hit counts, pattern statistics and labels of the sample (at most ``max_rows`` rows)."""
     lexicon = Lexicon(entries)
 
