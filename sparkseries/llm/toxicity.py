@@ -5,8 +5,9 @@ by document frequency among labelled rows of a bounded sample) vote "toxic" wher
 density, hits close together, none at all) and vote either way or abstain.
 
 Label model. Votes are generated by a hidden class: prior and each voter's vote rates in both classes are
-estimated by expectation maximisation, with labelled rows held at their label. Voters that agree beyond
-what the class explains (residual correlation) share their weight, so that copies of one signal count once.
+estimated by expectation maximisation. A row's own label is one more voter whose accuracy is estimated (never
+below ``TRUST``), so that votes can overrule a wrong label. Voters that agree beyond what the class explains (residual correlation)
+share their weight, so that copies of one signal count once.
 
 Classifier. A ridge logistic regression over the counts of the hits is fitted to the posterior labels and
 scores every text.
@@ -26,7 +27,7 @@ from ._state import written
 from ._words import NO_LETTER, U, Words, signed, slices
 
 LENGTHS = (0, 3, 4, 5, 6, 7)  # prefix lengths in bytes; 0 is the whole word
-MAX_FIT_ROWS, MAX_ENTRIES, MIN_DOCS, MIN_PRECISION, NEAR, CANDIDATES = 20_000, 96, 3, 0.5, 4, 512
+MAX_FIT_ROWS, MAX_ENTRIES, MIN_DOCS, MIN_PRECISION, NEAR, CANDIDATES, TRUST = 20_000, 96, 3, 0.5, 4, 512, 0.98
 
 
 def _features(w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -148,6 +149,7 @@ def label_model(v: np.ndarray, label: np.ndarray, rounds: int = 30) -> np.ndarra
     """Posterior P(toxic) of every row of votes; ``label`` holds 1, 0 or -1 (unknown)."""
     known = label >= 0
     post = np.where(known, label, np.clip(0.5 + 0.25 * v.sum(axis=1), 0.05, 0.95)).astype(float)
+    yes, told = label == 1, np.zeros(len(label))
     weight = np.ones(v.shape[1])
     cast = np.stack([v == 1, v == -1, v == 0])
     for step in range(rounds):
@@ -160,7 +162,10 @@ def label_model(v: np.ndarray, label: np.ndarray, rounds: int = 30) -> np.ndarra
             tie = np.abs(spread.T @ spread / len(v)) / norm[:, None] / norm[None, :]
             weight = 1 / np.maximum(1, np.where(tie > 0.2, tie, 0).sum(axis=1))
         odds = np.log(on / off) + ((np.log(rate_on) - np.log(rate_off))[:, None, :] * cast * weight).sum(axis=(0, 2))
-        post = np.where(known, np.clip(label, 0.02, 0.98), 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+        right_on, right_off = ((x[known & y].sum() + 0.5) / (x[known].sum() + 1) for x, y in ((post, yes), (1 - post, ~yes)))
+        right_on, right_off = np.clip([right_on, right_off], TRUST, 0.9999)
+        told[known] = np.where(yes, np.log(right_on / (1 - right_off)), np.log((1 - right_on) / right_off))[known]
+        post = 1 / (1 + np.exp(-np.clip(odds + told, -30, 30)))
     return post
 
 
