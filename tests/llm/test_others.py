@@ -98,6 +98,34 @@ def test_rules_compile_to_their_conditions(spark):
     assert [r[0] for r in df.select(quality.compile_rule(quality.tree_rules(text)[2])).collect()] == [False, True, False]
 
 
+def test_entries_with_equal_counts_and_from_the_second_occurrence(spark, docs):
+    """Two words in equally many toxic texts are both kept; a stem that clean texts hold once counts from twice on."""
+    r = np.random.default_rng(8)
+    plain = lambda: " ".join(r.choice(["alpha", "brick", "cloud", "delta", "ember"], 12))
+    stem = lambda: " vex" + "".join(r.choice(list("bcdfghjk"), 4))
+    rows, labels = [], []
+    for i in range(120):
+        kind = i % 6
+        extra = {0: " zebrano", 1: " yonder", 2: stem() + stem() + stem(), 3: stem()}.get(kind, "")
+        rows.append((i, plain() + extra))
+        labels.append((i, int(kind < 3)))
+    model = toxicity.fit(docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    new = docs([(0, plain() + " zebrano"), (1, plain() + " yonder"), (2, plain() + " vexnew vexother vexmore"), (3, plain() + " vexnew"), (4, plain())])
+    score = {x.rid: x.score for x in toxicity.score(new, model).collect()}
+    assert min(score[0], score[1], score[2]) > 0.5 > max(score[3], score[4])
+
+
+def test_votes_overrule_a_wrong_label():
+    r = np.random.default_rng(5)
+    y = r.random(4000) < 0.3
+    v = np.stack([np.where(np.where(r.random(4000) < 0.93, y, ~y), 1, -1) for _ in range(5)], axis=1).astype(np.int8)
+    label = y.astype(int)
+    wrong = r.choice(4000, 40, replace=False)
+    label[wrong] = 1 - label[wrong]
+    post = toxicity.label_model(v, label)
+    assert ((post > 0.5) == y).mean() > (label == y).mean()
+
+
 def test_label_model_finds_accuracies():
     r = np.random.default_rng(4)
     y = r.random(3000) < 0.3
