@@ -56,6 +56,63 @@ def test_backoff_by_hand(docs, spark):
     assert got == {1: "aa", 2: "aa", 3: "bb", 4: "aa", 5: "und"}
 
 
+def brute_language(train, texts, order=5):
+    words, grams = {}, {}
+    for lang, text in train:
+        for w in text.split():
+            words.setdefault(w, {}).setdefault(lang, 0)
+            words[w][lang] += 1
+            p = f" {w} "
+            for n in range(1, order + 1):
+                for g in (p[i : i + n] for i in range(len(p) - n + 1)):
+                    if g.strip():
+                        grams.setdefault((n, g), {}).setdefault(lang, 0)
+                        grams[n, g][lang] += 1
+    langs = sorted({lang for lang, _ in train})
+
+    def logs(counts):
+        total = {x: sum(c.get(x, 0) for c in counts.values()) for x in langs}
+        low = min(math.log(n / total[x]) for c in counts.values() for x, n in c.items()) - 2
+        return {e: np.array([math.log(c[x] / total[x]) if x in c else low for x in langs]) for e, c in counts.items()}
+
+    word, gram = logs(words), {n: logs({g: c for (m, g), c in grams.items() if m == n}) for n in range(1, order + 1)}
+
+    def score(w):
+        p = f" {w} "
+        own = ([gram[n][p[i : i + n]] for i in range(len(p) - n + 1) if p[i : i + n] in gram[n]] for n in range(order, 0, -1))
+        return word[w] if w in word else next((np.mean(x, axis=0) for x in own if x), None)
+
+    out = {}
+    for i, text in texts:
+        known = [x for x in map(score, text.split()) if x is not None]
+        mean = np.mean(known, axis=0) if known else np.zeros(len(langs))
+        best = int(np.argmax(np.round(mean, 9)))
+        out[i] = (langs[best], 1 / np.exp(4 * (mean - mean[best])).sum())
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{}, {"head_words": 40, "part_grams": 300}])
+def test_language_brute_force(docs, spark, sizes):
+    r = random.Random(5)
+    make = lambda letters: "".join(r.choice(letters) for _ in range(r.randrange(1, 8)))
+    common = [(lang, " ".join(make(letters) for _ in range(400))) for lang, letters in (("aa", "abcdé"), ("bb", "cdeéf"), ("cc", "efgß")) for _ in range(3)]
+    texts = [(i, " ".join([make("abcdeéfgßxy漢") for _ in range(r.randrange(1, 9))] * r.randrange(1, 3))) for i in range(60)]
+    model = language_id.fit(spark.createDataFrame(common, "lang string, text string"))
+    want = brute_language(common, texts)
+    got = {g.rid: (g.lang_pred, g.score) for g in language_id.predict(docs(texts), model, **sizes).collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == x and math.isclose(got[i][1], s, rel_tol=1e-5) for i, (x, s) in want.items())
+
+
+def test_language_keeps_rare_words(docs, spark):
+    """Words beyond the 20,000 most frequent ones of a language count: they beat what their n-grams say."""
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05d}")
+    rare = [word(i) for i in range(22_000, 23_000)]  # once each in aa; their n-grams are far more frequent in bb
+    train = [("aa", " ".join(f"{word(i)} {word(i)}" for i in range(22_000))), ("aa", " ".join(rare)), ("bb", " ".join(f"{w}k" for w in rare for _ in range(50)))]
+    model = language_id.fit(spark.createDataFrame(train, "lang string, text string"))
+    got = language_id.predict(docs([(i, w) for i, w in enumerate(rare)]), model).collect()
+    assert len(got) == 1000 and {g.lang_pred for g in got} == {"aa"}
+
+
 # --- classifiers ------------------------------------------------------------------------------------
 
 
