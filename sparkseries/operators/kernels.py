@@ -179,7 +179,16 @@ def pairwise(df: DataFrame, key: str, path: str, distance: str = "dtw", block: i
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["k"].to_pylist(), table["own"].to_pylist(), (np.array(p, float) for p in table["p"].to_pylist())), key=lambda r: r[0])
         same = table["i"][0] == table["j"][0]
-        found = [(a[0], b[0], paths.dtw(a[2], b[2]) if distance == "dtw" else paths.shape_distance(a[2], b[2], w)) for x, a in enumerate(rows) for b in rows[x + 1 :] if same or a[1] != b[1]]
+        found = []
+        for x, a in enumerate(rows):
+            others = {}
+            for b in rows[x + 1 :]:
+                if same or a[1] != b[1]:
+                    others.setdefault(b[2].shape, []).append(b)
+            for group in others.values():  # paths of one length at once
+                many = np.stack([b[2] for b in group])
+                far = paths.dtw(a[2], many) if distance == "dtw" else paths.shape_distance(a[2], many, w)
+                found += [(a[0], b[0], f) for b, f in zip(group, far.tolist())]
         return pa.table([pa.array([f[0] for f in found], table.schema.field("k").type), pa.array([f[1] for f in found], table.schema.field("k").type), pa.array([f[2] for f in found], pa.float64())], names=["a", "b", "distance"])
 
     return dealt.groupBy("i", "j").applyInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("distance", T.DoubleType())]))

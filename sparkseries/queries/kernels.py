@@ -94,7 +94,7 @@ def h12_prefix_signatures(spark, d):
 
 
 def short_paths(spark, d):
-    return K.resampled(bars_u(spark, d).where("k < 40").withColumn("lv", F.log1p("v")), "k", O, ["lv"], 8, "linear")
+    return K.resampled(bars_u(spark, d).withColumn("lv", F.log1p("v")), "k", O, ["lv"], 8, "linear")
 
 
 @query()

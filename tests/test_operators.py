@@ -115,3 +115,17 @@ def test_lsh_recall(spark):
     near = {(r.query, r.neighbour) for r in q["tk1_knn"](spark, d).where("distance <= 1.0").collect()}
     found = {(r.query, r.neighbour) for r in q["tk9_approx_knn"](spark, d).collect()}
     assert len(near & found) >= 0.5 * len(near)
+
+
+def test_pairwise_queries_take_all_users(spark):
+    from sparkseries.kernels import paths
+    from sparkseries.queries import load_all
+    from sparkseries.queries.kernels import short_paths
+
+    q, d = load_all()[0], "/root/testdata/sf0.01"
+    p = {r.k: np.array(r.path, float) for r in short_paths(spark, d).collect()}
+    users = {r.user_id for r in spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct().collect()}
+    got = {(r.a, r.b): r.distance for r in q["h13_dtw_pairs"](spark, d).collect()}
+    assert set(p) == users and len(users) > 40 and got.keys() == {(a, b) for a in users for b in users if a < b}
+    assert all(abs(got[a, b] - paths.dtw(p[a], p[b])) < 1e-5 for a, b in list(got)[::37])
+    assert {r.k for r in q["jn17_pairwise"](spark, d).collect()} == users
