@@ -89,7 +89,7 @@ def h12_signature(spark, d):
 
 @query()
 def h12_prefix_signatures(spark, d):
-    s = K.prefix_signatures(bars_u(spark, d).where("i < 12").withColumn("v", F.col("v") / 100), "k", O, ["v", "h"])
+    s = K.prefix_signatures(bars_u(spark, d).withColumn("v", F.col("v") / 100), "k", O, ["v", "h"])
     return s.select("k", "len", F.aggregate("sig", F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
 
 
@@ -211,7 +211,7 @@ def h22_signal_manager(spark, d):
 def entries(spark, d):
     """Rows after each entry at a large value, with hindsight columns, keyed by entry_id."""
     b = bars_u(spark, d).select("k", "i", "v")
-    t = J.entry_ticks(b.where("v >= 60 and i % 12 = 0").select("k", F.col("i").alias("entry_idx")), b, "k", "entry_idx", "i", 24).withColumn("entry_id", F.concat_ws(":", "k", "entry_idx"))
+    t = J.entry_ticks(b.where("v >= 60").select("k", F.col("i").alias("entry_idx")), b, "k", "entry_idx", "i", 24).withColumn("entry_id", F.concat_ws(":", "k", "entry_idx"))
     e = Series("entry_id", "tick")
     return t.withColumns({"peak": F.coalesce(e.is_local_peak("v", 3), F.lit(False)), "best": e.future_extreme("v", None), "near_low": e.future_extreme("v", 6, "min")})
 

@@ -27,16 +27,23 @@ def folded(spark, d):
     return M.hashed_folds(rows(spark, d), "k", 3)
 
 
+def components(spark, d):
+    """The embeddings with a column for each component, and the names of these columns."""
+    p = points(spark, d)
+    names = [f"x{i}" for i in range(p.agg(F.max(F.size("x"))).first()[0])]
+    return p.select("vec_id", *[F.col("x")[i].alias(c) for i, c in enumerate(names)]), names
+
+
 @query()
 def ml2_kmeans(spark, d):
-    p = points(spark, d).select("vec_id", *[F.col("x")[i].alias(f"x{i}") for i in range(6)])
-    return K.fit_kmeans(p, [f"x{i}" for i in range(6)], 6, 7, "x0")[0].select("vec_id", "cluster")
+    p, names = components(spark, d)
+    return K.fit_kmeans(p, names, 6, 7, "x0")[0].select("vec_id", "cluster")
 
 
 @query()
 def ml6_pca(spark, d):
-    p = points(spark, d).select("vec_id", *[F.col("x")[i].alias(f"x{i}") for i in range(16)])
-    return K.fit_pca(p, [f"x{i}" for i in range(16)], 3)[0].select("vec_id", "pc")
+    p, names = components(spark, d)
+    return K.fit_pca(p, names, 3)[0].select("vec_id", "pc")
 
 
 @query()

@@ -129,3 +129,40 @@ def test_pairwise_queries_take_all_users(spark):
     assert set(p) == users and len(users) > 40 and got.keys() == {(a, b) for a in users for b in users if a < b}
     assert all(abs(got[a, b] - paths.dtw(p[a], p[b])) < 1e-5 for a, b in list(got)[::37])
     assert {r.k for r in q["jn17_pairwise"](spark, d).collect()} == users
+
+
+def test_queries_over_whole_tables(spark):
+    """Prefixes of every length, every entry, every component."""
+    from sparkseries.kernels import paths
+    from sparkseries.queries import load_all
+    from sparkseries.queries.kernels import O, bars_u
+
+    q, d = load_all()[0], "/root/testdata/sf0.001"
+    bars = {}
+    for r in bars_u(spark, d).orderBy("k", *O).collect():
+        bars.setdefault(r.k, []).append(r)
+    got = {(r.k, r.len): r.energy for r in q["h12_prefix_signatures"](spark, d).collect()}
+    assert got.keys() == {(k, n) for k, b in bars.items() for n in range(3, len(b) + 1)} and max(n for _, n in got) > 12
+    for k, b in bars.items():
+        p = np.array([(r.v / 100, r.h) for r in b])
+        for n in range(3, len(b) + 1, 7):
+            assert np.isclose(got[k, n], (paths.signature(np.column_stack([np.linspace(0, 1, n), p[:n]])) ** 2).sum(), rtol=1e-6, atol=1e-5)
+    entries = {f"{k}:{r.i}" for k, b in bars.items() for r in b if r.v >= 60}
+    assert entries and {r.entry_id for r in q["h23_label_actions"](spark, d).select("entry_id").collect()} == entries
+    assert {r.entry_id for r in q["h25_replay_actions"](spark, d).select("entry_id").collect()} == entries
+
+
+def test_models_read_all_components(spark):
+    from sparkseries.queries import models
+
+    rows = [(i, [0.0] * 20 + [5.0 * (i % 6) + i / 1000] + [0.0] * 43, 0) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.mode("overwrite").parquet(f"{(d := _tmp())}/embeddings.parquet")
+    clusters = {(r.vec_id % 6, r.cluster) for r in models.ml2_kmeans(spark, d).collect()}
+    assert len({c for _, c in clusters}) > 1
+    assert len({round(r.pc[0], 1) for r in models.ml6_pca(spark, d).collect()}) > 1
+
+
+def _tmp():
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="spark-")
