@@ -28,6 +28,7 @@ from ._words import NO_LETTER, U, Words, signed, slices
 
 LENGTHS = (0, 3, 4, 5, 6, 7)  # prefix lengths in bytes; 0 is the whole word
 MAX_FIT_ROWS, MAX_ENTRIES, MIN_DOCS, MIN_PRECISION, NEAR, CANDIDATES, TRUST = 20_000, 96, 3, 0.5, 4, 512, 0.98
+THRESHOLD = 0.3  # a text counts as toxic from this score on, in op10 and in the pipeline
 
 
 def _features(w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -253,6 +254,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).alias("rid"), scorer(docs.sparkSession, model)(F.col(text_col)).alias("score"))
 
 
-def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` (all columns) with a score below the threshold."""
     return docs.where(scorer(docs.sparkSession, model)(F.col(text_col)) < threshold)

@@ -373,3 +373,14 @@ def test_pipeline_stages(spark):
     assert free.columns == mixed.columns == columns
     last = P.shard(spark, mixed, SF)
     assert last.count() == mixed.count() and set(columns) < set(last.columns) and [n for n, _ in P.STAGES][0] == "toxicity"
+
+
+def test_pipeline_rejects_what_op10_calls_toxic(spark, docs):
+    even = toxicity.Model((), np.array([-0.4, 0, 0, 0, 0, 0, 0]))  # 0.40 for every text
+    assert toxicity.reject(docs([(1, "a b"), (2, None)]), even).count() == 0
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(d, labels.where(Q._remainder("doc_id", 4) != 2))
+    held_out = {r.doc_id for r in labels.where("toxic = 1").where(Q._remainder("doc_id", 4) == 2).collect()}
+    found = {r.doc_id for r in Q.op10_toxicity(spark, "/root/testdata/sf0.01").where("predicted = 1").collect()}
+    kept = {r.doc_id for r in toxicity.reject(d, model).collect()}
+    assert held_out and not kept & found and len(held_out - kept) == len(held_out & found) > 0  # the operator's own recall
