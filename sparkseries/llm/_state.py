@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
@@ -14,10 +14,14 @@ _KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (tests, local mode) a temporary folder is made and set once.
+    Where it is unset and the master is local (as in tests) a temporary folder is made and set once; on a cluster
+    a missing setting is an error, because a driver's folder is not shared.
     """
     at = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set {_KEY} to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="sparkseries-")
         spark.conf.set(_KEY, at)
     return at.rstrip("/")
@@ -36,15 +40,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of ``written`` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._written_at)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def counted(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """``written`` with aggregates of the rows that are observed while they are written, without a job of their own."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in sums.items()]), name)
+    return out, seen.get
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, so that no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -54,18 +70,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges is pre-aggregated and its join can be split) and writes the edges after each round. Stops
     when a round changes nothing. Empty edges give an empty result; loops and repeated edges are ignored.
     """
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = _mark(now)
+    state = {"mark": F.sum(F.xxhash64("u", "v") % 1_000_003)}
+    now, mark = counted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", **state)
     for _ in range(max_rounds):
-        if not mark[0]:
+        if not mark["rows"]:
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        found = _mark(new)
+        new, found = counted(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", **state)
         discard(now)
         now, same, mark = new, found == mark, found
         if same:

@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._words import U, slices
+from ._words import U, Words, slices
 
-MIN_MATCH, COVERAGE, PART_WORDS = 5, 0.6, 2_000_000
+MIN_MATCH, COVERAGE, PART_WORDS, PAIRS = 5, 0.6, 2_000_000, 4_000_000
 
 
 class Items:
@@ -89,22 +89,35 @@ def found_in(texts: pa.Array, items: Items, coverage: float) -> Iterator[tuple[i
             continue
         lo, g, at = lo[hit], g[hit], at[hit]
         n = np.searchsorted(items.seeds, g, "right") - lo
-        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(at, n)
-        doc, item, j = w.text_of[at], items.item[which], items.pos[which]
-        order = np.lexsort((at, item, doc))
-        doc, item, j, at = doc[order], item[order], j[order], at[order]
-        cut = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0)))
-        for x, y in zip(cut, np.append(cut[1:], len(doc))):
-            need = coverage * len(items.words[item[x]])
-            reach = np.zeros(len(items.words[item[x]]) + 1, np.int64)
-            starts = np.unique(j[x:y])
-            np.add.at(reach, starts, 1)
-            np.add.at(reach, starts + k, -1)
-            if (np.cumsum(reach)[:-1] > 0).sum() >= need:
-                got = tiles(at[x:y] - w.offsets[doc[x]], j[x:y], k)
-                if sum(t[2] for t in got) >= need:
-                    yield int(doc[x]) + a, int(item[x]), got
+        # texts are taken together while their pairs of seeds stay few; a seed that many items share is expanded for one text at a time
+        ends = np.append(np.flatnonzero(np.diff(w.text_of[at])) + 1, len(at))
+        total, x = np.append(0, np.cumsum(n)), 0
+        while x < len(at):
+            y = max(int(ends[np.searchsorted(ends, x, "right")]), int(ends[max(0, np.searchsorted(total[ends], total[x] + PAIRS, "right") - 1)]))
+            for doc, item, got in _tiled(w, items, at[x:y], lo[x:y], n[x:y], coverage):
+                yield doc + a, item, got
+            x = y
+
+
+def _tiled(w: Words, items: Items, at: np.ndarray, lo: np.ndarray, n: np.ndarray, coverage: float) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(text of the slice, item index, tiles) from the seeds at words ``at``, whose n matches begin at ``lo`` in the items' seeds."""
+    k = items.min_match
+    which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(at, n)
+    doc, item, j = w.text_of[at], items.item[which], items.pos[which]
+    order = np.lexsort((at, item, doc))
+    doc, item, j, at = doc[order], item[order], j[order], at[order]
+    cut = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0)))
+    for x, y in zip(cut, np.append(cut[1:], len(doc))):
+        need = coverage * len(items.words[item[x]])
+        reach = np.zeros(len(items.words[item[x]]) + 1, np.int64)
+        starts = np.unique(j[x:y])
+        np.add.at(reach, starts, 1)
+        np.add.at(reach, starts + k, -1)
+        if (np.cumsum(reach)[:-1] > 0).sum() >= need:
+            got = tiles(at[x:y] - w.offsets[doc[x]], j[x:y], k)
+            if sum(t[2] for t in got) >= need:
+                yield int(doc[x]), int(item[x]), got
 
 
 def _parts(items: DataFrame, id_col: str, text_col: str, min_match: int, part_words: int) -> Iterator:

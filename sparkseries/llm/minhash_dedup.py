@@ -5,20 +5,21 @@ MinHash coordinates of 16 bits; the signature distance of two documents is the n
 that differ. Coordinates are split into chunks; if two signatures differ in at most
 ``chunks * (errors + 1) - 1`` coordinates, some chunk has at most ``errors`` of them (pigeonhole). Each
 chunk is therefore indexed under every way of leaving out ``errors`` of its coordinates, so all pairs
-within that distance meet in a bucket. At the default settings a pair at the similarity threshold stays
-apart with a probability below 1e-6.
-
-Equal sets are merged first. Buckets are turned into stars (member to smallest member), not pairs; the
-connected groups of these stars hold every pair that met. Inside a group each pair is confirmed exactly
-on full shingle sets, block against block with bounded blocks, and only a spanning forest of the
-confirmed links of each block pair leaves the task.
+within that distance meet in a bucket, and of those beyond it most. At the default settings a pair at the similarity
+threshold is missed with a probability of about 1e-6.
+
+Equal sets are merged first. In a bucket every member is held against the bucket's smallest member: pairs whose signatures
+differ in more coordinates than a pair at the threshold would (``reach_for``) are dropped, the others are confirmed exactly on
+full shingle sets. Links give components. Pairs that met in a bucket, are not in one component yet and lie within that
+distance are then confirmed as well, nearest first, so that a family of copies costs about one comparison a member
+and no pair that could link components is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, log
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +27,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._state import connected_components, written
+from ._state import connected_components, counted, free_name, written
 from ._words import U, Words, mix, signed, slices
 
 WIDTH, ERRORS, BITS = 5, 1, 16
-MIN_BLOCK, MAX_BLOCK = 128, 1024
+BLOCK, LOT_ROWS, LOT_BYTES = 1024, 1024, 8 << 20  # signatures of a side in a block; pairs and bytes of a lot
+BROADCAST_NODES = 200_000  # ids and hashes of texts that are broadcast, else joined by shuffle
 
 
 def chunks_for(similarity: float, width: int = WIDTH, errors: int = ERRORS, miss: float = 2e-7) -> int:
     """Chunks needed so that a pair at ``similarity`` has no chunk within ``errors`` with probability < miss."""
-    from math import comb
-
     hit = sum(comb(width, e) * (1 - similarity) ** e * similarity ** (width - e) for e in range(errors + 1))
     return 1 if hit >= 1 else max(1, ceil(log(miss) / log(1 - hit)))
 
 
+def reach_for(similarity: float, n: int, miss: float = 1e-6) -> int:
+    """The signature distance that a pair at ``similarity`` exceeds with probability < miss."""
+    p, tail, d = 1 - similarity, 1.0, -1
+    while tail >= miss and d < n:
+        d += 1
+        tail -= comb(n, d) * p**d * similarity ** (n - d)
+    return d
+
+
 def shingle_sets(w: Words, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts of a slice, sorted inside each text, and the texts' bounds.
 
@@ -121,64 +130,139 @@ def bucket_keys(nodes: DataFrame, chunks: int, width: int, errors: int) -> DataF
     return nodes.select("node", "sig").mapInArrow(run, "key bigint, node bigint")
 
 
-def _links(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int, diagonal: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= percent * union."""
-    n = len(nodes)
-    size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(n), size)
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    shared = np.bincount(column) > 1
-    column, owner = (np.cumsum(shared) - 1)[column[shared[column]]], owner[shared[column]]
-    common, width = np.zeros((n, n), np.float32), int(shared.sum())
-    for at in range(0, width, 4096):  # counts stay exact: below 2**24
-        inside = (column >= at) & (column < at + 4096)
-        block = np.zeros((n, min(4096, width - at)), np.float32)
-        block[owner[inside], column[inside] - at] = 1
-        common += block @ block.T
-    both = common.astype(np.int64)
-    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
-    if not diagonal:
-        linked &= sides[:, None] != sides[None, :]
-    top, out = np.arange(n), []
-
-    def root(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
-        a, b = root(i), root(j)
-        if a != b:
-            top[max(a, b)] = min(a, b)
-            out.append((int(nodes[i]), int(nodes[j])))
-    return out
+def distance(a: pa.Array, b: pa.Array, n: int) -> np.ndarray:
+    """Signature distance of the rows of two columns: coordinates that differ."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, n) for c in (a, b))
+    return (x != y).sum(axis=1)
 
 
-def confirmed_links(members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Exact links (u, v) inside each group of ``members(group, size, node, text)``, as spanning forests."""
+def within(pairs: DataFrame, nodes: DataFrame, coordinates: int, reach: int) -> DataFrame:
+    """The pairs(u, v) whose signatures differ in at most ``reach`` coordinates."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, w in slices(batch.column(3), lower=True):
-                grams, bounds = shingle_sets(w, b - a, shingle)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i)[a:b] for i in range(3)), pa.array([grams[x:y].tobytes() for x, y in zip(bounds, bounds[1:])], pa.binary())], names=["group", "size", "node", "grams"])
+            yield batch.select(["u", "v"]).filter(pa.array(distance(batch.column(2), batch.column(3), coordinates) <= reach))
 
-    block = F.least(F.lit(MAX_BLOCK), F.greatest(F.lit(MIN_BLOCK), F.col("size") / 16))
-    dealt = (members.select("group", "size", "node", "text").mapInArrow(sets, "group bigint, size bigint, node bigint, grams binary")
-             .withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-             .withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-             .select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "grams"))
+    sig = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
+    return pairs.join(sig("u"), "u").join(sig("v"), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u bigint, v bigint")
 
-    def confirm(table: pa.Table) -> pa.Table:
-        node, own = table["node"].to_numpy(), table["own"].to_numpy()
-        node, at = np.unique(node, return_index=True)  # repeated rows
-        grams = table["grams"]
-        found = _links(node, own[at], [np.frombuffer(grams[int(x)].as_py(), U) for x in at], percent, table["i"][0] == table["j"][0]) if len(node) > 1 else []
-        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([y for _, y in found], pa.int64())})
 
-    return dealt.groupBy("group", "i", "j").applyInArrow(confirm, "u bigint, v bigint")
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs(u, v) with 100 * intersection >= percent * union of their full sets.
+
+    Pairs meet the text of their v in lots of bounded rows and bytes, so one v with very many u is dealt to many tasks
+    and its text travels once a lot. A task holds one set of a v and a slice of texts at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, np.zeros(0, U)
+        for batch in batches:
+            v, lead, u = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+            for a, b, w in slices(batch.column(4), lower=True):
+                grams, bounds = shingle_sets(w, b - a, shingle)
+                heads = np.flatnonzero(lead[a:b] == 0)
+                linked = np.zeros(b - a, bool)
+                for x, y in zip(np.append(-1, heads), np.append(heads, b - a)):  # a head and the rows up to the next
+                    if x >= 0:
+                        hub, own = v[a + x], grams[bounds[x] : bounds[x + 1]]
+                    if y - x > 1 and len(own):
+                        if hub != v[a + x + 1]:
+                            raise RuntimeError("a row came without the text that it is compared with")
+                        g, at = grams[bounds[x + 1] : bounds[y]], bounds[x + 1 : y + 1] - bounds[x + 1]
+                        hit = own[np.minimum(np.searchsorted(own, g), len(own) - 1)] == g
+                        both = np.diff(np.append(0, np.cumsum(hit))[at])
+                        linked[x + 1 : y] = 100 * both >= percent * (len(own) + np.diff(at) - both)
+                at = a + np.flatnonzero(linked)
+                yield pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(v[at])], names=["u", "v"])
+
+    size = texts.select(F.col("node").alias("u"), F.octet_length("text").cast("bigint").alias("bytes"))
+    lots = pairs.join(size, "u").groupBy("v").agg(F.greatest(F.ceil(F.count("*") / LOT_ROWS), F.ceil(F.sum("bytes") / LOT_BYTES)).cast("int").alias("lots"))
+    lots = written(lots, "lots")
+    own = lambda c: texts.select(F.col("node").alias(c), "text")
+    rows = pairs.join(lots, "v").select("v", F.expr("cast(pmod(xxhash64(u), lots) as int)").alias("lot"), F.lit(1).alias("lead"), "u").join(own("u"), "u").select("v", "lot", "lead", "u", "text")
+    heads = lots.select("v", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(0).alias("lead"), F.col("v").alias("u")).join(own("v"), "v").select("v", "lot", "lead", "u", "text")
+    return rows.unionByName(heads).repartition("v", "lot").sortWithinPartitions("v", "lot", "lead").mapInArrow(run, "u bigint, v bigint")
+
+
+def _nearest(x: pa.Table, coordinates: int, reach: int, budget: int) -> pa.Table:
+    """Of one block: for each row of the right side and each other component the ``budget`` nearest rows of the left side."""
+    left, right = (x.filter(pa.array(x["side"].to_numpy() == s)) for s in (0, 1))
+    read = lambda t: np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, coordinates)
+    a, b = read(left), read(right)
+    (na, ca, main), (nb, cb) = [left[c].to_numpy() for c in ("node", "comp", "main")], [right[c].to_numpy() for c in ("node", "comp")]
+    us, vs, more = [], [], []
+    for at in range(0, len(b), 64):
+        d = (a[:, None, :] != b[None, at : at + 64, :]).sum(axis=2)
+        i, j = np.nonzero((d <= reach) & (ca[:, None] != cb[None, at : at + 64]) & (main[:, None] | (na[:, None] < nb[None, at : at + 64])))
+        order = np.lexsort((na[i], d[i, j], ca[i], j))
+        i, j = i[order], j[order]
+        new = np.append(True, (j[1:] != j[:-1]) | (ca[i][1:] != ca[i][:-1])) if len(i) else np.zeros(0, bool)
+        nth = np.arange(len(i)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(i) else i
+        keep = nth < budget
+        us.append(na[i[keep]])
+        vs.append(nb[at:][j[keep]])
+        more.append(np.full(int(keep.sum()), bool((~keep).any())))
+    us, vs, more = (np.concatenate(z) if z else np.zeros(0, t) for z, t in ((us, np.int64), (vs, np.int64), (more, bool)))
+    return pa.table({"key": pa.array(np.full(len(us), x["key"][0].as_py())), "u": pa.array(us), "v": pa.array(vs), "more": pa.array(more)})
+
+
+def remaining_pairs(members: DataFrame, nodes: DataFrame, coordinates: int, reach: int, budget: int) -> DataFrame:
+    """(key, u, v, more): pairs of different components inside the buckets ``members(key, node, comp)``.
+
+    A bucket's rows outside its largest component (the right side) meet all of its rows (the left side), block against
+    block of at most about ``BLOCK`` signatures each. ``more`` says that a block held pairs beyond the budget.
+    """
+    each = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    of_key = each.groupBy("key").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("top")).where("m > most")
+    of_key = of_key.select("key", "top", F.ceil(F.col("m") / BLOCK).cast("int").alias("bi"), F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("bj"))
+    rows = members.join(of_key, "key").join(nodes.select("node", "sig"), "node").withColumn("main", F.col("comp") == F.col("top"))
+    block = lambda salt, n: F.expr(f"cast(pmod(xxhash64(node, {salt}), {n}) as int)")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    names = ["key", "i", "j", "side", "node", "comp", "main", "sig"]
+    left = rows.withColumn("side", F.lit(0)).withColumn("i", block(1, "bi")).withColumn("j", every("bj")).select(*names)
+    right = rows.where(~F.col("main")).withColumn("side", F.lit(1)).withColumn("j", block(2, "bj")).withColumn("i", every("bi")).select(*names)
+    near = lambda t: _nearest(t, coordinates, reach, budget)
+    return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(near, "key bigint, u bigint, v bigint, more boolean")
+
+
+def linked_components(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, chunks: int, width: int, errors: int) -> DataFrame:
+    """(node, component) of all nodes that a confirmed link reaches.
+
+    First every member of a bucket is held against the bucket's smallest member; this joins nearly all of a family of
+    copies. What is left are pairs of other members in different components: for each member and component the nearest
+    by signature, then more, then all, until no untested pair within ``reach`` is left.
+    """
+    n = chunks * width
+    reach = reach_for(percent / 100, n)
+    keyed = bucket_keys(nodes, chunks, width, errors)
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
+    members = written(keyed.join(hubs, "key"), "members")
+    inside, seen = counted(members.select("node").distinct().join(nodes.select("node", "rep"), "node"), "inside")
+    wanted = inside.select("node", F.col("rep.rid").alias("r"), F.col("rep.th").alias("h"))
+    wanted = F.broadcast(wanted) if seen["rows"] <= BROADCAST_NODES else wanted
+    own = docs.select(F.col(id_col).alias("rid"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
+    own = own.join(wanted, F.col("h").eqNullSafe(F.col("th")) & F.col("r").eqNullSafe(F.col("rid"))).select("node", "text").dropDuplicates(["node"])
+    texts = written(own, "texts")
+    pairs = written(within(members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), nodes, n, reach), "pairs")
+    links = connected_components(confirmed(pairs, texts, shingle, percent))
+    rest = members.where("node <> hub").select("key", "node")
+    keys = None
+    for budget in (4, 64, BLOCK):
+        named = rest.join(links, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+        named = named if keys is None else named.join(keys, "key", "left_semi")
+        open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        now, seen = counted(named.join(open_keys, "key", "left_semi"), "open")
+        if not seen["rows"]:
+            break
+        found, seen = counted(remaining_pairs(now, nodes, n, reach, budget), "found", more=F.max("more"))
+        if seen["rows"]:
+            more = confirmed(written(found.select("u", "v").distinct(), "pairs"), texts, shingle, percent)
+            stars = links.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+            links = connected_components(stars.unionByName(more))
+        if not seen["more"]:
+            break
+        keys = found.where("more").select("key").distinct()
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, width: int = WIDTH, errors: int = ERRORS, chunks: int | None = None) -> DataFrame:
@@ -196,16 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drawn = written(sketch(docs, id_col, text_col, shingle, chunks * width), "sketch")
     nodes = drawn.where("node is not null").groupBy("node").agg(F.min(F.struct("rid", "th")).alias("rep"), F.min("rid").alias("low"), F.first("sig").alias("sig"))
     nodes = written(nodes, "nodes")
-    keyed = bucket_keys(nodes, chunks, width, errors)
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
-    stars = keyed.join(hubs, "key").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    groups = connected_components(stars)
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    members = (groups.join(sizes, "component").join(nodes.select("node", "rep"), "node")
-               .select(F.col("component").alias("group"), "size", "node", F.col("rep.rid").alias("r"), F.col("rep.th").alias("h")))
-    texts = docs.select(F.col(id_col).alias("rid"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    members = members.join(texts, F.col("h").eqNullSafe(F.col("th")) & F.col("r").eqNullSafe(F.col("rid")))
-    linked = connected_components(confirmed_links(members, shingle, percent))
+    linked = linked_components(nodes, docs, id_col, text_col, shingle, percent, chunks, width, errors)
     joined = linked.join(nodes.select("node", "low"), "node")
     lows = joined.groupBy("component").agg(F.min("low").alias("component_id"))
     named = linked.join(lows, "component").select("node", "component_id", "component")
@@ -225,7 +300,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = near_duplicates(docs, id_col, text_col, shingle, percent, **how)
     first = found.where("cluster is not null").groupBy("cluster").agg(F.min(F.struct(F.col("rid").isNull().alias("n"), "rid", "th")).alias("x"))
-    keep = first.select(F.col("x.rid").alias("_r"), F.col("x.th").alias("_h")).union(found.where("cluster is null").select("rid", "th").distinct())
-    hashed = docs.withColumn("_th", F.xxhash64(text_col))
-    kept = hashed.join(keep, F.col("_th").eqNullSafe(F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_r")), "left_semi")
-    return kept.dropDuplicates([id_col, "_th"]).select(*[F.col(c) for c in docs.columns])
+    r, h, th = (free_name(docs, x) for x in ("kept_rid", "kept_th", "own_th"))
+    keep = first.select(F.col("x.rid").alias(r), F.col("x.th").alias(h)).union(found.where("cluster is null").select("rid", "th").distinct())
+    hashed = docs.withColumn(th, F.xxhash64(text_col))
+    kept = hashed.join(keep, F.col(th).eqNullSafe(F.col(h)) & F.col(id_col).eqNullSafe(F.col(r)), "left_semi")
+    return kept.dropDuplicates([id_col, th]).select(*[F.col(c) for c in docs.columns])

@@ -8,10 +8,12 @@ globally by a hash of (seed, row, copy), which shuffles them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_SOURCES = 10_000
+from ._state import counted
+
+MAX_BROADCAST_SOURCES, MAX_BROADCAST_STEPS = 10_000, 1_000_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -35,12 +37,13 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str, po
     total = shares.agg(F.sum("w").alias("all_w"), F.sum("rows").alias("all_rows"))
     rate = F.when(F.col("all_w") > 0, F.lit(scale) * F.col("w") / F.col("all_w") * F.col("all_rows") / F.col("rows")).otherwise(0.0)
     out = shares.crossJoin(F.broadcast(total)).select("source", "rows", rate.alias("rate"))  # total is one row
-    upto = F.ceil(F.col("rate") + 10 * F.sqrt("rate") + 20).cast("int")
-    log_p = F.transform(F.sequence(F.lit(0), upto), lambda k: -F.col("rate") + F.when(k > 0, k * F.log(F.col("rate"))).otherwise(0.0))
-    log_fact = F.aggregate(F.sequence(F.lit(1), upto), F.array(F.lit(0.0)), lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + F.log(k.cast("double")))))
-    p = F.transform(F.arrays_zip(log_p.alias("a"), log_fact.alias("b")), lambda x: F.exp(x["a"] - x["b"]))
-    cdf = F.slice(F.aggregate(p, F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))), 2, upto + 1)
-    return out.withColumn("cdf", F.when(F.col("rate") > 0, cdf).otherwise(F.array(F.lit(2.0))))
+    out = out.withColumn("upto", F.when(F.col("rate") > 0, F.ceil(F.col("rate") + 10 * F.sqrt("rate") + 20)).otherwise(-1).cast("int"))
+    own = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # the k of one source: bounded by its rate
+    terms = out.where("upto >= 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("upto"))))
+    terms = terms.withColumn("p", F.exp(-F.col("rate") + F.when(F.col("k") > 0, F.col("k") * F.log("rate")).otherwise(0.0) - F.sum(F.log(F.greatest("k", F.lit(1)).cast("double"))).over(own)))
+    terms = terms.withColumn("c", F.sum("p").over(own))
+    cdf = terms.groupBy("source", "rows", "rate").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
+    return cdf.unionByName(out.where("upto < 0").select("source", "rows", "rate", F.array(F.lit(2.0)).alias("cdf")))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", power: float = 0.5, scale: float = 1.0, seed: int = 17) -> DataFrame:
@@ -48,16 +51,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
 
     Null sources form a source of their own (only ``weights=None`` gives it a share). Repeated rows have
     equal counts; every copy of every row is kept. Null texts and ids hash as fixed marks. Input
-    columns called copy or mix_order are replaced. Empty tables give an empty result. The rates
-    table is broadcast only if it has at most MAX_BROADCAST_SOURCES sources, else joined by shuffle.
+    columns called copy or mix_order are replaced; all others pass through, whatever their names. Empty tables give an empty
+    result. The rates table is broadcast only if it has at most MAX_BROADCAST_SOURCES sources and
+    MAX_BROADCAST_STEPS steps of distributions, else joined by shuffle. A row's work is in proportion to its source's rate.
     """
     names = [c for c in docs.columns if c not in ("copy", "mix_order")]
-    by_source = rates(docs, weights, source_col, power, scale).select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf"))
-    few = len(docs.select(source_col).distinct().limit(MAX_BROADCAST_SOURCES + 1).take(MAX_BROADCAST_SOURCES + 1)) <= MAX_BROADCAST_SOURCES
-    joined = docs.select(*names).join(F.broadcast(by_source) if few else by_source, F.col(source_col).eqNullSafe(F.col("_source")))
-    key = [F.col(id_col), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("~")))]
-    counted = joined.withColumn("_key", F.concat_ws("|", *[F.coalesce(k.cast("string"), F.lit("~")) for k in key]))
-    counted = counted.withColumn("_u", uniform(F.lit(seed), F.col("_key"))).withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
-    copies = counted.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    ordered = copies.withColumn("mix_order", uniform(F.lit(seed + 1), F.col("_key"), F.col("copy"))).select(*names, "copy", "mix_order")
+    by_source, seen = counted(rates(docs, weights, source_col, power, scale).select(F.col("source").alias("of"), "cdf"), "rates", steps=F.sum(F.size("cdf")))
+    few = seen["rows"] <= MAX_BROADCAST_SOURCES and (seen["steps"] or 0) <= MAX_BROADCAST_STEPS
+    key = F.concat_ws("|", F.coalesce(docs[id_col].cast("string"), F.lit("~")), F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("~"))))
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[source_col].alias("own"), key.alias("key"))
+    joined = rows.join(F.broadcast(by_source) if few else by_source, F.col("own").eqNullSafe(F.col("of")))
+    counts = joined.withColumn("u", uniform(F.lit(seed), F.col("key"))).withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u"))))
+    copies = counts.where("n > 0").select("row", "key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    ordered = copies.select("row.*", "copy", uniform(F.lit(seed + 1), F.col("key"), F.col("copy")).alias("mix_order"))
     return ordered.repartition(F.col("mix_order")).sortWithinPartitions("mix_order")

@@ -143,14 +143,13 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     kinds = [r[0] for r in sample.select("label").distinct().collect()]
     if len(kinds) < 2:
         return Model((), (), {0: 0.0, 1: 40.0 * (1 if kinds and kinds[0] else -1)}[len(kinds)])
-    data = VectorAssembler(inputCols=list(STATISTICS), outputCol="x").transform(sample).select("x", "label", *STATISTICS).cache()
+    data = VectorAssembler(inputCols=list(STATISTICS), outputCol="x").transform(sample).select("x", "label", *STATISTICS)
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=10, featureSubsetStrategy="onethird", seed=SEED).fit(data)
     rules = list(dict.fromkeys(r for t in forest.trees for r in tree_rules(t.toDebugString)))
     fired = data.select("label", F.array(*[compile_rule(r).cast("double") for r in rules]).alias("r"))
     from pyspark.ml.functions import array_to_vector
 
     lassoed = LogisticRegression(featuresCol="x", labelCol="label", elasticNetParam=1.0, regParam=lasso, standardization=False, maxIter=60).fit(fired.select("label", array_to_vector("r").alias("x")))
-    data.unpersist()
     kept = [(r, float(c)) for r, c in zip(rules, lassoed.coefficients.toArray()) if abs(c) > 1e-9]
     return Model(tuple(r for r, _ in kept), tuple(c for _, c in kept), float(lassoed.intercept))
 

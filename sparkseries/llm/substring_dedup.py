@@ -108,6 +108,7 @@ def matches(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, windo
     index = blocks(docs, id_col, text_col, window, seed)
     seen = (index.groupBy("seed").agg(F.count("*").alias("times"), F.min("block").alias("lo"), F.max("block").alias("hi"), F.min("rid").alias("ref_id"), F.min_by("start", "rid").alias("ref_start"))
             .where("times > 1").select("seed", (F.col("lo") != F.col("hi")).alias("mixed"), "ref_id", "ref_start"))
+    seen = written(seen, "seeds")  # apart from the join, whose hot seeds can then be split
     hits = written(index.join(seen, "seed"), "hits")
     mixed = hits.where("mixed")
     own = written(mixed.groupBy("seed", "block").agg(F.count("*").alias("times"), F.min(F.struct("rid", "th", "start")).alias("x"), F.max("n").alias("n"))
@@ -118,6 +119,7 @@ def matches(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, windo
     edge_texts = texts.join(edges, F.col("rid").eqNullSafe(F.col("e_rid")) & (F.col("th") == F.col("e_th"))).select("rid", "th", "text", "runs")
     windows = written(_window_hashes(edge_texts, window), "windows")
     again = windows.groupBy("h").agg(F.count("*").alias("times"), F.min("rid").alias("ref_id"), F.min_by("start", "rid").alias("ref_start")).where("times > 1").drop("times")
+    again = written(again, "again")
     return whole.unionByName(windows.join(again, "h").select("rid", "th", "start", F.lit(1).alias("n"), "ref_id", "ref_start"))
 
 

@@ -1,10 +1,10 @@
 """WARC archives with a two-level capture index.
 
 ``write`` stores one record for each page, each its own gzip member, in one archive file for each task. The
-capture index has a line for each record under the key (reversed-host URL, page id): lines are range-sorted
-over tasks and written as compressed blocks; each index part keeps a sparse directory (first key, offset and
+capture index has a line for each record under the key (reversed-host URL, page id), ordered by key, file and offset: lines are
+range-sorted over tasks and written as compressed blocks; each index part keeps a sparse directory (first key, offset and
 length of every block), and a small top table holds the first key of each part. ``lookup`` binary-searches
-the top table, then the part's directory, then the block, and ``read`` fetches only the record's byte range.
+the top table, then the part's directory, then the block, and ``read`` fetches only the records' byte ranges.
 
 Files are written by tasks through ``pyarrow.fs`` under names with the task attempt, and only names that
 successful attempts reported are ever read, so lost executors leave unused files but no broken ones.
@@ -16,7 +16,7 @@ import base64
 import hashlib
 import json
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -177,7 +177,7 @@ def _index(captures: DataFrame, path: str, block_lines: int) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_pydict({"first_key": [first], "file": [name], "directory_offset": [at], "directory_length": [len(sparse)], "lines": [count]})
 
-    ordered = captures.repartitionByRange("key").sortWithinPartitions("key")
+    ordered = captures.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
     return written(ordered.mapInArrow(store, "first_key string, file string, directory_offset bigint, directory_length bigint, lines bigint"), "index")
 
 
@@ -187,7 +187,6 @@ class _Reader:
     def __init__(self, path: str, top: list[tuple]):
         self.fs, self.root = _open(path)
         self.top, self.files, self.parts, self.blocks = top, OrderedDict(), OrderedDict(), OrderedDict()
-        self.firsts = [t[0] for t in top]
 
     def bytes_at(self, name: str, offset: int, length: int) -> bytes:
         if name not in self.files:
@@ -196,51 +195,86 @@ class _Reader:
             self.files[name] = self.fs.open_input_file(f"{self.root}/{name}")
         return self.files[name].read_at(length, offset)
 
-    def find(self, key: str) -> list | None:
-        """The capture line with this key: three binary searches and at most two range reads."""
-        p = bisect_right(self.firsts, key) - 1
-        if p < 0:
-            return None
-        _, name, offset, length = self.top[p]
+    def find(self, part: int, key: str) -> Iterator[list]:
+        """The capture lines with this key in one index part: a binary search in its sparse directory, one in the first block
+        that can hold the key, then on while blocks begin with it."""
+        _, name, offset, length = self.top[part]
         if name not in self.parts:
             if len(self.parts) >= CACHED_BLOCKS:
                 self.parts.popitem(last=False)
             directory = json.loads(zlib.decompress(self.bytes_at(name, offset, length)))
             self.parts[name] = ([d[0] for d in directory], directory)
         firsts, directory = self.parts[name]
-        b = bisect_right(firsts, key) - 1
-        if b < 0:
-            return None
-        if (name, b) not in self.blocks:
-            if len(self.blocks) >= CACHED_BLOCKS:
-                self.blocks.popitem(last=False)
-            rows = [json.loads(x) for x in zlib.decompress(self.bytes_at(name, *directory[b][1:])).decode().split("\n")]
-            self.blocks[name, b] = ([r[0] for r in rows], rows)
-        keys, rows = self.blocks[name, b]
-        i = bisect_right(keys, key) - 1
-        return rows[i] if i >= 0 and keys[i] == key else None
+        b = max(0, bisect_left(firsts, key) - 1)
+        while b < len(firsts) and firsts[b] <= key:
+            if (name, b) not in self.blocks:
+                if len(self.blocks) >= CACHED_BLOCKS:
+                    self.blocks.popitem(last=False)
+                rows = [json.loads(x) for x in zlib.decompress(self.bytes_at(name, *directory[b][1:])).decode().split("\n")]
+                self.blocks[name, b] = ([r[0] for r in rows], rows)
+            keys, rows = self.blocks[name, b]
+            yield from rows[bisect_left(keys, key) : bisect_right(keys, key)]
+            b += 1
+
+
+def lookup(archive: Archive, wanted: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """The lines of the capture index for the distinct ids and URLs of ``wanted``: (page_id, url, record_type, digest, file,
+    offset, length), one for each stored record.
+
+    The first key of each index part (a row for each part) is broadcast; a key that fills several parts is looked up in
+    each of them, by different tasks.
+    """
+    top = [tuple(r) for r in archive.top.select("first_key", "file", "directory_offset", "directory_length").orderBy("first_key", "file").collect()]
+    held = wanted.sparkSession.sparkContext.broadcast(top)
+    path = archive.path
+
+    @F.arrow_udf("array<int>")
+    def parts(keys: pa.Array) -> pa.Array:
+        firsts = [t[0] for t in held.value]
+        return pa.array([list(range(max(0, bisect_left(firsts, k) - 1), bisect_right(firsts, k))) for k in keys.to_pylist()], pa.list_(pa.int32()))
+
+    @F.arrow_udf("string")
+    def keys(urls: pa.Array, ids: pa.Array) -> pa.Array:
+        return pa.array([_key(u, i) for u, i in zip(urls.to_pylist(), ids.to_pylist())], pa.string())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(path, held.value)
+        for batch in batches:
+            lines = []
+            for part, key, url in zip(*(c.to_pylist() for c in batch.columns)):
+                for x in reader.find(part, key):
+                    if x[2] == url:  # URLs with one reversed-host form share a key
+                        lines.append(x[1:])
+                    if len(lines) == 4096:
+                        yield _lines(lines)
+                        lines = []
+            yield _lines(lines)
+
+    asked = wanted.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url")).distinct()
+    keyed = asked.select(keys("url", "page_id").alias("key"), "url").select("key", "url", F.explode(parts("key")).alias("part"))
+    return keyed.repartitionByRange("part", "key").sortWithinPartitions("part", "key").select("part", "key", "url").mapInArrow(search, CAPTURE.partition(", ")[2])
+
+
+def _lines(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 7, _types[1:])], names=_names[1:])
 
 
 def read(archive: Archive, wanted: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """The stored record of each row of ``wanted`` (id and URL): (page_id, url, record_type, refers_to,
-    payload, payload_digest); revisit records have an empty payload. Rows that are not stored are left out.
+    """Every stored record of the distinct ids and URLs of ``wanted``: (page_id, url, record_type, refers_to,
+    payload, payload_digest); revisit records have an empty payload. Rows that are not stored are left out; an id and URL that
+    was stored several times gives a row for each record.
 
-    Rows are range-sorted by key first (keys only), so that a task touches neighbouring index blocks.
+    The lines found in the index are range-sorted by file and offset (lines only), so that a task reads neighbouring records.
     """
-    top = [tuple(r) for r in archive.top.select("first_key", "file", "directory_offset", "directory_length").orderBy("first_key").collect()]  # a row for each index part
-    held = wanted.sparkSession.sparkContext.broadcast(top)
     path = archive.path
-    asked = wanted.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = None
+        reader = _Reader(path, [])
         for batch in batches:
-            reader = reader or _Reader(path, held.value)
-            ids, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            lines = sorted((x for x in (reader.find(_key(u, i)) for i, u in zip(ids, urls)) if x), key=lambda x: (x[5], x[6]))
+            lines = list(zip(*(c.to_pylist() for c in batch.columns)))
             for a in range(0, len(lines), 256):
                 rows = []
-                for _, page_id, url, kind, _, name, offset, length in lines[a : a + 256]:
+                for page_id, url, kind, _, name, offset, length in lines[a : a + 256]:
                     got = _parse(zlib.decompress(reader.bytes_at(name, offset, length), 31))
                     digest = got["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response" and base64.b32encode(hashlib.sha1(got["payload"]).digest()).decode() != digest:
@@ -249,7 +283,7 @@ def read(archive: Archive, wanted: DataFrame, id_col: str = "page_id", url_col:
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["page_id", "url", "record_type", "refers_to", "payload", "payload_digest"])
 
-    return with_surt(asked).repartitionByRange("surt", "page_id").sortWithinPartitions("surt", "page_id").select("page_id", "url").mapInArrow(fetch, RECORD)
+    return lookup(archive, wanted, id_col, url_col).repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(fetch, RECORD)
 
 
 def digests(archive: Archive, wanted: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -61,13 +61,51 @@ def test_components(docs, seed, k, percent):
 
 
 def test_blocks_of_a_large_group(docs, monkeypatch):
-    monkeypatch.setattr(minhash_dedup, "MIN_BLOCK", 8)
-    monkeypatch.setattr(minhash_dedup, "MAX_BLOCK", 8)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    monkeypatch.setattr(minhash_dedup, "LOT_ROWS", 8)
     rows = [(i, " ".join(f"c{j}" for j in range(60)) + f" x{i}") for i in range(50)] + [(i, " ".join(f"d{j}" for j in range(40))) for i in range(50, 60)]
     got = {r.rid: r.component_id for r in minhash_dedup.near_duplicates(docs(rows)).collect()}
     assert got == {i: 0 if i < 50 else 50 for i in range(60)}
 
 
+def test_chained_boilerplate_grows_in_proportion(docs, spark):
+    """Texts that share boilerplate meet in buckets without being links: pairs beyond the signature distance are dropped."""
+    made = {}
+    for n in (100, 200):
+        r = random.Random(n)
+        rows = [(i, " ".join([f"b{j}" for j in range(60)] + [f"u{i}_{r.randrange(10**6)}" for _ in range(60)])) for i in range(n)]
+        assert all(g.kept for g in minhash_dedup.near_duplicates(docs(rows)).collect())
+        nodes = minhash_dedup.sketch(docs(rows), "doc_id", "text", 5, 60).select("node", "sig")
+        keyed = minhash_dedup.bucket_keys(nodes, 12, 5, 1)
+        low = keyed.groupBy("key").agg({"node": "min"}).withColumnRenamed("min(node)", "hub")
+        pairs = keyed.join(low, "key").where("node <> hub").selectExpr("node as u", "hub as v").distinct()
+        made[n] = (pairs.count(), minhash_dedup.within(pairs, nodes, 60, minhash_dedup.reach_for(0.8, 60)).count())
+    assert made[200][0] <= 8 * made[100][0] and made[200][1] <= 0.02 * made[200][0] + 2
+
+
+def test_links_beyond_the_smallest_member(docs, monkeypatch):
+    """A chain in which most members are no link of the bucket's smallest one: later rounds must find the rest."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    base = [f"w{j}" for j in range(100)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for j in range(2 * i, 2 * i + 24):
+            w[j % 100] = f"x{j % 100}_{i // 4}"
+        rows.append((i, " ".join(w)))
+    want, _ = brute_components(rows, 3, 60)
+    got = {g.rid: g.component_id for g in minhash_dedup.near_duplicates(docs(rows), shingle=3, percent=60).collect()}
+    assert got == want and 1 < len(set(want.values())) < 40
+
+
+def test_names_do_not_clash(docs):
+    df = docs([(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words stand here now ok")])
+    for n in ("own_th", "kept_rid", "kept_th", "_th", "rid", "th", "cluster"):
+        df = df.withColumn(n, docs([(1, "")]).select("key").first()[0] and minhash_dedup.F.lit("own"))
+    got = minhash_dedup.deduplicate(df).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3] and {r.own_th for r in got} == {r._th for r in got} == {"own"}
+
+
 def test_odd_rows(odd):
     got = minhash_dedup.near_duplicates(odd, shingle=3, percent=85).collect()
     assert len(got) == 10
