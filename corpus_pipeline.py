@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkseries.llm import decontaminate, minhash_dedup, mixing, sharding, toxicity
-from sparkseries.llm._state import written
+from sparkseries.llm._state import discard, written
 
 SHARD_BYTES = 16 << 20
 
@@ -47,7 +47,10 @@ ORACLE_SQL = None  # the classifier of the first stage has no SQL form; tests ho
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
