@@ -54,7 +54,7 @@ def search_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarra
     x, q = x.astype(kind), q.astype(kind)
     values = np.take_along_axis(x, order, axis=0)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    low = kind(NO_BOUND) if kind is not object else 2 * NO_BOUND * NO_BOUND
+    low = kind(NO_BOUND) if kind is not object else -(1 << 200)
     bound = np.full(len(q), low) if bound is None else np.array([low if b == NO_BOUND else b for b in bound.tolist()], kind)
     active, scored = np.arange(len(q)), np.zeros(len(q), np.int64)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

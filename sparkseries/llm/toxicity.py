@@ -229,7 +229,7 @@ def label_model(v: np.ndarray, weight: np.ndarray, label: np.ndarray, rounds: in
         now = used * known if told and step == 0 else used
         joint = [_joint(v, now * x) for x in (post, 1 - post)]
         sums = [now @ post, now @ (1 - post)]
-        if step == 3:
+        if step <= 3 if told else step == 3:
             parent = correlation_tree(joint, voters)
         odds, rates = np.full(len(v), np.log((sums[0] + 1) / (sums[1] + 1))), []
         for j, n in zip(joint, sums):

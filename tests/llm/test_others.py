@@ -183,11 +183,11 @@ def test_lexicon_has_no_cap(spark, docs):
     name = lambda k: "".join("bcdfghjklm"[int(c)] for c in f"{k:03d}")
     rows, labels = [], []
     for k in range(300):
-        for j in range(8):
+        for j in range(4):
             rows.append((len(rows), f"plain words here {name(k)}zz{name(k)} and there x{j}"))
             labels.append((len(labels), 1))
     for j in range(3000):
-        rows.append((len(rows), f"plain words here and there x{j}"))
+        rows.append((len(rows), "plain words here and there " * 12 + f"x{j}"))
         labels.append((len(labels), 0))
     model = toxicity.fit(docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert len(model.entries) >= 300
