@@ -11,8 +11,8 @@ threshold is missed with a probability of about 1e-6.
 Equal sets are merged first. In a bucket every member is held against the bucket's smallest member: pairs whose signatures
 differ in more coordinates than a pair at the threshold would (``reach_for``) are dropped, the others are confirmed exactly on
 full shingle sets. Links give components. Pairs that met in a bucket, are not in one component yet and lie within that
-distance are then confirmed as well, nearest first, so that a family of copies costs about one comparison a member
-and no pair that could link components is left out.
+distance are then confirmed as well, in bounded blocks, so that a family of copies costs about one comparison a member,
+no pair that could link components is left out and no list of pairs is made.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from ._state import connected_components, counted, free_name, written
 from ._words import U, Words, mix, signed, slices
 
 WIDTH, ERRORS, BITS = 5, 1, 16
-BLOCK, LOT_ROWS, LOT_BYTES = 1024, 1024, 8 << 20  # signatures of a side in a block; pairs and bytes of a lot
+BLOCK, BLOCK_BYTES, LOT_ROWS, LOT_BYTES = 512, 16 << 20, 1024, 8 << 20  # rows and bytes of a side of a block; of a lot
 BROADCAST_NODES = 200_000  # ids and hashes of texts that are broadcast, else joined by shuffle
 
 
@@ -184,53 +184,95 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return rows.unionByName(heads).repartition("v", "lot").sortWithinPartitions("v", "lot", "lead").mapInArrow(run, "u bigint, v bigint")
 
 
-def _nearest(x: pa.Table, coordinates: int, reach: int, budget: int) -> pa.Table:
-    """Of one block: for each row of the right side and each other component the ``budget`` nearest rows of the left side."""
-    left, right = (x.filter(pa.array(x["side"].to_numpy() == s)) for s in (0, 1))
-    read = lambda t: np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, coordinates)
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two bounded lists, by matrix products over their shared elements."""
+    owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    values = [np.concatenate(x) if x else np.zeros(0, U) for x in (left, right)]
+    shared = np.intersect1d(*values)
+    out = np.zeros((len(left), len(right)), np.float32)  # counts stay exact: below 2**24
+    if len(shared):
+        at = [np.searchsorted(shared, v) for v in values]
+        inside = [shared[np.minimum(x, len(shared) - 1)] == v for x, v in zip(at, values)]
+        for low in range(0, len(shared), 4096):
+            part = []
+            for x, ok, o, n in zip(at, inside, owner, out.shape):
+                pick = ok & (x >= low) & (x < low + 4096)
+                part.append(np.zeros((n, min(4096, len(shared) - low)), np.float32))
+                part[-1][o[pick], x[pick] - low] = 1
+            out += part[0] @ part[1].T
+    return out
+
+
+def _links(t: pa.Table, coordinates: int, reach: int, percent: int) -> pa.Table:
+    """Of one block: a spanning forest of the links between rows of the two sides that are in different components."""
+    left, right = (t.filter(pa.array(t["side"].to_numpy() == s)) for s in (0, 1))
+    read = lambda x: np.frombuffer(b"".join(x["sig"].to_pylist()), np.uint16).reshape(-1, coordinates)
+    (na, ca), (nb, cb) = ([x[c].to_numpy() for c in ("node", "comp")] for x in (left, right))
     a, b = read(left), read(right)
-    (na, ca, main), (nb, cb) = [left[c].to_numpy() for c in ("node", "comp", "main")], [right[c].to_numpy() for c in ("node", "comp")]
-    us, vs, more = [], [], []
+    near = np.zeros((len(a), len(b)), bool)
     for at in range(0, len(b), 64):
-        d = (a[:, None, :] != b[None, at : at + 64, :]).sum(axis=2)
-        i, j = np.nonzero((d <= reach) & (ca[:, None] != cb[None, at : at + 64]) & (main[:, None] | (na[:, None] < nb[None, at : at + 64])))
-        order = np.lexsort((na[i], d[i, j], ca[i], j))
-        i, j = i[order], j[order]
-        new = np.append(True, (j[1:] != j[:-1]) | (ca[i][1:] != ca[i][:-1])) if len(i) else np.zeros(0, bool)
-        nth = np.arange(len(i)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(i) else i
-        keep = nth < budget
-        us.append(na[i[keep]])
-        vs.append(nb[at:][j[keep]])
-        more.append(np.full(int(keep.sum()), bool((~keep).any())))
-    us, vs, more = (np.concatenate(z) if z else np.zeros(0, t) for z, t in ((us, np.int64), (vs, np.int64), (more, bool)))
-    return pa.table({"key": pa.array(np.full(len(us), x["key"][0].as_py())), "u": pa.array(us), "v": pa.array(vs), "more": pa.array(more)})
-
-
-def remaining_pairs(members: DataFrame, nodes: DataFrame, coordinates: int, reach: int, budget: int) -> DataFrame:
-    """(key, u, v, more): pairs of different components inside the buckets ``members(key, node, comp)``.
-
-    A bucket's rows outside its largest component (the right side) meet all of its rows (the left side), block against
-    block of at most about ``BLOCK`` signatures each. ``more`` says that a block held pairs beyond the budget.
+        near[:, at : at + 64] = ((a[:, None, :] != b[None, at : at + 64, :]).sum(axis=2) <= reach) & (ca[:, None] != cb[None, at : at + 64])
+    i, j = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    out: list[tuple[int, int]] = []
+    if len(i):
+        sets = [[np.frombuffer(x["grams"][int(k)].as_py(), U) for k in rows] for x, rows in ((left, i), (right, j))]
+        size = [np.array([len(s) for s in x]) for x in sets]
+        both = _common(*sets).astype(np.int64)
+        linked = near[np.ix_(i, j)] & (100 * both >= percent * (size[0][:, None] + size[1][None, :] - both))
+        top: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while top.setdefault(x, x) != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        for x, y in zip(*np.nonzero(linked)):
+            p, q = root(int(ca[i[x]])), root(int(cb[j[y]]))
+            if p != q:
+                top[p] = q
+                out.append((int(na[i[x]]), int(nb[j[y]])))
+    return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+
+
+def remaining_links(members: DataFrame, coordinates: int, reach: int, percent: int) -> DataFrame:
+    """Links (u, v) between different components inside each group of ``members(group, node, comp, sig, grams)``.
+
+    A group's rows outside its largest component (the right side) meet all of its rows (the left side), block against
+    block; blocks are bounded in rows and bytes. Signatures are compared first and sets only of rows that have a pair within
+    ``reach``; at most one link for each pair of components leaves a block.
     """
-    each = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    of_key = each.groupBy("key").agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.max_by("comp", F.struct("n", "comp")).alias("top")).where("m > most")
-    of_key = of_key.select("key", "top", F.ceil(F.col("m") / BLOCK).cast("int").alias("bi"), F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("bj"))
-    rows = members.join(of_key, "key").join(nodes.select("node", "sig"), "node").withColumn("main", F.col("comp") == F.col("top"))
+    each = members.groupBy("group", "comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("grams")).alias("bytes"))
+    of_group = each.groupBy("group").agg(F.sum("n").alias("m"), F.sum("bytes").alias("all_bytes"), F.max(F.struct("n", "bytes", "comp")).alias("top")).where("m > top.n")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    of_group = of_group.select("group", F.col("top.comp").alias("main"), blocks(F.col("m"), F.col("all_bytes")).alias("bi"), blocks(F.col("m") - F.col("top.n"), F.col("all_bytes") - F.col("top.bytes")).alias("bj"))
+    rows = members.join(written(of_group, "groups"), "group")
     block = lambda salt, n: F.expr(f"cast(pmod(xxhash64(node, {salt}), {n}) as int)")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    names = ["key", "i", "j", "side", "node", "comp", "main", "sig"]
+    names = ["group", "i", "j", "side", "node", "comp", "sig", "grams"]
     left = rows.withColumn("side", F.lit(0)).withColumn("i", block(1, "bi")).withColumn("j", every("bj")).select(*names)
-    right = rows.where(~F.col("main")).withColumn("side", F.lit(1)).withColumn("j", block(2, "bj")).withColumn("i", every("bi")).select(*names)
-    near = lambda t: _nearest(t, coordinates, reach, budget)
-    return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(near, "key bigint, u bigint, v bigint, more boolean")
+    right = rows.where("comp <> main").withColumn("side", F.lit(1)).withColumn("j", block(2, "bj")).withColumn("i", every("bi")).select(*names)
+    return left.unionByName(right).groupBy("group", "i", "j").applyInArrow(lambda t: _links(t, coordinates, reach, percent), "u bigint, v bigint")
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, grams): the sorted shingle hashes of ``texts(node, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, w in slices(batch.column(1), lower=True):
+                grams, bounds = shingle_sets(w, b - a, shingle)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([grams[x:y].tobytes() for x, y in zip(bounds, bounds[1:])], pa.binary())], names=["node", "grams"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, grams binary")
 
 
 def linked_components(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, chunks: int, width: int, errors: int) -> DataFrame:
     """(node, component) of all nodes that a confirmed link reaches.
 
     First every member of a bucket is held against the bucket's smallest member; this joins nearly all of a family of
-    copies. What is left are pairs of other members in different components: for each member and component the nearest
-    by signature, then more, then all, until no untested pair within ``reach`` is left.
+    copies. What is left are pairs of other members in different components: buckets that still hold several components are
+    joined to groups, and inside each group all pairs of different components within ``reach`` are confirmed.
     """
     n = chunks * width
     reach = reach_for(percent / 100, n)
@@ -245,24 +287,17 @@ def linked_components(nodes: DataFrame, docs: DataFrame, id_col: str, text_col:
     texts = written(own, "texts")
     pairs = written(within(members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), nodes, n, reach), "pairs")
     links = connected_components(confirmed(pairs, texts, shingle, percent))
-    rest = members.where("node <> hub").select("key", "node")
-    keys = None
-    for budget in (4, 64, BLOCK):
-        named = rest.join(links, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-        named = named if keys is None else named.join(keys, "key", "left_semi")
-        open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        now, seen = counted(named.join(open_keys, "key", "left_semi"), "open")
-        if not seen["rows"]:
-            break
-        found, seen = counted(remaining_pairs(now, nodes, n, reach, budget), "found", more=F.max("more"))
-        if seen["rows"]:
-            more = confirmed(written(found.select("u", "v").distinct(), "pairs"), texts, shingle, percent)
-            stars = links.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-            links = connected_components(stars.unionByName(more))
-        if not seen["more"]:
-            break
-        keys = found.where("more").select("key").distinct()
-    return links
+    named = members.where("node <> hub").join(links, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    open_keys = written(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("first")).where("lo <> hi").select("key", "first"), "keys")
+    left, seen = counted(named.join(open_keys, "key"), "open")
+    if not seen["rows"]:
+        return links
+    groups = connected_components(left.select(F.col("node").alias("u"), F.col("first").alias("v")))
+    rows = left.select("node", "comp").distinct().join(groups.withColumnRenamed("component", "group"), "node").join(nodes.select("node", "sig"), "node")
+    rows = written(rows.join(_sets(texts.join(left.select("node").distinct(), "node", "left_semi"), shingle), "node"), "sets")
+    more, seen = counted(remaining_links(rows, n, reach, percent), "more")
+    stars = links.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return connected_components(stars.unionByName(more)) if seen["rows"] else links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, width: int = WIDTH, errors: int = ERRORS, chunks: int | None = None) -> DataFrame:
