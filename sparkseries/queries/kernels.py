@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..operators import kernels as K
 from ..operators import stats as A
 from ..functions.scalars import hash_split
 from . import query
-from .views import BARS_U, H, U, bars_h, bars_u
+from .views import BARS_H, BARS_U, H, TICKS, U, bars_h, bars_u, position_sql
 
 O = ["ts", "id"]
 
@@ -31,6 +33,67 @@ def wn15_ema(spark, d):
     return K.indicators(b, "k", O, "v", "i").join(b.select("k", "i", "id"), ["k", "i"]).select("k", "id", "ema_13")
 
 
+def indicator(spark, d, *cols):
+    b = bars_h(spark, d).withColumn("i", H.idx().cast("bigint"))
+    return K.indicators(b, "k", ["ts"], "c", "i").select("k", "i", *cols)
+
+
+HOURS = f"{BARS_H}, b AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts) - 1 AS i FROM bars_h), x AS (SELECT k, i, c, lag(c) OVER w AS c1, lag(c, 2) OVER w AS c2 FROM b WINDOW w AS (PARTITION BY k ORDER BY i))"
+
+
+def two_pole(period: float) -> tuple[float, float, float]:
+    """Weights of the smoother's input and of its last two outputs."""
+    r = math.exp(-math.sqrt(2) * math.pi / period)
+    b1 = 2 * r * math.cos(math.sqrt(2) * math.pi / period)
+    return 1 - b1 + r * r, b1, -r * r
+
+
+def roofing_sql(high: int, low: int) -> str:
+    """Rows (k, i, hp, hp1, y, y1, o) of the roofing filter y and the regime o that is smoothed from it."""
+    w = 0.707 * 2 * math.pi / high
+    t = 1 - (math.cos(w) + math.sin(w) - 1) / math.cos(w)
+    g, b1, b2 = two_pole(low)
+    hp = f"{((1 + t) / 2) ** 2!r} * (x.c - 2 * x.c1 + x.c2) + {2 * t!r} * s.hp - {t * t!r} * s.hp1"
+    return f"""WITH RECURSIVE {HOURS}, s(k, i, hp, hp1, y, y1, o) AS (SELECT k, i, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM x WHERE i = 0 UNION ALL
+SELECT k, i, hp, hp1, y, y1, CASE WHEN y * y + y1 * y1 > 0 THEN 0.67 * least(1, greatest(-1, y / sqrt((y * y + y1 * y1) / 2))) ELSE 0 END + 0.33 * o FROM
+(SELECT k, i, hp, hp1, CASE WHEN i < 2 THEN 0 ELSE {g!r} * (hp + hp1) / 2 + {b1!r} * y + {b2!r} * y1 END AS y, y AS y1, o FROM
+(SELECT x.k, x.i, CASE WHEN x.i < 2 THEN 0 ELSE {hp} END AS hp, s.hp AS hp1, s.y, s.y1, s.o FROM s JOIN x ON x.k = s.k AND x.i = s.i + 1)))"""
+
+
+@query(f"{roofing_sql(48, 10)} SELECT k, i, y AS roofing FROM s", "roofing")
+def h1_roofing(spark, d):
+    return indicator(spark, d, "roofing")
+
+
+@query(f"""WITH RECURSIVE {HOURS}, p AS (SELECT k, i, c, min(c) OVER w AS lo, max(c) OVER w AS hi FROM x WINDOW w AS (PARTITION BY k ORDER BY i ROWS 9 PRECEDING)),
+s(k, i, z, f) AS (SELECT k, i, 0::DOUBLE, 0::DOUBLE FROM p WHERE i = 0 UNION ALL SELECT k, i, z, CASE WHEN i < 10 THEN 0 ELSE (0.5 * ln((1 + z) / (1 - z)) + f) / 2 END FROM
+(SELECT p.k, p.i, CASE WHEN p.i < 10 THEN 0 ELSE least(0.999, greatest(-0.999, 0.33 * CASE WHEN hi > lo THEN 2 * ((p.c - lo) / (hi - lo) - 0.5) ELSE 0 END + 0.67 * s.z)) END AS z, s.f FROM s JOIN p ON p.k = s.k AND p.i = s.i + 1))
+SELECT k, i, f AS fisher, lag(f) OVER (PARTITION BY k ORDER BY i) AS fisher_signal FROM s""", "fisher fisher_signal")
+def h2_fisher(spark, d):
+    return indicator(spark, d, "fisher", "fisher_signal")
+
+
+@query(f"{roofing_sql(40, 10)} SELECT k, i, o AS ebsw FROM s", "ebsw")
+def h3_sinewave(spark, d):
+    return indicator(spark, d, "ebsw")
+
+
+@query(f"""WITH RECURSIVE {HOURS}, s(k, i, y, y1) AS (SELECT k, i, c, 0::DOUBLE FROM x WHERE i = 0 UNION ALL
+SELECT x.k, x.i, CASE WHEN x.i < 2 THEN x.c ELSE {two_pole(10)[0]!r} * (x.c + x.c1) / 2 + {two_pole(10)[1]!r} * s.y + {two_pole(10)[2]!r} * s.y1 END, s.y FROM s JOIN x ON x.k = s.k AND x.i = s.i + 1)
+SELECT s.k, s.i, y AS itrend, CASE WHEN s.i < 2 THEN y ELSE 2 * y - lag(y, 2) OVER (PARTITION BY s.k ORDER BY s.i) END AS itrend_trigger, CAST(x.c > y AS INT) AS above_itrend FROM s JOIN x ON x.k = s.k AND x.i = s.i""", "itrend itrend_trigger")
+def h4_itrend(spark, d):
+    return indicator(spark, d, "itrend", "itrend_trigger", "above_itrend")
+
+
+@query(f"""WITH {HOURS}, n(n) AS (VALUES (4), (6), (9), (13), (19)), p AS (SELECT x.k, x.i, y.c, y.i - x.i + 48 AS j FROM x JOIN x AS y ON y.k = x.k AND y.i BETWEEN x.i - 48 AND x.i - 1 WHERE x.i >= 48 AND x.i % 12 = 0),
+g AS (SELECT k, i, n, j // n AS g, j, c FROM p, n WHERE j < (48 // n) * n), m AS (SELECT *, c - avg(c) OVER (PARTITION BY k, i, n, g) AS e, stddev_samp(c) OVER (PARTITION BY k, i, n, g) AS sd FROM g),
+y AS (SELECT *, sum(e) OVER (PARTITION BY k, i, n, g ORDER BY j) AS y FROM m), r AS (SELECT k, i, n, g, (max(y) - min(y)) / max(sd) AS rs FROM y WHERE sd > 0 GROUP BY ALL), q AS (SELECT k, i, n, ln(avg(rs)) AS ly FROM r GROUP BY ALL),
+h AS (SELECT k, i, CASE WHEN count(*) < 3 THEN 0.5 ELSE least(1, greatest(0, regr_slope(ly, ln(n)))) END AS h FROM q GROUP BY k, i)
+SELECT x.k, x.i, coalesce(last_value(h.h IGNORE NULLS) OVER (PARTITION BY x.k ORDER BY x.i), 0.5) AS hurst FROM x LEFT JOIN h ON h.k = x.k AND h.i = x.i""", "hurst")
+def h5_rolling_hurst(spark, d):
+    return indicator(spark, d, "hurst")
+
+
 @query()
 def wn31_all_indicators(spark, d):
     """Window and recursive indicators together (also H1 to H5 and MACD)."""
@@ -147,7 +210,14 @@ def h16_signal_trades(spark, d):
     return K.simulate(b, "k", O, ["v", "en", "ex"], lambda a: R.signal_trades(a["v"], a["en"], a["ex"])).select("k", "entry_idx", "exit_idx", "return_pct")
 
 
-@query()
+TRADE_SQL = """SELECT k, CAST(oe AS INT) AS entry_idx, CAST(i AS INT) AS exit_idx, oev AS entry_value, xv AS exit_value, opk AS peak_value, CAST(i - oe AS INT) AS bars_held, (xv / oev - 1) * 100 AS return_pct, (opk / oev - 1) * 100 AS peak_return_pct, why AS exit_reason FROM s WHERE why IS NOT NULL"""
+TRADE_FLOATS = "entry_value exit_value peak_value return_pct peak_return_pct"
+
+
+@query(f"""{position_sql(BARS_U + """, u AS (SELECT k, i, v, max(i) OVER (PARTITION BY k) AS z, greatest(v, 1) > greatest(lag(v) OVER w, 1) AS up, h > lag(h) OVER w AS more, h < lag(h) OVER w AS less FROM bars_u WINDOW w AS (PARTITION BY k ORDER BY ts, id)),
+x AS (SELECT k, i, v, z, i >= 6 AND coalesce(bool_or(up) OVER w3, false) AND coalesce(bool_or(more) OVER w3, false) AS en, i >= 4 AND coalesce(bool_and(coalesce(less, false)) OVER w4, false) AS run FROM u WINDOW w3 AS (PARTITION BY k ORDER BY i ROWS 2 PRECEDING), w4 AS (PARTITION BY k ORDER BY i ROWS 3 PRECEDING))""",
+"WHEN fall > 60 THEN 'trailing_stop' WHEN gain < -120 THEN 'hard_stop' WHEN bars >= 10 AND gain <= 0 THEN 'time_stop' WHEN run THEN 'holder_decline' WHEN i = z THEN 'end_of_data'")}, w AS (SELECT k, i FROM x WHERE i = z)
+{TRADE_SQL} UNION ALL SELECT s.k, CAST(e AS INT), CAST(s.i AS INT), ev, ev, pk, 0, 0, 0, 'end_of_data' FROM s JOIN w ON w.k = s.k AND w.i = s.i WHERE e = s.i""", TRADE_FLOATS)
 def h17_rule_trades(spark, d):
     c = R.RuleConfig(lookback=3, min_positive=1, stop=60.0, max_hold=10, max_share_fall=1e9)
     return K.simulate(bars_u(spark, d), "k", O, ["v", "h", "vol"], lambda a: R.rule_trades(a["v"], a["h"].astype(float), a["vol"], c))
@@ -180,7 +250,9 @@ def h19_bar_trades(spark, d):
     return K.simulate(bar_inputs(spark, d), "k", ["ts"], BAR_COLS, lambda a: run_bars(a, R.BarConfig(hazard=0.6, stop=40, tight=20), hazard))
 
 
-@query()
+@query(f"""{position_sql(BARS_H + """, b AS (SELECT *, row_number() OVER w - 1 AS i, (c / nullif(lag(c, 6) OVER w, 0) - 1) * 100 AS roc, vol / nullif(avg(vol) OVER (PARTITION BY k ORDER BY ts ROWS 47 PRECEDING), 0) AS rvol FROM bars_h WINDOW w AS (PARTITION BY k ORDER BY ts)),
+x AS (SELECT k, i, c AS v, roc, n >= 3 AS good, i >= 48 AND n >= 3 AND coalesce(roc > 2 AND rvol > 1.5, false) AND c > 0 AS en FROM b)""",
+"WHEN gain >= 15 THEN 'take_profit' WHEN gain <= -8 THEN 'hard_stop' WHEN gain >= 5 AND fall >= 4 THEN 'trailing_stop' WHEN bars >= 24 THEN 'time_stop' WHEN roc < -3 THEN 'momentum_reversal' WHEN NOT good AND bars > 2 THEN 'state_exit'", 0.01)} {TRADE_SQL}""", TRADE_FLOATS)
 def h20_scalp_trades(spark, d):
     b = hours(spark, d).withColumn("good", F.col("n") >= 3)
     return K.simulate(b, "k", ["ts"], ["c", "roc", "rvol", "good"], lambda a: R.scalp_trades(a["c"], a["roc"], a["rvol"], a["good"], R.ScalpConfig()))

@@ -9,7 +9,8 @@ from ..streaming import state as S
 from ..streaming import windows as W
 from . import query
 from .sources import landing
-from .views import BARS_U, TICKS, table
+from .kernels import EPI
+from .views import BARS_U, TICKS, position_sql, table
 
 ORDER = ["ts", "id"]
 
@@ -79,14 +80,20 @@ def ss7_stream_indicators(spark, d):
     return stated(S.stream_state(ticks(spark, d).select("k", "ts", "id", "v"), "k", ORDER, S.Indicators, v="v", span=13, p=6), "ss7").select("k", "idx", "ema", "roc")
 
 
-@query()
+@query(f"""{position_sql(BARS_U + ", x AS (SELECT k, i, v, coalesce(vol > 70, false) AS en FROM bars_u)", "WHEN fall > 40 THEN 'trailing_stop' WHEN gain < -80 THEN 'hard_stop' WHEN bars >= 12 THEN 'time_stop'")}
+SELECT k, oe AS entry_idx, i AS exit_idx, oev AS entry_value, xv AS exit_value, opk AS peak_value, (xv / oev - 1) * 100 AS return_pct, why AS exit_reason FROM s WHERE why IS NOT NULL""", "entry_value exit_value peak_value return_pct")
 def ss8_stream_positions(spark, d):
     """Tests hold it to the batch simulator."""
     t = ticks(spark, d).select("k", "ts", "id", "v", (F.col("vol") > 70).alias("signal"))
     return stated(S.stream_state(t, "k", ORDER, S.Positions, v="v", signal="signal", stop=40.0, max_bars=12), "ss8")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BARS_U}, x AS (SELECT k, i, v, coalesce(vol > 70, false) AS en, CASE kind WHEN 'error' THEN 'SL_50' WHEN 'purchase' THEN 'TP_25' ELSE 'HOLD' END AS act FROM bars_u),
+s(k, i, e, ev, rest, made, oe, action, sold, remaining) AS (SELECT k, i, CASE WHEN en THEN i END, v, 1::DOUBLE, 0::DOUBLE, NULL::BIGINT, NULL::VARCHAR, 0::DOUBLE, 0::DOUBLE FROM x WHERE i = 0 UNION ALL
+SELECT k, i, CASE WHEN e IS NULL THEN CASE WHEN en THEN i END WHEN rest - cut > 0.001 THEN e END, CASE WHEN e IS NULL THEN v ELSE ev END, CASE WHEN e IS NULL THEN 1 ELSE rest - cut END, CASE WHEN e IS NULL THEN 0 ELSE made + cut * (v - ev) / greatest(ev, 1) END, e, act, cut, rest - cut FROM
+(SELECT *, CASE WHEN e IS NULL THEN 0 ELSE least(rest, CASE act WHEN 'EXIT' THEN 1 WHEN 'SL_50' THEN 0.5 WHEN 'TP_25' THEN 0.25 ELSE 0 END) END AS cut FROM
+(SELECT x.k, x.i, x.v, x.en, CASE WHEN x.i - s.e >= 12 THEN 'EXIT' ELSE x.act END AS act, s.e, s.ev, s.rest, s.made FROM s JOIN x ON x.k = s.k AND x.i = s.i + 1)))
+SELECT k, oe AS entry_idx, i AS idx, action, sold, remaining, made AS realized FROM s WHERE sold > 0""", "sold remaining realized")
 def ss9_stream_partial_positions(spark, d):
     act = F.when(F.col("kind") == "error", "SL_50").when(F.col("kind") == "purchase", "TP_25").otherwise("HOLD")
     t = ticks(spark, d).select("k", "ts", "id", "v", (F.col("vol") > 70).alias("signal"), act.alias("action"))
@@ -107,7 +114,7 @@ def ss11_stream_watchlist(spark, d):
     return W.latest(spark, f"{at}/list").select("k")
 
 
-@query()
+@query(f"""{EPI} SELECT k, de AS entry_idx, i AS exit_idx, i - de AS duration, dv AS entry_value, dp AS peak_value, dx AS exit_value FROM s WHERE done AND i - de >= 2""", "entry_value peak_value exit_value")
 def ss12_stream_episodes(spark, d):
     """Growth over two rows comes from a first stateful query, episodes from a second one on its output."""
     roc = stated(S.stream_state(ticks(spark, d).select("k", "ts", "id", "v"), "k", ORDER, S.Indicators, v="v", span=13, p=2), "ss12a")

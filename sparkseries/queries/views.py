@@ -72,3 +72,13 @@ POINTS = """points AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOU
 def secs(name: str = "ts") -> Column:
     """Whole seconds since 1970 of a time column, under the same name."""
     return F.unix_timestamp(name).alias(name)
+
+
+def position_sql(views: str, rules: str, slippage: float = 0.0) -> str:
+    """Recursive SQL for one position at a time over ``x(k, i, v, en, ...)`` of ``views``: ``s`` has for each row the position open
+    after it (e, ev, pk) and, where ``rules`` closed one, its entry, price, peak, exit value and reason (oe, oev, opk, xv, why)."""
+    return f"""WITH RECURSIVE {views}, s(k, i, e, ev, pk, oe, oev, opk, xv, why) AS (
+SELECT k, i, CASE WHEN en THEN i END, CASE WHEN en THEN v * (1 + {slippage!r}) END, CASE WHEN en THEN v END, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::VARCHAR FROM x WHERE i = 0 UNION ALL
+SELECT k, i, CASE WHEN e IS NULL THEN CASE WHEN en THEN i END WHEN why IS NULL THEN e END, CASE WHEN e IS NULL THEN CASE WHEN en THEN v * (1 + {slippage!r}) END WHEN why IS NULL THEN ev END,
+CASE WHEN e IS NULL THEN CASE WHEN en THEN v END WHEN why IS NULL THEN top END, e, ev, top, v * (1 - {slippage!r}), why FROM (SELECT *, CASE WHEN e IS NULL THEN NULL {rules} END AS why FROM
+(SELECT x.*, s.e, s.ev, greatest(s.pk, x.v) AS top, x.i - s.e AS bars, CASE WHEN s.ev > 0 THEN (x.v / s.ev - 1) * 100 ELSE 0 END AS gain, CASE WHEN greatest(s.pk, x.v) > 0 THEN (1 - x.v / greatest(s.pk, x.v)) * 100 ELSE 0 END AS fall FROM s JOIN x ON x.k = s.k AND x.i = s.i + 1)))"""

@@ -47,15 +47,6 @@ def test_matches_sql(spark, duck, name):
     assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=2e-4) if isinstance(a, float) and isinstance(b, float) else a == b for x, y in zip(got, want) for a, b in zip(x, y))
 
 
-FAST = ["h7_kalman_trend", "h11_resampled_paths", "h13_dtw_pairs", "h17_rule_trades", "h20_scalp_trades", "h21_lifecycle", "h22_signal_manager", "h24_funnel", "h25_replay_actions", "ss10_stream_risk_gate"]
-
-
-@pytest.mark.parametrize("name", FAST)
-def test_runs(spark, name):
-    df = QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
-
-
 def test_entry(spark):
     import __spark_entry__
 
