@@ -13,9 +13,13 @@ from ..functions.scalars import blend, hash_bucket
 
 
 def group_folds(df: DataFrame, key: str, n: int = 5) -> DataFrame:
-    """Adds ``fold``: whole keys, dealt in the order of their md5 (a window over keys, not rows)."""
-    keys = df.select(key).distinct()
-    dealt = keys.withColumn("fold", (F.row_number().over(Window.orderBy(F.md5(F.col(key).cast("string")), key)) - 1) % n)
+    """Adds ``fold``: whole keys, dealt in the order of their md5: numbered inside each of 4096 prefixes of the hash, from the
+    number of keys with smaller prefixes on."""
+    keys = df.select(key).distinct().withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_p", F.substring("_h", 1, 3))
+    sizes = keys.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.select(F.col("_p").alias("_q"), (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))  # at most 4097 rows
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)) - 1
+    dealt = keys.withColumn("_i", place).join(F.broadcast(before), F.col("_p").eqNullSafe(F.col("_q"))).select(key, ((F.col("_b") + F.col("_i")) % n).cast("int").alias("fold"))
     return df.join(dealt, key)
 
 

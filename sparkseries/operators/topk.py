@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch, l2_distance
+from .stats import running_total
 
 QUERY_LOT = 512
 
@@ -89,6 +90,9 @@ def scan_batch(df: DataFrame, created: str, key: str, n: int) -> DataFrame:
 
 
 def best_rank(df: DataFrame, by: str, score: str, ts: str) -> DataFrame:
-    """Best-scored row of each key with its rank among keys (the window runs over one row for each key)."""
+    """Best-scored row of each key with its rank among keys: 1 + the number of keys with a better one (nulls last)."""
     best = df.groupBy(by).agg(F.max(score).alias("best"), F.max_by(ts, F.struct(F.col(score), -epoch(ts))).alias("best_ts"))
-    return best.withColumn("rank", F.rank().over(Window.orderBy(F.desc("best"))))
+    counts = running_total(best.groupBy("best").agg(F.count("*").alias("_n")), "best", "_n", "_below")
+    total = counts.agg(F.sum("_n").alias("_all"))  # one row
+    ranks = counts.crossJoin(F.broadcast(total)).select(F.col("best").alias("_best"), (F.col("_all") - F.col("_below") - F.col("_n") + 1).cast("int").alias("rank"))
+    return best.join(ranks, F.col("best").eqNullSafe(F.col("_best"))).drop("_best")

@@ -70,7 +70,7 @@ def tk8_scan_batch(spark, d):
 def tk9_approx_knn(spark, d):
     """Approximate: no SQL; tests measure its recall against tk1."""
     p = points(spark, d)
-    return T.approx_knn(p.where("vec_id % 25 = 0"), p, "vec_id", "x", 1.2, 5, 0.5)
+    return T.approx_knn(p.where("vec_id % 25 = 0"), p, "vec_id", "x", 1.3, 5, 0.5)
 
 
 # --- clustering -------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkseries.functions.windows import Series
@@ -108,13 +109,55 @@ def test_streamed_positions_equal_batch(spark):
     assert key(batch) == key(got)
 
 
+def test_streams_carry_state_over_micro_batches(spark, tmp_path):
+    """Input in several files, one in each micro-batch: positions, partial sales and gates equal those of one batch."""
+    from sparkseries.queries.streams import ORDER, stated
+    from sparkseries.streaming import state as S
+
+    d = "/root/testdata/sf0.001"
+    from sparkseries.queries.views import ticks
+
+    act = F.when(F.col("kind") == "error", "SL_50").when(F.col("kind") == "purchase", "TP_25").otherwise("HOLD")
+    t = ticks(spark, d).select("k", "ts", "id", "v", (F.col("vol") > 70).alias("signal"), act.alias("action"), (F.col("vol") / 50).alias("roc"))
+    cuts = [r[0] for r in t.selectExpr("percentile(unix_micros(ts), array(0.2, 0.5, 0.8))").collect()][0]
+    part = sum((F.unix_micros("ts") > c).cast("int") for c in cuts)
+    for i in range(4):
+        t.where(part == i).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/cut")
+    t.coalesce(1).write.parquet(f"file://{tmp_path}/whole")
+    jobs = [(S.Positions, {"v": "v", "signal": "signal", "stop": 40.0, "max_bars": 12}), (S.PartialPositions, {"v": "v", "signal": "signal", "action": "action", "max_bars": 12, "fractions": {"SL_50": 0.5, "TP_25": 0.25, "EXIT": 1.0}}),
+            (S.Episodes, {"v": "v", "roc": "roc", "min_roc": 1.0, "max_fall": 60.0, "min_bars": 2})]
+    for kind, how in jobs:
+        found = []
+        for name in ("cut", "whole"):
+            stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/{name}")
+            found.append(sorted(tuple(r) for r in stated(S.stream_state(stream, "k", ORDER, kind, **how), "cut").collect()))
+        assert found[0] == found[1] and found[0]
+
+
+def test_global_ranks_in_ranges(spark):
+    from sparkseries.operators import ml as M
+    from sparkseries.operators import stats as A
+    from sparkseries.operators import topk as T
+
+    r = np.random.default_rng(2)
+    x = [None, None, *np.round(r.standard_normal(3000), 1).tolist(), float("inf"), -1e300]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i long, x double")
+    got = {g.i: g.rank for g in A.mean_rank(df.where("x is not null"), "x", "rank").collect()}
+    want = pd.Series(x[2:]).rank()
+    assert got == {i + 2: w for i, w in enumerate(want)}
+    best = {g.i: g["rank"] for g in T.best_rank(df.withColumn("ts", F.timestamp_seconds("i")), "i", "x", "ts").collect()}
+    assert best == {i: int(w) for i, w in enumerate(pd.Series(x).rank(method="min", ascending=False, na_option="bottom"))}
+    folds = [g.fold for g in M.group_folds(df.select("i"), "i", 7).collect()]
+    assert len(folds) == len(x) and max(folds.count(f) for f in range(7)) - min(folds.count(f) for f in range(7)) <= 1
+
+
 def test_lsh_recall(spark):
     from sparkseries.queries import load_all
 
     q, d = load_all()[0], "/root/testdata/sf0.001"
-    near = {(r.query, r.neighbour) for r in q["tk1_knn"](spark, d).where("distance <= 1.0").collect()}
+    near = {(r.query, r.neighbour) for r in q["tk1_knn"](spark, d).collect()}
     found = {(r.query, r.neighbour) for r in q["tk9_approx_knn"](spark, d).collect()}
-    assert len(near & found) >= 0.5 * len(near)
+    assert near and len(near & found) >= 0.9 * len(near)
 
 
 def test_pairwise_queries_take_all_users(spark):
