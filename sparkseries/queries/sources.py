@@ -14,9 +14,12 @@ from .views import BARS_H, REGISTRY, TICKS, TRADES, bars_h, registry, ticks, tra
 
 
 def landing(spark, name: str) -> str:
-    """A new folder below the shared one (``spark.checkpoint.dir``; a temporary one if it is unset)."""
+    """A new folder below the shared one (``spark.checkpoint.dir``; in local mode a temporary one if it is unset)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="sparkseries-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/landing/{name}-{uuid.uuid4().hex}"
