@@ -14,8 +14,10 @@ from ..operators import joins as J
 from ..operators import kernels as K
 from ..operators import stats as A
 from ..functions.scalars import hash_split
-from . import query
-from .views import BARS_H, BARS_U, H, TICKS, U, bars_h, bars_u, position_sql
+from . import ORACLE_SQL, query
+from .clean import SPLIT
+from .stats import STAT_FLOATS, STATS
+from .views import BARS_H, BARS_U, H, U, bars_h, bars_u, position_sql
 
 O = ["ts", "id"]
 
@@ -78,9 +80,12 @@ def h3_sinewave(spark, d):
     return indicator(spark, d, "ebsw")
 
 
-@query(f"""WITH RECURSIVE {HOURS}, s(k, i, y, y1) AS (SELECT k, i, c, 0::DOUBLE FROM x WHERE i = 0 UNION ALL
+ITREND = f"""WITH RECURSIVE {HOURS}, s(k, i, y, y1) AS (SELECT k, i, c, 0::DOUBLE FROM x WHERE i = 0 UNION ALL
 SELECT x.k, x.i, CASE WHEN x.i < 2 THEN x.c ELSE {two_pole(10)[0]!r} * (x.c + x.c1) / 2 + {two_pole(10)[1]!r} * s.y + {two_pole(10)[2]!r} * s.y1 END, s.y FROM s JOIN x ON x.k = s.k AND x.i = s.i + 1)
-SELECT s.k, s.i, y AS itrend, CASE WHEN s.i < 2 THEN y ELSE 2 * y - lag(y, 2) OVER (PARTITION BY s.k ORDER BY s.i) END AS itrend_trigger, CAST(x.c > y AS INT) AS above_itrend FROM s JOIN x ON x.k = s.k AND x.i = s.i""", "itrend itrend_trigger")
+SELECT s.k, s.i, y AS itrend, CASE WHEN s.i < 2 THEN y ELSE 2 * y - lag(y, 2) OVER (PARTITION BY s.k ORDER BY s.i) END AS itrend_trigger, CAST(x.c > y AS INT) AS above_itrend FROM s JOIN x ON x.k = s.k AND x.i = s.i"""
+
+
+@query(ITREND, "itrend itrend_trigger")
 def h4_itrend(spark, d):
     return indicator(spark, d, "itrend", "itrend_trigger", "above_itrend")
 
@@ -94,7 +99,13 @@ def h5_rolling_hurst(spark, d):
     return indicator(spark, d, "hurst")
 
 
-@query()
+@query(f"""SELECT * FROM (WITH RECURSIVE {HOURS}, s(k, i, fast, slow, line) AS (SELECT k, i, c, c, 0::DOUBLE FROM x WHERE i = 0 UNION ALL
+SELECT k, i, fast, slow, line + (fast - slow - line) * (2.0 / 6) FROM (SELECT x.k, x.i, s.fast + (x.c - s.fast) * (2.0 / 7) AS fast, s.slow + (x.c - s.slow) * (2.0 / 14) AS slow, s.line FROM s JOIN x ON x.k = s.k AND x.i = s.i + 1))
+SELECT k, i, slow AS ema_13, fast - slow AS macd, line AS macd_signal, fast - slow - line AS macd_hist, coalesce(fast - slow - line - lag(fast - slow - line) OVER (PARTITION BY k ORDER BY i), 0) AS macd_slope FROM s) JOIN
+(WITH {HOURS} SELECT k, i, (c / nullif(lag(c, 6) OVER w, 0) - 1) * 100 AS roc, vol / nullif(avg(vol) OVER (PARTITION BY k ORDER BY i ROWS 47 PRECEDING), 0) AS rvol,
+coalesce(c / nullif(lag(c, 6) OVER w, 0) - lag(c, 3) OVER w / nullif(lag(c, 9) OVER w, 0), 0) * 100 AS accel, sum(buy - sell) OVER w6 / nullif(sum(buy + sell) OVER w6, 0) AS ofi, sum(buy) OVER w6 / nullif(sum(sell) OVER w6, 0) AS bs_ratio
+FROM b WINDOW w AS (PARTITION BY k ORDER BY i), w6 AS (PARTITION BY k ORDER BY i ROWS 5 PRECEDING)) USING (k, i) {' '.join(f'JOIN ({ORACLE_SQL[n]}) USING (k, i)' for n in ('h1_roofing', 'h2_fisher', 'h3_sinewave', 'h4_itrend', 'h5_rolling_hurst'))}""",
+"ema_13 macd macd_signal macd_hist macd_slope roc rvol accel ofi bs_ratio")
 def wn31_all_indicators(spark, d):
     """Window and recursive indicators together (also H1 to H5 and MACD)."""
     b = hours(spark, d)
@@ -137,9 +148,13 @@ def h10_pooled_hmm(spark, d):
     return growth(spark, d).select("k", "i", "growth")
 
 
-@query()
+@query(f"""WITH {BARS_U}, p AS (SELECT k, i, ln(1 + v) AS lv, h::DOUBLE AS h FROM bars_u), e AS (SELECT *, sqrt((lv - lag(lv) OVER w) ** 2 + (h - lag(h) OVER w) ** 2) AS step FROM p WINDOW w AS (PARTITION BY k ORDER BY i)),
+g AS (SELECT k, i, lv, h, coalesce(sum(step) OVER w, 0) AS arc, lead(lv) OVER w AS lv1, lead(h) OVER w AS h1, lead(step) OVER w AS step1 FROM e WINDOW w AS (PARTITION BY k ORDER BY i)),
+q AS (SELECT k, j, z * j / 15 AS arc FROM (SELECT k, max(arc) AS z FROM g GROUP BY k), (SELECT unnest(range(16)) AS j))
+SELECT q.k, CAST(j AS INT) AS j, g.lv + coalesce(least(1, (q.arc - g.arc) / nullif(step1, 0)) * (lv1 - g.lv), 0) AS lv, g.h + coalesce(least(1, (q.arc - g.arc) / nullif(step1, 0)) * (h1 - g.h), 0) AS h FROM q ASOF JOIN g ON g.k = q.k AND g.arc <= q.arc""", "lv h")
 def h11_resampled_paths(spark, d):
-    return K.resampled(bars_u(spark, d).withColumn("lv", F.log1p("v")), "k", O, ["lv", "h"], 16).select("k", F.size("path").alias("n"), F.col("path")[0][0].alias("first"), F.col("path")[15][0].alias("last"))
+    p = K.resampled(bars_u(spark, d).withColumn("lv", F.log1p("v")), "k", O, ["lv", "h"], 16)
+    return p.select("k", F.posexplode("path").alias("j", "p")).select("k", "j", F.col("p")[0].alias("lv"), F.col("p")[1].alias("h"))
 
 
 @query(f"""WITH {BARS_U}, g AS (SELECT k, i, v / 100 AS v, i / (max(i) OVER (PARTITION BY k))::DOUBLE AS t FROM bars_u), e AS (SELECT k, i, t - lag(t) OVER w AS dt, v - lag(v) OVER w AS dv, lag(t) OVER w - first(t) OVER w AS pt, lag(v) OVER w - first(v) OVER w AS pv FROM g WINDOW w AS (PARTITION BY k ORDER BY i))
@@ -150,22 +165,39 @@ def h12_signature(spark, d):
     return s.select("k", F.col("sig")[0].alias("s1"), F.col("sig")[1].alias("s2"), F.col("sig")[3].alias("s12"), F.col("sig")[4].alias("s21"))
 
 
-@query()
+@query(f"""WITH {BARS_U}, p AS (SELECT k, i, unnest([0, 1, 2]) AS a, unnest([i::DOUBLE, v / 100, h::DOUBLE]) AS x FROM bars_u), e AS (SELECT k, i, a, x - lag(x) OVER w AS e, lag(x) OVER w - first(x) OVER w AS s FROM p WINDOW w AS (PARTITION BY k, a ORDER BY i)),
+d AS (SELECT a.k, a.i, a.a, b.a AS b, a.s, a.e AS ea, b.e AS eb, sum(a.s * b.e + a.e * b.e / 2) OVER (PARTITION BY a.k, a.a, b.a ORDER BY a.i) AS s2 FROM e AS a JOIN e AS b ON b.k = a.k AND b.i = a.i WHERE a.i > 0),
+l AS (SELECT *, coalesce(lag(s2) OVER (PARTITION BY k, a, b ORDER BY i), 0) AS was FROM d), t AS (SELECT l.k, l.i, l.a, l.b, c.a AS c, sum(was * c.e + l.s * eb * c.e / 2 + ea * eb * c.e / 6) OVER (PARTITION BY l.k, l.a, l.b, c.a ORDER BY l.i) AS s3 FROM l JOIN e AS c ON c.k = l.k AND c.i = l.i),
+u AS (SELECT k, i, s + e AS s, (a = 0)::INT AS n FROM e WHERE i > 0 UNION ALL SELECT k, i, s2, (a = 0)::INT + (b = 0)::INT FROM d UNION ALL SELECT k, i, s3, (a = 0)::INT + (b = 0)::INT + (c = 0)::INT FROM t)
+SELECT k, CAST(i + 1 AS INT) AS len, ln(1 + sum((s / i ** n) ** 2)) AS energy FROM u WHERE i > 1 GROUP BY k, i""", "energy")
 def h12_prefix_signatures(spark, d):
+    """Logarithm of the squared norm of each prefix's signature (its values reach from 1e-3 to 1e9)."""
     s = K.prefix_signatures(bars_u(spark, d).withColumn("v", F.col("v") / 100), "k", O, ["v", "h"])
-    return s.select("k", "len", F.aggregate("sig", F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
+    return s.select("k", "len", F.aggregate("sig", F.lit(0.0), lambda a, x: a + x * x).alias("energy")).withColumn("energy", F.log1p("energy"))
 
 
 def short_paths(spark, d):
     return K.resampled(bars_u(spark, d).withColumn("lv", F.log1p("v")), "k", O, ["lv"], 8, "linear")
 
 
-@query()
+def dtw_sql(name: str, points: str, n: int) -> str:
+    """Recursive table ``name``(a, b, r, d): after row r of the warping table of two lists of n numbers, d has its row after a cell at the edge."""
+    return f"""{name}(a, b, r, d) AS (SELECT x.k, y.k, 0, list_prepend(0::DOUBLE, list_transform(range({n}), lambda j: 'inf'::DOUBLE)) FROM {points} AS x JOIN {points} AS y ON y.k > x.k UNION ALL
+SELECT s.a, s.b, s.r + 1, list_reduce(list_prepend(['inf'::DOUBLE], list_transform(range(1, {n + 1}), lambda j: [abs(x.p[s.r + 1] - y.p[j]), s.d[j], s.d[j + 1]])), lambda row, c: list_append(row, c[1] + least(c[2], c[3], row[len(row)])))
+FROM {name} AS s JOIN {points} AS x ON x.k = s.a JOIN {points} AS y ON y.k = s.b WHERE s.r < {n})"""
+
+
+PATHS = f"""{BARS_U}, g AS (SELECT k, list(ln(1 + v) ORDER BY i) AS l FROM bars_u GROUP BY k), p AS (SELECT k, list_transform(range(8), lambda j: l[floor((len(l) - 1) * j / 7)::INT + 1] * (1 - ((len(l) - 1) * j / 7 - floor((len(l) - 1) * j / 7))) + coalesce(l[floor((len(l) - 1) * j / 7)::INT + 2], 0) * ((len(l) - 1) * j / 7 - floor((len(l) - 1) * j / 7))) AS p FROM g),
+o AS (SELECT k, list_transform(range(1, 8), lambda j: p[j + 1] - p[j]) AS p FROM p)"""
+
+
+@query(f"WITH RECURSIVE {PATHS}, {dtw_sql('s', 'p', 8)} SELECT a, b, d[9] AS distance FROM s WHERE r = 8", "distance")
 def h13_dtw_pairs(spark, d):
     return K.pairwise(short_paths(spark, d), "k", "path")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PATHS}, {dtw_sql('s', 'p', 8)}, {dtw_sql('u', 'o', 7)}, f AS (SELECT s.a, s.b, 0.5 * s.d[9] / 16 + 0.5 * u.d[8] / 14 AS f FROM s JOIN u ON u.a = s.a AND u.b = s.b AND u.r = 7 WHERE s.r = 8),
+m AS (SELECT a, CAST(b % 3 AS INT) AS label, avg(f) AS m FROM (SELECT a, b, f FROM f UNION ALL SELECT b, a, f FROM f) GROUP BY ALL) SELECT a AS k, first(label ORDER BY m, label) AS nearest, min(m) AS mean_distance FROM m GROUP BY a""", "mean_distance")
 def jn17_pairwise(spark, d):
     """All pairs under the blended shape distance, in blocks, and each key's nearest class."""
     pairs = K.pairwise(short_paths(spark, d), "k", "path", "shape", block=16)
@@ -241,7 +273,20 @@ def run_bars(a, c, hazard=None):
     return R.bar_trades(a["c"], {n: a[n] for n in BAR_COLS[1:]}, hazard, c)
 
 
-@query()
+HAZARD = f"""{EPI}, z AS (SELECT k, max(i) AS i FROM x GROUP BY k), d AS (SELECT i - de AS duration, 1 AS o FROM s WHERE done UNION ALL SELECT s.i - e, 0 FROM s JOIN z ON z.k = s.k AND z.i = s.i WHERE e < s.i),
+g AS (SELECT duration, sum(o) AS n, count(*) AS c FROM d GROUP BY duration), r AS (SELECT duration, n / sum(c) OVER (ORDER BY duration DESC) AS hazard FROM g)
+SELECT list(coalesce(hazard, 0) ORDER BY j) AS hz FROM (SELECT unnest(range(max(duration) + 1)) AS j FROM r) LEFT JOIN r ON r.duration = j"""
+BAR_ROWS = f"""{BARS_H}, w AS (SELECT k, row_number() OVER w - 1 AS i, c, (c / nullif(lag(c, 6) OVER w, 0) - 1) * 100 AS roc, vol / nullif(avg(vol) OVER (PARTITION BY k ORDER BY ts ROWS 47 PRECEDING), 0) AS rvol,
+coalesce(c / nullif(lag(c, 6) OVER w, 0) - lag(c, 3) OVER w / nullif(lag(c, 9) OVER w, 0), 0) * 100 AS accel FROM bars_h WINDOW w AS (PARTITION BY k ORDER BY ts)), dev AS (SELECT k, stddev_samp(roc) AS sr, stddev_samp(accel) AS sa FROM w GROUP BY k),
+q AS (SELECT w.*, roc IS NOT NULL AND coalesce(sr > 0, false) AS has_r, coalesce(sa > 0, false) AS has_a, greatest(-1, least(1, roc / sr)) AS qr, greatest(-1, least(1, accel / sa)) AS qa FROM w JOIN dev USING (k)),
+wave AS ({roofing_sql(40, 10)} SELECT k, i, o FROM s), trend AS ({ITREND}), y AS (SELECT q.k, q.i, q.c AS v, q.roc, q.rvol, q.accel, NOT coalesce(wave.o < 0, false) AND trend.above_itrend <> 0 AND q.accel > 0 AND q.i >= 20 AND coalesce(lag(q.roc) OVER (PARTITION BY q.k ORDER BY q.i) > 0, false) AS ok, max(q.i) OVER (PARTITION BY q.k) AS z,
+coalesce((CASE WHEN has_r THEN qr ELSE 0 END + CASE WHEN has_a THEN qa ELSE 0 END) / nullif(has_r::INT + has_a::INT, 0) < -0.5, false) AS tighten FROM q JOIN wave USING (k, i) JOIN trend USING (k, i))"""
+BAR_RULES = "WHEN tighten AND bars >= 3 AND fall > tight THEN 'trailing_stop_tight' WHEN NOT tighten AND bars >= 3 AND fall > stop THEN 'trailing_stop' WHEN gain < -2 * stop THEN 'hard_stop' WHEN bars >= 3 AND roc < -2 * least_roc THEN 'momentum_collapse' WHEN i = z THEN 'end_of_data'"
+OPEN_AT_END = "SELECT s.k, CAST(e AS INT), CAST(s.i AS INT), ev, ev, pk, 0, 0, 0, 'end_of_data' FROM s JOIN x ON x.k = s.k AND x.i = s.i WHERE e = s.i AND s.i = x.z"
+
+
+@query(f"""{position_sql(BAR_ROWS + f", hz AS ({HAZARD}), x AS (SELECT y.*, 40 AS stop, 20 AS tight, 3 AS least_roc, hz, ok AND coalesce(roc > 3 AND rvol > 1.2, false) AS en FROM y, hz)",
+"WHEN bars >= 3 AND hz[least(bars, len(hz) - 1) + 1] > 0.6 * CASE WHEN gain > 5 THEN 1.5 WHEN gain < -3 THEN 0.7 ELSE 1 END THEN 'hazard' " + BAR_RULES)} {TRADE_SQL} UNION ALL {OPEN_AT_END}""", TRADE_FLOATS)
 def h19_bar_trades(spark, d):
     """Indicator strategy with the hazard of a survival curve of earlier episodes."""
     curve = A.kaplan_meier(all_episodes(spark, d)).orderBy("duration").toPandas()  # a row for each distinct duration
@@ -258,7 +303,26 @@ def h20_scalp_trades(spark, d):
     return K.simulate(b, "k", ["ts"], ["c", "roc", "rvol", "good"], lambda a: R.scalp_trades(a["c"], a["roc"], a["rvol"], a["good"], R.ScalpConfig()))
 
 
-@query()
+W = "WINDOW w AS (PARTITION BY k ORDER BY i)"
+LIFE = f"""WITH RECURSIVE {BARS_U}, w AS (SELECT *, coalesce(coalesce(vol / nullif(avg(vol) OVER (PARTITION BY k ORDER BY i ROWS 23 PRECEDING), 0), 0) < 0.5, false) AS dry, coalesce(h / nullif(lag(h, 3) OVER w, 0) - 1, NULL) AS h3, v / nullif(max(v) OVER w, 0) - 1 AS dd FROM bars_u {W}),
+g AS (SELECT *, sum(CASE WHEN dry THEN 0 ELSE 1 END) OVER w AS isle FROM w {W}), x AS (SELECT k, i, v, first(v) OVER w AS p, max(i) OVER (PARTITION BY k) AS z, last_value(v) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS vz,
+least(24, sum(CASE WHEN dry THEN 1 ELSE 0 END) OVER (PARTITION BY k, isle ORDER BY i)) AS dry, CASE WHEN i >= 11 THEN coalesce(avg(vol) OVER (PARTITION BY k ORDER BY i ROWS 5 PRECEDING) / nullif(avg(vol) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 11 PRECEDING AND 6 PRECEDING), 0) - 1, 0) ELSE 0 END AS vt,
+coalesce(h / nullif(lag(h, 6) OVER w, 0) - 1, 0) AS ht, coalesce(h3 - lag(h3, 3) OVER w, 0) AS ha, coalesce(v / nullif(lag(v, 4) OVER w, 0) - 1, 0) AS r4, coalesce(v / nullif(lag(v, 12) OVER w, 0) - 1, 0) AS r12, least(1, -dd) AS sp,
+v / nullif(coalesce(sum(v * vol) OVER w12 / nullif(sum(vol) OVER w12, 0), v), 0) - 1 AS gap FROM g {W}, w12 AS (PARTITION BY k ORDER BY i ROWS 11 PRECEDING)),
+s(k, i, rest, made, n, pk, best) AS (SELECT k, i, 1::DOUBLE, 0::DOUBLE, 0, v, 0::DOUBLE FROM x WHERE i = 0 UNION ALL SELECT k, i, rest - cut, made + cut * gain * 0.97, n + (cut > 0)::INT, pk, best FROM (SELECT k, i, gain, rest, made, n, pk, best, CASE WHEN rest <= 0.001 THEN 0 ELSE least(rest,
+CASE WHEN v < 30 THEN CASE WHEN off < -0.8 AND dry >= 12 OR dry >= 20 AND vt < 0.3 AND r12 < -0.15 THEN 1 ELSE 0 END
+WHEN v < 100 THEN CASE WHEN off < -0.7 AND dry >= 6 OR dry >= 30 THEN 1 WHEN dry >= 15 AND vt < 0.5 THEN 0.35 WHEN dry >= 8 THEN 0.2 WHEN abs(ht) < 0.001 AND (gain > 0.8 OR gain > 0.4 AND r4 < -0.03 AND gap < -0.05) THEN 0.15 ELSE 0 END
+WHEN off < -0.7 AND ht <= 0 OR dry >= 24 THEN 1 WHEN dry >= 12 AND vt < 0.5 THEN 0.4 WHEN dry >= 6 THEN 0.25 WHEN best >= 5 AND off < -0.35 AND sp >= 0.35 THEN 0.4 WHEN best >= 2 AND off < -0.45 AND sp >= 0.35 THEN 0.3
+WHEN gain > 0.8 AND ha < -0.003 AND r4 < -0.02 AND gap < -0.03 OR abs(ht) < 0.001 AND gain > 0.5 THEN 0.2 ELSE 0 END) END AS cut
+FROM (SELECT *, CASE WHEN pk > 0 THEN v / pk - 1 ELSE 0 END AS off, greatest(was, gain) AS best FROM (SELECT x.*, s.rest, s.made, s.n, s.best AS was, greatest(s.pk, x.v) AS pk, (x.v - x.p) / greatest(x.p, 1) AS gain FROM s JOIN x ON x.k = s.k AND x.i = s.i + 1)))),
+lad AS (SELECT k, i, z, gain, max(gain) OVER b AS hi, min(gain) OVER b AS lo FROM (SELECT *, (v - p) / greatest(p, 1) AS gain FROM x) WINDOW b AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+step AS (SELECT k, gain, f.part, row_number() OVER (PARTITION BY k ORDER BY i, up DESC, abs(f.edge)) AS o FROM lad JOIN (VALUES (0.3, 0.15, 1), (0.8, 0.2, 1), (2.0, 0.2, 1), (5.0, 0.2, 1), (10.0, 0.15, 1), (-0.15, 0.3, 0), (-0.3, 0.3, 0), (-0.5, 1.0, 0)) AS f(edge, part, up)
+ON CASE WHEN up = 1 THEN gain >= f.edge AND coalesce(hi < f.edge, true) ELSE gain <= f.edge AND coalesce(lo > f.edge, true) END), sold AS (SELECT k, gain, greatest(0, least(part, 1 - coalesce(sum(part) OVER (PARTITION BY k ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::DOUBLE AS cut FROM step),
+lsum AS (SELECT k, sum(cut * gain) AS made, 1 - sum(cut) AS rest FROM sold GROUP BY k)"""
+
+
+@query(f"""{LIFE} SELECT x.k, s.made + CASE WHEN s.rest > 0.001 THEN s.rest * (x.v - p) / greatest(p, 1) * 0.97 ELSE 0 END AS lifecycle, n AS n_sales, (coalesce(lsum.made, 0) + coalesce(lsum.rest, 1) * (x.v - p) / greatest(p, 1)) * 0.97 AS ladder, x.v * 0.97 / (p * 1.03) - 1 AS hold
+FROM s JOIN x ON x.k = s.k AND x.i = s.i AND x.i = x.z LEFT JOIN lsum ON lsum.k = x.k""", "lifecycle ladder hold")
 def h21_lifecycle(spark, d):
     """Phase exits, fixed ladder and buy-and-hold of each user's series."""
     s = X.life_signals(bars_u(spark, d), U, "v", "vol", "h").withColumns({"roc_4": U.roc("v", 4, head=0.0), "roc_12": U.roc("v", 12, head=0.0), "declining": F.col("dry_rows").cast("double"), "pressure": F.least(F.lit(1.0), -F.col("drawdown"))}).withColumnRenamed("holder_accel", "ha")
@@ -273,7 +337,21 @@ def h21_buy_and_hold(spark, d):
     return K.partial_returns(bars_u(spark, d), "k", O, ["v"], lambda a: R.buy_and_hold(a["v"], 3.0)).select("k", "ret")
 
 
-@query()
+def managed_sql(cuts: str) -> str:
+    """Recursive SQL for a position that row by row sells the part that ``cuts`` names; ``s`` has what is left, the return and the number of sales."""
+    return f"""WITH RECURSIVE {BARS_U}, w AS (SELECT k, i, v, first(v) OVER w AS p, max(i) OVER (PARTITION BY k) AS z, (v / nullif(avg(v) OVER (PARTITION BY k ORDER BY i ROWS 11 PRECEDING), 0) - 1) / 5 AS sg FROM bars_u {W}),
+g AS (SELECT *, CASE WHEN i > 12 THEN lag(sg) OVER w ELSE 0 END AS pv, i >= 12 AND coalesce(sg < -0.03, false) AS bear FROM w {W}), x AS (SELECT *, (v - p) / greatest(p, 1) AS gain, bear AND coalesce(lag(bear) OVER w AND lag(bear, 2) OVER w, false) AS long FROM g {W}),
+s(k, i, rest, made, n) AS (SELECT k, i, 1::DOUBLE, 0::DOUBLE, 0 FROM x WHERE i = 0 UNION ALL SELECT k, i, rest - cut, made + cut * gain * 0.97, n + (cut > 0)::INT FROM
+(SELECT x.k, x.i, x.gain, s.rest, s.made, s.n, CASE WHEN x.i < 12 OR s.rest <= 0.001 THEN 0 ELSE least(s.rest, {cuts}) END AS cut FROM s JOIN x ON x.k = s.k AND x.i = s.i + 1))
+SELECT x.k, made + CASE WHEN rest > 0.001 THEN rest * gain * 0.97 ELSE 0 END AS ret, n AS n_sales FROM s JOIN x ON x.k = s.k AND x.i = s.i AND x.i = x.z"""
+
+
+MANAGED_1 = "CASE WHEN sg < -0.1 THEN 1 WHEN sg < -0.03 AND gain < -0.1 THEN 0.5 WHEN gain > 0.3 AND sg < 0.02 AND pv > 0.05 THEN 0.25 WHEN gain > 1 AND sg < pv * 0.5 AND sg < 0.05 THEN 0.3 ELSE 0 END"
+MANAGED_2 = """CASE WHEN v < 10 THEN 0 WHEN v < 40 THEN CASE WHEN gain < -0.5 THEN 1 ELSE 0 END WHEN v < 90 THEN CASE WHEN long AND sg < -0.05 THEN 0.3 WHEN gain > 0.5 AND sg < 0.01 AND pv > 0.05 THEN 0.2 ELSE 0 END
+WHEN long AND sg < -0.08 THEN 0.5 WHEN long AND sg < -0.03 THEN 0.25 WHEN gain > 1 AND sg < 0.02 AND pv > 0.05 THEN 0.25 WHEN gain > 3 AND sg < pv * 0.3 THEN 0.35 ELSE 0 END"""
+
+
+@query(f"SELECT a.k, a.ret AS v1, a.n_sales, b.ret AS v2 FROM ({managed_sql(MANAGED_1)}) AS a JOIN ({managed_sql(MANAGED_2)}) AS b ON b.k = a.k", "v1 v2")
 def h22_signal_manager(spark, d):
     b = bars_u(spark, d).withColumn("sig", U.ma_deviation("v", 12) / 5)
     one = K.partial_returns(b, "k", O, ["v", "sig"], lambda a: R.signal_manager(a["v"], a["sig"], 1)).withColumnRenamed("ret", "v1")
@@ -288,25 +366,59 @@ def entries(spark, d):
     return t.withColumns({"peak": F.coalesce(e.is_local_peak("v", 3), F.lit(False)), "best": e.future_extreme("v", None), "near_low": e.future_extreme("v", 6, "min")})
 
 
-@query()
+def actions_sql(cases: str) -> str:
+    """Recursive SQL of the hindsight actions: ``s`` has for each row after an entry its gain, action and the share left before and after it."""
+    return f"""WITH RECURSIVE {BARS_U}, t AS (SELECT e.k || ':' || e.i AS entry_id, b.i - e.i AS tick, b.v FROM bars_u AS e JOIN bars_u AS b ON b.k = e.k AND b.i BETWEEN e.i AND e.i + 23 WHERE e.v >= 60),
+y AS (SELECT *, first(v) OVER w AS p, count(*) OVER a AS n, max(v) OVER f AS best, min(v) OVER (PARTITION BY entry_id ORDER BY tick ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS low, coalesce(count(v) OVER n3 = 3 AND v >= max(v) OVER n3, false) AS peak
+FROM t WINDOW w AS (PARTITION BY entry_id ORDER BY tick), a AS (PARTITION BY entry_id), f AS (PARTITION BY entry_id ORDER BY tick ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), n3 AS (PARTITION BY entry_id ORDER BY tick ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
+x AS (SELECT entry_id, tick, v, n, (v - p) / greatest(p, 1) AS gain, (best - v) / greatest(v, 1) AS up, (low - v) / greatest(v, 1) AS dip, peak FROM y),
+s(entry_id, tick, gain, action, before, after) AS (SELECT entry_id, -1::BIGINT, 0::DOUBLE, '', 1::DOUBLE, 1::DOUBLE FROM x WHERE tick = 0 UNION ALL
+SELECT entry_id, tick, gain, action, before, before - least(before, CASE WHEN action IN ('TP_100', 'EXIT') THEN 1 WHEN action IN ('TP_50', 'SL_50') THEN 0.5 WHEN action IN ('TP_25', 'SL_25') THEN 0.25 ELSE 0 END) FROM
+(SELECT x.entry_id, x.tick, x.gain, CASE WHEN s.after > 0.01 THEN s.after ELSE 0 END AS before, CASE WHEN s.after <= 0.01 THEN 'HOLD' {cases} ELSE 'HOLD' END AS action FROM s JOIN x ON x.entry_id = s.entry_id AND x.tick = s.tick + 1))"""
+
+
+CUTS = "WHEN gain < -0.2 AND up < 0.05 THEN CASE WHEN after > 0.5 THEN 'SL_50' ELSE 'EXIT' END WHEN gain < -0.15 AND up < 0.03 AND dip < -0.05 THEN 'SL_25'"
+AT_PEAK = "WHEN peak AND gain > 1.5 AND up < 0.2 THEN CASE WHEN after > 0.5 THEN 'TP_50' ELSE 'TP_100' END"
+BY_WINDOW = f"""WHEN x.tick >= n - 2 THEN CASE WHEN x.gain > 0.1 THEN 'TP_100' ELSE 'EXIT' END WHEN x.gain < -0.3 AND up < 0.1 THEN 'EXIT' {CUTS.replace('gain', 'x.gain')} {AT_PEAK.replace('gain', 'x.gain')}
+WHEN peak AND x.gain > 0.5 AND dip < -0.2 THEN CASE WHEN after > 0.5 THEN 'TP_50' ELSE 'TP_25' END WHEN peak AND x.gain > 0.2 AND dip < -0.15 THEN 'TP_25'"""
+BY_TICK = f"""WHEN x.tick = n - 1 THEN 'HOLD' WHEN x.gain < -0.35 THEN 'EXIT' {AT_PEAK.replace('gain', 'x.gain')} WHEN peak AND x.gain > 0.8 AND dip < -0.15 THEN CASE WHEN after > 0.5 THEN 'TP_50' ELSE 'TP_25' END WHEN peak AND x.gain > 0.3 AND dip < -0.15 THEN 'TP_25'
+WHEN x.gain > 1 AND dip < -0.25 THEN CASE WHEN after > 0.5 THEN 'TP_50' ELSE 'TP_100' END WHEN x.gain > 0.5 AND dip < -0.3 AND up < 0.3 THEN 'TP_25' WHEN x.gain < -0.25 AND up < 0.1 THEN 'EXIT' {CUTS.replace('gain', 'x.gain')}"""
+ACTIONS = "SELECT entry_id, CAST(tick AS INT) AS tick, action, before, after FROM s WHERE tick >= 0"
+
+
+@query(f"{actions_sql(BY_TICK)} {ACTIONS}", "before after")
+def h23_tick_actions(spark, d):
+    """The second rule set: a hard stop, and profits taken off the peak too."""
+    return K.label_actions(entries(spark, d), "entry_id", ["tick"], "v", "peak", "best", "near_low", "tick")
+
+
+@query(f"{actions_sql(BY_WINDOW)} {ACTIONS}", "before after")
 def h23_label_actions(spark, d):
     return K.label_actions(entries(spark, d), "entry_id", ["tick"], "v", "peak", "best", "near_low")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BARS_U}, w AS (SELECT k, i, v, coalesce(v / nullif(lag(v, 4) OVER w, 0) - 1 >= 0.2, false) AND least(vol / 100, 1) >= 0.5 AS cand, CASE WHEN v / nullif(max(v) OVER w, 0) - 1 < -0.5 THEN 'SL_25' ELSE 'HOLD' END AS act FROM bars_u {W}),
+f(k, i, hit, free) AS (SELECT k, i, cand, CASE WHEN cand THEN i + 12 ELSE 0 END FROM w WHERE i = 0 UNION ALL SELECT w.k, w.i, w.cand AND w.i >= f.free, CASE WHEN w.cand AND w.i >= f.free THEN w.i + 12 ELSE f.free END FROM f JOIN w ON w.k = f.k AND w.i = f.i + 1),
+x AS (SELECT f.k, f.i AS e, w.i - f.i AS tick, w.v, first(w.v) OVER w AS p, lag(w.v) OVER w AS v1, max(w.i - f.i) OVER (PARTITION BY f.k, f.i) AS z, w.act FROM f JOIN w ON w.k = f.k AND w.i BETWEEN f.i AND f.i + 47 WHERE hit WINDOW w AS (PARTITION BY f.k, f.i ORDER BY w.i)),
+s(k, e, tick, rest, made, peak, held) AS (SELECT k, e, -1::BIGINT, 1::DOUBLE, 0::DOUBLE, v, NULL::BIGINT FROM x WHERE tick = 0 UNION ALL
+SELECT k, e, tick, rest - cut, made + cut * gain * CASE WHEN rug THEN 1 ELSE 0.97 END, peak, CASE WHEN rug THEN tick WHEN rest - cut <= 0.01 THEN tick + 1 END FROM (SELECT *, CASE WHEN rug THEN rest ELSE least(rest, CASE WHEN gain < -0.35 THEN 1 WHEN act = 'SL_25' OR gain > 1 AND rest > 0.25 THEN 0.25 ELSE 0 END) END AS cut FROM
+(SELECT x.*, s.rest, s.made, greatest(s.peak, x.v) AS peak, (x.v - x.p) / greatest(x.p, 1) AS gain, coalesce((x.v - x.v1) / greatest(x.v1, 1) < -0.5, false) AS rug FROM s JOIN x ON x.k = s.k AND x.e = s.e AND x.tick = s.tick + 1 WHERE s.held IS NULL)))
+SELECT s.k, CAST(s.e AS INT) AS entry_idx, made + CASE WHEN rest > 0.01 THEN rest * (v - p) / greatest(p, 1) * 0.97 ELSE 0 END AS ret, CAST(coalesce(held, x.z + 1) AS INT) AS held, (peak - p) / greatest(p, 1) AS best FROM s JOIN x ON x.k = s.k AND x.e = s.e AND x.tick = s.tick WHERE held IS NOT NULL OR s.tick = x.z""", "ret best")
 def h24_funnel(spark, d):
     b = bars_u(spark, d).withColumns({"cand": F.coalesce(U.roc("v", 4) >= 0.2, F.lit(False)), "score": F.least(F.col("vol") / 100, F.lit(1.0)), "act": F.when(U.drawdown("v") < -0.5, "SL_25").otherwise("HOLD")})
     return K.simulate_funnel(b, "k", O, "v", "cand", "score", "act", 0.5)
 
 
-@query()
+@query(f"""{actions_sql(BY_WINDOW)} SELECT entry_id, sum((before - after) * gain) AS ret, CAST(min(tick) FILTER (after <= 0.01) + 1 AS INT) AS held, last(gain ORDER BY tick) AS hold_ret, coalesce(first(gain ORDER BY tick) FILTER (gain >= 1 OR gain <= -0.2), last(gain ORDER BY tick)) AS rules_ret
+FROM s WHERE tick >= 0 GROUP BY entry_id""", "ret hold_ret rules_ret")
 def h25_replay_actions(spark, d):
     t = entries(spark, d)
     acts = K.label_actions(t, "entry_id", ["tick"], "v", "peak", "best", "near_low").select("entry_id", F.col("tick").cast("bigint").alias("tick"), "action")
     return K.replay_actions(t.join(acts, ["entry_id", "tick"]), "entry_id", ["tick"], "v", "action")
 
 
-@query()
+@query(f"""SELECT cfg, split, {STATS} FROM (SELECT split_part(k, '|', 1) AS cfg, CASE WHEN {SPLIT.replace('c_custkey', "split_part(k, '|', 2)")} < 60 THEN 'train' ELSE 'test' END AS split, return_pct, bars_held FROM
+({position_sql(BAR_ROWS + ", c AS (SELECT unnest([10.0, 20.0, 40.0]) AS stop), x AS (SELECT y.* REPLACE ('stop' || c.stop || '_roc' || r.least_roc || '|' || k AS k), stop, stop / 2 AS tight, least_roc, ok AND coalesce(roc > least_roc AND rvol > 1.2, false) AS en FROM y, c, (SELECT unnest([1.0, 3.0]) AS least_roc) AS r)", BAR_RULES)} {TRADE_SQL} UNION ALL {OPEN_AT_END})) GROUP BY ALL""", STAT_FLOATS)
 def jn16_sweep(spark, d):
     """Workload W2: the indicator strategy over a grid, statistics by configuration and split (bars are moved once)."""
     grid = {f"stop{s}_roc{r}": R.BarConfig(stop=s, tight=s / 2, roc=r) for s in (10.0, 20.0, 40.0) for r in (1.0, 3.0)}

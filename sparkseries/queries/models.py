@@ -12,7 +12,9 @@ from ..operators import ml as M
 from ..operators import stats as A
 from ..plans import workloads as P
 from . import query
-from .views import BARS_H, U, bars_h, bars_u, points
+from .kernels import OPEN_AT_END, TRADE_SQL
+from .stats import STAT_FLOATS, STATS
+from .views import BARS_H, U, bars_h, bars_u, points, position_sql
 
 COLS = ["roc_1", "std_12", "volume_trend", "vwap_ratio", "off_peak"]
 HOW = {"trees": 5, "depth": 3}
@@ -98,7 +100,10 @@ def w1_early_warning(spark, d):
     return P.early_warning(bars_h(spark, d), "k", "ts", "c", "vol", 30, 5.0, 0.2, 3, **HOW).groupBy("grade").agg(F.count("*").alias("n"), F.avg("max_multiple").alias("mean_multiple"))
 
 
-@query()
+@query(f"""SELECT cfg, {STATS}, avg(peak_return_pct) AS mean_peak, avg(return_pct) / nullif(avg(peak_return_pct), 0) AS capture FROM (SELECT split_part(k, '|', 1) AS cfg, return_pct, bars_held, peak_return_pct FROM
+({position_sql(BARS_H + """, b AS (SELECT k, c, ts, row_number() OVER w - 1 AS i, coalesce(c / nullif(lag(c, 2) OVER w, 0) - 1 > 0.5, false) AS en FROM bars_h WINDOW w AS (PARTITION BY k ORDER BY ts)),
+x AS (SELECT g.stop || '_' || g.rows || '|' || k AS k, i, c AS v, en, g.stop, g.rows, max(i) OVER (PARTITION BY k, g.stop, g.rows) AS z FROM b, (SELECT * FROM (SELECT unnest([20, 40, 60]) AS stop), (SELECT unnest([6, 12]) AS rows)) AS g)""",
+"WHEN fall > stop THEN 'trailing_stop' WHEN bars >= rows THEN 'time_stop' WHEN i = z THEN 'end_of_data'")} {TRADE_SQL} UNION ALL {OPEN_AT_END})) GROUP BY cfg""", STAT_FLOATS + " mean_peak capture")
 def w2_backtest(spark, d):
     b = bars_h(spark, d)
     from .views import H

@@ -100,7 +100,13 @@ def ss9_stream_partial_positions(spark, d):
     return stated(S.stream_state(t, "k", ORDER, S.PartialPositions, v="v", signal="signal", action="action", max_bars=12, fractions={"SL_50": 0.5, "TP_25": 0.25, "EXIT": 1.0}), "ss9")
 
 
-@query()
+@query(f"""WITH RECURSIVE {TICKS}, x AS (SELECT k % 32 AS p, k AS token, kind = 'click' AS op, vol - 50 AS pnl, t, CAST(floor(t / 86400) AS BIGINT) AS day, row_number() OVER (PARTITION BY k % 32 ORDER BY ts, id) AS i FROM ticks WHERE kind IN ('click', 'purchase')),
+s(p, i, token, ok, reason, held, capital, day, n, loss, results, closed) AS (SELECT DISTINCT p, 0::BIGINT, NULL::BIGINT, NULL::BOOLEAN, NULL::VARCHAR, []::BIGINT[], 1000::DOUBLE, NULL::BIGINT, 0::BIGINT, 0::DOUBLE, []::BOOLEAN[], []::STRUCT(token BIGINT, t DOUBLE)[] FROM x UNION ALL
+SELECT p, i, token, CASE WHEN op THEN reason IS NULL END, reason, CASE WHEN hit THEN list_filter(held, lambda o: o <> token) WHEN op AND reason IS NULL THEN list_append(held, token) ELSE held END, capital + CASE WHEN hit THEN 100 + pnl WHEN op AND reason IS NULL THEN -100 ELSE 0 END, day,
+n + CASE WHEN op AND reason IS NULL THEN 1 ELSE 0 END, loss + CASE WHEN hit THEN least(pnl, 0) ELSE 0 END, CASE WHEN hit THEN list_slice(list_append(results, pnl > 0), greatest(1, len(results) - 3), len(results) + 1) ELSE results END, CASE WHEN hit THEN list_filter(list_append(closed, {{'token': token, 't': t}}), lambda c: t - c.t < 86400) ELSE closed END
+FROM (SELECT *, NOT op AND list_contains(held, token) AS hit, CASE WHEN NOT op THEN NULL WHEN list_contains(held, token) THEN 'already_open' WHEN len(held) >= 4 THEN 'max_open' WHEN capital < 100 THEN 'capital' WHEN -loss >= 80 THEN 'daily_loss' WHEN n >= 6 THEN 'trades_per_day'
+WHEN len(results) = 5 AND NOT list_contains(results, true) THEN 'win_rate' WHEN len(list_filter(closed, lambda c: c.token = token AND t - c.t < 86400)) > 0 THEN 'cooldown' END AS reason FROM
+(SELECT x.*, s.held, s.capital, CASE WHEN s.day = x.day THEN s.n ELSE 0 END AS n, CASE WHEN s.day = x.day THEN s.loss ELSE 0 END AS loss, s.results, s.closed FROM s JOIN x ON x.p = s.p AND x.i = s.i + 1))) SELECT p, token::VARCHAR AS token, ok, reason FROM s WHERE ok IS NOT NULL""")
 def ss10_stream_risk_gate(spark, d):
     """Users dealt to 32 portfolios; clicks ask to open, purchases close with a profit."""
     t = ticks(spark, d).where("kind in ('click', 'purchase')").select((F.col("k") % 32).alias("p"), "ts", "id", F.col("k").alias("token"), F.when(F.col("kind") == "click", "open").otherwise("close").alias("kind"), (F.col("vol") - 50).alias("pnl"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from copy import deepcopy
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ class Keyed(StatefulProcessor):
         self.value = handle.getValueState("state", "json string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.value.get()[0]) if self.value.exists() else dict(self.fresh)
+        state = json.loads(self.value.get()[0]) if self.value.exists() else deepcopy(self.fresh)
         out = []
         for row in pd.concat(list(rows)).sort_values(self.order).to_dict("records"):  # a key's rows of one micro-batch
             at = [float(row[c].timestamp()) if hasattr(row[c], "timestamp") else row[c] for c in self.order]
