@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernels import dsp, paths, regimes, trades
+from . import stats
 
 Arrays = dict[str, np.ndarray]
 EPISODE = "entry_idx int, exit_idx int, duration int, entry_value double, peak_value double, exit_value double, peak_return_pct double, exit_return_pct double, initial_roc double, observed boolean"
@@ -105,6 +106,7 @@ def hmm_regime(df: DataFrame, by: str, order: Sequence[str], v: str, idx: str, k
 def fit_pooled_hmm(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str], k: int = 2, rounds: int = 8, start_rows: int = 5000) -> dict:
     """One HMM for many series. Each round, tasks send the sufficient statistics of their keys, which Spark sums; the
     driver holds only the model. The start comes from at most ``start_rows`` rows, taken in key order."""
+    df = stats.written_once(df.select(*dict.fromkeys([by, *order, *cols])))
     sample = np.array(df.select(*cols).na.drop().orderBy(by, *order).limit(start_rows).toPandas(), float)  # bounded
     model, d = regimes.start_model(sample, k), len(cols)
     names = ["start", "move", "n", "x", "xx", "ll"]
@@ -123,8 +125,8 @@ def fit_pooled_hmm(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[
         rows = per_key(df, by, order, list(cols), run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # a few numbers
         flat = np.array([r["v"] for r in rows])
         parts = np.split(flat, np.cumsum(sizes)[:-1])
-        stats = dict(zip(names, (parts[0], parts[1].reshape(k, k), parts[2], parts[3].reshape(k, d), parts[4].reshape(k, d, d), parts[5])))
-        model = regimes.maximise(stats) | {"ll": float(stats["ll"][0])}
+        summed = dict(zip(names, (parts[0], parts[1].reshape(k, k), parts[2], parts[3].reshape(k, d), parts[4].reshape(k, d, d), parts[5])))
+        model = regimes.maximise(summed) | {"ll": float(summed["ll"][0])}
     return model
 
 
@@ -264,22 +266,26 @@ def simulate_funnel(df: DataFrame, by: str, order: Sequence[str], v: str, candid
 
 def cox_ph(df: DataFrame, duration: str, observed: str, covars: Sequence[str], ridge: float = 0.1, rounds: int = 8, tolerance: float = 1e-7) -> dict:
     """Cox proportional hazards (Breslow ties, ridge). Each Newton step sums e^(bx), x e^(bx) and x x e^(bx) by distinct
-    duration in Spark; reverse cumulative sums over distinct durations and the small solve run on the driver."""
+    duration and adds them up from the longest duration on, in ranges; the driver gets the gradient and the Hessian."""
     d = len(covars)
     z = df.select(F.col(duration).cast("double").alias("t"), F.col(observed).cast("int").alias("o"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(covars)]).na.drop()
     moments = z.agg(*[x for i in range(d) for x in (F.avg(f"x{i}"), F.stddev_pop(f"x{i}"))]).first()
     z = z.select("t", "o", *[((F.col(f"x{i}") - F.lit(moments[2 * i])) / F.lit(moments[2 * i + 1] or 1.0)).alias(f"x{i}") for i in range(d)])
+    z = stats.written_once(z)
+    cuts = stats.range_cuts(z, "t")
     beta = np.zeros(d)
     for _ in range(rounds):
         e = F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), sum((F.col(f"x{i}") * float(beta[i]) for i in range(d)), F.lit(0.0)))))
-        g = z.withColumn("e", e).groupBy("t").agg(F.sum("o").alias("n"), F.sum("e").alias("s0"), *[F.sum(F.col(f"x{i}") * F.col("e")).alias(f"a{i}") for i in range(d)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("e")).alias(f"b{i}_{j}") for i in range(d) for j in range(d)], *[F.sum(F.col(f"x{i}") * F.col("o")).alias(f"c{i}") for i in range(d)])
-        rows = g.orderBy(F.desc("t")).toPandas()  # a row for each distinct duration
-        s0 = rows["s0"].cumsum().to_numpy()
-        s1 = rows[[f"a{i}" for i in range(d)]].cumsum().to_numpy() / s0[:, None]
-        s2 = rows[[f"b{i}_{j}" for i in range(d) for j in range(d)]].cumsum().to_numpy().reshape(-1, d, d) / s0[:, None, None]
-        n = rows["n"].to_numpy(float)
-        gradient = rows[[f"c{i}" for i in range(d)]].to_numpy().sum(axis=0) - n @ s1 - ridge * beta
-        hessian = np.einsum("t,tij->ij", n, s2 - s1[:, :, None] * s1[:, None, :]) + ridge * np.eye(d)
+        first = {f"a{i}": F.col(f"x{i}") for i in range(d)}
+        second = {f"b{i}_{j}": F.col(f"x{i}") * F.col(f"x{j}") for i in range(d) for j in range(d)}
+        g = z.withColumn("e", e).groupBy((-F.col("t")).alias("t")).agg(F.sum("o").alias("n"), F.sum("e").alias("s0"), *[F.sum(x * F.col("e")).alias(name) for name, x in (first | second).items()], *[F.sum(F.col(f"x{i}") * F.col("o")).alias(f"c{i}") for i in range(d)])
+        at_risk = stats.running_totals(g, "t", {f"r_{c}": c for c in ("s0", *first, *second)}, cuts=sorted(-x for x in cuts), inclusive=True)
+        mean = [F.col(f"r_a{i}") / F.col("r_s0") for i in range(d)]
+        pulls = [F.sum(F.col(f"c{i}") - F.col("n") * mean[i]) for i in range(d)]
+        bends = [F.sum(F.col("n") * (F.col(f"r_b{i}_{j}") / F.col("r_s0") - mean[i] * mean[j])) for i in range(d) for j in range(d)]
+        got = np.array(at_risk.agg(*[F.coalesce(x, F.lit(0.0)).alias(f"q{i}") for i, x in enumerate([*pulls, *bends])]).first(), float)  # one row
+        gradient = got[:d] - ridge * beta
+        hessian = got[d:].reshape(d, d) + ridge * np.eye(d)
         step = np.linalg.solve(hessian, gradient)
         beta = beta + step
         if np.abs(step).max() < tolerance:

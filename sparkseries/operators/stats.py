@@ -111,8 +111,9 @@ def group_outcomes(points: DataFrame, by: str, vector: str, outcome: str) -> Dat
 
 def envelope(df: DataFrame, by: str, step: str, v: str) -> DataFrame:
     """Median, quartiles and number of series alive at each step of each group."""
-    q = F.expr(f"percentile({v}, array(0.25, 0.5, 0.75))")
-    return df.groupBy(by, step).agg(q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), F.count("*").alias("alive"))
+    alive = df.groupBy(by, step).agg(F.count("*").alias("alive"))
+    q = exact_percentiles(df, v, {"q25": 0.25, "median": 0.5, "q75": 0.75}, (by, step)).withColumnsRenamed({by: "_by", step: "_step"})
+    return alive.join(q, F.col(by).eqNullSafe(F.col("_by")) & F.col(step).eqNullSafe(F.col("_step")), "left").select(by, step, "q25", "median", "q75", "alive")
 
 
 def phase_summary(df: DataFrame, key: str, group: str, ts: str, v: str, holders: str) -> DataFrame:
@@ -145,14 +146,81 @@ def n_distinct(df: DataFrame, key: str, approximate: bool = False) -> DataFrame:
 
 def thresholds(df: DataFrame, c: str, ps: tuple[float, ...] = (0.5, 0.8, 0.9, 0.95, 0.99)) -> DataFrame:
     """One row with the exact quantiles (linear interpolation)."""
-    q = F.expr(f"percentile({c}, array({', '.join(map(str, ps))}))")
-    return df.agg(*[q[i].alias(f"p{round(p * 100)}") for i, p in enumerate(ps)])
+    return exact_percentiles(df, c, {f"p{round(p * 100)}": p for p in ps})
 
 
 def extents(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(*[x for c in cols for x in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"))])
 
 
+# --- totals along an order -------------------------------------------------------------------------
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """``df`` from the shared checkpoint folder if the session has one, so that several passes do not repeat its plan; otherwise
+    ``df`` itself. (spark.cleaner.referenceTracking.cleanCheckpoints has Spark delete the files.)"""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
+def range_cuts(df: DataFrame, c: str, parts: int = 64) -> list[float]:
+    """Approximate quantiles that cut the numbers ``c`` into about ``parts`` ranges."""
+    return sorted(set(df.approxQuantile(c, [i / parts for i in range(1, parts)], 0.002)))
+
+
+def in_ranges(df: DataFrame, c: str, cuts: list[float]) -> DataFrame:
+    """Adds ``_range``: how many of the cuts are smaller (0 for nulls)."""
+    return df.withColumn("_range", F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < F.col(c))) if cuts else F.lit(0))
+
+
+def running_totals(df: DataFrame, c: str, sums: dict[str, str], by: tuple[str, ...] = (), cuts: list[float] | None = None, inclusive: bool = False) -> DataFrame:
+    """Adds for each entry (name: column) of ``sums`` the column's sum over the rows of the group ``by`` with a smaller number ``c``
+    (``inclusive``: and of this row; nulls first); values of ``c`` are distinct in a group.
+
+    Rows are cut into ranges of ``c``; sums run inside a range, in parallel, and start from the totals of the ranges before (a row for
+    each group and range). The cuts decide only who works, not the result.
+    """
+    ranged = in_ranges(df, c, range_cuts(df, c) if cuts is None else cuts)
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_s_{name}") for name, n in sums.items()])
+    before = totals.select(*[F.col(k).alias(f"_k_{k}") for k in (*by, "_range")], *[F.sum(f"_s_{name}").over(earlier).alias(f"_b_{name}") for name in sums])
+    upto = Window.partitionBy(*by, "_range").orderBy(c).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    own = ranged.withColumns({f"_o_{name}": F.sum(n).over(upto) for name, n in sums.items()})
+    met = F.col("_range") == F.col("_k__range")
+    for k in by:
+        met = met & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = own.join(before if by else F.broadcast(before), met)  # without groups: a row for each range
+    return joined.select(*df.columns, *[(F.coalesce(f"_b_{name}", F.lit(0)) + F.coalesce(f"_o_{name}", F.lit(0))).alias(name) for name in sums])
+
+
+def running_total(df: DataFrame, c: str, n: str, name: str) -> DataFrame:
+    """``running_totals`` of one column over all rows."""
+    return running_totals(df, c, {name: n})
+
+
+def exact_percentiles(df: DataFrame, c: str, names: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """Exact quantiles (linear interpolation, nulls left out) of each group, or one row without groups, from the counts of distinct
+    values and their running totals: no task holds a group's values."""
+    counts = df.where(F.col(c).isNotNull()).groupBy(*by, F.col(c).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    counts = written_once(counts)
+    placed = running_totals(counts, "_v", {"_below": "_n"}, by)
+    all_rows = counts.groupBy(*[F.col(k).alias(f"_g_{k}") for k in by]).agg(F.sum("_n").alias("_all"))
+    met = None
+    for k in by:
+        one = F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+        met = one if met is None else met & one
+    known = placed.join(all_rows, met) if by else placed.crossJoin(F.broadcast(all_rows))  # without groups: one row
+
+    def at(i: Column) -> Column:
+        return F.max(F.when((F.col("_below") <= i) & (i < F.col("_below") + F.col("_n")), F.col("_v")))
+
+    def quantile(q: float) -> Column:
+        place = (F.col("_all") - 1) * F.lit(q)
+        low, part = at(F.floor(place)), F.max(place - F.floor(place))
+        return low + part * (F.coalesce(at(F.floor(place) + 1), low) - low)
+
+    return known.groupBy(*by).agg(*[quantile(q).alias(name) for name, q in names.items()])
+
+
 # --- regression and survival ------------------------------------------------------------------------
 
 
@@ -181,22 +249,34 @@ def poly2_fit(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 def kaplan_meier(episodes: DataFrame, duration: str = "duration", observed: str = "observed") -> DataFrame:
     """(duration, events, at_risk, survival, hazard): one row for each distinct duration; censored episodes leave the
-    risk set without an event. The window runs over distinct durations only."""
-    g = episodes.groupBy(duration).agg(F.sum(F.col(observed).cast("bigint")).alias("events"), F.count("*").alias("left_now"))
-    w = Window.orderBy(F.col(duration))
-    at_risk = F.sum("left_now").over(w.rowsBetween(0, Window.unboundedFollowing))
-    h = F.col("events") / F.col("at_risk")
-    x = g.withColumn("at_risk", at_risk).withColumn("hazard", h)
-    survived = F.when(F.sum((F.col("hazard") >= 1).cast("int")).over(w) > 0, 0.0).otherwise(F.exp(F.sum(F.when(F.col("hazard") < 1, F.log1p(-F.col("hazard")))).over(w)))
-    return x.select(duration, "events", "at_risk", survived.alias("survival"), "hazard")
+    risk set without an event. Totals over durations run in ranges of them."""
+    g = episodes.groupBy(duration).agg(F.sum(F.col(observed).cast("bigint")).alias("events"), F.count("*").alias("_left"))
+    g = written_once(g)
+    cuts = range_cuts(g, duration)
+    size = g.agg(F.sum("_left").alias("_size"))  # one row
+    x = running_totals(g, duration, {"_gone": "_left"}, cuts=cuts).crossJoin(F.broadcast(size)).withColumn("at_risk", F.col("_size") - F.col("_gone"))
+    x = x.withColumn("hazard", F.col("events") / F.col("at_risk")).withColumn("_log", F.when(F.col("hazard") < 1, F.log1p(-F.col("hazard"))).otherwise(0.0))
+    survived = F.when(F.col("hazard") >= 1, 0.0).otherwise(F.exp("_sum"))  # a hazard of 1 takes all that is left, so no duration follows it
+    return running_totals(x, duration, {"_sum": "_log"}, cuts=cuts, inclusive=True).select(duration, "events", "at_risk", survived.alias("survival"), "hazard")
 
 
 def survival_at(curve: DataFrame, ages: DataFrame, age: str, duration: str = "duration") -> DataFrame:
-    """Survival and hazard of the last step at or below each age (1 and 0 before the first)."""
-    steps = F.broadcast(curve.agg(F.array_sort(F.collect_list(F.struct(duration, "survival", "hazard"))).alias("_s")))  # one row, a step for each distinct duration
-    hit = F.filter("_s", lambda s: s[duration] <= F.col(age))
-    last = F.when(F.size(hit) > 0, F.element_at(hit, -1))
-    return ages.crossJoin(steps).select(*ages.columns, F.coalesce(last["survival"], F.lit(1.0)).alias("survival"), F.coalesce(last["hazard"], F.lit(0.0)).alias("hazard"))
+    """Survival and hazard of the last step at or below each age (1 and 0 before the first and for null ages).
+
+    Distinct ages and steps are put in one order, cut into ranges, and each age takes the last step of its range or else of the
+    ranges before; rows meet their age by equality.
+    """
+    steps = curve.select(F.col(duration).cast("double").alias("_at"), F.struct("survival", "hazard").alias("_step"))
+    asked = ages.select(F.col(age).cast("double").alias("_at")).distinct()
+    line = steps.unionByName(asked, allowMissingColumns=True).where("_at is not null").groupBy("_at").agg(F.max("_step").alias("_step"))
+    line = written_once(line)
+    ranged = in_ranges(line, "_at", range_cuts(line, "_at"))
+    ends = ranged.groupBy("_range").agg(F.max_by("_step", F.when(F.col("_step").isNotNull(), F.col("_at"))).alias("_end"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("_range", F.last("_end", ignorenulls=True).over(earlier).alias("_before"))  # a row for each range
+    own = F.last("_step", ignorenulls=True).over(Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    found = ranged.withColumn("_own", own).join(F.broadcast(before), "_range").select("_at", F.coalesce("_own", "_before").alias("_step"))
+    return ages.join(found, F.col(age).cast("double") == F.col("_at"), "left").select(*ages.columns, F.coalesce("_step.survival", F.lit(1.0)).alias("survival"), F.coalesce("_step.hazard", F.lit(0.0)).alias("hazard"))
 
 
 def median_survival(curve: DataFrame, duration: str = "duration") -> DataFrame:
@@ -241,24 +321,9 @@ def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     return g.select("class", "support", "predicted", F.coalesce(p, F.lit(0.0)).alias("precision"), F.coalesce(r, F.lit(0.0)).alias("recall"), F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1"))
 
 
-def running_total(df: DataFrame, c: str, n: str, name: str, parts: int = 64) -> DataFrame:
-    """Adds ``name``: the sum of ``n`` over the rows with a smaller number ``c`` (nulls first); values of ``c`` are distinct.
-
-    Rows are cut into about ``parts`` ranges at approximate quantiles; sums run inside a range, in parallel, and start from the
-    total of the ranges before (at most ``parts`` + 1 rows). The cuts decide only who works, not the result.
-    """
-    cuts = sorted(set(df.approxQuantile(c, [i / parts for i in range(1, parts)], 0.002)))
-    at = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < F.col(c))) if cuts else F.lit(0)
-    ranged = df.withColumn("_range", at)
-    sums = ranged.groupBy("_range").agg(F.sum(n).alias("_s"))
-    before = sums.select("_range", (F.sum("_s").over(Window.orderBy("_range")) - F.col("_s")).alias("_before"))
-    own = F.sum(n).over(Window.partitionBy("_range").orderBy(c)) - F.col(n)
-    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
-
-
 def mean_rank(df: DataFrame, c: str, name: str) -> DataFrame:
     """Rank with ties averaged."""
-    counts = running_total(df.groupBy(c).agg(F.count("*").alias("_n")), c, "_n", "_below")
+    counts = running_total(written_once(df.groupBy(c).agg(F.count("*").alias("_n"))), c, "_n", "_below")
     return df.join(counts.select(c, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name)), c)
 
 

@@ -2,41 +2,72 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import epoch, l2_distance
+from ..functions.scalars import epoch
 from .stats import running_total
 
-QUERY_LOT = 512
+QUERY_LOT, CORPUS_BLOCK = 512, 4096
 
 
-def knn(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, entity: str | None = None) -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, entity: str | None = None, same: str | None = None) -> DataFrame:
     """(query, neighbour, distance, rank): the k nearest rows by Euclidean distance, self excluded, one hit (the
-    best) for each entity if an entity column is given. Ties go to the smaller key.
+    best) for each entity if an entity column is given. Ties go to the smaller key. With ``same``, only rows with an equal value of
+    that column meet. Rows without a vector or with null or non-finite components take no part, vectors of unequal length do not meet.
 
-    Queries meet the corpus in lots: each corpus row is paired with arrays of at most QUERY_LOT queries, and
-    each task keeps only the k best for a query before anything is shuffled.
+    Lots of about QUERY_LOT queries meet blocks of about CORPUS_BLOCK rows, one pair of them in a task, which keeps the k best of
+    its block for each query; only those are ranked.
     """
-    n = max(1, -(-queries.count() // QUERY_LOT))
-    packed = queries.select(F.pmod(F.xxhash64(key), F.lit(n)).alias("lot"), F.struct(F.col(key).alias("q"), F.col(vector).alias("v")).alias("x")).groupBy("lot").agg(F.collect_list("x").alias("qs"))  # about QUERY_LOT entries each
-    rows = corpus.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 1 else corpus.withColumn("lot", F.lit(0))
-    ent = F.col(entity) if entity else F.col(key)
-    pairs = rows.join(packed, "lot").select(F.explode("qs").alias("x"), F.col(key).alias("neighbour"), ent.alias("entity"), F.col(vector).alias("v"))
-    far = pairs.where(F.col("x.q") != F.col("neighbour")).select(F.col("x.q").alias("query"), "neighbour", "entity", l2_distance(F.col("x.v"), F.col("v")).alias("distance"))
+    lots, blocks = max(1, -(-queries.count() // QUERY_LOT)), max(1, -(-corpus.count() // CORPUS_BLOCK))
+
+    def dealt(df: DataFrame, asks: bool, entity: str | None) -> DataFrame:
+        own, other = (lots, blocks) if asks else (blocks, lots)
+        x = df.select(F.col(key).alias("key"), F.col(entity or key).alias("entity"), F.col(vector).cast("array<double>").alias("v"), (F.col(same) if same else F.lit(0)).alias("same")).where("v is not null")
+        x = x.withColumn("own", F.pmod(F.xxhash64("key"), F.lit(own))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+        names = ("own", "other") if asks else ("other", "own")
+        return x.select("key", "entity", "v", "same", F.size("v").alias("width"), F.lit(asks).alias("asks"), *[F.col(c).cast("bigint").alias(n) for c, n in zip(names, ("lot", "block"))])
+
+    rows = dealt(queries, True, None).withColumn("entity", F.lit(None).cast(corpus.schema[entity or key].dataType)).unionByName(dealt(corpus, False, entity))
+
+    def nearest(table: pa.Table) -> pa.Table:
+        asks, width = table["asks"].to_numpy(), table["width"][0].as_py()
+        found: list[tuple] = []
+        if width and asks.any() and not asks.all():
+            vectors = pc.list_flatten(table["v"]).to_numpy().astype(float).reshape(-1, width)
+            keys, names = table["key"].to_pylist(), table["entity"].to_pylist()
+            order = sorted((i for i in np.flatnonzero(~asks) if np.isfinite(vectors[i]).all()), key=keys.__getitem__)  # equal distances stay in the order of keys
+            block, where, codes = vectors[order], {}, {}
+            for place, i in enumerate(order):
+                where.setdefault(keys[i], []).append(place)
+            group = np.array([codes.setdefault(names[i], len(codes)) for i in order], int)
+            for i in np.flatnonzero(asks):
+                far = np.sqrt(((block - vectors[i]) ** 2).sum(axis=1))
+                far[where.get(keys[i], [])] = np.inf
+                near = np.argsort(far, kind="stable")
+                if entity:
+                    near = near[np.sort(np.unique(group[near], return_index=True)[1])]
+                found += [(keys[i], keys[order[j]], names[order[j]], float(far[j])) for j in near[:k] if np.isfinite(far[j])]
+        columns = list(zip(*found)) or [()] * 4
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, (table.schema.field("key"), table.schema.field("key"), table.schema.field("entity"), pa.field("distance", pa.float64())))], names=["query", "neighbour", "entity", "distance"])
+
+    kind, of = corpus.schema[key].dataType, corpus.schema[entity or key].dataType
+    schema = T.StructType([T.StructField("query", kind), T.StructField("neighbour", kind), T.StructField("entity", of), T.StructField("distance", T.DoubleType())])
+    far = rows.groupBy("same", "width", "lot", "block").applyInArrow(nearest, schema)
     best = far.groupBy("query", "entity").agg(F.min(F.struct("distance", "neighbour")).alias("_b")).select("query", "_b.neighbour", "_b.distance") if entity else far.drop("entity")
     w = Window.partitionBy("query").orderBy("distance", "neighbour")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def prefix_knn(queries: DataFrame, index: DataFrame, key: str, length: str, vector: str, k: int) -> DataFrame:
-    """Neighbours among index rows of the query's own prefix length (an equality join)."""
-    q = queries.select(F.col(key).alias("query"), F.col(length), F.col(vector).alias("_q"))
-    far = q.join(index.select(F.col(key).alias("neighbour"), length, F.col(vector).alias("_v")), length).where(F.col("query") != F.col("neighbour")).select("query", "neighbour", l2_distance("_q", "_v").alias("distance"))
-    w = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return far.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """Neighbours among index rows of the query's own prefix length."""
+    return knn(queries, index, key, vector, k, same=length)
 
 
 def approx_knn(queries: DataFrame, corpus: DataFrame, key: str, vector: str, radius: float, k: int, bucket_length: float, tables: int = 6, seed: int = 1) -> DataFrame:

@@ -169,11 +169,20 @@ def h12_signature(spark, d):
 d AS (SELECT a.k, a.i, a.a, b.a AS b, a.s, a.e AS ea, b.e AS eb, sum(a.s * b.e + a.e * b.e / 2) OVER (PARTITION BY a.k, a.a, b.a ORDER BY a.i) AS s2 FROM e AS a JOIN e AS b ON b.k = a.k AND b.i = a.i WHERE a.i > 0),
 l AS (SELECT *, coalesce(lag(s2) OVER (PARTITION BY k, a, b ORDER BY i), 0) AS was FROM d), t AS (SELECT l.k, l.i, l.a, l.b, c.a AS c, sum(was * c.e + l.s * eb * c.e / 2 + ea * eb * c.e / 6) OVER (PARTITION BY l.k, l.a, l.b, c.a ORDER BY l.i) AS s3 FROM l JOIN e AS c ON c.k = l.k AND c.i = l.i),
 u AS (SELECT k, i, s + e AS s, (a = 0)::INT AS n FROM e WHERE i > 0 UNION ALL SELECT k, i, s2, (a = 0)::INT + (b = 0)::INT FROM d UNION ALL SELECT k, i, s3, (a = 0)::INT + (b = 0)::INT + (c = 0)::INT FROM t)
-SELECT k, CAST(i + 1 AS INT) AS len, ln(1 + sum((s / i ** n) ** 2)) AS energy FROM u WHERE i > 1 GROUP BY k, i""", "energy")
+SELECT k, CAST(i + 1 AS INT) AS len, ln(1 + sum((s / i ** n) ** 2)) AS log_energy FROM u WHERE i > 1 GROUP BY k, i""", "log_energy")
+def h12_prefix_norms(spark, d):
+    """Logarithm of 1 + the squared norm of each prefix's signature (its values reach up to 1e9)."""
+    return prefix_energy(spark, d).select("k", "len", F.log1p("energy").alias("log_energy"))
+
+
+@query()
 def h12_prefix_signatures(spark, d):
-    """Logarithm of the squared norm of each prefix's signature (its values reach from 1e-3 to 1e9)."""
+    return prefix_energy(spark, d)
+
+
+def prefix_energy(spark, d):
     s = K.prefix_signatures(bars_u(spark, d).withColumn("v", F.col("v") / 100), "k", O, ["v", "h"])
-    return s.select("k", "len", F.aggregate("sig", F.lit(0.0), lambda a, x: a + x * x).alias("energy")).withColumn("energy", F.log1p("energy"))
+    return s.select("k", "len", F.aggregate("sig", F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
 
 
 def short_paths(spark, d):

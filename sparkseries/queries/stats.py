@@ -188,6 +188,16 @@ def ag31_kaplan_meier(spark, d):
     return A.kaplan_meier(t)
 
 
+@query(f"""WITH {TRADES}, g AS (SELECT bars_held AS duration, count(*) FILTER (exit_reason <> 'NO') AS events, count(*) AS l FROM trades WHERE bars_held >= 5 GROUP BY 1), r AS (SELECT *, events / sum(l) OVER (ORDER BY duration DESC) AS hazard FROM g),
+c AS (SELECT duration, CASE WHEN hazard >= 1 THEN 0 ELSE exp(sum(CASE WHEN hazard < 1 THEN ln(1 - hazard) ELSE 0 END) OVER (ORDER BY duration)) END AS survival, hazard FROM r), a AS (SELECT *, bars_held * 1.3 - 2 AS age FROM trades)
+SELECT ord, line, coalesce(survival, 1) AS survival, coalesce(hazard, 0) AS hazard FROM a ASOF LEFT JOIN c ON a.age >= c.duration""", "survival hazard")
+def ag31_survival_at(spark, d):
+    """Survival and hazard of each trade at an age of its own, from the curve of the trades held for at least 5 bars."""
+    t = trades(spark, d)
+    curve = A.kaplan_meier(t.where("bars_held >= 5").select(F.col("bars_held").cast("double").alias("duration"), (F.col("exit_reason") != "NO").alias("observed")))
+    return A.survival_at(curve, t.select("ord", "line", (F.col("bars_held") * 1.3 - 2).alias("age")), "age").select("ord", "line", "survival", "hazard")
+
+
 @query(f"""WITH {BARS_U}, r AS (SELECT *, h - lag(h) OVER (PARTITION BY k ORDER BY ts, id) AS g FROM bars_u), q AS (SELECT k, sum(CASE WHEN kind = 'click' THEN vol ELSE 0 END) AS swaps, sum(CASE WHEN kind = 'view' THEN vol ELSE 0 END) AS others, sum(CASE WHEN v > 100 THEN vol ELSE 0 END) AS big, avg(CASE WHEN g > 0 THEN 1.0 WHEN g IS NULL THEN NULL ELSE 0.0 END) AS positive_share FROM r GROUP BY k),
 z AS (SELECT *, coalesce(swaps / nullif(swaps + others, 0), 0) AS swap_share, coalesce(big / nullif(swaps + others, 0), 0) AS big_share FROM q)
 SELECT *, concat_ws('; ', CASE WHEN swap_share < 0.45 THEN 'few swaps' END, CASE WHEN big_share > 0.35 THEN 'big holders' END, CASE WHEN positive_share < 0.2 THEN 'rarely growing' END) AS reasons, NOT (swap_share < 0.45 OR big_share > 0.35 OR positive_share < 0.2) AS ok FROM z""", "swaps others big positive_share swap_share big_share")

@@ -79,6 +79,7 @@ def stream_upsert(df: DataFrame, path: str, checkpoint: str, keys: list[str], ve
         old = latest(batch.sparkSession, path, i)
         none = rows.limit(0) if old is None else old
         upsert(none, rows, keys, version).write.mode("overwrite").parquet(f"{path}/snapshot={i}")
+        drop_before_last(batch.sparkSession, path, i)
 
     return for_each(df, merge, checkpoint)
 
@@ -94,16 +95,28 @@ def stream_watchlist(found: DataFrame, path: str, checkpoint: str, key: str, ts:
         now = every.agg(F.max(ts).alias("_now"))
         kept = cap_watchlist(every.crossJoin(F.broadcast(now)), ts, key, max_size, F.col("_now"), ttl_hours).drop("_now")  # one row
         kept.write.mode("overwrite").parquet(f"{path}/snapshot={i}")
+        drop_before_last(batch.sparkSession, path, i)
 
     return for_each(found, merge, checkpoint)
 
 
-def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest snapshot below ``path`` (of a batch below ``before``), None without one."""
+def snapshots(spark: SparkSession, path: str) -> tuple[object, list[int]]:
+    """The file system of ``path`` and the batches that have a snapshot below it, in order."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return None
-    found = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("snapshot=")]
-    found = [n for n in found if before is None or n < before]
-    return spark.read.parquet(f"{path}/snapshot={max(found)}") if found else None
+    names = [s.getPath().getName() for s in fs.listStatus(fs_path)] if fs.exists(fs_path) else []
+    return fs, sorted(int(n.split("=")[1]) for n in names if n.startswith("snapshot="))
+
+
+def drop_before_last(spark: SparkSession, path: str, i: int) -> None:
+    """Delete the snapshots that no reader needs once that of batch ``i`` is written: the one before it stays, since a repeated
+    batch starts from it and readers may still hold it."""
+    fs, found = snapshots(spark, path)
+    for n in [n for n in found if n < i][:-1]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot={n}"), True)
+
+
+def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest snapshot below ``path`` (of a batch below ``before``), None without one."""
+    found = [n for n in snapshots(spark, path)[1] if before is None or n < before]
+    return spark.read.parquet(f"{path}/snapshot={found[-1]}") if found else None

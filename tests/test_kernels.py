@@ -45,6 +45,64 @@ def test_kalman_tracks_a_line():
     assert abs(slope[-1] - 2) < 0.1 and abs(level[-1] - 198) < 0.5
 
 
+def test_kalman_pass_is_least_squares():
+    """One pass of the filter: its last state is the generalised least-squares estimate of the whole model."""
+    x = rng.normal(size=25).cumsum()
+    r = max(np.var(np.diff(x)) / 2, 1e-9)
+    rows, rhs = [], []
+    n = len(x)
+
+    def add(weight, entries, value):
+        row = np.zeros(2 * n + 2)
+        for at, c in entries:
+            row[at] = c
+        rows.append(row * weight)
+        rhs.append(value * weight)
+
+    prior = 1 / math.sqrt(r * 10)
+    add(prior, [(0, 1)], x[0])
+    add(prior, [(1, 1)], 0.0)
+    for i in range(1, n + 1):
+        add(1 / math.sqrt(r / 10), [(2 * i, 1), (2 * i - 2, -1), (2 * i - 1, -1)], 0.0)
+        add(1 / math.sqrt(r / 100), [(2 * i + 1, 1), (2 * i - 1, -1)], 0.0)
+        add(1 / math.sqrt(r), [(2 * i, 1)], x[i - 1])
+    want = np.linalg.lstsq(np.array(rows), np.array(rhs), rcond=None)[0]
+    level, slope = regimes.kalman_trend(x, 1)
+    assert math.isclose(level[-1], want[-2], rel_tol=1e-6) and math.isclose(slope[-1], want[-1], rel_tol=1e-5, abs_tol=1e-8)
+
+
+def test_viterbi_matches_enumeration():
+    import itertools
+
+    log_b, start, move = rng.normal(size=(6, 3)), np.array([0.2, 0.3, 0.5]), np.array([[0.7, 0.2, 0.1], [0.1, 0.8, 0.1], [0.3, 0.3, 0.4]])
+    score = lambda p: math.log(start[p[0]]) + log_b[0, p[0]] + sum(math.log(move[a, b]) + log_b[i + 1, b] for i, (a, b) in enumerate(zip(p, p[1:])))
+    assert tuple(regimes.viterbi(log_b, start, move)) == max(itertools.product(range(3), repeat=6), key=score)
+
+
+def test_em_step_maximises_the_weighted_likelihood():
+    """New means and moves are the averages weighted by the posteriors, computed here row by row."""
+    x = np.concatenate([rng.normal(0, 1, (30, 2)), rng.normal(4, 1, (30, 2))])
+    m = regimes.start_model(x, 2)
+    post = regimes.forward_backward(regimes.log_density(x, m["mean"], m["cov"]), m["start"], m["move"])[0]
+    new = regimes.maximise(regimes.expect(x, m))
+    for s in range(2):
+        mean = sum(p * r for p, r in zip(post[:, s], x)) / post[:, s].sum()
+        cov = sum(p * np.outer(r - mean, r - mean) for p, r in zip(post[:, s], x)) / post[:, s].sum()
+        assert np.allclose(new["mean"][s], mean, atol=1e-6) and np.allclose(new["cov"][s], cov, atol=1e-4)
+    assert np.allclose(new["move"].sum(axis=1), 1) and np.allclose(new["start"].sum(), 1)
+
+
+def test_regime_trades_by_hand():
+    v = np.array([10, 10, 10, 10, 10, 10, 10, 12, 14, 13, 12, 11, 10, 5, 5, 2.0])
+    growth = np.array([0.9, 0.9, 0, 0, 0, 0, 0.9, 0.5, 0.5, 0.2, 0.9, 0.9, 0.9, 0.9, 0, 0.9])
+    c = trades.RegimeConfig(enter_above=0.6, exit_below=0.4, stop=50.0, grace=3, min_age=5)
+    got = [(t["entry_idx"], t["exit_idx"], t["exit_reason"]) for t in trades.regime_trades(v, growth, c)]
+    # in at 6 (rows before 5 are too young), out at 9 after the grace; in again at 10, 13 is 58 % below the peak; in at 15, the last row
+    assert got == [(6, 9, "regime_change"), (10, 13, "trailing_stop"), (15, 15, "end_of_data")]
+    fall = trades.regime_trades(np.array([10, 10, 10, 4.0, 4, 0.5]), np.array([0, 0.9, 0, 0, 0, 0]), trades.RegimeConfig(0.6, 0.4, 45.0, 4, 0))
+    assert [(t["entry_idx"], t["exit_idx"], t["exit_reason"]) for t in fall] == [(1, 5, "hard_stop")]  # all rules hold at 5, the last one names it
+
+
 def test_forward_backward_matches_enumeration():
     import itertools
 

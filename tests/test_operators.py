@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -209,3 +210,91 @@ def _tmp():
     import tempfile
 
     return tempfile.mkdtemp(prefix="spark-")
+
+
+def test_stream_keys_do_not_share_state(spark, tmp_path):
+    """Two portfolios in one partition: each has its own open positions, so neither is full because of the other."""
+    from sparkseries.queries.streams import ORDER, stated
+    from sparkseries.streaming import state as S
+
+    rows = [(p, T0 + timedelta(minutes=i), i, f"{p}{i}", "open", 0.0) for p in (1, 2, 3) for i in range(3)]
+    df = spark.createDataFrame(rows, "p long, ts timestamp, id long, token string, kind string, pnl double")
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/in")
+    got = stated(S.stream_state(stream, "p", ORDER, S.RiskGate, token="token", capital=1000.0, size=100.0, max_open=2, max_loss=80.0, max_trades=6, window=5, min_win_rate=0.2, cooldown=60.0), "gate")
+    assert sorted((r.p, r.token, r.ok) for r in got.collect()) == [(p, f"{p}{i}", i < 2) for p in (1, 2, 3) for i in range(3)]
+
+
+def test_exact_percentiles_by_group(spark):
+    r = np.random.default_rng(5)
+    rows = [(None if g == 0 else f"g{g}", None if i % 50 == 7 else float(x)) for g, n in ((0, 40), (1, 2000), (2, 1), (3, 6)) for i, x in enumerate(np.round(r.normal(size=n), 2))]
+    df = spark.createDataFrame([*rows, ("none", None)], "g string, x double")
+    got = {q.g: (q.a, q.b, q.c) for q in stats.exact_percentiles(df, "x", {"a": 0.25, "b": 0.5, "c": 1.0}, ("g",)).collect()}
+    want = pd.DataFrame(rows, columns=["g", "x"]).dropna(subset="x").groupby("g", dropna=False)["x"]
+    assert len(got) == 4 and "none" not in got
+    for g, x in want:
+        assert np.allclose(got[g if isinstance(g, str) else None], np.quantile(x, [0.25, 0.5, 1.0]))
+    assert tuple(stats.thresholds(df.limit(0), "x", (0.5,)).first()) == (None,)
+    alive = stats.envelope(df.withColumn("s", F.lit(1)), "g", "s", "x").collect()
+    assert {a.g: (a.median, a.alive) for a in alive}["none"] == (None, 1) and len(alive) == 5
+
+
+def test_survival_at_is_the_last_step(spark):
+    curve = spark.createDataFrame([(float(t), 1 / (t + 1), t / 100) for t in range(1, 400, 3)], "duration double, survival double, hazard double")
+    asked = [None, -1.0, 0.5, 1.0, 3.9, 4.0, 4.0, 250.25, 1e9]
+    got = {r.i: (r.survival, r.hazard) for r in stats.survival_at(curve, spark.createDataFrame(list(enumerate(asked)), "i long, age double"), "age").collect()}
+    for i, a in enumerate(asked):
+        step = [t for t in range(1, 400, 3) if a is not None and t <= a]
+        assert got[i] == ((1 / (step[-1] + 1), step[-1] / 100) if step else (1.0, 0.0))
+    assert stats.survival_at(curve.limit(0), spark.createDataFrame([(1.0,)], "age double"), "age").first().survival == 1.0
+
+
+def test_knn_blocks_ties_and_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_LOT", 7)
+    monkeypatch.setattr(topk, "CORPUS_BLOCK", 11)
+    r = np.random.default_rng(6)
+    rows = [(i, i % 4, [float(x) for x in r.integers(-2, 3, 3)]) for i in range(60)]
+    odd = [(100, 0, None), (101, 1, []), (102, 2, [1.0, None, 0.0]), (103, 3, [float("nan"), 0.0, 0.0]), (104, 1, [0.0, 1.0]), (105, 1, [0.0, 2.0])]
+    df = spark.createDataFrame(rows + odd, "id long, e long, x array<double>")
+    for entity in (None, "e"):
+        got: dict = {}
+        for g in topk.knn(df, df, "id", "x", 5, entity).collect():
+            got.setdefault(g["query"], []).append((g["rank"], g.neighbour, round(g.distance, 9)))
+        for i, _, x in rows:
+            far = sorted((math.dist(x, y), j, e) for j, e, y in rows if j != i)
+            kept, seen = [], set()
+            for f, j, e in far:
+                if entity is None or e not in seen:
+                    kept.append((j, round(f, 9)))
+                    seen.add(e)
+            assert sorted(got[i]) == [(n + 1, *x) for n, x in enumerate(kept[:5])]
+        assert set(got) == {i for i, *_ in rows} | {104, 105} and got[104] == [(1, 105, 1.0)]
+    assert topk.knn(df.limit(0), df, "id", "x", 3).count() == topk.knn(df, df.limit(0), "id", "x", 3).count() == 0
+    found = topk.prefix_knn(df.where("id < 60"), df.where("id < 60"), "id", "e", "x", 3).collect()
+    assert len(found) == 180 and all(g["query"] % 4 == g.neighbour % 4 for g in found)
+
+
+def test_cox_maximises_the_partial_likelihood(spark):
+    """The gradient of the penalised log partial likelihood, summed over risk sets row by row, is 0 at the fit."""
+    r = np.random.default_rng(8)
+    t, o, x = np.ceil(r.exponential(8, 120)), r.random(120) < 0.7, r.normal(size=(120, 2))
+    rows = [(float(a), bool(b), float(c), float(e)) for a, b, (c, e) in zip(t, o, x)]
+    fit = kernels.cox_ph(spark.createDataFrame(rows, "t double, o boolean, x double, y double"), "t", "o", ["x", "y"], rounds=15)
+    z, beta = (x - x.mean(axis=0)) / x.std(axis=0), np.array([fit["coef"]["x"], fit["coef"]["y"]]) * x.std(axis=0)
+    pull = -0.1 * beta
+    for i in np.flatnonzero(o):
+        risk = np.exp(z[t >= t[i]] @ beta)
+        pull = pull + z[i] - risk @ z[t >= t[i]] / risk.sum()
+    assert np.abs(pull).max() < 1e-6
+
+
+def test_old_snapshots_go(spark, tmp_path):
+    from sparkseries.streaming import windows as W
+
+    df = spark.createDataFrame([(i % 3, T0 + timedelta(hours=i), float(i)) for i in range(8)], "k long, ts timestamp, v double")
+    for i in range(4):
+        df.where((F.col("v") / 2).cast("int") == i).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    W.stream_upsert(stream, f"file://{tmp_path}/table", f"file://{tmp_path}/log", ["k"], "ts").awaitTermination()
+    assert len(W.snapshots(spark, f"file://{tmp_path}/table")[1]) == 2
+    assert {(r.k, r.v) for r in W.latest(spark, f"file://{tmp_path}/table").collect()} == {(0, 6.0), (1, 7.0), (2, 5.0)}
