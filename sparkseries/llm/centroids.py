@@ -27,7 +27,7 @@ def neighbour_lists(centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each centroid the others by rising distance (ties: smaller number), and these squared distances."""
     gap = ((centroids[:, None, :] - centroids[None, :, :]) ** 2).sum(axis=2)
     k = len(centroids)
-    order = np.array([[j for _, j in sorted((gap[i, j], j) for j in range(k) if j != i)] for i in range(k)], np.int64).reshape(k, k - 1)
+    order = np.array([[j for _, j in sorted((gap[i, j], j) for j in range(k) if j != i)] for i in range(k)], np.int64).reshape(k, max(k - 1, 0))
     return order, np.take_along_axis(gap, order, axis=1)
 
 

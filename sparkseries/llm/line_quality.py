@@ -1,7 +1,7 @@
 """Quality rules on lines that many documents of a host share.
 
-Cross-document line frequency. Lines are normalised (ASCII lower case, digits as 0, only letters, digits and characters
-beyond ASCII) and hashed; for each host the different documents that hold a line are counted. Lines above the limit
+Cross-document line frequency. Lines are normalised (words of letters, digits and characters beyond ASCII, in ASCII lower case, with
+one sign for all words of digits alone) and hashed; for each host the different documents that hold a line are counted. Lines above the limit
 are page furniture and are removed, and a document of which too little is left is rejected. Rules on the
 text alone (length, repeated lines and passages, symbols) come from the same reading.
 
@@ -28,7 +28,6 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _NORMAL = np.arange(256, dtype=np.uint8)
 _NORMAL[65:91] += 32
-_NORMAL[48:58] = 48
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -52,6 +51,14 @@ def _inside(w: Words, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray,
     return first, np.searchsorted(w.start, stop) - first
 
 
+def _normal(w: Words) -> Words:
+    """The words of normalised lines."""
+    plain = Words(_NORMAL[w.raw], w.bounds, False, _APART)
+    digits = np.append(0, np.cumsum((plain.raw >= 48) & (plain.raw < 58)))
+    plain.hash[digits[plain.stop] - digits[plain.start] == plain.stop - plain.start] = 0
+    return plain
+
+
 def _repeated(w: Words, size: int) -> np.ndarray:
     """Whether each word lies in a run of ``size`` words that its text holds more than once."""
     hashes, at = w.grams(size)
@@ -75,7 +82,7 @@ def _measured(w: Words) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.nd
     _, same = np.unique(w.bytes_between(start, stop), return_inverse=True)
     distinct = np.unique(text * (same.max(initial=0) + 1) + same) // (same.max(initial=0) + 1)
     base = [np.diff(w.offsets), within(letters), within(_SYMBOL[w.raw]), np.bincount(text, minlength=n) - np.bincount(distinct, minlength=n), np.bincount(w.text_of[_repeated(w, REPEAT)], minlength=n)]
-    plain = Words(_NORMAL[w.raw], w.bounds, False, _APART)
+    plain = _normal(w)
     first, size = _inside(plain, start, stop)
     text, first, size, words = (x[size > 0] for x in (text, first, size, words))
     lines, same = np.unique(plain.ranges(plain.sums(), first, size), return_inverse=True)
@@ -162,7 +169,7 @@ def _without(text: str | None, gone: list[int] | None) -> str | None:
     lines, hashes = text.split("\n"), set(gone)
     (_, _, w), = slices(pa.array(["\n".join(lines)]))
     _, start, stop = _lines(w.raw, w.bounds)
-    plain = Words(_NORMAL[w.raw], w.bounds, False, _APART)
+    plain = _normal(w)
     first, size = _inside(plain, start, stop)
     found = signed(plain.ranges(plain.sums(), first, size))
     drop = iter((np.isin(found, list(hashes)) & (size > 0)).tolist())

@@ -165,7 +165,7 @@ w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
 g AS (SELECT r, i, list_slice(ws, i, i + 7) AS gram FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
 rep AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1) GROUP BY r),
 ln AS (SELECT r, host, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
-         array_to_string(regexp_extract_all(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), ' ') AS plain
+         array_to_string(list_transform(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN '0' ELSE x END), ' ') AS plain
        FROM (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line FROM d)),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln WHERE words > 0 GROUP BY r),
 f AS (SELECT host, plain FROM ln JOIN (SELECT host, count(DISTINCT text) AS host_docs FROM d GROUP BY host) USING (host) WHERE plain <> '' GROUP BY host, plain
