@@ -70,7 +70,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges is pre-aggregated and its join can be split) and writes the edges after each round. Stops
     when a round changes nothing. Empty edges give an empty result; loops and repeated edges are ignored.
     """
-    state = {"mark": F.sum(F.xxhash64("u", "v") % 1_000_003)}
+    pair = F.xxhash64("u", "v")
+    state = {"mark": F.sum(pair.cast("decimal(20,0)")), "mask": F.bit_xor(pair)}
     now, mark = counted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", **state)
     for _ in range(max_rounds):
         if not mark["rows"]:

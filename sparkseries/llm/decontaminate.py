@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._words import U, Words, slices
 
@@ -32,8 +33,8 @@ MIN_MATCH, COVERAGE, PART_WORDS, PAIRS = 5, 0.6, 2_000_000, 4_000_000
 class Items:
     """The seeds and word hashes of one part of the benchmark."""
 
-    def __init__(self, ids: list, texts: list[str], min_match: int):
-        seeds, item, pos, self.words, self.ids = [], [], [], [], ids
+    def __init__(self, ids: list, texts: list[str], min_match: int, times: list[int] | None = None):
+        seeds, item, pos, self.words, self.ids, self.times = [], [], [], [], ids, times or [1] * len(ids)
         for a, b, w in slices(pa.array(texts, pa.large_string()), lower=True, max_bytes=1 << 22):
             g, at = w.grams(min_match)
             seeds.append(g)
@@ -121,14 +122,14 @@ def _tiled(w: Words, items: Items, at: np.ndarray, lo: np.ndarray, n: np.ndarray
 
 
 def _parts(items: DataFrame, id_col: str, text_col: str, min_match: int, part_words: int) -> Iterator:
-    """The benchmark as broadcasts of bounded size; item texts are dealt to parts by hash."""
+    """The benchmark as broadcasts of bounded size; different items are dealt to parts by hash, repeated ones are held once with their number."""
     spark = items.sparkSession
     rows = items.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n_words = rows.agg(F.sum(F.size(F.split("text", "[\\x20\\x09-\\x0D]+"))).alias("n")).first()["n"] or 0
+    n_words = rows.distinct().agg(F.sum(F.size(F.split("text", "[\\x20\\x09-\\x0D]+"))).alias("n")).first()["n"] or 0
     n = max(1, ceil(n_words / part_words))
     for p in range(n):
-        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == p).collect()  # about part_words words
-        yield spark.sparkContext.broadcast(Items([r["id"] for r in part], [r["text"] for r in part], min_match))
+        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == p).groupBy("id", "text").agg(F.count(F.lit(1)).cast("int").alias("times")).collect()  # about part_words words
+        yield spark.sparkContext.broadcast(Items([r["id"] for r in part], [r["text"] for r in part], min_match, [r["times"] for r in part]))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, part_words: int = PART_WORDS) -> DataFrame:
@@ -144,18 +145,18 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     tile = T.StructType([T.StructField("doc_start", T.LongType()), T.StructField("item_start", T.LongType()), T.StructField("words", T.LongType())])
     schema = T.StructType([T.StructField("rid", rid), T.StructField("item_id", iid), T.StructField("item_words", T.LongType()), T.StructField("matched_words", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.ArrayType(tile))])
     rows = docs.select(F.col(id_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
-    out = None
+    id_type, out = to_arrow_type(iid), None
     for held in _parts(items, id_col=item_col, text_col=item_text_col, min_match=min_match, part_words=part_words):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             part = held.value
             for batch in batches:
-                got = list(found_in(batch.column(1), part, coverage))
+                got = [x for x in found_in(batch.column(1), part, coverage) for _ in range(part.times[x[1]])]
                 size = [len(part.words[i]) for _, i, _ in got]
                 hit = [sum(t[2] for t in ts) for _, _, ts in got]
                 struct = pa.list_(pa.struct([(n, pa.int64()) for n in ("doc_start", "item_start", "words")]))
                 yield pa.RecordBatch.from_pydict({
-                    "rid": batch.column(0).take(pa.array([r for r, _, _ in got], pa.int64())), "item_id": pa.array([part.ids[i] for _, i, _ in got]) if got else pa.array([], pa.int64()),
+                    "rid": batch.column(0).take(pa.array([r for r, _, _ in got], pa.int64())), "item_id": pa.array([part.ids[i] for _, i, _ in got], id_type),
                     "item_words": pa.array(size, pa.int64()), "matched_words": pa.array(hit, pa.int64()), "coverage": pa.array([h / s for h, s in zip(hit, size)], pa.float64()),
                     "tiles": pa.array([[dict(zip(("doc_start", "item_start", "words"), t)) for t in ts] for _, _, ts in got], struct)})
 

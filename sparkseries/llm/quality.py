@@ -8,6 +8,7 @@ expression over the statistics, which scores all rows without Python.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -135,7 +136,8 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     """Fit on at most ``max_fit_rows`` labelled rows, taken in the order of a hash of their id.
 
     Rows of ``labels`` without a label or without a text row do not count. With labels of one kind only (or
-    none) the model is a constant: 1, 0 or 0.5.
+    none) the model is a constant: 1, 0 or 0.5. Where no statistic splits the labelled rows (few rows, equal texts) no tree has a
+    rule, and the model is the constant share of label 1.
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col)).cast("double").alias("label"))
     joined = stats.join(known, F.col("rid") == F.col("_id")).orderBy(F.xxhash64("rid"), "rid").limit(max_fit_rows)
@@ -146,6 +148,9 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     data = VectorAssembler(inputCols=list(STATISTICS), outputCol="x").transform(sample).select("x", "label", *STATISTICS)
     forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, minInstancesPerNode=10, featureSubsetStrategy="onethird", seed=SEED).fit(data)
     rules = list(dict.fromkeys(r for t in forest.trees for r in tree_rules(t.toDebugString)))
+    if not rules:
+        ones, n = data.agg(F.sum("label"), F.count("label")).first()
+        return Model((), (), math.log(ones / (n - ones)))
     fired = data.select("label", F.array(*[compile_rule(r).cast("double") for r in rules]).alias("r"))
     from pyspark.ml.functions import array_to_vector
 

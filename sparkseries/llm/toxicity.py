@@ -282,8 +282,8 @@ class Model:
     entries: tuple[Entry, ...]
     weights: np.ndarray
 
-    def score(self, texts: pa.Array) -> np.ndarray:
-        lexicon, out = Lexicon(list(self.entries)), np.zeros(len(texts))
+    def score(self, texts: pa.Array, lexicon: Lexicon | None = None) -> np.ndarray:
+        lexicon, out = lexicon or Lexicon(list(self.entries)), np.zeros(len(texts))
         for a, b, row, entry, count, stats in lexicon.describe(texts):
             out[a:b] = 1 / (1 + np.exp(-np.clip(_inputs(b - a, row, entry, count, stats, lexicon.rate) @ self.weights, -30, 30)))
         return out
@@ -375,8 +375,10 @@ def scorer(spark, model: Model):
     held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def toxic(texts: pa.Array) -> pa.Array:
-        return pa.array(held.value.score(texts))
+    def toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lexicon = Lexicon(list(held.value.entries))  # once a task
+        for texts in batches:
+            yield pa.array(held.value.score(texts, lexicon))
 
     return lambda text: toxic(text.cast("string"))
 
@@ -388,5 +390,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` (all columns) with a score below the threshold."""
+    """Rows of ``docs`` (all columns) with a score below the threshold; a model without lexicon entries has no evidence against
+    any text and rejects nothing."""
+    if not model.entries:
+        return docs
     return docs.where(scorer(docs.sparkSession, model)(F.col(text_col)) < threshold)

@@ -153,6 +153,54 @@ def test_classifiers_on_odd_rows(spark, odd):
     assert quality.statistics(odd.limit(0)).count() == 0
 
 
+def brute_statistics(text):
+    """The 18 statistics of a text, word by word."""
+    raw = (text or "").encode()
+    words = raw.split()
+    n, mild = len(words), b".,;:'\"!?()-"
+    if not n:
+        return [0.0] * len(quality.STATISTICS)
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c > 127
+    symbol = lambda c: c > 8 and not letter(c) and not 48 <= c <= 57 and c not in b" \t\n\x0b\x0c\r"
+    upper = lambda c: 65 <= c <= 90
+    stops, lines = sum(w.endswith(b".") for w in words), raw.count(b"\n")
+    grams = [tuple(words[i : i + 5]) for i in range(n - 4)]
+    return [math.log1p(n), sum(map(len, words)) / n, sum(len(w) > 12 for w in words) / n, sum(map(upper, raw)) / len(raw), sum(48 <= c <= 57 for c in raw) / len(raw), sum(symbol(c) and c not in mild for c in raw) / len(raw), sum(c > 127 for c in raw) / len(raw), stops / n,
+            lines / n, n / (lines + 1), len(set(words)) / n, max(map(words.count, set(words))) / n, sum(a == b for a, b in zip(words, words[1:])) / n, (len(grams) - len(set(grams))) / n, sum(not any(map(letter, w)) for w in words) / n,
+            sum(symbol(w[-1]) and w[-1] not in mild for w in words) / n, n / (stops + 1), sum(sum(map(letter, w)) > 1 and all(upper(c) for c in w if letter(c)) for w in words) / n]
+
+
+def test_statistics_by_brute_force(spark, docs):
+    r = random.Random(5)
+    signs = ["THE", "the", "a.", "B2B", "12", "***", "don't", "é", "ÉÈ", "漢字", "antidisestablishment", "x|", "y#", "(z)", "-", "end.", "NASA", "a", "\x01"]
+    texts = [None, "", " \n\t ", "one", "a a a a a a a", "...", "x " * 20_000 + "END."] + ["".join(r.choice(signs) + r.choice([" ", "\n", "  ", "\t"]) for _ in range(r.randrange(1, 60))) for _ in range(80)]
+    got = {g.rid: list(g)[1:] for g in quality.statistics(docs(list(enumerate(texts)))).collect()}
+    short = [(i, t) for i, t in enumerate(texts) if len(t or "") < 5000]
+    assert len(got) == len(texts) and all(np.allclose(got[i], brute_statistics(t), atol=1e-12) for i, t in short)
+    assert got[6][10] == 2 / 20_001 and got[6][11] == 20_000 / 20_001
+
+
+@pytest.mark.parametrize("texts,ones", [(["same text here"] * 2, 1), ([f"w{i} " * (i + 1) for i in range(12)], 9), (["tie one", "tie two"] * 30, 30)])
+def test_quality_without_splits_is_the_share_of_label_1(spark, docs, texts, ones):
+    """Too few rows for a split, equal texts, constant statistics."""
+    stats = quality.statistics(docs(list(enumerate(texts))))
+    labels = spark.createDataFrame([(i, int(i < ones)) for i in range(len(texts))], "doc_id long, quality int")
+    model = quality.fit(stats, labels)
+    found = [r.score for r in quality.score(stats, model).collect()]
+    assert len(found) == len(texts) and all(0 <= x <= 1 for x in found)
+    if not model.rules:
+        assert np.allclose(found, ones / len(texts))
+    assert ones > 1 or not model.rules
+
+
+def test_no_evidence_rejects_nothing(spark, docs):
+    d = docs([(i, f"only {i} words") for i in range(12)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    model = toxicity.fit(d, labels)
+    assert model.entries == () and toxicity.reject(d, model).count() == 12
+    assert toxicity.reject(d, toxicity.fit(d, labels.limit(0))).count() == 12
+
+
 def test_rules_compile_to_their_conditions(spark):
     text = "DecisionTree\n  If (feature 0 <= 1.5)\n   If (feature 2 <= 0.25)\n    Predict: 0.0\n   Else (feature 2 > 0.25)\n    Predict: 1.0\n  Else (feature 0 > 1.5)\n   Predict: 1.0\n"
     a, c = quality.STATISTICS[0], quality.STATISTICS[2]
@@ -410,6 +458,19 @@ def test_one_seed_repeated_many_times(docs, spark, monkeypatch):
     assert sorted((g.rid, g.item_id, g.matched_words) for g in decontaminate.contaminated(docs(rows), bench).collect()) == want
 
 
+@pytest.mark.parametrize("kind,ids", [("int", [7, 8, None]), ("string", ["x", "é", None]), ("long", [1 << 40, 2, None]), ("date", [None, None, None])])
+def test_item_ids_of_any_type(docs, spark, kind, ids):
+    """Also repeated items: each repetition is reported, and held once."""
+    texts = ["one two three four five six", "red green blue white black", "ten nine eight seven six five"]
+    items = [(i, t) for i, t in zip(ids, texts)] + [(ids[0], texts[0])] * 3
+    bench = spark.createDataFrame(items, f"item_id {kind}, text string")
+    for part in (2_000_000, 6):
+        got = decontaminate.contaminated(docs([(k, f"a {t} b") for k, t in enumerate(texts)] + [(9, "none of it")]), bench, part_words=part)
+        assert got.schema["item_id"].dataType == bench.schema["item_id"].dataType
+        assert sorted((r.rid, r.item_id) for r in got.collect() if r.item_id is not None) == sorted((k, i) for k, i in ((0, ids[0]), (1, ids[1]), *[(0, ids[0])] * 3) if i is not None)
+        assert got.where("item_id is null").count() == (6 if kind == "date" else 1)
+
+
 def test_decontamination_odd(odd, spark):
     bench = spark.createDataFrame([(1, None), (2, "one two"), (3, "one two three four five six")], "item_id long, text string")
     assert [(g.rid, g.item_id) for g in decontaminate.contaminated(odd, bench).collect()] == [(None, 3)]
@@ -493,7 +554,7 @@ def test_pipeline_stages(spark):
 
 
 def test_pipeline_rejects_what_op10_calls_toxic(spark, docs):
-    even = toxicity.Model((), np.array([-0.4, 0, 0, 0, 0, 0, 0]))  # 0.40 for every text
+    even = toxicity.Model(((1, 1, 0, 0.1),), np.array([0, -0.4, 0, 0, 0, 0, 0, 0]))  # an entry that no text holds, 0.40 for every text
     assert toxicity.reject(docs([(1, "a b"), (2, None)]), even).count() == 0
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(d, labels.where(Q._remainder("doc_id", 4) != 2))
@@ -501,3 +562,34 @@ def test_pipeline_rejects_what_op10_calls_toxic(spark, docs):
     found = {r.doc_id for r in Q.op10_toxicity(spark, "/root/testdata/sf0.01").where("predicted = 1").collect()}
     kept = {r.doc_id for r in toxicity.reject(d, model).collect()}
     assert held_out and not kept & found and len(held_out - kept) == len(held_out & found) > 0  # the operator's own recall
+
+
+def test_pipeline_runs_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, an id twice, empty and long texts, extra columns with clashing names, no labels, empty tables."""
+    import corpus_pipeline as P
+
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None)], "item_id int, text string")
+    rows = [(1, "a b c d e f", "en", "s", 3, "k", 1), (2, None, None, None, None, None, None), (2, "", "en", "s", 0, "x", 2), (None, "one two three four five six seven eight nine ten", "de", "t", 1, "y", 3), (5, "long " * 40_000 + "tail", "en", "s", 1, None, 4), (6, "漢字 É ß", None, "s", 9, "z", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id string, shard int")
+    for name, d, lab, items in (("odd", docs, labels, bench), ("bare", docs, labels.limit(0), bench.limit(0)), ("none", docs.limit(0), labels, bench)):
+        at = str(tmp_path / name)
+        for table, df in (("documents", d), ("labels", lab), ("benchmark", items)):
+            df.write.parquet(f"{at}/{table}.parquet")
+        out = P.run(spark, at)
+        ids = {r.doc_id for r in out.select("doc_id").collect()}
+        assert set(docs.columns) <= set(out.columns)
+        assert not ids if name == "none" else ids <= {1, 2, 5, 6, None} if name == "odd" else ids <= {1, 2, None, 5, 6}
+
+
+def test_pipeline_keeps_clean_documents(spark):
+    """Before mixing, what is gone was toxic, a near copy or a benchmark passage."""
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in P.STAGES[:3]:
+        docs = stage(spark, docs, sf)
+    out = P.run(spark, sf)
+    left = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert {r.doc_id for r in out.select("doc_id").collect()} <= left and len(left) > 150
