@@ -22,7 +22,7 @@ from ._state import counted, written
 from ._words import LOWER, NO_LETTER, U, Words, signed, slices
 
 SCALE = 1_000_000_000
-CELLS = 1 << 20  # of a block of terms x sources
+TERMS, CELLS = 1 << 10, 1 << 22  # of a block: terms, and terms x sources
 _HELD = 1 << 20  # entries of a task before it hands them on
 
 
@@ -177,8 +177,8 @@ def gap(p: str, q: str) -> Column:
 
 def _pair_sums(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value), source < item: the gaps of two sources summed over all kept terms. Terms are dealt to blocks of
-    at most about ``CELLS`` terms x sources; a block has the share of absent terms of each source beside its own rows."""
-    blocks = groups.where("terms > 0").groupBy("lang").agg(F.ceil(F.first("terms") * F.count(F.lit(1)) / F.lit(CELLS)).cast("int").alias("blocks"))
+    about ``TERMS`` terms, less where that is more than ``CELLS`` terms x sources; a block has the share of absent terms of each source beside its own rows."""
+    blocks = groups.where("terms > 0").groupBy("lang").agg(F.ceil(F.first("terms") * F.greatest(F.lit(1 / TERMS), F.count(F.lit(1)) / F.lit(CELLS))).cast("int").alias("blocks"))
     known = groups.join(blocks, "lang")
     left = (kept.join(known.select("lang", "source", "n_group", "terms", "blocks"), ["lang", "source"])
             .select("lang", F.pmod(F.xxhash64("digest", "split"), F.col("blocks")).cast("int").alias("block"), "source", "digest", "split", share("n", "n_group", "terms").alias("p")))

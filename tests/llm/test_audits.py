@@ -60,8 +60,9 @@ def test_divergence_by_brute_force(spark, bits):
     assert {r[0] for r in got} >= {"en", "de", "xx"} and any(r[2] == "pair" and r[4] == 0 for r in got if r[0] == "xx")
 
 
-def test_divergence_in_several_blocks_and_flushes(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "CELLS", 16)
+@pytest.mark.parametrize("name", ["CELLS", "TERMS"])
+def test_divergence_in_several_blocks(spark, monkeypatch, name):
+    monkeypatch.setattr(divergence, name, 5)
     rows = mixed(9)
     assert sorted(tuple(r) for r in divergence.audit(corpus(spark, rows), min_docs=4, top=6).collect()) == brute_divergence(rows, 4, 6)
 
