@@ -31,7 +31,7 @@ from ._state import connected_components, counted, free_name, written
 from ._words import U, Words, mix, signed, slices
 
 WIDTH, ERRORS, BITS = 5, 1, 16
-BLOCK, BLOCK_BYTES, LOT_ROWS, LOT_BYTES = 512, 16 << 20, 1024, 8 << 20  # rows and bytes of a side of a block; of a lot
+BLOCK, BLOCK_BYTES, LOT_ROWS, LOT_BYTES = 256, 8 << 20, 1024, 8 << 20  # rows and bytes of a side of a block; of a lot
 BROADCAST_NODES = 200_000  # ids and hashes of texts that are broadcast, else joined by shuffle
 
 
