@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import state as S
+from ..streaming import timed as M
 from ..streaming import windows as W
 from . import query
 from .sources import landing
@@ -120,17 +121,67 @@ def ss11_stream_watchlist(spark, d):
     return W.latest(spark, f"{at}/list").select("k")
 
 
+def growth_stream(spark, d):
+    """Ticks with the growth over two rows of their user, from a first stateful operator that hands the watermark on."""
+    t = ticks(spark, d).select("k", "ts", "id", "v").withWatermark("ts", "10 minutes")
+    return M.stream_timed(t, "k", ORDER, M.Growth, ["ts", "id", "v"], "ts", v="v", p=2)
+
+
+EPISODE = {"v": "v", "roc": "roc", "min_roc": 50.0, "max_fall": 60.0, "min_bars": 2}
+
+
 @query(f"""{EPI} SELECT k, de AS entry_idx, i AS exit_idx, i - de AS duration, dv AS entry_value, dp AS peak_value, dx AS exit_value FROM s WHERE done AND i - de >= 2""", "entry_value peak_value exit_value")
 def ss12_stream_episodes(spark, d):
-    """Growth over two rows comes from a first stateful query, episodes from a second one on its output."""
-    roc = stated(S.stream_state(ticks(spark, d).select("k", "ts", "id", "v"), "k", ORDER, S.Indicators, v="v", span=13, p=2), "ss12a")
-    from .views import bars_u
-
-    rows = bars_u(spark, d).select("k", F.col("i").alias("idx"), "ts", "id", "v").join(roc.select("k", "idx", (F.col("roc") * 100).alias("roc")), ["k", "idx"])
-    at = landing(spark, "ss12b")
-    rows.write.parquet(at)
-    stream = spark.readStream.schema(rows.schema).parquet(at).select("k", "ts", "id", "v", "roc")
-    return stated(S.stream_state(stream, "k", ORDER, S.Episodes, v="v", roc="roc", min_roc=50.0, max_fall=60.0, min_bars=2), "ss12")
+    """One streaming query of two chained stateful operators; a year of silence ends no episode here."""
+    e = M.stream_timed(growth_stream(spark, d), "k", ORDER, M.Episodes, idle_ms=365 * 86_400_000, **EPISODE)
+    return stated(e, "ss12").where("observed").drop("observed")
+
+
+IDLE, HOLD, TTL, DELAY = 8 * 3_600_000, 12 * 3_600_000, 12 * 3_600_000, 600_000
+
+
+@query(f"""WITH RECURSIVE {BARS_U}, m AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM bars_u),
+x AS (SELECT k, i, v, ms, lag(v) OVER w AS pv, ms - lag(ms) OVER w > {IDLE} AS gap, (v / nullif(lag(v, 2) OVER w, 0) - 1) * 100 AS r FROM m WINDOW w AS (PARTITION BY k ORDER BY ts, id)),
+s(k, i, e, ev, pk, seen, de, di, dv, dp, dx) AS (SELECT k, i, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::BOOLEAN, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM x WHERE i = 0 UNION ALL
+SELECT k, i, CASE WHEN r IS NULL THEN e WHEN e IS NULL THEN CASE WHEN r > 50 THEN i END WHEN NOT over THEN e END, CASE WHEN r IS NULL THEN ev WHEN e IS NULL THEN CASE WHEN r > 50 THEN v END WHEN NOT over THEN ev END,
+CASE WHEN r IS NULL THEN pk WHEN e IS NULL THEN CASE WHEN r > 50 THEN v END ELSE top END, CASE WHEN gap AND old IS NOT NULL THEN false WHEN r IS NOT NULL AND e IS NOT NULL AND over THEN true END,
+old, CASE WHEN gap THEN i - 1 ELSE i END, ev, CASE WHEN gap THEN pk ELSE top END, CASE WHEN gap THEN pv ELSE v END FROM
+(SELECT x.*, CASE WHEN x.gap THEN NULL ELSE s.e END AS e, s.e AS old, s.ev, s.pk, greatest(s.pk, x.v) AS top, x.v < s.ev OR (1 - x.v / greatest(s.pk, x.v)) * 100 > 60 AS over FROM s JOIN x ON x.k = s.k AND x.i = s.i + 1)),
+z AS (SELECT s.k, s.e AS de, s.i AS di, s.ev AS dv, s.pk AS dp, x.v AS dx, false AS seen FROM s JOIN x USING (k, i) WHERE s.e IS NOT NULL AND s.i = (SELECT max(i) FROM x y WHERE y.k = s.k) AND x.ms + {IDLE} < (SELECT max(ms) - {DELAY} FROM x)),
+a AS (SELECT k, de, di, dv, dp, dx, seen FROM s WHERE seen IS NOT NULL UNION ALL SELECT k, de, di, dv, dp, dx, seen FROM z)
+SELECT k, de AS entry_idx, di AS exit_idx, di - de AS duration, dv AS entry_value, dp AS peak_value, dx AS exit_value, seen AS observed FROM a WHERE di - de >= 2""", "entry_value peak_value exit_value")
+def ss12_stream_censored_episodes(spark, d):
+    """Episodes of users that fall silent for 8 hours are censored, by their next row or by a timer once the watermark passes."""
+    return stated(M.stream_timed(growth_stream(spark, d), "k", ORDER, M.Episodes, idle_ms=IDLE, **EPISODE), "ss12c")
+
+
+@query(f"""WITH RECURSIVE {BARS_U}, x AS (SELECT k, i, v, coalesce(vol > 70, false) AS en, epoch_us(ts) // 1000 AS ms, lag(v) OVER (PARTITION BY k ORDER BY ts, id) AS pv FROM bars_u),
+s(k, i, e, since, ev, pk, why, oe, oi, oev, oxv, opk, xms) AS (SELECT k, i, CASE WHEN en THEN i END, CASE WHEN en THEN ms END, CASE WHEN en THEN v END, CASE WHEN en THEN v END, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT FROM x WHERE i = 0 UNION ALL
+SELECT k, i, CASE WHEN NOT held THEN CASE WHEN en THEN i END WHEN why IS NULL THEN e END, CASE WHEN NOT held THEN CASE WHEN en THEN ms END WHEN why IS NULL THEN since END, CASE WHEN NOT held THEN CASE WHEN en THEN v END WHEN why IS NULL THEN ev END, CASE WHEN NOT held THEN CASE WHEN en THEN v END WHEN why IS NULL THEN top END,
+why, e, CASE WHEN late THEN i - 1 ELSE i END, ev, CASE WHEN late THEN pv ELSE v END, CASE WHEN late THEN pk ELSE top END, CASE WHEN late THEN since + {HOLD} ELSE ms END FROM
+(SELECT *, e IS NOT NULL AND NOT late AS held, CASE WHEN late THEN 'time_stop' WHEN e IS NOT NULL AND (1 - v / top) * 100 > 40 THEN 'trailing_stop' END AS why FROM
+(SELECT x.*, s.e, s.since, s.ev, s.pk, greatest(s.pk, x.v) AS top, coalesce(s.since + {HOLD} < x.ms, false) AS late FROM s JOIN x ON x.k = s.k AND x.i = s.i + 1))),
+z AS (SELECT s.k, s.e AS oe, s.i AS oi, s.ev AS oev, x.v AS oxv, s.pk AS opk, s.since + {HOLD} AS xms, 'time_stop' AS why FROM s JOIN x USING (k, i) WHERE s.e IS NOT NULL AND s.i = (SELECT max(i) FROM x y WHERE y.k = s.k) AND s.since + {HOLD} < (SELECT max(ms) - {DELAY} FROM x)),
+a AS (SELECT k, oe, oi, oev, oxv, opk, xms, why FROM s WHERE why IS NOT NULL UNION ALL SELECT k, oe, oi, oev, oxv, opk, xms, why FROM z)
+SELECT k, oe AS entry_idx, oi AS exit_idx, oev AS entry_value, oxv AS exit_value, opk AS peak_value, xms AS exit_ms, why AS exit_reason FROM a""", "entry_value exit_value peak_value")
+def ss8_stream_timed_positions(spark, d):
+    """Positions that are closed 12 hours after their entry, with or without a new row."""
+    t = ticks(spark, d).select("k", "ts", "id", "v", (F.col("vol") > 70).alias("signal")).withWatermark("ts", "10 minutes")
+    return stated(M.stream_timed(t, "k", ORDER, M.TimedPositions, v="v", signal="signal", stop=40.0, hold_ms=HOLD), "ss8t")
+
+
+@query(f"""WITH RECURSIVE {TICKS}, x AS (SELECT k % 8 AS p, k::VARCHAR AS token, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY k % 8 ORDER BY ts, id) AS i FROM ticks),
+s(p, i, held, gone, pushed, token, ms) AS (SELECT DISTINCT p, 0::BIGINT, []::STRUCT(since BIGINT, token VARCHAR)[], []::STRUCT(since BIGINT, token VARCHAR)[], NULL::STRUCT(since BIGINT, token VARCHAR), NULL::VARCHAR, NULL::BIGINT FROM x UNION ALL
+SELECT p, i, CASE WHEN new THEN list_append(list_filter(live, lambda h: NOT coalesce(h = pushed, false)), {{'since': ms, 'token': token}}) ELSE live END, gone, pushed, CASE WHEN new THEN token END, ms FROM
+(SELECT *, CASE WHEN new AND len(live) >= 6 THEN list_sort(live)[1] END AS pushed FROM (SELECT *, NOT list_contains(list_transform(live, lambda h: h.token), token) AS new FROM
+(SELECT x.*, list_filter(s.held, lambda h: h.since + {TTL} >= x.ms) AS live, list_filter(s.held, lambda h: h.since + {TTL} < x.ms) AS gone FROM s JOIN x ON x.p = s.p AND x.i = s.i + 1)))),
+z AS (SELECT p, unnest(held) AS h FROM s WHERE i = (SELECT max(i) FROM s y WHERE y.p = s.p)),
+a AS (SELECT p, h.token, h.since + {TTL} AS at_ms, 'expired' AS change FROM (SELECT p, unnest(gone) AS h FROM s) UNION ALL SELECT p, pushed.token, ms, 'full' FROM s WHERE pushed IS NOT NULL UNION ALL SELECT p, token, ms, 'added' FROM s WHERE token IS NOT NULL
+UNION ALL SELECT p, h.token, h.since + {TTL}, 'expired' FROM z WHERE h.since + {TTL} < (SELECT max(ms) - {DELAY} FROM x)) SELECT * FROM a""")
+def ss11_stream_watch_log(spark, d):
+    """Users dealt to 8 lists of 6 entries that leave after 12 hours of event time: the log of changes."""
+    t = ticks(spark, d).select((F.col("k") % 8).alias("p"), "ts", "id", F.col("k").alias("token")).withWatermark("ts", "10 minutes")
+    return stated(M.stream_timed(t, "p", ORDER, M.Watchlist, token="token", max_size=6, ttl_ms=TTL), "ss11w")
 
 
 @query(f"WITH {TICKS} SELECT kind, count(*) AS n FROM ticks GROUP BY kind")

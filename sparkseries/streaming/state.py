@@ -25,8 +25,10 @@ class Keyed(StatefulProcessor):
     def __init__(self, key: str, order: list[str], **config):
         self.key, self.order, self.config = key, order, config
 
+    ttl_ms: int | None = None
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("state", "json string")
+        self.value = handle.getValueState("state", "json string", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = json.loads(self.value.get()[0]) if self.value.exists() else deepcopy(self.fresh)
@@ -182,9 +184,14 @@ SCHEMAS = {
 }
 
 
-def stream_state(df: DataFrame, key: str, order: list[str], kind: type[Keyed], **config) -> DataFrame:
-    """Run a processor over a stream, keyed by ``key``; needs the RocksDB state store (``windows.use_rocksdb``)."""
+def stream_state(df: DataFrame, key: str, order: list[str], kind: type[Keyed], ttl_ms: int | None = None, **config) -> DataFrame:
+    """Run a processor over a stream, keyed by ``key``; needs the RocksDB state store (``windows.use_rocksdb``). With ``ttl_ms`` the state of a
+    key that had no row for so long (processing time) is dropped and its next row starts afresh: for keys that never come back (a query that ends by itself needs
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` off, since processing time always asks for another batch).
+    What must act at a point of event time is in ``timed``."""
     from pyspark.sql import types as T
 
     schema = T.StructType([df.schema[key], *T._parse_datatype_string(f"struct<{SCHEMAS[kind]}>").fields])
-    return df.groupBy(key).transformWithStateInPandas(statefulProcessor=kind(key, order, **config), outputStructType=schema, outputMode="append", timeMode="none")
+    processor = kind(key, order, **config)
+    processor.ttl_ms = ttl_ms
+    return df.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="processingTime" if ttl_ms else "none")
