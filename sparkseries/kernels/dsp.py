@@ -32,10 +32,20 @@ def _two_pole(gain: np.ndarray, b1: float, b2: float, head: np.ndarray | None =
     return y
 
 
+def high_pass_weight(period: int) -> float:
+    w = 0.707 * 2 * np.pi / period
+    return 1 - (np.cos(w) + np.sin(w) - 1) / np.cos(w)
+
+
+def smoother_weights(period: int) -> tuple[float, float]:
+    """Weights of the last two outputs of the smoother."""
+    decay = np.exp(-np.sqrt(2) * np.pi / period)
+    return 2 * decay * np.cos(np.sqrt(2) * np.pi / period), -decay * decay
+
+
 def high_pass(v: np.ndarray, period: int) -> np.ndarray:
     """Two-pole high-pass filter: takes out swings longer than ``period``."""
-    w = 0.707 * 2 * np.pi / period
-    k = 1 - (np.cos(w) + np.sin(w) - 1) / np.cos(w)
+    k = high_pass_weight(period)
     bend = np.zeros(len(v))
     bend[2:] = v[2:] - 2 * v[1:-1] + v[:-2]
     return _two_pole(((1 + k) / 2) ** 2 * bend, 2 * k, -k * k)
@@ -43,8 +53,7 @@ def high_pass(v: np.ndarray, period: int) -> np.ndarray:
 
 def super_smoother(v: np.ndarray, period: int, keep_head: bool = False) -> np.ndarray:
     """Two-pole smoother of neighbour means: takes out swings shorter than ``period``."""
-    decay = np.exp(-np.sqrt(2) * np.pi / period)
-    b1, b2 = 2 * decay * np.cos(np.sqrt(2) * np.pi / period), -decay * decay
+    b1, b2 = smoother_weights(period)
     mean = np.zeros(len(v))
     mean[1:] = (v[1:] + v[:-1]) / 2
     return _two_pole((1 - b1 - b2) * mean, b1, b2, v if keep_head else None)

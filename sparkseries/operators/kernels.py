@@ -1,7 +1,7 @@
 """Kernels on Spark: one series of a key is one Arrow table in a task.
 
 A key's whole series must fit in a task's memory (90 days of 5-minute bars are 2 MB); resample denser series
-first. Grid sweeps loop over configurations inside the task, so bars are moved once.
+first. Row indicators and cumulative sums are in ``scans``, which cuts a series into segments. Grid sweeps loop over configurations inside the task, so bars are moved once.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..kernels import dsp, paths, regimes, trades
 from . import stats
+from .scans import cusum, indicators  # noqa: F401  in segments
 
 Arrays = dict[str, np.ndarray]
 EPISODE = "entry_idx int, exit_idx int, duration int, entry_value double, peak_value double, exit_value double, peak_return_pct double, exit_return_pct double, initial_roc double, observed boolean"
@@ -44,29 +45,7 @@ def per_key(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str], f
     return df.select(*dict.fromkeys([by, *order, *cols])).groupBy(by).applyInArrow(run, out_schema)
 
 
-# --- row indicators ---------------------------------------------------------------------------------
-
-
-def indicators(df: DataFrame, by: str, order: Sequence[str], v: str, idx: str) -> DataFrame:
-    """EMA-based and recursive indicators of every row in one pass, keyed by (by, idx)."""
-
-    def run(a: Arrays) -> Arrays:
-        x = a[v].astype(float)
-        line, trigger = dsp.itrend(x)
-        fish, signal = dsp.fisher(x)
-        return {idx: a[idx], "ema_13": dsp.ema(x, 13), **dsp.macd(x), "roofing": dsp.roofing(x), "fisher": fish, "fisher_signal": signal, "ebsw": dsp.sinewave(x), "itrend": line, "itrend_trigger": trigger, "above_itrend": (x > line).astype(np.int32), "hurst": dsp.rolling_hurst(x)}
-
-    schema = f"{idx} bigint, ema_13 double, macd double, macd_signal double, macd_hist double, macd_slope double, roofing double, fisher double, fisher_signal double, ebsw double, itrend double, itrend_trigger double, above_itrend int, hurst double"
-    out = per_key(df, by, order, [v, idx], run, schema)
-    return out.withColumn("fisher_signal", F.when(~F.isnan("fisher_signal"), F.col("fisher_signal")))
-
-
-def cusum(df: DataFrame, by: str, order: Sequence[str], v: str, idx: str, h: float = 1.0, drift: float = 0.0) -> DataFrame:
-    def run(a: Arrays) -> Arrays:
-        up, down, alarm = dsp.cusum(a[v].astype(float), h, drift)
-        return {idx: a[idx], "up": up, "down": down, "alarm": alarm}
-
-    return per_key(df, by, order, [v, idx], run, f"{idx} bigint, up double, down double, alarm boolean")
+# --- hidden states ----------------------------------------------------------------------------------
 
 
 def kalman_trend(df: DataFrame, by: str, order: Sequence[str], v: str, idx: str, rounds: int = 5) -> DataFrame:
