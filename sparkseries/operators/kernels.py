@@ -1,7 +1,7 @@
 """Kernels on Spark: one series of a key is one Arrow table in a task.
 
 A key's whole series must fit in a task's memory (90 days of 5-minute bars are 2 MB); resample denser series
-first. Row indicators and cumulative sums are in ``scans``, which cuts a series into segments. Grid sweeps loop over configurations inside the task, so bars are moved once.
+first. Row indicators, cumulative sums and signatures are in ``scans``, which cuts a series into segments. Grid sweeps loop over configurations inside the task, so bars are moved once.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..kernels import dsp, paths, regimes, trades
 from . import stats
-from .scans import cusum, indicators  # noqa: F401  in segments
+from .scans import cusum, indicators, prefix_signatures, signatures  # noqa: F401  in segments
 
 Arrays = dict[str, np.ndarray]
 EPISODE = "entry_idx int, exit_idx int, duration int, entry_value double, peak_value double, exit_value double, peak_return_pct double, exit_return_pct double, initial_roc double, observed boolean"
@@ -135,20 +135,6 @@ def resampled(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str],
     return per_key(df, by, order, cols, lambda a: [{"path": fn(_path(a, cols), n).tolist()}], "path array<array<double>>")
 
 
-def signatures(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Depth-3 signature of each key's path with time added."""
-
-    def run(a: Arrays) -> list[dict]:
-        p = _path(a, cols)
-        return [{"sig": paths.signature(np.column_stack([np.linspace(0, 1, len(p)), p])).tolist()}]
-
-    return per_key(df, by, order, cols, run, "sig array<double>")
-
-
-def prefix_signatures(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str], first: int = 3, time_scale: str = "prefix") -> DataFrame:
-    return per_key(df, by, order, cols, lambda a: [{"len": k, "sig": s.tolist()} for k, s in paths.prefix_signatures(_path(a, cols), first, time_scale)], "len int, sig array<double>")
-
-
 def pairwise(df: DataFrame, key: str, path: str, distance: str = "dtw", block: int = 64, w: float = 0.5) -> DataFrame:
     """(a, b, distance) of all pairs a < b of a table of paths, block against block; each row goes to one task for
     each block, not to one for each other row."""

@@ -15,11 +15,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..kernels import dsp
+from ..kernels import dsp, paths
 from .stats import written_once
 
 ROWS = 8192
@@ -421,3 +421,79 @@ def cusum(df: DataFrame, by: str, order: Sequence[str], v: str, idx: str, h: flo
         return {idx: s.x["i"].astype(np.int64), "up": np.concatenate([front, a]), "down": -np.concatenate([front, b]), "alarm": np.concatenate([front > 0, alarm])}
 
     return scan(named, by, order, ["v", "i", "sd"], [[up, down]], replay, f"{idx} bigint, up double, down double, alarm boolean", 0, rows)
+
+
+# --- path signatures --------------------------------------------------------------------------------
+
+
+def _levels(s: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return s[..., :d], s[..., d : d + d * d].reshape(*s.shape[:-1], d, d), s[..., d + d * d :].reshape(*s.shape[:-1], d, d, d)
+
+
+def chen(a: np.ndarray, b: np.ndarray, d: int) -> np.ndarray:
+    """Depth-3 signature of a path followed by another, for each row of ``b``: the product of the two in the truncated tensor algebra."""
+    (a1, a2, a3), (b1, b2, b3) = _levels(a, d), _levels(b, d)
+    one, two, three = a1 + b1, a2 + np.einsum("i,...j->...ij", a1, b1) + b2, a3 + np.einsum("ij,...k->...ijk", a2, b1) + np.einsum("i,...jk->...ijk", a1, b2) + b3
+    flat = b.shape[:-1]
+    return np.concatenate([one, two.reshape(*flat, -1), three.reshape(*flat, -1)], axis=-1)
+
+
+class Signature(Step):
+    """Signature of the path of some columns with time (a row is 1) as first dimension; the map of a segment is its own signature, from the row before it on."""
+
+    name = "signature"
+
+    def __init__(self, cols: Sequence[str]):
+        self.cols, self.d = list(cols), len(cols) + 1
+        self.start = (0.0,) * (self.d + self.d**2 + self.d**3)
+        times = (np.arange(self.d) == 0).astype(int)
+        pairs = np.add.outer(times, times)
+        self.power = np.concatenate([times, pairs.ravel(), np.add.outer(pairs, times).ravel()])  # how often time occurs in each term
+
+    def steps(self, s: Segment) -> np.ndarray:
+        """Signatures from the row before the segment to each of its rows."""
+        before = min(1, s.base)
+        x = np.stack([s.padded(c, before) for c in self.cols], axis=1)
+        return paths.signature_steps(np.column_stack([np.arange(len(x)), x]))[before:]
+
+    def reduce(self, s: Segment) -> Sequence[float]:
+        return self.steps(s)[-1]
+
+    def apply(self, state: np.ndarray, found: np.ndarray) -> Sequence[float]:
+        return chen(state, found, self.d)
+
+
+def _signed(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str], rows: int, each: bool) -> DataFrame:
+    """(by, len, sig) of every prefix, or of those that end a segment; time runs by rows."""
+    step = Signature(cols)
+
+    def replay(s: Segment) -> Arrays:
+        own = step.steps(s)
+        n = np.arange(s.base + 1, s.base + len(own) + 1)
+        own, n = (own, n) if each else (own[-1:], n[-1:])
+        full = chen(s.state[step.name], own, step.d)
+        return {"len": n, "sig": pa.ListArray.from_arrays(np.arange(0, full.size + 1, full.shape[1], dtype=np.int32), pa.array(full.ravel()))}
+
+    named = df.select(by, *order, *[F.col(c).cast("double").alias(c) for c in cols if c not in order])
+    return scan(named, by, order, cols, [[step]], replay, "len int, sig array<double>", 1, rows)
+
+
+def _timed(sig: str, length: str, power: np.ndarray) -> Column:
+    """The signature with time running from 0 to 1 over ``length`` rows."""
+    return F.zip_with(sig, F.array(*[F.lit(int(p)) for p in power]), lambda x, p: x / F.pow(F.greatest(F.col(length) - 1, F.lit(1)).cast("double"), p))
+
+
+def signatures(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str], rows: int = ROWS) -> DataFrame:
+    """(by, sig): depth-3 signature of each key's path with time from 0 to 1 added. An only row has zeros."""
+    last = _signed(df, by, order, cols, rows, False).groupBy(by).agg(F.max_by("sig", "len").alias("sig"), F.max("len").alias("len"))
+    return last.select(by, _timed("sig", "len", Signature(cols).power).alias("sig"))
+
+
+def prefix_signatures(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str], first: int = 3, time_scale: str = "prefix", rows: int = ROWS) -> DataFrame:
+    """(by, len, sig) of the prefixes of at least ``first`` rows. ``time_scale`` prefix lets time run from 0 to 1 over each prefix, so that
+    equal paths have equal signatures; full lets it run over the whole path."""
+    found = _signed(df, by, order, cols, rows, True).where(F.col("len") >= first)
+    if time_scale == "full":
+        size = df.groupBy(F.col(by).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+        found = found.join(size, F.col(by).eqNullSafe(F.col("_of")))
+    return found.select(by, "len", _timed("sig", "_n" if time_scale == "full" else "len", Signature(cols).power).alias("sig"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkseries.kernels import dsp
+from sparkseries.kernels import dsp, paths
 from sparkseries.operators import scans
 
 T0 = datetime(2024, 1, 1)
@@ -89,3 +89,23 @@ def test_pieces_of_sums_by_trying_every_start():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "k string, ts timestamp, i long, v double")
     assert scans.indicators(df, "k", ["ts"], "v", "i").count() == 0 and scans.cusum(df, "k", ["ts"], "v", "i").count() == 0
+
+
+@pytest.mark.parametrize("rows", [20, 100_000])
+def test_signatures(spark, rows):
+    r = np.random.default_rng(3)
+    walks = {k: np.stack([r.normal(size=n).cumsum(), np.arange(n) % 7], axis=1) for k, n in (("long", 300), ("one", 1), ("two", 2), ("five", 5))}
+    at = {k: np.cumsum(r.choice([1, 500], len(x), p=[0.95, 0.05])) for k, x in walks.items()}
+    df = spark.createDataFrame([(k, T0 + timedelta(seconds=int(t)), float(a), float(b)) for k, x in walks.items() for t, (a, b) in zip(at[k], x)], "k string, ts timestamp, a double, b double")
+    got = {g.k: np.array(g.sig) for g in scans.signatures(df, "k", ["ts"], ["a", "b"], rows).collect()}
+    for k, x in walks.items():
+        assert np.allclose(got[k], paths.signature(np.column_stack([np.linspace(0, 1, len(x)), x])), rtol=1e-8, atol=1e-8), k
+    for scale in ("prefix", "full"):
+        found = {(g.k, g.len): np.array(g.sig) for g in scans.prefix_signatures(df, "k", ["ts"], ["a", "b"], 3, scale, rows).collect()}
+        want = {(k, n): s for k, x in walks.items() for n, s in paths.prefix_signatures(x, 3, scale)}
+        assert found.keys() == want.keys() and all(np.allclose(found[key], want[key], rtol=1e-8, atol=1e-7) for key in want)
+
+
+def test_chen_product_is_the_signature_of_the_joined_path():
+    x = np.random.default_rng(1).normal(size=(9, 3))
+    assert np.allclose(scans.chen(paths.signature(x[:5]), paths.signature(x[4:]), 3), paths.signature(x))
