@@ -1,7 +1,7 @@
 """Kernels on Spark: one series of a key is one Arrow table in a task.
 
 A key's whole series must fit in a task's memory (90 days of 5-minute bars are 2 MB); resample denser series
-first. Row indicators, cumulative sums and signatures are in ``scans``, which cuts a series into segments. Grid sweeps loop over configurations inside the task, so bars are moved once.
+first. Row indicators, cumulative sums and signatures are in ``scans`` and pooled hidden-state models in ``hidden``, which cuts a series into segments. Grid sweeps loop over configurations inside the task, so bars are moved once.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..kernels import dsp, paths, regimes, trades
 from . import stats
+from .hidden import fit_pooled_hmm, hmm_filter, hmm_posterior  # noqa: F401  in segments
 from .scans import cusum, indicators, prefix_signatures, signatures  # noqa: F401  in segments
 
 Arrays = dict[str, np.ndarray]
@@ -82,46 +83,6 @@ def hmm_regime(df: DataFrame, by: str, order: Sequence[str], v: str, idx: str, k
     return per_key(df, by, order, [v, idx], run, f"{idx} bigint, state int, duration int, p_down double")
 
 
-def fit_pooled_hmm(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str], k: int = 2, rounds: int = 8, start_rows: int = 5000) -> dict:
-    """One HMM for many series. Each round, tasks send the sufficient statistics of their keys, which Spark sums; the
-    driver holds only the model. The start comes from at most ``start_rows`` rows, taken in key order."""
-    df = stats.written_once(df.select(*dict.fromkeys([by, *order, *cols])))
-    sample = np.array(df.select(*cols).na.drop().orderBy(by, *order).limit(start_rows).toPandas(), float)  # bounded
-    model, d = regimes.start_model(sample, k), len(cols)
-    names = ["start", "move", "n", "x", "xx", "ll"]
-    sizes = [k, k * k, k, k * d, k * d * d, 1]
-    for _ in range(rounds):
-        held = df.sparkSession.sparkContext.broadcast(model)
-
-        def run(a: Arrays, held=held) -> list[dict]:
-            x = np.stack([a[c].astype(float) for c in cols], axis=1)
-            x = x[~np.isnan(x).any(axis=1)]
-            if len(x) < 2:
-                return []
-            s = regimes.expect(x, held.value)
-            return [{"i": i, "v": float(y)} for i, y in enumerate(np.concatenate([s[n].ravel() for n in names]))]
-
-        rows = per_key(df, by, order, list(cols), run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # a few numbers
-        flat = np.array([r["v"] for r in rows])
-        parts = np.split(flat, np.cumsum(sizes)[:-1])
-        summed = dict(zip(names, (parts[0], parts[1].reshape(k, k), parts[2], parts[3].reshape(k, d), parts[4].reshape(k, d, d), parts[5])))
-        model = regimes.maximise(summed) | {"ll": float(summed["ll"][0])}
-    return model
-
-
-def hmm_posterior(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str], idx: str, model: dict) -> DataFrame:
-    """Smoothed P(state with the largest mean of the first column) of every row (not causal)."""
-    held = df.sparkSession.sparkContext.broadcast(model)
-
-    def run(a: Arrays) -> Arrays:
-        m = held.value
-        x = np.nan_to_num(np.stack([a[c].astype(float) for c in cols], axis=1))
-        post = regimes.forward_backward(regimes.log_density(x, m["mean"], m["cov"]), m["start"], m["move"])[0]
-        return {idx: a[idx], "growth": post[:, int(np.argmax(m["mean"][:, 0]))]}
-
-    return per_key(df, by, order, [*cols, idx], run, f"{idx} bigint, growth double")
-
-
 # --- paths ------------------------------------------------------------------------------------------
 
 

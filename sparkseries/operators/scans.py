@@ -31,6 +31,7 @@ class Segment:
 
     def __init__(self, x: Arrays, halo: Arrays, base: int, state: dict[str, np.ndarray]):
         self.x, self.halo, self.base, self.state = x, halo, base, state
+        self.memo: dict[str, object] = {}  # what steps share
 
     def padded(self, col: str, n: int) -> np.ndarray:
         """The column with ``n`` values before it (0 where the series has none)."""
@@ -39,9 +40,9 @@ class Segment:
 
 
 class Step:
-    """One recurrence: ``reduce`` gives a segment's map as numbers, ``apply`` the state after it."""
+    """One recurrence: ``reduce`` gives a segment's map as numbers, ``apply`` the state after it (before it, if the recurrence runs ``back``)."""
 
-    name = ""
+    name, back = "", False
     start: Sequence[float] = ()
 
     def reduce(self, s: Segment) -> Sequence[float]:
@@ -93,19 +94,21 @@ def _folded(steps: Sequence[Step]) -> Callable[[pa.Table], pa.Table]:
         columns = []
         for step in steps:
             state, before = np.array(step.start, float), []
-            for found in table[step.name].to_pylist():
+            maps = table[step.name].to_pylist()
+            for found in reversed(maps) if step.back else maps:
                 before.append(state.tolist())
                 state = np.array(step.apply(state, np.array(found)), float)
+            before = before[::-1] if step.back else before
             columns.append(pa.array(before, pa.list_(pa.float64())))
         return pa.table([table["_key"], table["_seg"], *columns], names=table.column_names)
 
     return fold
 
 
-def scan(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str], rounds: Sequence[Sequence[Step]], replay: Callable[[Segment], Arrays], schema: str, halo: int = 0, rows: int = ROWS) -> DataFrame:
+def scan(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str], rounds: Sequence[Sequence[Step]], replay: Callable[[Segment], Arrays], schema: str, halo: int = 0, rows: int = ROWS, ready: bool = False) -> DataFrame:
     """``replay`` on every segment with the states of all steps before it; its arrays come back under ``by`` and ``schema``. Rows pass one exchange when they are
-    packed and, as whole segments, one for each join with the states unless these are small enough for Spark to broadcast."""
-    p = written_once(packed(df, by, order, cols, rows))
+    packed and, as whole segments, one for each join with the states unless these are small enough for Spark to broadcast. ``ready``: ``df`` is a result of ``packed``."""
+    p = df if ready else written_once(packed(df, by, order, cols, rows))
     heads, known = written_once(_heads(p, by, halo)), []
     key = df.schema[by].dataType
     kind = T.StructType([T.StructField("_key", key), T.StructField("_seg", T.LongType())])

@@ -143,6 +143,25 @@ def growth(spark, d):
     return b.join(K.hmm_posterior(b, "k", O, ["lr", "lv"], "i", model), ["k", "i"])
 
 
+#: A given model of two states: (start, mean, deviation) of log growth in each, and the probability to stay.
+GIVEN, STAY = ((0.6, -0.1, 1.2), (0.4, 0.3, 0.5)), 0.8
+
+
+def _density(x: str, j: int) -> str:
+    return f"exp(-0.5 * ({x} - {GIVEN[j][1]}) ** 2 / {GIVEN[j][2]} ** 2) / {GIVEN[j][2]}"
+
+
+@query(f"""WITH RECURSIVE {BARS_U}, x AS (SELECT k, i, coalesce(ln(greatest(v, 1)) - ln(greatest(lag(v) OVER (PARTITION BY k ORDER BY ts, id), 1)), 0) AS r FROM bars_u),
+s(k, i, a, b) AS (SELECT k, i, p / (p + q), q / (p + q) FROM (SELECT k, i, {GIVEN[0][0]} * {_density('r', 0)} AS p, {GIVEN[1][0]} * {_density('r', 1)} AS q FROM x WHERE i = 0) UNION ALL
+SELECT k, i, p / (p + q), q / (p + q) FROM (SELECT x.k, x.i, (s.a * {STAY} + s.b * {1 - STAY:.1f}) * {_density('x.r', 0)} AS p, (s.a * {1 - STAY:.1f} + s.b * {STAY}) * {_density('x.r', 1)} AS q FROM s JOIN x ON x.k = s.k AND x.i = s.i + 1))
+SELECT k, i, b AS growth FROM s""", "growth")
+def h10_forward_filter(spark, d):
+    """P(growth state) up to each row under a given model."""
+    b = bars_u(spark, d).withColumn("lr", F.coalesce(F.log(F.greatest("v", F.lit(1.0))) - F.log(F.greatest(U.lag("v"), F.lit(1.0))), F.lit(0.0)))
+    model = {"start": np.array([g[0] for g in GIVEN]), "move": np.array([[STAY, 1 - STAY], [1 - STAY, STAY]]), "mean": np.array([[g[1]] for g in GIVEN]), "cov": np.array([[[g[2] ** 2]] for g in GIVEN])}
+    return K.hmm_filter(b, "k", O, ["lr"], "i", model)
+
+
 @query()
 def h10_pooled_hmm(spark, d):
     return growth(spark, d).select("k", "i", "growth")

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkseries.kernels import dsp, paths
-from sparkseries.operators import scans
+from sparkseries.kernels import dsp, paths, regimes
+from sparkseries.operators import hidden, scans
 
 T0 = datetime(2024, 1, 1)
 
@@ -109,3 +109,23 @@ def test_signatures(spark, rows):
 def test_chen_product_is_the_signature_of_the_joined_path():
     x = np.random.default_rng(1).normal(size=(9, 3))
     assert np.allclose(scans.chen(paths.signature(x[:5]), paths.signature(x[4:]), 3), paths.signature(x))
+
+
+@pytest.mark.parametrize("rows", [25, 100_000])
+def test_pooled_model_in_segments(spark, rows):
+    """Posteriors, the sums of EM rounds and the likelihood equal those of whole series."""
+    r = np.random.default_rng(11)
+    x = {k: np.where(r.random((n, 1)) < 0.5, 0.0, 1.0) * [2.0, -1.0] + r.normal(size=(n, 2)) for k, n in (("long", 400), ("two", 2), ("mid", 60), ("one", 1))}
+    at = {k: np.cumsum(r.choice([1, 700], len(v), p=[0.95, 0.05])) for k, v in x.items()}
+    df = spark.createDataFrame([(k, T0 + timedelta(seconds=int(t)), i, float(a), float(b)) for k, v in x.items() for i, (t, (a, b)) in enumerate(zip(at[k], v))], "k string, ts timestamp, i long, a double, b double")
+    model = hidden.fit_pooled_hmm(df, "k", ["ts"], ["a", "b"], rounds=3, rows=rows)
+    want = regimes.start_model(np.concatenate([x[k] for k in sorted(x)]), 2)
+    for _ in range(3):
+        parts = [regimes.expect(v, want) for v in x.values() if len(v) > 1]
+        want = regimes.maximise({n: sum(p[n] for p in parts) for n in parts[0]}) | {"ll": float(sum(p["ll"][0] for p in parts))}
+    assert all(np.allclose(model[n], want[n], rtol=1e-8, atol=1e-8) for n in want)
+    state = int(np.argmax(want["mean"][:, 0]))
+    smooth = by_key(hidden.hmm_posterior(df, "k", ["ts"], ["a", "b"], "i", want, rows))
+    for k, v in x.items():
+        post = regimes.forward_backward(regimes.log_density(v, want["mean"], want["cov"]), want["start"], want["move"])[0]
+        assert np.allclose([g.growth for g in smooth[k]], post[:, state], atol=1e-8), k
