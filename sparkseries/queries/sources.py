@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..sources import landing as L
 from ..sources import readers as R
 from ..sources import tables as T
 from . import query
@@ -91,6 +92,17 @@ def src7_latest_snapshot(spark, d):
     return R.latest_snapshot(t, ["k", "kind"]).select("k", "id")
 
 
+@query(f"WITH {TICKS} SELECT k, id, v FROM ticks QUALIFY id % 3 = max(id % 3) OVER (PARTITION BY k)", "v")
+def src7_landing_newest(spark, d):
+    """A user's ticks in up to three snapshot documents, and the same again under a 5-minute name: only the newest of the asked dataset is opened."""
+    row = F.struct("id", F.col("v").cast("string").alias("v"))
+    docs = ticks(spark, d).groupBy(F.col("k").cast("string").alias("address"), (F.lit(1_700_000_000_000) + F.col("id") % 3).alias("version")).agg(F.to_json(F.struct(F.collect_list(row).alias("list"))).alias("value"))  # a document is a key's snapshot file
+    names = docs.withColumn("dataset", F.explode(F.array(F.lit("candles"), F.lit("candles_5m"))))
+    L.land(names.select("address", "dataset", "version", "value"), path := landing(spark, "newest"))
+    rows = L.read_landing(spark, path, "candles", "list array<struct<id: bigint, v: string>>").select(F.col("address").cast("bigint").alias("k"), F.explode("doc.list").alias("x"))
+    return rows.select("k", "x.id", R.safe_float(F.col("x.v")).alias("v"))
+
+
 @query(f"""WITH {TICKS}, s AS (SELECT k, id, 0 AS source FROM ticks WHERE kind = 'click' UNION ALL SELECT k, id, 1 FROM ticks WHERE kind = 'view' UNION ALL SELECT k, id, 2 FROM ticks), n AS (SELECT *, count(*) OVER (PARTITION BY k, source) AS n FROM s)
 SELECT k, id, source FROM n QUALIFY source = min(CASE WHEN n >= 14 THEN source END) OVER (PARTITION BY k)""")
 def src8_prefer_source(spark, d):
