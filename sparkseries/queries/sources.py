@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..sources import landing as L
+from ..sources.keyed import KeyedTable
 from ..sources import readers as R
 from ..sources import tables as T
 from . import query
@@ -139,6 +140,16 @@ def src13_upsert(spark, d):
     return T.upsert(target, t.where("id % 2 = 1"), ["k", "kind"], "id")
 
 
+@query(f"""WITH {TICKS} SELECT k, kind, id, v FROM ticks QUALIFY row_number() OVER (PARTITION BY k, kind ORDER BY id DESC) = 1""", "v")
+def src13_bucketed_upsert(spark, d):
+    """Four batches of changes into buckets, with compaction on the way."""
+    t = ticks(spark, d).select("k", "kind", "id", "v")
+    table = KeyedTable(spark, landing(spark, "keyed"), ["k", "kind"], "id", t.schema, buckets=16, max_deltas=2)
+    for i in range(4):
+        table.upsert(t.where(F.col("id") % 4 == i), i)
+    return table.read()
+
+
 @query(f"""WITH {TICKS} SELECT k, min(id) FILTER (kind = 'click') AS id FROM ticks GROUP BY k HAVING count(*) FILTER (kind = 'click') > 0 UNION ALL
 SELECT k, min(id) FILTER (kind = 'view') FROM ticks GROUP BY k HAVING count(*) FILTER (kind = 'click') = 0 AND count(*) FILTER (kind = 'view') > 0""")
 def src13_insert_if_absent(spark, d):

@@ -193,14 +193,15 @@ def ss13_stream_log(spark, d):
 
 @query(f"WITH {TICKS} SELECT k, last(id ORDER BY ts, id) AS id, round(last(v ORDER BY ts, id) / 500, 4) AS score FROM ticks GROUP BY k", "score", 3)
 def ss14_stream_rescore(spark, d):
-    """Latest state of each key, scored in every micro-batch and upserted."""
+    """Latest state of each key, scored in every micro-batch and upserted into buckets."""
     from ..operators.topk import latest_per_key
+    from ..sources.keyed import KeyedTable
 
     def score(batch: DataFrame) -> DataFrame:
         return latest_per_key(batch, "k", ["ts", "id"]).withColumn("score", F.round(F.col("v") / 500, 4))
 
     at = landing(spark, "ss14")
-    W.stream_upsert(ticks(spark, d).select("k", "ts", "id", "v"), f"{at}/table", f"{at}/checkpoint", ["k"], "ts", score).awaitTermination()
-    return W.latest(spark, f"{at}/table").select("k", "id", "score")
-
-
+    rows = ticks(spark, d).select("k", "ts", "id", "v")
+    table = KeyedTable(spark, f"{at}/table", ["k"], "ts", rows.withColumn("score", F.col("v")).schema)
+    W.stream_keyed(rows, table, f"{at}/checkpoint", score).awaitTermination()
+    return table.read().select("k", "id", "score")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.keyed import KeyedTable
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -84,6 +86,18 @@ def stream_upsert(df: DataFrame, path: str, checkpoint: str, keys: list[str], ve
     return for_each(df, merge, checkpoint)
 
 
+def stream_keyed(df: DataFrame, table: KeyedTable, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Each micro-batch (after ``prepare``) upserted into a keyed table: only the buckets of its keys are written, and a repeated batch changes nothing."""
+
+    def merge(batch: DataFrame, i: int) -> None:
+        rows = (prepare(batch) if prepare else batch).persist()  # a micro-batch, read for each step of the merge
+        table.upsert(rows, i)
+        table.vacuum()
+        rows.unpersist()
+
+    return for_each(df, merge, checkpoint)
+
+
 def stream_watchlist(found: DataFrame, path: str, checkpoint: str, key: str, ts: str, ttl_hours: float, max_size: int) -> StreamingQuery:
     """Watch-list: new keys are inserted if absent, entries beyond the TTL or the size (oldest first) go."""
     from ..operators.topk import cap_watchlist
