@@ -157,29 +157,6 @@ def partial_returns(df: DataFrame, by: str, order: Sequence[str], cols: Sequence
     return per_key(df, by, order, cols, run, "ret double, n_sales int")
 
 
-def label_actions(df: DataFrame, by: str, order: Sequence[str], v: str, peak: str, best: str, near_low: str, variant: str = "window") -> DataFrame:
-    """Hindsight action of each row after an entry (one series for each entry), with the share left before and after."""
-
-    def run(a: Arrays) -> list[dict]:
-        got = trades.hindsight(a[v].astype(float), a[peak].astype(bool), a[best].astype(float), a[near_low].astype(float), variant)
-        return [{"tick": i, "action": x, "before": b, "after": c} for i, x, b, c in got]
-
-    return per_key(df, by, order, [v, peak, best, near_low], run, "tick int, action string, before double, after double")
-
-
-def replay_actions(df: DataFrame, by: str, order: Sequence[str], v: str, action: str, max_hold: int = 48, target: float = 1.0, stop: float = -0.2) -> DataFrame:
-    """Return of each entry under its actions, against holding to the end and against a fixed target and stop."""
-
-    def run(a: Arrays) -> list[dict]:
-        x = a[v].astype(float)[:max_hold]
-        got = trades.replay(x, list(a[action]))
-        gain = (x - x[0]) / max(x[0], 1)
-        out = np.flatnonzero((gain >= target) | (gain <= stop))
-        return [{"ret": got["ret"], "held": got["held"], "hold_ret": float(gain[-1]), "rules_ret": float(gain[out[0]] if len(out) else gain[-1])}]
-
-    return per_key(df, by, order, [v, action], run, "ret double, held int, hold_ret double, rules_ret double")
-
-
 def simulate_funnel(df: DataFrame, by: str, order: Sequence[str], v: str, candidate: str, score: str, action: str, threshold: float, **how) -> DataFrame:
     def run(a: Arrays) -> list[dict]:
         return trades.funnel(a[v].astype(float), a[candidate].astype(bool), a[score].astype(float), list(a[action]), threshold, **how)

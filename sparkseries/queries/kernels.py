@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import Series
@@ -12,7 +13,9 @@ from ..kernels import trades as R
 from ..operators import features as X
 from ..operators import joins as J
 from ..operators import kernels as K
+from ..operators import rules as Q
 from ..operators import stats as A
+from ..operators.rules import Rule
 from ..functions.scalars import hash_split
 from . import ORACLE_SQL, query
 from .clean import SPLIT
@@ -332,31 +335,41 @@ def h20_scalp_trades(spark, d):
 
 
 W = "WINDOW w AS (PARTITION BY k ORDER BY i)"
-LIFE = f"""WITH RECURSIVE {BARS_U}, w AS (SELECT *, coalesce(coalesce(vol / nullif(avg(vol) OVER (PARTITION BY k ORDER BY i ROWS 23 PRECEDING), 0), 0) < 0.5, false) AS dry, coalesce(h / nullif(lag(h, 3) OVER w, 0) - 1, NULL) AS h3, v / nullif(max(v) OVER w, 0) - 1 AS dd FROM bars_u {W}),
-g AS (SELECT *, sum(CASE WHEN dry THEN 0 ELSE 1 END) OVER w AS isle FROM w {W}), x AS (SELECT k, i, v, first(v) OVER w AS p, max(i) OVER (PARTITION BY k) AS z, last_value(v) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS vz,
-least(24, sum(CASE WHEN dry THEN 1 ELSE 0 END) OVER (PARTITION BY k, isle ORDER BY i)) AS dry, CASE WHEN i >= 11 THEN coalesce(avg(vol) OVER (PARTITION BY k ORDER BY i ROWS 5 PRECEDING) / nullif(avg(vol) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 11 PRECEDING AND 6 PRECEDING), 0) - 1, 0) ELSE 0 END AS vt,
-coalesce(h / nullif(lag(h, 6) OVER w, 0) - 1, 0) AS ht, coalesce(h3 - lag(h3, 3) OVER w, 0) AS ha, coalesce(v / nullif(lag(v, 4) OVER w, 0) - 1, 0) AS r4, coalesce(v / nullif(lag(v, 12) OVER w, 0) - 1, 0) AS r12, least(1, -dd) AS sp,
-v / nullif(coalesce(sum(v * vol) OVER w12 / nullif(sum(vol) OVER w12, 0), v), 0) - 1 AS gap FROM g {W}, w12 AS (PARTITION BY k ORDER BY i ROWS 11 PRECEDING)),
-s(k, i, rest, made, n, pk, best) AS (SELECT k, i, 1::DOUBLE, 0::DOUBLE, 0, v, 0::DOUBLE FROM x WHERE i = 0 UNION ALL SELECT k, i, rest - cut, made + cut * gain * 0.97, n + (cut > 0)::INT, pk, best FROM (SELECT k, i, gain, rest, made, n, pk, best, CASE WHEN rest <= 0.001 THEN 0 ELSE least(rest,
-CASE WHEN v < 30 THEN CASE WHEN off < -0.8 AND dry >= 12 OR dry >= 20 AND vt < 0.3 AND r12 < -0.15 THEN 1 ELSE 0 END
-WHEN v < 100 THEN CASE WHEN off < -0.7 AND dry >= 6 OR dry >= 30 THEN 1 WHEN dry >= 15 AND vt < 0.5 THEN 0.35 WHEN dry >= 8 THEN 0.2 WHEN abs(ht) < 0.001 AND (gain > 0.8 OR gain > 0.4 AND r4 < -0.03 AND gap < -0.05) THEN 0.15 ELSE 0 END
-WHEN off < -0.7 AND ht <= 0 OR dry >= 24 THEN 1 WHEN dry >= 12 AND vt < 0.5 THEN 0.4 WHEN dry >= 6 THEN 0.25 WHEN best >= 5 AND off < -0.35 AND sp >= 0.35 THEN 0.4 WHEN best >= 2 AND off < -0.45 AND sp >= 0.35 THEN 0.3
-WHEN gain > 0.8 AND ha < -0.003 AND r4 < -0.02 AND gap < -0.03 OR abs(ht) < 0.001 AND gain > 0.5 THEN 0.2 ELSE 0 END) END AS cut
-FROM (SELECT *, CASE WHEN pk > 0 THEN v / pk - 1 ELSE 0 END AS off, greatest(was, gain) AS best FROM (SELECT x.*, s.rest, s.made, s.n, s.best AS was, greatest(s.pk, x.v) AS pk, (x.v - x.p) / greatest(x.p, 1) AS gain FROM s JOIN x ON x.k = s.k AND x.i = s.i + 1)))),
-lad AS (SELECT k, i, z, gain, max(gain) OVER b AS hi, min(gain) OVER b AS lo FROM (SELECT *, (v - p) / greatest(p, 1) AS gain FROM x) WINDOW b AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-step AS (SELECT k, gain, f.part, row_number() OVER (PARTITION BY k ORDER BY i, up DESC, abs(f.edge)) AS o FROM lad JOIN (VALUES (0.3, 0.15, 1), (0.8, 0.2, 1), (2.0, 0.2, 1), (5.0, 0.2, 1), (10.0, 0.15, 1), (-0.15, 0.3, 0), (-0.3, 0.3, 0), (-0.5, 1.0, 0)) AS f(edge, part, up)
-ON CASE WHEN up = 1 THEN gain >= f.edge AND coalesce(hi < f.edge, true) ELSE gain <= f.edge AND coalesce(lo > f.edge, true) END), sold AS (SELECT k, gain, greatest(0, least(part, 1 - coalesce(sum(part) OVER (PARTITION BY k ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::DOUBLE AS cut FROM step),
-lsum AS (SELECT k, sum(cut * gain) AS made, 1 - sum(cut) AS rest FROM sold GROUP BY k)"""
-
-
-@query(f"""{LIFE} SELECT x.k, s.made + CASE WHEN s.rest > 0.001 THEN s.rest * (x.v - p) / greatest(p, 1) * 0.97 ELSE 0 END AS lifecycle, n AS n_sales, (coalesce(lsum.made, 0) + coalesce(lsum.rest, 1) * (x.v - p) / greatest(p, 1)) * 0.97 AS ladder, x.v * 0.97 / (p * 1.03) - 1 AS hold
-FROM s JOIN x ON x.k = s.k AND x.i = s.i AND x.i = x.z LEFT JOIN lsum ON lsum.k = x.k""", "lifecycle ladder hold")
+PRIOR = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+def cases(rules: list[Rule], what: str) -> str:
+    """SQL of the first rule that holds."""
+    return "CASE " + " ".join(f"WHEN {r.when} THEN {r.part!r}" if what == "part" else f"WHEN {r.when} THEN '{r.action}'" for r in rules) + (" ELSE 0 END" if what == "part" else " ELSE 'HOLD' END")
+
+
+def sales_sql(rows: str, part: str, key: str = "k", order: str = "i", action: str = "''") -> str:
+    """Tables ``pos`` (gain, off_peak, best) and ``sales`` (before, sold, after) of positions over ``rows``."""
+    w = f"PARTITION BY {key} ORDER BY {order}"
+    return f"""{rows}, p0 AS (SELECT *, (v - first(v) OVER (w)) / greatest(first(v) OVER (w), 1) AS gain, CASE WHEN max(v) OVER (w) > 0 THEN v / max(v) OVER (w) - 1 ELSE 0 END AS off_peak FROM x WINDOW w AS ({w})),
+pos AS (SELECT *, greatest(0, max(gain) OVER ({w})) AS best, max(gain) OVER ({w} {PRIOR}) AS hi, min(gain) OVER ({w} {PRIOR}) AS lo FROM p0), cut AS (SELECT *, {part} AS part, {action} AS wanted FROM pos),
+was AS (SELECT *, greatest(0, 1 - coalesce(sum(part) OVER ({w} {PRIOR}), 0)) AS before FROM cut), sales AS (SELECT *, least(part, before) AS sold, before - least(part, before) AS after FROM was)"""
+
+
+OUTCOME = "SELECT k, (sum(sold * gain) + last(after * gain ORDER BY i)) * 0.97 AS ret, CAST(count(*) FILTER (sold > 0) AS INT) AS n_sales FROM sales GROUP BY k"
+LIFE_ROWS = f"""{BARS_U}, w AS (SELECT *, coalesce(coalesce(vol / nullif(avg(vol) OVER (PARTITION BY k ORDER BY i ROWS 23 PRECEDING), 0), 0) < 0.5, false) AS quiet FROM bars_u),
+g AS (SELECT *, sum(CASE WHEN quiet THEN 0 ELSE 1 END) OVER w AS isle FROM w {W}), x AS (SELECT k, i, v, least(24, sum(CASE WHEN quiet THEN 1 ELSE 0 END) OVER (PARTITION BY k, isle ORDER BY i)) AS dry, coalesce(v / nullif(lag(v, 4) OVER w, 0) - 1, 0) AS roc_4,
+coalesce(h / nullif(lag(h, 6) OVER w, 0) - 1, 0) AS holders FROM g {W})"""
+#: Rules by band of the value: silence ends small positions, falls from a peak and lost momentum take parts of larger ones.
+LIFE_RULES = [Rule("silent", 1.0, "v < 25 AND dry >= 4"), Rule("slump", 0.5, "v >= 25 AND v < 110 AND off_peak < -0.6 AND holders <= 0.02"), Rule("cool", 0.125, "v >= 25 AND v < 110 AND gain > 0.25 AND roc_4 < -0.2"),
+              Rule("peak_gone", 0.25, "v >= 110 AND best > 1.5 AND off_peak < -0.2"), Rule("quiet_top", 0.125, "v >= 110 AND dry >= 2")]
+STEPS = [(0.25, 0.125), (1.0, 0.25), (4.0, 0.25), (-0.2, 0.25), (-0.6, 1.0)]
+STEP_PART = " + ".join(f"CASE WHEN gain >= {g} AND coalesce(hi < {g}, true) THEN {p} ELSE 0 END" if g > 0 else f"CASE WHEN gain <= {g} AND coalesce(lo > {g}, true) THEN {p} ELSE 0 END" for g, p in STEPS)
+
+
+@query(f"""SELECT a.k, a.ret AS lifecycle, a.n_sales, b.ret AS ladder, c.hold FROM (WITH {sales_sql(LIFE_ROWS, cases(LIFE_RULES, 'part'))} {OUTCOME}) a JOIN (WITH {sales_sql(LIFE_ROWS, STEP_PART)} {OUTCOME}) b ON b.k = a.k
+JOIN (WITH {BARS_U} SELECT k, last(v ORDER BY ts, id) * 0.97 / (first(v ORDER BY ts, id) * 1.03) - 1 AS hold FROM bars_u GROUP BY k) c ON c.k = a.k""", "lifecycle ladder hold")
 def h21_lifecycle(spark, d):
-    """Phase exits, fixed ladder and buy-and-hold of each user's series."""
-    s = X.life_signals(bars_u(spark, d), U, "v", "vol", "h").withColumns({"roc_4": U.roc("v", 4, head=0.0), "roc_12": U.roc("v", 12, head=0.0), "declining": F.col("dry_rows").cast("double"), "pressure": F.least(F.lit(1.0), -F.col("drawdown"))}).withColumnRenamed("holder_accel", "ha")
-    cols = ["declining", "volume_trend", "holder_trend", "ha", "roc_4", "roc_12", "vwap_gap", "pressure"]
-    life = K.partial_returns(s, "k", O, ["v", *cols], lambda a: R.lifecycle(a["v"], {("holder_accel" if c == "ha" else c): a[c] for c in cols}, (30.0, 100.0))).withColumnRenamed("ret", "lifecycle")
-    lad = K.partial_returns(s, "k", O, ["v"], lambda a: R.ladder(a["v"])).select("k", F.col("ret").alias("ladder"))
+    """Rules by band of the value, a ladder of gains and losses, and buy-and-hold of each user's series."""
+    s = X.life_signals(bars_u(spark, d), U, "v", "vol", "h").withColumns({"roc_4": U.roc("v", 4, head=0.0), "dry": F.col("dry_rows"), "holders": F.col("holder_trend")})
+    p = Q.position(s.select("k", "i", *O, "v", "roc_4", "dry", "holders"), "k", ["i"], "v")
+    life = Q.managed(p, "k", ["i"], LIFE_RULES).select("k", F.col("ret").alias("lifecycle"), "n_sales")
+    lad = Q.outcome(Q.sell(p, "k", ["i"], Q.ladder_part("k", ["i"], "gain", STEPS)), "k", ["i"]).select("k", F.col("ret").alias("ladder"))
     return life.join(lad, "k").join(K.partial_returns(s, "k", O, ["v"], lambda a: R.buy_and_hold(a["v"], 3.0)).select("k", F.col("ret").alias("hold")), "k")
 
 
@@ -365,25 +378,20 @@ def h21_buy_and_hold(spark, d):
     return K.partial_returns(bars_u(spark, d), "k", O, ["v"], lambda a: R.buy_and_hold(a["v"], 3.0)).select("k", "ret")
 
 
-def managed_sql(cuts: str) -> str:
-    """Recursive SQL for a position that row by row sells the part that ``cuts`` names; ``s`` has what is left, the return and the number of sales."""
-    return f"""WITH RECURSIVE {BARS_U}, w AS (SELECT k, i, v, first(v) OVER w AS p, max(i) OVER (PARTITION BY k) AS z, (v / nullif(avg(v) OVER (PARTITION BY k ORDER BY i ROWS 11 PRECEDING), 0) - 1) / 5 AS sg FROM bars_u {W}),
-g AS (SELECT *, CASE WHEN i > 12 THEN lag(sg) OVER w ELSE 0 END AS pv, i >= 12 AND coalesce(sg < -0.03, false) AS bear FROM w {W}), x AS (SELECT *, (v - p) / greatest(p, 1) AS gain, bear AND coalesce(lag(bear) OVER w AND lag(bear, 2) OVER w, false) AS long FROM g {W}),
-s(k, i, rest, made, n) AS (SELECT k, i, 1::DOUBLE, 0::DOUBLE, 0 FROM x WHERE i = 0 UNION ALL SELECT k, i, rest - cut, made + cut * gain * 0.97, n + (cut > 0)::INT FROM
-(SELECT x.k, x.i, x.gain, s.rest, s.made, s.n, CASE WHEN x.i < 12 OR s.rest <= 0.001 THEN 0 ELSE least(s.rest, {cuts}) END AS cut FROM s JOIN x ON x.k = s.k AND x.i = s.i + 1))
-SELECT x.k, made + CASE WHEN rest > 0.001 THEN rest * gain * 0.97 ELSE 0 END AS ret, n AS n_sales FROM s JOIN x ON x.k = s.k AND x.i = s.i AND x.i = x.z"""
-
+SIGNAL_ROWS = f"""{BARS_U}, w AS (SELECT k, i, v, (v / nullif(avg(v) OVER (PARTITION BY k ORDER BY i ROWS 11 PRECEDING), 0) - 1) / 5 AS sig FROM bars_u), x AS (SELECT k, i, v, sig, lag(sig) OVER w AS was, coalesce(sig < -0.04 AND lag(sig) OVER w < -0.04 AND lag(sig, 2) OVER w < -0.04, false) AS lasting FROM w {W})"""
+#: The first table reacts to single signals, the second to signals that last three rows.
+QUICK = [Rule("collapse", 1.0, "i >= 8 AND sig < -0.15"), Rule("weak_loss", 0.5, "i >= 8 AND gain < -0.25 AND sig < -0.05"), Rule("turn", 0.125, "i >= 8 AND gain > 0.4 AND was > 0.06 AND sig < 0")]
+PATIENT = [Rule("stop", 1.0, "gain < -0.7 AND lasting"), Rule("lasting", 0.25, "i >= 8 AND lasting"), Rule("secure", 0.125, "i >= 8 AND gain > 2 AND sig < was / 4")]
 
-MANAGED_1 = "CASE WHEN sg < -0.1 THEN 1 WHEN sg < -0.03 AND gain < -0.1 THEN 0.5 WHEN gain > 0.3 AND sg < 0.02 AND pv > 0.05 THEN 0.25 WHEN gain > 1 AND sg < pv * 0.5 AND sg < 0.05 THEN 0.3 ELSE 0 END"
-MANAGED_2 = """CASE WHEN v < 10 THEN 0 WHEN v < 40 THEN CASE WHEN gain < -0.5 THEN 1 ELSE 0 END WHEN v < 90 THEN CASE WHEN long AND sg < -0.05 THEN 0.3 WHEN gain > 0.5 AND sg < 0.01 AND pv > 0.05 THEN 0.2 ELSE 0 END
-WHEN long AND sg < -0.08 THEN 0.5 WHEN long AND sg < -0.03 THEN 0.25 WHEN gain > 1 AND sg < 0.02 AND pv > 0.05 THEN 0.25 WHEN gain > 3 AND sg < pv * 0.3 THEN 0.35 ELSE 0 END"""
 
-
-@query(f"SELECT a.k, a.ret AS v1, a.n_sales, b.ret AS v2 FROM ({managed_sql(MANAGED_1)}) AS a JOIN ({managed_sql(MANAGED_2)}) AS b ON b.k = a.k", "v1 v2")
+@query(f"SELECT a.k, a.ret AS v1, a.n_sales, b.ret AS v2 FROM (WITH {sales_sql(SIGNAL_ROWS, cases(QUICK, 'part'))} {OUTCOME}) AS a JOIN (WITH {sales_sql(SIGNAL_ROWS, cases(PATIENT, 'part'))} {OUTCOME}) AS b ON b.k = a.k", "v1 v2")
 def h22_signal_manager(spark, d):
+    """Positions managed by a predicted return, under two rule tables."""
     b = bars_u(spark, d).withColumn("sig", U.ma_deviation("v", 12) / 5)
-    one = K.partial_returns(b, "k", O, ["v", "sig"], lambda a: R.signal_manager(a["v"], a["sig"], 1)).withColumnRenamed("ret", "v1")
-    return one.join(K.partial_returns(b, "k", O, ["v", "sig"], lambda a: R.signal_manager(a["v"], a["sig"], 2, (10.0, 40.0, 90.0))).select("k", F.col("ret").alias("v2")), "k")
+    low = lambda n: (F.col("sig") if not n else U.lag("sig", n)) < -0.04
+    p = Q.position(b.withColumns({"was": U.lag("sig"), "lasting": F.coalesce(low(0) & low(1) & low(2), F.lit(False))}), "k", ["i"], "v")
+    one = Q.managed(p, "k", ["i"], QUICK).select("k", F.col("ret").alias("v1"), "n_sales")
+    return one.join(Q.managed(p, "k", ["i"], PATIENT).select("k", F.col("ret").alias("v2")), "k")
 
 
 def entries(spark, d):
@@ -394,35 +402,39 @@ def entries(spark, d):
     return t.withColumns({"peak": F.coalesce(e.is_local_peak("v", 3), F.lit(False)), "best": e.future_extreme("v", None), "near_low": e.future_extreme("v", 6, "min")})
 
 
-def actions_sql(cases: str) -> str:
-    """Recursive SQL of the hindsight actions: ``s`` has for each row after an entry its gain, action and the share left before and after it."""
-    return f"""WITH RECURSIVE {BARS_U}, t AS (SELECT e.k || ':' || e.i AS entry_id, b.i - e.i AS tick, b.v FROM bars_u AS e JOIN bars_u AS b ON b.k = e.k AND b.i BETWEEN e.i AND e.i + 23 WHERE e.v >= 60),
-y AS (SELECT *, first(v) OVER w AS p, count(*) OVER a AS n, max(v) OVER f AS best, min(v) OVER (PARTITION BY entry_id ORDER BY tick ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS low, coalesce(count(v) OVER n3 = 3 AND v >= max(v) OVER n3, false) AS peak
-FROM t WINDOW w AS (PARTITION BY entry_id ORDER BY tick), a AS (PARTITION BY entry_id), f AS (PARTITION BY entry_id ORDER BY tick ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), n3 AS (PARTITION BY entry_id ORDER BY tick ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
-x AS (SELECT entry_id, tick, v, n, (v - p) / greatest(p, 1) AS gain, (best - v) / greatest(v, 1) AS up, (low - v) / greatest(v, 1) AS dip, peak FROM y),
-s(entry_id, tick, gain, action, before, after) AS (SELECT entry_id, -1::BIGINT, 0::DOUBLE, '', 1::DOUBLE, 1::DOUBLE FROM x WHERE tick = 0 UNION ALL
-SELECT entry_id, tick, gain, action, before, before - least(before, CASE WHEN action IN ('TP_100', 'EXIT') THEN 1 WHEN action IN ('TP_50', 'SL_50') THEN 0.5 WHEN action IN ('TP_25', 'SL_25') THEN 0.25 ELSE 0 END) FROM
-(SELECT x.entry_id, x.tick, x.gain, CASE WHEN s.after > 0.01 THEN s.after ELSE 0 END AS before, CASE WHEN s.after <= 0.01 THEN 'HOLD' {cases} ELSE 'HOLD' END AS action FROM s JOIN x ON x.entry_id = s.entry_id AND x.tick = s.tick + 1))"""
+ENTRY_ROWS = f"""{BARS_U}, t AS (SELECT e.k || ':' || e.i AS entry_id, b.i - e.i AS tick, b.v FROM bars_u AS e JOIN bars_u AS b ON b.k = e.k AND b.i BETWEEN e.i AND e.i + 23 WHERE e.v >= 60),
+y AS (SELECT *, count(*) OVER a - 1 - tick AS to_end, max(v) OVER f AS top, min(v) OVER (PARTITION BY entry_id ORDER BY tick ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS low, coalesce(count(v) OVER n3 = 3 AND v >= max(v) OVER n3, false) AS peak
+FROM t WINDOW a AS (PARTITION BY entry_id), f AS (PARTITION BY entry_id ORDER BY tick ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), n3 AS (PARTITION BY entry_id ORDER BY tick ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
+x AS (SELECT entry_id, tick, v, to_end, peak, (top - v) / greatest(v, 1) AS upside, (low - v) / greatest(v, 1) AS dip FROM y)"""
+#: With the future known (upside: to the best later value, dip: to the lowest of the next rows): what would have been right.
+BY_WINDOW = [Rule("EXIT", 1.0, "to_end = 0"), Rule("TP_50", 0.5, "peak AND gain > 0.4 AND upside < 0.1"), Rule("TP_25", 0.25, "peak AND gain > 0 AND dip < -0.5"), Rule("SL_50", 0.5, "gain < -0.5 AND upside < 0.2"), Rule("SL_25", 0.25, "gain < -0.1 AND upside < 0.05")]
+BY_TICK = [Rule("EXIT", 1.0, "gain < -0.9"), Rule("TP_100", 1.0, "gain > 0.5 AND upside <= 0"), Rule("TP_25", 0.25, "gain > 0.2 AND dip < -0.6"), Rule("SL_25", 0.25, "gain < -0.4 AND dip < -0.2 AND upside < 0.4")]
+
+
+def actions_sql(rules: list[Rule]) -> str:
+    """Tables of the sales after each entry under hindsight rules."""
+    return "WITH " + sales_sql(ENTRY_ROWS, cases(rules, "part"), "entry_id", "tick", cases(rules, "action"))
+
+
+ACTIONS = "SELECT entry_id, CAST(tick AS INT) AS tick, CASE WHEN sold > 0 THEN wanted ELSE 'HOLD' END AS action, before, after FROM sales"
 
 
-CUTS = "WHEN gain < -0.2 AND up < 0.05 THEN CASE WHEN after > 0.5 THEN 'SL_50' ELSE 'EXIT' END WHEN gain < -0.15 AND up < 0.03 AND dip < -0.05 THEN 'SL_25'"
-AT_PEAK = "WHEN peak AND gain > 1.5 AND up < 0.2 THEN CASE WHEN after > 0.5 THEN 'TP_50' ELSE 'TP_100' END"
-BY_WINDOW = f"""WHEN x.tick >= n - 2 THEN CASE WHEN x.gain > 0.1 THEN 'TP_100' ELSE 'EXIT' END WHEN x.gain < -0.3 AND up < 0.1 THEN 'EXIT' {CUTS.replace('gain', 'x.gain')} {AT_PEAK.replace('gain', 'x.gain')}
-WHEN peak AND x.gain > 0.5 AND dip < -0.2 THEN CASE WHEN after > 0.5 THEN 'TP_50' ELSE 'TP_25' END WHEN peak AND x.gain > 0.2 AND dip < -0.15 THEN 'TP_25'"""
-BY_TICK = f"""WHEN x.tick = n - 1 THEN 'HOLD' WHEN x.gain < -0.35 THEN 'EXIT' {AT_PEAK.replace('gain', 'x.gain')} WHEN peak AND x.gain > 0.8 AND dip < -0.15 THEN CASE WHEN after > 0.5 THEN 'TP_50' ELSE 'TP_25' END WHEN peak AND x.gain > 0.3 AND dip < -0.15 THEN 'TP_25'
-WHEN x.gain > 1 AND dip < -0.25 THEN CASE WHEN after > 0.5 THEN 'TP_50' ELSE 'TP_100' END WHEN x.gain > 0.5 AND dip < -0.3 AND up < 0.3 THEN 'TP_25' WHEN x.gain < -0.25 AND up < 0.1 THEN 'EXIT' {CUTS.replace('gain', 'x.gain')}"""
-ACTIONS = "SELECT entry_id, CAST(tick AS INT) AS tick, action, before, after FROM s WHERE tick >= 0"
+def actions(spark, d, rules: list[Rule]):
+    """Hindsight actions of each row after an entry, with the shares left before and after."""
+    t = entries(spark, d).withColumns({"to_end": F.count("*").over(Window.partitionBy("entry_id")) - 1 - F.col("tick"), "upside": (F.col("best") - F.col("v")) / F.greatest("v", F.lit(1.0)), "dip": (F.col("near_low") - F.col("v")) / F.greatest("v", F.lit(1.0))}).drop("best")
+    action, part = Q.first_rule(rules)
+    return Q.sell(Q.position(t, "entry_id", ["tick"], "v"), "entry_id", ["tick"], part, action)
 
 
 @query(f"{actions_sql(BY_TICK)} {ACTIONS}", "before after")
 def h23_tick_actions(spark, d):
-    """The second rule set: a hard stop, and profits taken off the peak too."""
-    return K.label_actions(entries(spark, d), "entry_id", ["tick"], "v", "peak", "best", "near_low", "tick")
+    """The second rule set: profits taken off the peak too, and nothing closed at the end."""
+    return actions(spark, d, BY_TICK).select("entry_id", F.col("tick").cast("int").alias("tick"), "action", "before", "after")
 
 
 @query(f"{actions_sql(BY_WINDOW)} {ACTIONS}", "before after")
 def h23_label_actions(spark, d):
-    return K.label_actions(entries(spark, d), "entry_id", ["tick"], "v", "peak", "best", "near_low")
+    return actions(spark, d, BY_WINDOW).select("entry_id", F.col("tick").cast("int").alias("tick"), "action", "before", "after")
 
 
 @query(f"""WITH RECURSIVE {BARS_U}, w AS (SELECT k, i, v, coalesce(v / nullif(lag(v, 4) OVER w, 0) - 1 >= 0.2, false) AND least(vol / 100, 1) >= 0.5 AS cand, CASE WHEN v / nullif(max(v) OVER w, 0) - 1 < -0.5 THEN 'SL_25' ELSE 'HOLD' END AS act FROM bars_u {W}),
@@ -437,12 +449,14 @@ def h24_funnel(spark, d):
     return K.simulate_funnel(b, "k", O, "v", "cand", "score", "act", 0.5)
 
 
-@query(f"""{actions_sql(BY_WINDOW)} SELECT entry_id, sum((before - after) * gain) AS ret, CAST(min(tick) FILTER (after <= 0.01) + 1 AS INT) AS held, last(gain ORDER BY tick) AS hold_ret, coalesce(first(gain ORDER BY tick) FILTER (gain >= 1 OR gain <= -0.2), last(gain ORDER BY tick)) AS rules_ret
-FROM s WHERE tick >= 0 GROUP BY entry_id""", "ret hold_ret rules_ret")
+@query(f"""{actions_sql(BY_WINDOW)} SELECT entry_id, sum(sold * gain) + last(after * gain ORDER BY tick) AS ret, CAST(coalesce(min(tick) FILTER (after <= 0), max(tick)) + 1 AS INT) AS held, last(gain ORDER BY tick) AS hold_ret, coalesce(first(gain ORDER BY tick) FILTER (gain >= 1 OR gain <= -0.2), last(gain ORDER BY tick)) AS rules_ret
+FROM sales GROUP BY entry_id""", "ret hold_ret rules_ret")
 def h25_replay_actions(spark, d):
-    t = entries(spark, d)
-    acts = K.label_actions(t, "entry_id", ["tick"], "v", "peak", "best", "near_low").select("entry_id", F.col("tick").cast("bigint").alias("tick"), "action")
-    return K.replay_actions(t.join(acts, ["entry_id", "tick"]), "entry_id", ["tick"], "v", "action")
+    """Return of each entry under its actions, against holding to the end and against a fixed target and stop."""
+    t = actions(spark, d, BY_WINDOW)
+    fixed = F.min_by("gain", F.when((F.col("gain") >= 1) | (F.col("gain") <= -0.2), F.col("tick")))
+    other = t.groupBy("entry_id").agg(F.max_by("gain", "tick").alias("hold_ret"), F.coalesce(fixed, F.max_by("gain", "tick")).alias("rules_ret"))
+    return Q.outcome(t, "entry_id", ["tick"], 0.0).drop("n_sales").join(other, "entry_id")
 
 
 @query(f"""SELECT cfg, split, {STATS} FROM (SELECT split_part(k, '|', 1) AS cfg, CASE WHEN {SPLIT.replace('c_custkey', "split_part(k, '|', 2)")} < 60 THEN 'train' ELSE 'test' END AS split, return_pct, bars_held FROM

@@ -167,23 +167,11 @@ def test_trades_never_overlap(seed):
     assert all(t["peak_value"] >= t["entry_value"] for t in got)
 
 
-def test_hindsight_shares_fall_to_zero():
-    v = np.array([100.0, 150, 300, 120, 80, 60, 50, 40])
-    best = np.maximum.accumulate(v[::-1])[::-1]
-    low = np.array([v[i : i + 6].min() for i in range(len(v))])
-    peak = np.array([i + 3 < len(v) and v[i] >= v[i + 1 : i + 4].max() for i in range(len(v))])
-    for variant in ("window", "tick"):
-        got = trades.hindsight(v, peak, best, low, variant)
-        left = [g[3] for g in got]
-        assert all(0 <= b <= a for a, b in zip([1.0, *left], left)) and got[2][1].startswith("TP")
-
-
 def test_buy_hold_and_replay_closed_forms():
     v = np.array([100.0, 110, 90, 130])
     assert math.isclose(trades.buy_and_hold(v), 0.3)
     assert math.isclose(trades.replay(v, ["HOLD"] * 4)["ret"], 0.3)
     assert math.isclose(trades.replay(v, ["HOLD", "EXIT", "HOLD", "HOLD"])["ret"], 0.1)
-    assert math.isclose(trades.partial(v, lambda p: [("half", 0.5)] if p.i == 1 else [], 0.0)[0], 0.5 * 0.1 + 0.5 * 0.3)
 
 
 def test_md5_bucket(spark):
