@@ -83,12 +83,12 @@ def clip_sigma(df: DataFrame, by: str, v: str, n: float = 5.0, name: str | None
 
 def robust_z(df: DataFrame, by: str, cols: list[str], suffix: str = "_rz") -> DataFrame:
     """(x - median) / IQR of the key's series; only centred where the IQR is 0."""
-    w = Window.partitionBy(by)
-    for c in cols:
-        q = F.expr(f"percentile({c}, array(0.25, 0.5, 0.75))").over(w)
-        iqr = q[2] - q[0]
-        df = df.withColumn(c + suffix, (F.col(c) - q[1]) / F.when(iqr > 0, iqr).otherwise(1.0))
-    return df
+    from .stats import with_quantiles
+
+    q = with_quantiles(df.groupBy(by).agg(F.count("*").alias("_rows")), df, (by,), {c: {f"_q1_{c}": 0.25, f"_q2_{c}": 0.5, f"_q3_{c}": 0.75} for c in cols})
+    out = df.join(q.withColumnRenamed(by, "_of"), F.col(by).eqNullSafe(F.col("_of")))
+    iqr = {c: F.col(f"_q3_{c}") - F.col(f"_q1_{c}") for c in cols}
+    return out.select(*df.columns, *[((F.col(c) - F.col(f"_q2_{c}")) / F.when(iqr[c] > 0, iqr[c]).otherwise(1.0)).alias(c + suffix) for c in cols])
 
 
 def zscore(df: DataFrame, by: str | None, cols: list[str], floor: float = 1e-8, suffix: str = "_z") -> DataFrame:

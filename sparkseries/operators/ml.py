@@ -12,15 +12,22 @@ from pyspark.sql import functions as F
 from ..functions.scalars import blend, hash_bucket
 
 
+def _dealt(keys: DataFrame, key: str, n: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``fold`` in the order of the key's md5 (within each group): numbered inside each of 4096 prefixes of the hash, from the number of
+    rows with smaller prefixes on, so no task numbers all rows."""
+    rows = keys.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_p", F.substring("_h", 1, 3))
+    sizes = rows.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_p"))  # at most 4097 rows a group
+    before = sizes.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_q_{c}") for c in by], (upto - F.col("_n")).alias("_b"))
+    place = F.row_number().over(Window.partitionBy(*by, "_p").orderBy("_h", key)) - 1
+    met = [F.col("_p").eqNullSafe(F.col("_q")), *[F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in by]]
+    placed = rows.withColumn("_i", place).join(before if by else F.broadcast(before), met)
+    return placed.select(*keys.columns, ((F.col("_b") + F.col("_i")) % n).cast("int").alias("fold"))
+
+
 def group_folds(df: DataFrame, key: str, n: int = 5) -> DataFrame:
-    """Adds ``fold``: whole keys, dealt in the order of their md5: numbered inside each of 4096 prefixes of the hash, from the
-    number of keys with smaller prefixes on."""
-    keys = df.select(key).distinct().withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_p", F.substring("_h", 1, 3))
-    sizes = keys.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select(F.col("_p").alias("_q"), (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))  # at most 4097 rows
-    place = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)) - 1
-    dealt = keys.withColumn("_i", place).join(F.broadcast(before), F.col("_p").eqNullSafe(F.col("_q"))).select(key, ((F.col("_b") + F.col("_i")) % n).cast("int").alias("fold"))
-    return df.join(dealt, key)
+    """Adds ``fold``: whole keys, dealt in the order of their md5."""
+    return df.join(_dealt(df.select(key).distinct(), key, n), key)
 
 
 def hashed_folds(df: DataFrame, key: str, n: int = 5) -> DataFrame:
@@ -30,8 +37,7 @@ def hashed_folds(df: DataFrame, key: str, n: int = 5) -> DataFrame:
 
 def stratified_folds(df: DataFrame, key: str, label: str, n: int = 5) -> DataFrame:
     """Adds ``fold``: dealt within each class, in the order of the key's md5."""
-    w = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % n)
+    return _dealt(df, key, n, (label,))
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:

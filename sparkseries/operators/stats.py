@@ -15,7 +15,7 @@ def _trade_aggs(ret: str, held: str, peak: str | None) -> list[Column]:
     r = F.col(ret)
     win, loss = F.sum(F.when(r > 0, r)), -F.sum(F.when(r <= 0, r))
     mean_win, mean_loss = F.avg(F.when(r > 0, r)), F.avg(F.when(r <= 0, r))
-    out = [F.count("*").alias("n"), F.avg((r > 0).cast("double")).alias("win_rate"), F.avg(r).alias("mean_return"), F.expr(f"percentile({ret}, 0.5)").alias("median_return"), F.coalesce(win, F.lit(0.0)).alias("gross_profit"), F.coalesce(loss, F.lit(0.0)).alias("gross_loss"),
+    out = [F.count("*").alias("n"), F.avg((r > 0).cast("double")).alias("win_rate"), F.avg(r).alias("mean_return"), F.coalesce(win, F.lit(0.0)).alias("gross_profit"), F.coalesce(loss, F.lit(0.0)).alias("gross_loss"),
            (win / F.nullif(loss, F.lit(0.0))).alias("profit_factor"), mean_win.alias("mean_win"), mean_loss.alias("mean_loss"), (mean_win / F.nullif(-mean_loss, F.lit(0.0))).alias("win_loss_ratio"), F.avg(held).alias("mean_hold"), F.sum(r).alias("total_return")]
     if peak:
         out += [F.avg(peak).alias("mean_peak"), (F.avg(r) / F.nullif(F.avg(peak), F.lit(0.0))).alias("capture")]
@@ -24,25 +24,29 @@ def _trade_aggs(ret: str, held: str, peak: str | None) -> list[Column]:
 
 def trade_stats(trades: DataFrame, by: list[str], ret: str = "return_pct", held: str = "bars_held", peak: str | None = None) -> DataFrame:
     """Number, win rate, mean and median return, gross profit and loss, profit factor, holding time and more, by group."""
-    return trades.groupBy(*by).agg(*_trade_aggs(ret, held, peak))
+    out = with_quantiles(trades.groupBy(*by).agg(*_trade_aggs(ret, held, peak)), trades, tuple(by), {ret: {"median_return": 0.5}})
+    at = out.columns.index("mean_return") + 1
+    return out.select(*out.columns[:at], "median_return", *[c for c in out.columns[at:] if c != "median_return"])
 
 
 def stats_rollup(trades: DataFrame, key: str, ret: str = "return_pct", held: str = "bars_held") -> DataFrame:
     """The same for each key and overall (key NULL, ``overall`` 1)."""
-    return trades.rollup(key).agg(*_trade_aggs(ret, held, None), F.grouping_id().cast("int").alias("overall"))
+    each = trade_stats(trades, [key], ret, held).withColumn("overall", F.lit(0))
+    whole = trade_stats(trades.withColumn("_whole", F.lit(1)), ["_whole"], ret, held).withColumn("overall", F.lit(1))
+    return each.unionByName(whole.withColumn(key, F.lit(None).cast(trades.schema[key].dataType)).drop("_whole"))
 
 
 def risk_stats(trades: DataFrame, by: list[str], ret: str = "return_pct", order: list[str] | None = None, per_year: float = 252.0) -> DataFrame:
     """Sharpe of a trade (population), scaled by root n and by root of ``per_year``, worst trade, 5 % quantile, and the
     largest fall of the cumulative return with its ratio to the total (Calmar) if an order is given."""
     sharpe = F.avg(ret) / F.nullif(F.stddev_pop(ret), F.lit(0.0))
-    aggs = [F.count("*").alias("n"), sharpe.alias("sharpe"), (sharpe * F.sqrt(F.count("*").cast("double"))).alias("sharpe_n"), (sharpe * float(per_year) ** 0.5).alias("sharpe_year"), F.min(ret).alias("worst"), F.expr(f"percentile({ret}, 0.05)").alias("p5")]
+    aggs = [F.count("*").alias("n"), sharpe.alias("sharpe"), (sharpe * F.sqrt(F.count("*").cast("double"))).alias("sharpe_n"), (sharpe * float(per_year) ** 0.5).alias("sharpe_year"), F.min(ret).alias("worst")]
     if order is None:
-        return trades.groupBy(*by).agg(*aggs)
+        return with_quantiles(trades.groupBy(*by).agg(*aggs), trades, tuple(by), {ret: {"p5": 0.05}})
     s = Series(by, order)
     run = trades.withColumn("_c", s.cumulative(ret)).withColumn("_d", F.col("_c") - F.greatest(s.running_max("_c"), F.lit(0.0)))
     fall = -F.min("_d")
-    return run.groupBy(*by).agg(*aggs, fall.alias("max_fall"), (F.sum(ret) / F.nullif(fall, F.lit(0.0))).alias("calmar"))
+    return with_quantiles(run.groupBy(*by).agg(*aggs, fall.alias("max_fall"), (F.sum(ret) / F.nullif(fall, F.lit(0.0))).alias("calmar")), trades, tuple(by), {ret: {"p5": 0.05}})
 
 
 def by_exit_reason(trades: DataFrame, reason: str = "exit_reason", ret: str = "return_pct") -> DataFrame:
@@ -79,11 +83,9 @@ def equity(trades: DataFrame, positions: DataFrame, initial: float, pnl: str, co
 
 def group_profile(df: DataFrame, by: str, cols: list[str], cond: Column, name: str = "share") -> DataFrame:
     """Count, median, quartiles, min and max of each column, and the share of rows with a condition."""
-    aggs = []
-    for c in cols:
-        q = F.expr(f"percentile({c}, array(0.25, 0.5, 0.75))")
-        aggs += [q[0].alias(f"{c}_q25"), q[1].alias(f"{c}_median"), q[2].alias(f"{c}_q75"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
-    return df.groupBy(by).agg(F.count("*").alias("n"), *aggs, F.avg(cond.cast("double")).alias(name))
+    aggs = [x for c in cols for x in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"))]
+    out = df.groupBy(by).agg(F.count("*").alias("n"), *aggs, F.avg(cond.cast("double")).alias(name))
+    return with_quantiles(out, df, (by,), {c: {f"{c}_q25": 0.25, f"{c}_median": 0.5, f"{c}_q75": 0.75} for c in cols})
 
 
 def purity(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
@@ -97,8 +99,8 @@ def purity(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
 
 def group_score(df: DataFrame, by: str, weights: dict[str, float]) -> DataFrame:
     """Weighted sum of log10(max(median, 1)) by group."""
-    total = sum((F.lit(w) * F.log10(F.greatest(F.expr(f"percentile({c}, 0.5)"), F.lit(1.0))) for c, w in weights.items()), F.lit(0.0))
-    return df.groupBy(by).agg(F.count("*").alias("n"), total.alias("score"))
+    total = sum((F.lit(w) * F.log10(F.greatest(F.col(f"_m_{c}"), F.lit(1.0))) for c, w in weights.items()), F.lit(0.0))
+    return with_quantiles(df.groupBy(by).agg(F.count("*").alias("n")), df, (by,), {c: {f"_m_{c}": 0.5} for c in weights}).select(by, "n", total.alias("score"))
 
 
 def group_outcomes(points: DataFrame, by: str, vector: str, outcome: str) -> DataFrame:
@@ -106,7 +108,8 @@ def group_outcomes(points: DataFrame, by: str, vector: str, outcome: str) -> Dat
     dims = points.select(by, F.posexplode(vector).alias("i", "x")).groupBy(by, "i").agg(F.avg("x").alias("m"))
     centre = dims.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("centroid"))  # one entry for each dimension
     far = F.sqrt(F.aggregate(F.zip_with(vector, "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0).cast("double"), lambda a, x: a + x))
-    return points.join(centre, by).groupBy(by, "centroid").agg(F.count("*").alias("n"), F.expr(f"percentile({outcome}, 0.5)").alias("median_outcome"), F.avg(outcome).alias("mean_outcome"), F.avg((F.col(outcome) > 0).cast("double")).alias("win_rate"), F.stddev_pop(far).alias("radius_std"))
+    out = points.join(centre, by).groupBy(by, "centroid").agg(F.count("*").alias("n"), F.avg(outcome).alias("mean_outcome"), F.avg((F.col(outcome) > 0).cast("double")).alias("win_rate"), F.stddev_pop(far).alias("radius_std"))
+    return with_quantiles(out, points, (by,), {outcome: {"median_outcome": 0.5}})
 
 
 def envelope(df: DataFrame, by: str, step: str, v: str) -> DataFrame:
@@ -122,7 +125,8 @@ def phase_summary(df: DataFrame, key: str, group: str, ts: str, v: str, holders:
     peak = F.min(F.struct((-F.col(v)).alias("v"), F.col(ts).alias("t"))).over(w)["t"]
     x = df.withColumn("_p", peak)
     k = x.groupBy(key, group).agg(((epoch(F.max("_p")) - epoch(F.min(ts))) / 3600).alias("to_peak"), ((epoch(F.max(ts)) - epoch(F.max("_p"))) / 3600).alias("after"), (F.max_by(v, ts) / F.nullif(F.max(v), F.lit(0.0))).alias("kept"), (F.max(F.when(F.col(ts) == F.col("_p"), F.col(holders))) / F.greatest(F.min_by(holders, ts), F.lit(1))).alias("growth"))
-    return k.groupBy(group).agg(F.count("*").alias("keys"), *[F.expr(f"percentile({c}, 0.5)").alias(c) for c in ("to_peak", "growth", "after", "kept")])
+    k = written_once(k)
+    return with_quantiles(k.groupBy(group).agg(F.count("*").alias("keys")), k, (group,), {c: {c: 0.5} for c in ("to_peak", "growth", "after", "kept")})
 
 
 def quality_report(fine: DataFrame, by: str, ts: str, step_seconds: float, gap_seconds: float = 1800, good: float = 0.95, fair: float = 0.7) -> DataFrame:
@@ -156,6 +160,9 @@ def extents(df: DataFrame, cols: list[str]) -> DataFrame:
 # --- totals along an order -------------------------------------------------------------------------
 
 
+RANGE_ROWS = 1 << 20  # distinct values of a range
+
+
 def written_once(df: DataFrame) -> DataFrame:
     """``df`` from the shared checkpoint folder if the session has one, so that several passes do not repeat its plan; otherwise
     ``df`` itself. (spark.cleaner.referenceTracking.cleanCheckpoints has Spark delete the files.)"""
@@ -202,7 +209,8 @@ def exact_percentiles(df: DataFrame, c: str, names: dict[str, float], by: tuple[
     values and their running totals: no task holds a group's values."""
     counts = df.where(F.col(c).isNotNull()).groupBy(*by, F.col(c).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     counts = written_once(counts)
-    placed = running_totals(counts, "_v", {"_below": "_n"}, by)
+    parts = min(1024, -(-counts.count() // RANGE_ROWS))
+    placed = running_totals(counts, "_v", {"_below": "_n"}, by, range_cuts(counts, "_v", parts) if parts > 1 else [])
     all_rows = counts.groupBy(*[F.col(k).alias(f"_g_{k}") for k in by]).agg(F.sum("_n").alias("_all"))
     met = None
     for k in by:
@@ -221,6 +229,15 @@ def exact_percentiles(df: DataFrame, c: str, names: dict[str, float], by: tuple[
     return known.groupBy(*by).agg(*[quantile(q).alias(name) for name, q in names.items()])
 
 
+def with_quantiles(out: DataFrame, df: DataFrame, by: tuple[str, ...], wanted: dict[str, dict[str, float]]) -> DataFrame:
+    """Adds exact quantiles of columns of ``df`` (column: name: quantile) to ``out``, a row for each group (or one row)."""
+    for c, names in wanted.items():
+        q = exact_percentiles(df, c, names, by).withColumnsRenamed({k: f"_q_{k}" for k in by})
+        met = [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in by]
+        out = out.join(q, met, "left").drop(*[f"_q_{k}" for k in by]) if by else out.crossJoin(F.broadcast(q))  # without groups: one row
+    return out
+
+
 # --- regression and survival ------------------------------------------------------------------------
 
 
@@ -288,7 +305,7 @@ def median_survival(curve: DataFrame, duration: str = "duration") -> DataFrame:
 
 def attribution(sample: DataFrame, key: str, cols: list[str], importance: dict[str, float]) -> DataFrame:
     """Relative deviation of each feature from its median times the feature's importance, ranked within a row."""
-    med = sample.agg(*[F.expr(f"percentile({c}, 0.5)").alias(f"_m_{c}") for c in cols])
+    med = with_quantiles(sample.agg(F.count("*").alias("_rows")), sample, (), {c: {f"_m_{c}": 0.5} for c in cols})
     parts = F.array(*[F.struct(F.lit(c).alias("feature"), ((F.col(c) - F.col(f"_m_{c}")) / F.greatest(F.abs(F.col(f"_m_{c}")), F.lit(1e-9)) * importance[c]).alias("effect")) for c in cols])
     long = sample.crossJoin(F.broadcast(med)).select(key, F.explode(parts).alias("_p")).select(key, "_p.feature", "_p.effect")  # med is one row
     w = Window.partitionBy(key).orderBy(F.desc(F.abs("effect")), "feature")

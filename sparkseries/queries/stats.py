@@ -174,11 +174,11 @@ def ag29_poly2_fit(spark, d):
 
 
 @query(f"""WITH {BARS_U}, m AS (SELECT quantile_cont(v, 0.5) AS mv, quantile_cont(vol, 0.5) AS mo, quantile_cont(h, 0.5) AS mh FROM bars_u),
-e AS (SELECT id, unnest([{{'f': 'v', 'e': (v - mv) / greatest(abs(mv), 1e-9) * 0.5}}, {{'f': 'vol', 'e': (vol - mo) / greatest(abs(mo), 1e-9) * 0.3}}, {{'f': 'h', 'e': (h - mh) / greatest(abs(mh), 1e-9) * 0.2}}]) AS x FROM bars_u, m WHERE vol > 90)
+e AS (SELECT id, unnest([{{'f': 'v', 'e': (v - mv) / greatest(abs(mv), 1e-9) * 0.5}}, {{'f': 'vol', 'e': (vol - mo) / greatest(abs(mo), 1e-9) * 0.3}}, {{'f': 'h', 'e': (h - mh) / greatest(abs(mh), 1e-9) * 0.2}}]) AS x FROM bars_u, m)
 SELECT id, x.f AS feature, x.e AS effect, CAST(row_number() OVER (PARTITION BY id ORDER BY abs(x.e) DESC, x.f) AS INT) AS rank FROM e""", "effect")
 def ag30_attribution(spark, d):
     b = bars_u(spark, d)
-    return A.attribution(b.select("id", "v", "vol", F.col("h").cast("double").alias("h")), "id", ["v", "vol", "h"], {"v": 0.5, "vol": 0.3, "h": 0.2}).join(b.where("vol > 90").select("id"), "id")
+    return A.attribution(b.select("id", "v", "vol", F.col("h").cast("double").alias("h")), "id", ["v", "vol", "h"], {"v": 0.5, "vol": 0.3, "h": 0.2})
 
 
 @query(f"""WITH {TRADES}, g AS (SELECT CAST(bars_held AS INT) AS duration, count(*) FILTER (exit_reason <> 'NO') AS events, count(*) AS l FROM trades GROUP BY 1), r AS (SELECT *, sum(l) OVER (ORDER BY duration DESC) AS at_risk FROM g)
