@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as K
 from ..operators import ml as M
+from ..operators import neighbours as N
 from ..operators import scoring as G
 from ..operators import stats as A
 from ..operators import topk as T
@@ -30,6 +31,29 @@ def jn15_knn_by_entity(spark, d):
     return T.knn(p.where("vec_id % 25 = 0"), p, "vec_id", "x", 3, entity="label").select("query", "neighbour", "distance", "rank")
 
 
+STATES = f"{BARS_U}, s AS (SELECT id, k, [ln(1 + v), coalesce(vol, 0) / 50, h::DOUBLE, i / 20] AS x FROM bars_u), p AS (SELECT q.id AS query, c.id AS neighbour, c.k, {DIST.format(a='q.x', b='c.x')} AS distance FROM s q JOIN s c ON q.id <> c.id WHERE q.id % 500 = 0)"
+
+
+def states(spark, d):
+    """The state of each user after each event, in four dimensions."""
+    b = bars_u(spark, d)
+    return b.select("id", "k", F.array(F.log1p("v"), F.coalesce("vol", F.lit(0.0)) / 50, F.col("h").cast("double"), F.col("i") / 20).alias("x"))
+
+
+@query(f"WITH {STATES} SELECT query, neighbour, distance, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS INT) AS rank FROM p QUALIFY rank <= 5", "distance")
+def tk1_state_neighbours(spark, d):
+    """Neighbours in a space of four dimensions through its cells."""
+    s = states(spark, d)
+    return N.knn(s.where("id % 500 = 0"), s, "id", "x", 5).select("query", "neighbour", "distance", "rank")
+
+
+@query(f"WITH {STATES}, b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query, k ORDER BY distance, neighbour) = 1) SELECT query, neighbour, distance, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS INT) AS rank FROM b QUALIFY rank <= 3", "distance")
+def jn15_state_neighbours_by_user(spark, d):
+    """The same, with the best row of each user."""
+    s = states(spark, d)
+    return N.knn(s.where("id % 500 = 0"), s, "id", "x", 3, entity="k").select("query", "neighbour", "distance", "rank")
+
+
 @query(f"""WITH {POINTS}, i AS (SELECT vec_id, label AS n, list_slice(x, 1, 3 + label) AS x FROM points), p AS (SELECT q.vec_id AS query, c.vec_id AS neighbour, {DIST.format(a='q.x', b='c.x')} AS distance FROM i q JOIN i c ON q.n = c.n AND q.vec_id <> c.vec_id WHERE q.vec_id % 25 = 0)
 SELECT query, neighbour, distance, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS INT) AS rank FROM p QUALIFY rank <= 5""", "distance")
 def tk2_prefix_knn(spark, d):
