@@ -50,4 +50,5 @@ def test_matches_sql(spark, duck, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() >= 0
+    got = __spark_entry__.entry(spark)
+    assert got.count() > 0 and got.columns == ["k", "label", "n", "mean_multiple", "mean_drawdown"]
