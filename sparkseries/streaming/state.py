@@ -1,6 +1,6 @@
 """Keyed state: incremental indicators, positions, risk gates, episodes.
 
-Each processor keeps one small JSON value for a key. Rows of a key are ordered by time within a micro-batch;
+Each processor keeps one small JSON value for a key, and map state where entries of tokens add up. Rows of a key are ordered by time within a micro-batch;
 rows at or before the last time seen are late and ignored. Results do not depend on how batches are cut, as long
 as rows arrive in time order.
 """
@@ -121,10 +121,16 @@ class PartialPositions(Keyed):
 class RiskGate(Keyed):
     """Portfolio limits, keyed by portfolio: candidates (kind open) pass if open positions, capital, trades of the day,
     loss of the day, win rate of the last closed trades and the token's cool-down allow it; closes (kind close) with
-    their profit update the state. Emits the decision on each candidate. Counters of the day restart at midnight."""
+    their profit update the state. Emits the decision on each candidate. Counters of the day restart at midnight. Open positions and
+    closing times are map state, so a row reads and writes its own token's entry."""
 
     columns = ["token", "ok", "reason"]
-    fresh = {"open": {}, "capital": None, "day": None, "n": 0, "loss": 0.0, "results": [], "closed": {}}
+    fresh = {"held": 0, "capital": None, "day": None, "n": 0, "loss": 0.0, "results": []}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getMapState("open", "token string", "size double")
+        self.closed = handle.getMapState("closed", "token string", "at double")
 
     def step(self, s: dict, row: dict) -> list[dict]:
         c, token = self.config, str(row[self.config["token"]])
@@ -132,22 +138,26 @@ class RiskGate(Keyed):
         s["capital"] = c["capital"] if s["capital"] is None else s["capital"]
         if s["day"] != int(t // 86400):
             s["day"], s["n"], s["loss"] = int(t // 86400), 0, 0.0
+            for old in [k for k, at in self.closed.iterator() if t - at[0] >= c["cooldown"]]:  # once a day
+                self.closed.removeKey(old)
+        held = self.open.getValue((token,)) if self.open.containsKey((token,)) else None
         if row["kind"] == "close":
-            if token in s["open"]:
+            if held is not None:
                 pnl = float(row["pnl"])
-                s["capital"] += s["open"].pop(token) + pnl
+                self.open.removeKey((token,))
+                s["held"] -= 1
+                s["capital"] += held[0] + pnl
                 s["loss"] += min(pnl, 0.0)
                 s["results"] = [*s["results"], pnl > 0][-c["window"] :]
-                s["closed"][token] = t
-                s["closed"] = {k: x for k, x in s["closed"].items() if t - x < c["cooldown"]}
+                self.closed.updateValue((token,), (t,))
             return []
         poor = len(s["results"]) == c["window"] and sum(s["results"]) < c["min_win_rate"] * c["window"]
-        rules = [("already_open", token in s["open"]), ("max_open", len(s["open"]) >= c["max_open"]), ("capital", s["capital"] < c["size"]), ("daily_loss", -s["loss"] >= c["max_loss"]), ("trades_per_day", s["n"] >= c["max_trades"]), ("win_rate", poor), ("cooldown", t - s["closed"].get(token, -1e18) < c["cooldown"])]
+        cooling = self.closed.containsKey((token,)) and t - self.closed.getValue((token,))[0] < c["cooldown"]
+        rules = [("already_open", held is not None), ("max_open", s["held"] >= c["max_open"]), ("capital", s["capital"] < c["size"]), ("daily_loss", -s["loss"] >= c["max_loss"]), ("trades_per_day", s["n"] >= c["max_trades"]), ("win_rate", poor), ("cooldown", cooling)]
         reason = next((name for name, hit in rules if hit), None)
         if reason is None:
-            s["open"][token] = c["size"]
-            s["capital"] -= c["size"]
-            s["n"] += 1
+            self.open.updateValue((token,), (c["size"],))
+            s["held"], s["capital"], s["n"] = s["held"] + 1, s["capital"] - c["size"], s["n"] + 1
         return [{"token": token, "ok": reason is None, "reason": reason}]
 
 
