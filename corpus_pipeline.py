@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 ``documents``. ``run`` writes every stage's result to the shared folder and reads it again.
 
 Rows with a null id or a null or empty text pass every stage like others (they have no shingles, passages or entries); repeated rows
-with one id and text stay once if they have shingles; without labels or without evidence no text is toxic; an empty benchmark
+with one id and text stay once; without labels or without evidence no text is toxic; an empty benchmark
 contaminates nothing; empty documents give an empty result. Columns of documents beside the known ones are carried along, also under names
 that stages use for their own columns.
 """
