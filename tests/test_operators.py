@@ -313,3 +313,10 @@ def R_positions(v, enter, stop):
     from sparkseries.kernels import trades as R
 
     return R.positions(v, enter, [R.trailing(stop)])
+
+
+def test_forward_return_from_zero_is_the_upper_bound(spark):
+    df = series(spark, [("a", h, v) for h, v in enumerate([0.0, 4.0, 1.0, 0.0, 0.0])])
+    s = Series("k", "ts")
+    got = [r.f for r in df.select("ts", s.forward_return("v", 1, -1.0, 10.0).alias("f")).orderBy("ts").collect()]
+    assert got == [10.0, -0.75, -1.0, 10.0, None]
