@@ -320,3 +320,15 @@ def test_forward_return_from_zero_is_the_upper_bound(spark):
     s = Series("k", "ts")
     got = [r.f for r in df.select("ts", s.forward_return("v", 1, -1.0, 10.0).alias("f")).orderBy("ts").collect()]
     assert got == [10.0, -0.75, -1.0, 10.0, None]
+
+
+def test_doubles_round_as_the_sql_side(spark):
+    import duckdb
+
+    from sparkseries.queries import rounded_double
+
+    x = [8.0046875, 0.0000005, -0.0000005, 1.0000005, 2.5e15, -1e300, 1e305, math.inf, -0.0, *[i / 640 for i in range(-4000, 4000)], *np.random.default_rng(1).normal(size=2000).tolist()]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double")
+    got = [r.y for r in df.select("i", rounded_double("x", 6).alias("y")).orderBy("i").collect()]
+    want = [duckdb.execute("SELECT list(round(CAST(u AS DOUBLE), 6) + 0.0 ORDER BY i) FROM (SELECT unnest(?) AS u, unnest(range(?)) AS i)", [x, len(x)]).fetchone()[0]][0]
+    assert got == want
