@@ -67,6 +67,11 @@ class Indicators(Keyed):
         return [{"idx": s["i"] - 1, "ema": s["ema"], "roc": roc, "falling": s["falling"]}]
 
 
+def growth(to: float, price: float) -> float:
+    """Percent from a price: infinite from a price of 0, and no number from 0 to 0."""
+    return (to / price - 1) * 100 if price else float("inf") if to > 0 else float("nan")
+
+
 class Positions(Keyed):
     """Open on a signal, follow the peak, close by trailing stop, hard stop or time: emits closed trades."""
 
@@ -82,13 +87,13 @@ class Positions(Keyed):
                 s["open"] = {"i": s["i"], "price": v, "peak": v}
             return []
         p["peak"] = max(p["peak"], v)
-        gain, held = (v / p["price"] - 1) * 100, s["i"] - p["i"]
-        fall = (1 - v / p["peak"]) * 100
+        gain, held = (v / p["price"] - 1) * 100 if p["price"] > 0 else 0.0, s["i"] - p["i"]
+        fall = (1 - v / p["peak"]) * 100 if p["peak"] > 0 else 0.0
         reason = "trailing_stop" if fall > c["stop"] else "hard_stop" if gain < -2 * c["stop"] else "time_stop" if held >= c["max_bars"] else None
         if reason is None:
             return []
         s["open"] = None
-        return [{"entry_idx": p["i"], "exit_idx": s["i"], "entry_value": p["price"], "exit_value": v, "peak_value": p["peak"], "return_pct": gain, "exit_reason": reason}]
+        return [{"entry_idx": p["i"], "exit_idx": s["i"], "entry_value": p["price"], "exit_value": v, "peak_value": p["peak"], "return_pct": growth(v, p["price"]), "exit_reason": reason}]
 
 
 class PartialPositions(Keyed):

@@ -332,3 +332,13 @@ def test_doubles_round_as_the_sql_side(spark):
     got = [r.y for r in df.select("i", rounded_double("x", 6).alias("y")).orderBy("i").collect()]
     want = [duckdb.execute("SELECT list(round(CAST(u AS DOUBLE), 6) + 0.0 ORDER BY i) FROM (SELECT unnest(?) AS u, unnest(range(?)) AS i)", [x, len(x)]).fetchone()[0]][0]
     assert got == want
+
+
+def test_streamed_positions_from_a_value_of_zero():
+    from sparkseries.streaming.state import Positions
+
+    p = Positions("k", ["ts"], v="v", signal="s", stop=40.0, max_bars=2)
+    state = {"i": -1, "open": None}
+    out = [r for v, s in [(0.0, True), (0.0, False), (3.0, False), (0.0, True), (0.0, False), (0.0, False)] for r in p.step(state, {"v": v, "s": s})]
+    assert [(r["entry_idx"], r["exit_idx"], r["exit_reason"]) for r in out] == [(0, 2, "time_stop"), (3, 5, "time_stop")]
+    assert out[0]["return_pct"] == math.inf and math.isnan(out[1]["return_pct"])
