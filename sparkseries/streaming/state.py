@@ -16,6 +16,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+ROWS = 10_000  # rows of a key that are Python objects at a time
+
+
+class Entries:
+    """Map state of bounded size as a dict while a key's rows of one micro-batch are worked on: read once, changes written back once. Asking the
+    state store on each row costs a round trip to the JVM every time."""
+
+    def __init__(self, state):
+        self.state, self.was, self.now = state, {}, {}
+
+    def read(self) -> None:
+        self.was = {k[0]: v[0] for k, v in self.state.iterator()}
+        self.now = dict(self.was)
+
+    def write(self) -> None:
+        for k in self.was.keys() - self.now.keys():
+            self.state.removeKey((k,))
+        for k, v in self.now.items():
+            if self.was.get(k) != v:
+                self.state.updateValue((k,), (v,))
+
+
+def records(rows: Iterator[pd.DataFrame], order: list[str]) -> Iterator[pd.DataFrame]:
+    """A key's rows of one micro-batch in order, in parts."""
+    batch = pd.concat(list(rows)).sort_values(order)
+    return (batch.iloc[at : at + ROWS] for at in range(0, len(batch), ROWS))
+
+
 class Keyed(StatefulProcessor):
     """Base: ``step(state, row)`` changes the state and returns output rows (dicts) for each input row in order."""
 
@@ -29,18 +57,24 @@ class Keyed(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.value = handle.getValueState("state", "json string", self.ttl_ms)
+        self.entries: list[Entries] = []
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = json.loads(self.value.get()[0]) if self.value.exists() else deepcopy(self.fresh)
-        out = []
-        for row in pd.concat(list(rows)).sort_values(self.order).to_dict("records"):  # a key's rows of one micro-batch
-            at = [float(row[c].timestamp()) if hasattr(row[c], "timestamp") else row[c] for c in self.order]
-            if state.get("seen") is not None and at <= state["seen"]:
-                continue
-            state["seen"] = at
-            out += [{self.key: key[0], **r} for r in self.step(state, row)]
+        for e in self.entries:
+            e.read()
+        for part in records(rows, self.order):
+            out = []
+            for row in part.to_dict("records"):
+                at = [float(row[c].timestamp()) if hasattr(row[c], "timestamp") else row[c] for c in self.order]
+                if state.get("seen") is not None and at <= state["seen"]:
+                    continue
+                state["seen"] = at
+                out += [{self.key: key[0], **r} for r in self.step(state, row)]
+            yield pd.DataFrame(out, columns=[self.key, *self.columns])
         self.value.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=[self.key, *self.columns])
+        for e in self.entries:
+            e.write()
 
     def step(self, state: dict, row: dict) -> list[dict]:
         raise NotImplementedError
@@ -127,15 +161,16 @@ class RiskGate(Keyed):
     """Portfolio limits, keyed by portfolio: candidates (kind open) pass if open positions, capital, trades of the day,
     loss of the day, win rate of the last closed trades and the token's cool-down allow it; closes (kind close) with
     their profit update the state. Emits the decision on each candidate. Counters of the day restart at midnight. Open positions and
-    closing times are map state, so a row reads and writes its own token's entry."""
+    closing times are map state: at most ``max_open`` entries and those of about a day and a cool-down."""
 
     columns = ["token", "ok", "reason"]
     fresh = {"held": 0, "capital": None, "day": None, "n": 0, "loss": 0.0, "results": []}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.open = handle.getMapState("open", "token string", "size double")
-        self.closed = handle.getMapState("closed", "token string", "at double")
+        self.open = Entries(handle.getMapState("open", "token string", "size double"))
+        self.closed = Entries(handle.getMapState("closed", "token string", "at double"))
+        self.entries = [self.open, self.closed]
 
     def step(self, s: dict, row: dict) -> list[dict]:
         c, token = self.config, str(row[self.config["token"]])
@@ -143,25 +178,24 @@ class RiskGate(Keyed):
         s["capital"] = c["capital"] if s["capital"] is None else s["capital"]
         if s["day"] != int(t // 86400):
             s["day"], s["n"], s["loss"] = int(t // 86400), 0, 0.0
-            for old in [k for k, at in self.closed.iterator() if t - at[0] >= c["cooldown"]]:  # once a day
-                self.closed.removeKey(old)
-        held = self.open.getValue((token,)) if self.open.containsKey((token,)) else None
+            self.closed.now = {k: at for k, at in self.closed.now.items() if t - at < c["cooldown"]}  # once a day
+        held = self.open.now.get(token)
         if row["kind"] == "close":
             if held is not None:
                 pnl = float(row["pnl"])
-                self.open.removeKey((token,))
+                del self.open.now[token]
                 s["held"] -= 1
-                s["capital"] += held[0] + pnl
+                s["capital"] += held + pnl
                 s["loss"] += min(pnl, 0.0)
                 s["results"] = [*s["results"], pnl > 0][-c["window"] :]
-                self.closed.updateValue((token,), (t,))
+                self.closed.now[token] = t
             return []
         poor = len(s["results"]) == c["window"] and sum(s["results"]) < c["min_win_rate"] * c["window"]
-        cooling = self.closed.containsKey((token,)) and t - self.closed.getValue((token,))[0] < c["cooldown"]
+        cooling = token in self.closed.now and t - self.closed.now[token] < c["cooldown"]
         rules = [("already_open", held is not None), ("max_open", s["held"] >= c["max_open"]), ("capital", s["capital"] < c["size"]), ("daily_loss", -s["loss"] >= c["max_loss"]), ("trades_per_day", s["n"] >= c["max_trades"]), ("win_rate", poor), ("cooldown", cooling)]
         reason = next((name for name, hit in rules if hit), None)
         if reason is None:
-            self.open.updateValue((token,), (c["size"],))
+            self.open.now[token] = c["size"]
             s["held"], s["capital"], s["n"] = s["held"] + 1, s["capital"] - c["size"], s["n"] + 1
         return [{"token": token, "ok": reason is None, "reason": reason}]
 

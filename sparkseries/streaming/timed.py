@@ -3,7 +3,7 @@
 A processor names the next point at which its state must act (its deadline). Before each row every deadline that lies before
 the row's time is acted on, and one timer stands at the next; it fires when the watermark has passed it. So a
 result does not depend on whether a row or the watermark came first, nor on how micro-batches are cut, as long as the rows of a key
-arrive in time order. State has declared columns; collections that grow are map state, which is read entry by entry.
+arrive in time order. State has declared columns; collections are map state.
 
 Processors can be chained in one query: ``stream_timed(..., event_time=...)`` names the output column that carries event time, and
 the watermark passes on to the next stateful operator.
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .state import Entries, records
+
 
 def _plain(x):
     """A Python value for a state column."""
@@ -61,17 +63,17 @@ class Timed(StatefulProcessor):
         s = self.load()
         before = self.deadline(s)
         ts, tie = self.order
-        batch = pd.concat(list(rows)).sort_values(self.order)  # what a key has in one micro-batch
-        at = batch[ts].dt.as_unit("us").astype("int64").tolist()
-        out = []
-        for us, n, row in zip(at, batch[tie].tolist(), batch.to_dict("records")):
-            if s["seen"] is not None and (us, n) <= (s["seen"], s["tie"]):
-                continue
-            out += self.until(s, us // 1000)
-            out += self.step(s, row, us // 1000)
-            s["seen"], s["tie"] = us, n
+        for part in records(rows, self.order):
+            at = part[ts].dt.as_unit("us").astype("int64").tolist()
+            out = []
+            for us, n, row in zip(at, part[tie].tolist(), part.to_dict("records")):
+                if s["seen"] is not None and (us, n) <= (s["seen"], s["tie"]):
+                    continue
+                out += self.until(s, us // 1000)
+                out += self.step(s, row, us // 1000)
+                s["seen"], s["tie"] = us, n
+            yield self.frame(key, out)
         self.store(s, before)
-        yield self.frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         s = self.load()
@@ -176,7 +178,8 @@ class TimedPositions(Timed):
                 s["entry"], s["since"], s["price"], s["peak"] = s["i"], ms, v, v
             return []
         s["peak"] = max(s["peak"], v)
-        return self.closed(s, ms, "trailing_stop") if (1 - v / s["peak"]) * 100 > self.config["stop"] else []
+        # 0 / 0 counts as a fall, as in SQL, where no number is above every number
+        return self.closed(s, ms, "trailing_stop") if not s["peak"] or (1 - v / s["peak"]) * 100 > self.config["stop"] else []
 
     def deadline(self, s: dict) -> int | None:
         return None if s["entry"] is None else s["since"] + self.config["hold_ms"]
@@ -187,7 +190,7 @@ class TimedPositions(Timed):
 
 class Watchlist(Timed):
     """Watch-list of at most ``max_size`` tokens of a key: a token that is not on it is added, the oldest gives way (``full``), and an entry leaves
-    ``ttl_ms`` after it was added (``expired``), with or without a new row. Entries are map state; the output is the log of changes."""
+    ``ttl_ms`` after it was added (``expired``), with or without a new row. Entries are map state, read and written once for a key's rows of a micro-batch; the output is the log of changes."""
 
     fields = "size int, first bigint"
     columns = "token string, at_ms bigint, change string"
@@ -195,15 +198,23 @@ class Watchlist(Timed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.entries = handle.getMapState("entries", "token string", "at bigint")
+        self.entries = Entries(handle.getMapState("entries", "token string", "at bigint"))
+
+    def load(self) -> dict:
+        self.entries.read()
+        return super().load()
+
+    def store(self, s: dict, before: int | None) -> None:
+        self.entries.write()
+        super().store(s, before)
 
     def oldest(self) -> tuple[int, str] | None:
         """Of at most ``max_size`` entries."""
-        return min(((at[0], token[0]) for token, at in self.entries.iterator()), default=None)
+        return min(((at, token) for token, at in self.entries.now.items()), default=None)
 
     def dropped(self, s: dict, at: int, change: str) -> list[dict]:
         token = self.oldest()[1]
-        self.entries.removeKey((token,))
+        del self.entries.now[token]
         s["size"] -= 1
         first = self.oldest()
         s["first"] = first and first[0]
@@ -211,10 +222,10 @@ class Watchlist(Timed):
 
     def step(self, s: dict, row: dict, ms: int) -> list[dict]:
         token = str(row[self.config["token"]])
-        if self.entries.containsKey((token,)):
+        if token in self.entries.now:
             return []
         out = self.dropped(s, ms, "full") if s["size"] >= self.config["max_size"] else []
-        self.entries.updateValue((token,), (ms,))
+        self.entries.now[token] = ms
         s["size"], s["first"] = s["size"] + 1, ms if s["first"] is None else s["first"]
         return [*out, {"token": token, "at_ms": ms, "change": "added"}]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import time
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,62 @@ def test_state_with_a_time_to_live(spark, tmp_path):
     assert sorted(r.idx for r in streamed(spark, tmp_path, rows, schema, job(1), "b")) == [0, 0, 0]
     assert sorted(r.idx for r in streamed(spark, tmp_path, rows, schema, job(10**8), "c")) == [0, 1, 2]
     spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def test_watchlist_asks_the_store_once_for_a_batch(spark):
+    calls = []
+
+    class Store(dict):
+        def iterator(self):
+            calls.append("read")
+            return iter([((k,), (v,)) for k, v in self.items()])
+
+        def updateValue(self, k, v):
+            calls.append("write")
+            self[k[0]] = v[0]
+
+        def removeKey(self, k):
+            calls.append("write")
+            del self[k[0]]
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, v):
+            self.held = v
+
+    class Handle:
+        store, value = Store(), Value()
+
+        def getMapState(self, *_):
+            return self.store
+
+        def getValueState(self, *_):
+            return self.value
+
+        def registerTimer(self, _):
+            pass
+
+        def deleteTimer(self, _):
+            pass
+
+    p = M.Watchlist("p", ["ts", "id"], [], token="k", max_size=3, ttl_ms=3_600_000)
+    p.init(Handle())
+    t = pd.DataFrame({"p": 0, "ts": pd.to_datetime(np.arange(25_000), unit="s"), "id": range(25_000), "k": np.arange(25_000) // 2})
+    log = pd.concat(list(p.handleInputRows((0,), iter([t.iloc[::-1]]), None)))
+    assert len(calls) <= 4 and sorted(Handle.store) == ["12497", "12498", "12499"]
+    assert (log.change == "added").sum() == 12_500 and (log.change == "full").sum() == 12_497
+    assert log[log.change == "added"].token.astype(int).tolist() == list(range(12_500))
+
+
+def test_timed_position_opened_at_zero(spark):
+    p = M.TimedPositions("k", ["ts", "id"], [], v="v", signal="s", stop=40.0, hold_ms=1000)
+    s = {"i": -1, "entry": None, "seen": None}
+    assert p.step(s, {"v": 0.0, "s": True}, 0) == []
+    assert [r["exit_reason"] for r in p.step(s, {"v": 0.0, "s": False}, 1)] == ["trailing_stop"]
