@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,11 +71,53 @@ def prefix_knn(queries: DataFrame, index: DataFrame, key: str, length: str, vect
 
 
 def approx_knn(queries: DataFrame, corpus: DataFrame, key: str, vector: str, radius: float, k: int, bucket_length: float, tables: int = 6, seed: int = 1) -> DataFrame:
-    """Neighbours within ``radius`` by locality-sensitive hashing: approximate, for corpora too large for ``knn``."""
-    as_vec = lambda df: df.select(F.col(key), array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
-    a, b = as_vec(queries), as_vec(corpus)
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(b)
-    near = model.approxSimilarityJoin(a, b, radius, "distance").select(F.col(f"datasetA.{key}").alias("query"), F.col(f"datasetB.{key}").alias("neighbour"), "distance").where("query <> neighbour")
+    """Neighbours within ``radius`` by locality-sensitive hashing: approximate, for corpora too large for ``knn``.
+
+    Queries and rows of one bucket of a hash table meet in lots and blocks; a task keeps the k best of its block for each query, so candidate pairs are
+    never written. Results equal those of an approximate similarity join followed by a ranking."""
+    fine = lambda df: df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    as_vec = lambda df: df.withColumn("_v", array_to_vector("v"))
+    a, b = fine(queries), fine(corpus)
+    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(as_vec(b))
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        x = model.transform(as_vec(df)).select("key", "v", F.posexplode("_h").alias("table", "h"))
+        return x.select("key", "v", "table", vector_to_array("h")[0].cast("long").alias("bucket"))
+
+    a, b = bucketed(a), bucketed(b)
+    both = ["table", "bucket"]
+    size = lambda df, n, name: df.groupBy(both).agg(F.ceil(F.count("*") / n).alias(name))
+    cut = size(a, QUERY_LOT, "lots").join(size(b, CORPUS_BLOCK, "blocks"), both)
+
+    def dealt(df: DataFrame, asks: bool) -> DataFrame:
+        own, other, names = ("lots", "blocks", ("lot", "block")) if asks else ("blocks", "lots", ("block", "lot"))
+        x = df.join(cut, both).withColumn(names[0], F.pmod(F.xxhash64("key"), F.col(own)))
+        return x.withColumn(names[1], F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select(*both, "lot", "block", F.lit(asks).alias("asks"), "key", "v")
+
+    def nearest(table: pa.Table) -> pa.Table:
+        asks, keys, found = table["asks"].to_numpy(), table["key"].to_pylist(), []
+        if asks.any() and not asks.all():
+            x = pc.list_flatten(table["v"]).to_numpy().reshape(len(keys), -1)
+            order = np.array(sorted(np.flatnonzero(~asks), key=lambda i: keys[i]))  # equal distances stay in the order of keys
+            block, where = x[order], {}
+            for place, i in enumerate(order):
+                where.setdefault(keys[i], []).append(place)
+            squares = (block**2).sum(axis=1)
+            for q in np.array_split(np.flatnonzero(asks), max(1, asks.sum() // 64)):
+                about = (x[q] ** 2).sum(axis=1)[:, None] + squares - 2 * x[q] @ block.T
+                slack = 1e-9 * (1 + squares.max() + (x[q] ** 2).sum(axis=1))  # rounding of the product; what it leaves is measured exactly
+                for i, row, e in zip(q, about, slack):
+                    row[where.get(keys[i], [])] = np.inf
+                    n = min(k, len(row)) - 1
+                    some = np.flatnonzero(row <= min(np.partition(row, n)[n], radius**2) + e)
+                    far = np.sqrt(((block[some] - x[i]) ** 2).sum(axis=1))
+                    found += [(keys[i], keys[order[some[j]]], float(far[j])) for j in np.argsort(far, kind="stable")[:k] if far[j] < radius]
+        columns, kind = list(zip(*found)) or [()] * 3, table.schema.field("key").type
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (kind, kind, pa.float64()))], names=["query", "neighbour", "distance"])
+
+    kind = corpus.schema[key].dataType
+    schema = T.StructType([T.StructField("query", kind), T.StructField("neighbour", kind), T.StructField("distance", T.DoubleType())])
+    near = dealt(a, True).unionByName(dealt(b, False)).groupBy(*both, "lot", "block").applyInArrow(nearest, schema).dropDuplicates(["query", "neighbour"])
     w = Window.partitionBy("query").orderBy("distance", "neighbour")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

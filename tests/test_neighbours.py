@@ -58,3 +58,26 @@ def test_few_distances_on_a_clustered_table(spark):
     got = N.knn(df.where("i % 50 = 0"), df, "i", "x", 5)
     share = got.groupBy("query").agg(F.first("scored").alias("s")).agg(F.avg("s")).first()[0] / 3000
     assert share < 0.1 and asked(got) == brute(list(range(3000)), x, range(0, 3000, 50), 5)
+
+
+def test_hashed_neighbours_equal_the_similarity_join(spark, monkeypatch):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    from sparkseries.operators import topk
+
+    monkeypatch.setattr(topk, "CORPUS_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_LOT", 3)
+    r = np.random.default_rng(2)
+    x = np.tile(r.normal(size=(60, 5)), (4, 1))  # copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    got = topk.approx_knn(df.where("id % 10 = 0"), df, "id", "x", 2.0, 5, 1.0, tables=3)
+    assert "datasetB" not in got._jdf.queryExecution().toString()  # no pairs of vectors are joined
+    v = df.select("id", array_to_vector("x").alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.0, numHashTables=3, seed=1).fit(v)
+    pairs = model.approxSimilarityJoin(v.where("id % 10 = 0"), v, 2.0, "d").select("datasetA.id", "datasetB.id", "d").collect()
+    want = set()
+    for q in range(0, 240, 10):
+        near = sorted((round(d, 9), b) for a, b, d in pairs if a == q and b != q)[:5]
+        want |= {(q, b, d, n + 1) for n, (d, b) in enumerate(near)}
+    assert {(g.query, g.neighbour, round(g.distance, 9), g["rank"]) for g in got.collect()} == want and want
