@@ -1,7 +1,7 @@
 """Nearest paths under dynamic time warping, with lower bounds instead of all distances.
 
 Lots of queries meet blocks of paths. In a block the bounds of all paths come first (distance of each row to the other path's envelope within the band, and of
-the ends); paths are warped in the order of their bounds, a few at a time, until the next bound exceeds the k-th distance found.
+the ends); paths are warped in the order of their bounds, a few and later many at a time, until the next bound exceeds the k-th distance found.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..kernels import paths as P
 
 LOT, BLOCK, AT_ONCE = 128, 2048, 16
+WARY, MANY = 64, 512  # after so many warped paths bounds do not spare much: so many at once cost less
 SLACK = 1 - 1e-9  # rounding of bounds
 
 
@@ -23,12 +24,13 @@ def _block_nearest(a: np.ndarray, block: np.ndarray, skip: np.ndarray, k: int, b
     low = np.where(skip, np.inf, P.dtw_bounds(a, *bounds))
     order, best, warped = np.argsort(low, kind="stable"), [], 0
     order = order[np.isfinite(low[order])]
-    for at in range(0, len(order), AT_ONCE):
-        some = order[at : at + AT_ONCE]
+    while warped < len(order):
+        some = order[warped : warped + (AT_ONCE if warped < WARY else MANY)]
         if len(best) == k and low[some[0]] * SLACK > best[-1][0]:
             break
         far, warped = P.dtw(a, block[some], band), warped + len(some)
-        best = sorted([*best, *[(float(f), int(i)) for f, i in zip(far, some) if np.isfinite(f)]])[:k]
+        near = np.flatnonzero(far <= np.partition(far, min(k, len(far)) - 1)[min(k, len(far)) - 1])
+        best = sorted([*best, *[(float(far[i]), int(some[i])) for i in near if np.isfinite(far[i])]])[:k]
     return best, warped
 
 
@@ -55,8 +57,13 @@ def nearest_paths(queries: DataFrame, corpus: DataFrame, key: str, path: str, k:
             order = sorted(np.flatnonzero(~asks), key=lambda i: keys[i])
             block, names = x[order], [keys[i] for i in order]
             bounds = (*P.envelopes(block, band), block[:, 0], block[:, -1])
+            where: dict = {}
+            for place, name in enumerate(names):
+                where.setdefault(name, []).append(place)
             for q in np.flatnonzero(asks):
-                best, warped = _block_nearest(x[q], block, np.array([n == keys[q] for n in names]), k, band, bounds)
+                own = np.zeros(len(names), bool)
+                own[where.get(keys[q], [])] = True
+                best, warped = _block_nearest(x[q], block, own, k, band, bounds)
                 found += [(keys[q], names[i], d, warped if not j else 0) for j, (d, i) in enumerate(best)]
         columns = list(zip(*found)) or [()] * 4
         kind = table.schema.field("key").type
