@@ -39,3 +39,20 @@ def test_bounds_never_exceed_the_distance():
 def test_nothing_to_compare(spark):
     df = spark.createDataFrame([(1, [[1.0]])], "k long, path array<array<double>>")
     assert D.nearest_paths(df, df, "k", "path", 3).count() == 0 and D.nearest_paths(df.limit(0), df, "k", "path", 3).count() == 0
+
+
+@pytest.mark.parametrize("dims, band", [(1, None), (3, 2)])
+def test_many_paths_at_once_equal_one_by_one(dims, band):
+    r = np.random.default_rng(3)
+    a, x = r.normal(size=(9, dims)), r.normal(size=(200, 11, dims))
+    assert np.allclose(P.dtw(a, x, band), [P.dtw(a, y, band) for y in x])
+
+
+def test_classes_by_sums_of_blocks_equal_all_pairs(spark):
+    from sparkseries.operators import kernels as K
+
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, r.normal(size=(6 + i % 2, 1)).tolist(), i % 3) for i in range(90)], "k long, path array<array<double>>, label int")
+    want = {r.k: (r.nearest, round(r.mean_distance, 9)) for r in K.classify_by_dtw(K.pairwise(df, "k", "path", "shape", block=1000), df.select("k", "label"), "k", "label").collect()}
+    plan = K.classify_by_paths(df, "k", "path", "label", block=20)
+    assert {r.k: (r.nearest, round(r.mean_distance, 9)) for r in plan.collect()} == want and len(want) == 90
