@@ -81,3 +81,11 @@ def test_hashed_neighbours_equal_the_similarity_join(spark, monkeypatch):
         near = sorted((round(d, 9), b) for a, b, d in pairs if a == q and b != q)[:5]
         want |= {(q, b, d, n + 1) for n, (d, b) in enumerate(near)}
     assert {(g.query, g.neighbour, round(g.distance, 9), g["rank"]) for g in got.collect()} == want and want
+
+
+def test_rows_travel_once_for_the_queries_of_their_cell(spark):
+    asked = spark.createDataFrame([(q, [0.0], float("inf"), 0.0, q % 2, 0) for q in range(9_000)], "key long, v array<double>, limit double, reach double, cell int, part long")
+    corpus = spark.createDataFrame([(i, [float(i)], i, i % 10, float(i), 0) for i in range(10_000, 10_100)], "key long, v array<double>, _0 long, cell int, reach double, part long")
+    met = N._met(asked, corpus, 1, 1)
+    assert met.count() == 9_000  # 4,500 queries of a cell make two lots
+    assert {r.neighbour for r in met.collect()} == {10_000, 10_001}
