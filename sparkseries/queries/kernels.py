@@ -360,11 +360,14 @@ was AS (SELECT *, greatest(0, 1 - coalesce(sum(part) OVER ({w} {PRIOR}), 0)) AS
 
 
 OUTCOME = "SELECT k, (sum(sold * gain) + last(after * gain ORDER BY i)) * 0.97 AS ret, CAST(count(*) FILTER (sold > 0) AS INT) AS n_sales FROM sales GROUP BY k"
-LIFE_ROWS = f"""{BARS_U}, w AS (SELECT *, coalesce(coalesce(vol / nullif(avg(vol) OVER (PARTITION BY k ORDER BY i ROWS 23 PRECEDING), 0), 0) < 0.5, false) AS quiet FROM bars_u),
+LIFE_ROWS = f"""{BARS_U}, w AS (SELECT *, coalesce(coalesce(vol / nullif(avg(vol) OVER (PARTITION BY k ORDER BY i ROWS 23 PRECEDING), 0), 0) < 0.5, false) AS quiet, h / nullif(lag(h, 3) OVER w, 0) - 1 AS h3 FROM bars_u {W}),
 g AS (SELECT *, sum(CASE WHEN quiet THEN 0 ELSE 1 END) OVER w AS isle FROM w {W}), x AS (SELECT k, i, v, least(24, sum(CASE WHEN quiet THEN 1 ELSE 0 END) OVER (PARTITION BY k, isle ORDER BY i)) AS dry, coalesce(v / nullif(lag(v, 4) OVER w, 0) - 1, 0) AS roc_4,
-coalesce(h / nullif(lag(h, 6) OVER w, 0) - 1, 0) AS holders FROM g {W})"""
+coalesce(h / nullif(lag(h, 6) OVER w, 0) - 1, 0) AS holders, coalesce(v / nullif(lag(v, 12) OVER w, 0) - 1, 0) AS roc_12, coalesce(h3 - lag(h3, 3) OVER w, 0) AS joining,
+CASE WHEN i >= 11 THEN coalesce(avg(vol) OVER (PARTITION BY k ORDER BY i ROWS 5 PRECEDING) / nullif(avg(vol) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 11 PRECEDING AND 6 PRECEDING), 0) - 1, 0) ELSE 0 END AS flow,
+v / nullif(coalesce(sum(v * vol) OVER w12 / nullif(sum(vol) OVER w12, 0), v), 0) - 1 AS gap FROM g {W}, w12 AS (PARTITION BY k ORDER BY i ROWS 11 PRECEDING))"""
 #: Rules by band of the value: silence ends small positions, falls from a peak and lost momentum take parts of larger ones.
-LIFE_RULES = [Rule("silent", 1.0, "v < 25 AND dry >= 4"), Rule("slump", 0.5, "v >= 25 AND v < 110 AND off_peak < -0.6 AND holders <= 0.02"), Rule("cool", 0.125, "v >= 25 AND v < 110 AND gain > 0.25 AND roc_4 < -0.2"),
+LIFE_RULES = [Rule("silent", 1.0, "v < 25 AND dry >= 4"), Rule("drained", 0.5, "v < 25 AND flow < -0.55 AND roc_12 < -0.4"), Rule("slump", 0.5, "v >= 25 AND v < 110 AND off_peak < -0.6 AND holders <= 0.02"), Rule("cool", 0.125, "v >= 25 AND v < 110 AND gain > 0.25 AND roc_4 < -0.2"),
+              Rule("below_mean", 0.25, "v >= 25 AND v < 110 AND gap < -0.45 AND roc_12 < -0.3"), Rule("leaving", 0.25, "v >= 110 AND joining < -0.05 AND flow < 0"),
               Rule("peak_gone", 0.25, "v >= 110 AND best > 1.5 AND off_peak < -0.2"), Rule("quiet_top", 0.125, "v >= 110 AND dry >= 2")]
 STEPS = [(0.25, 0.125), (1.0, 0.25), (4.0, 0.25), (-0.2, 0.25), (-0.6, 1.0)]
 STEP_PART = " + ".join(f"CASE WHEN gain >= {g} AND coalesce(hi < {g}, true) THEN {p} ELSE 0 END" if g > 0 else f"CASE WHEN gain <= {g} AND coalesce(lo > {g}, true) THEN {p} ELSE 0 END" for g, p in STEPS)
@@ -374,8 +377,8 @@ STEP_PART = " + ".join(f"CASE WHEN gain >= {g} AND coalesce(hi < {g}, true) THEN
 JOIN (WITH {BARS_U} SELECT k, last(v ORDER BY ts, id) * 0.97 / (first(v ORDER BY ts, id) * 1.03) - 1 AS hold FROM bars_u GROUP BY k) c ON c.k = a.k""", "lifecycle ladder hold")
 def h21_lifecycle(spark, d):
     """Rules by band of the value, a ladder of gains and losses, and buy-and-hold of each user's series."""
-    s = X.life_signals(bars_u(spark, d), U, "v", "vol", "h").withColumns({"roc_4": U.roc("v", 4, head=0.0), "dry": F.col("dry_rows"), "holders": F.col("holder_trend")})
-    p = Q.position(s.select("k", "i", *O, "v", "roc_4", "dry", "holders"), "k", ["i"], "v")
+    s = X.life_signals(bars_u(spark, d), U, "v", "vol", "h").withColumns({"roc_4": U.roc("v", 4, head=0.0), "dry": F.col("dry_rows"), "holders": F.col("holder_trend"), "roc_12": U.roc("v", 12, head=0.0), "joining": F.col("holder_accel"), "flow": F.col("volume_trend"), "gap": F.col("vwap_gap")})
+    p = Q.position(s.select("k", "i", *O, "v", "roc_4", "dry", "holders", "roc_12", "joining", "flow", "gap"), "k", ["i"], "v")
     life = Q.managed(p, "k", ["i"], LIFE_RULES).select("k", F.col("ret").alias("lifecycle"), "n_sales")
     lad = Q.outcome(Q.sell(p, "k", ["i"], Q.ladder_part("k", ["i"], "gain", STEPS)), "k", ["i"]).select("k", F.col("ret").alias("ladder"))
     return life.join(lad, "k").join(K.partial_returns(s, "k", O, ["v"], lambda a: R.buy_and_hold(a["v"], 3.0)).select("k", F.col("ret").alias("hold")), "k")

@@ -55,3 +55,10 @@ def test_nothing_to_do(spark):
     assert Q.managed(Q.position(empty, "k", ["i"], "v"), "k", ["i"], RULES[:1]).count() == 0
     one = Q.managed(Q.position(spark.createDataFrame([(None, 0, 5.0, 1)], empty.schema), "k", ["i"], "v"), "k", ["i"], []).select("k", "ret", "n_sales", "held")
     assert [tuple(x) for x in one.collect()] == [(None, 0.0, 0, 1)] and isinstance(Q.first_rule([])[0], type(F.lit(0)))
+
+
+def test_rule_tables_use_all_signals():
+    from sparkseries.queries import kernels as Q
+
+    life = " ".join(r.when for r in Q.LIFE_RULES)
+    assert all(name in life for name in ("dry", "holders", "off_peak", "best", "roc_4", "roc_12", "joining", "flow", "gap"))
