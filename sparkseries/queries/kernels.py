@@ -390,9 +390,10 @@ def h21_buy_and_hold(spark, d):
 
 
 SIGNAL_ROWS = f"""{BARS_U}, w AS (SELECT k, i, v, (v / nullif(avg(v) OVER (PARTITION BY k ORDER BY i ROWS 11 PRECEDING), 0) - 1) / 5 AS sig FROM bars_u), x AS (SELECT k, i, v, sig, lag(sig) OVER w AS was, coalesce(sig < -0.04 AND lag(sig) OVER w < -0.04 AND lag(sig, 2) OVER w < -0.04, false) AS lasting FROM w {W})"""
-#: The first table reacts to single signals, the second to signals that last three rows.
+#: The first table reacts to single signals, the second by band of the value to signals that last three rows.
 QUICK = [Rule("collapse", 1.0, "i >= 8 AND sig < -0.15"), Rule("weak_loss", 0.5, "i >= 8 AND gain < -0.25 AND sig < -0.05"), Rule("turn", 0.125, "i >= 8 AND gain > 0.4 AND was > 0.06 AND sig < 0")]
-PATIENT = [Rule("stop", 1.0, "gain < -0.7 AND lasting"), Rule("lasting", 0.25, "i >= 8 AND lasting"), Rule("secure", 0.125, "i >= 8 AND gain > 2 AND sig < was / 4")]
+PATIENT = [Rule("small_stop", 1.0, "v < 20 AND gain < -0.7 AND lasting"), Rule("lasting", 0.25, "v >= 20 AND v < 110 AND i >= 8 AND lasting"), Rule("secure", 0.125, "v >= 20 AND v < 110 AND i >= 8 AND gain > 1.5 AND sig < was / 3"),
+           Rule("deep", 0.5, "v >= 110 AND i >= 8 AND lasting AND sig < -0.09"), Rule("top", 0.25, "v >= 110 AND i >= 8 AND lasting"), Rule("top_secure", 0.125, "v >= 110 AND i >= 8 AND gain > 2 AND sig < was / 4")]
 
 
 @query(f"SELECT a.k, a.ret AS v1, a.n_sales, b.ret AS v2 FROM (WITH {sales_sql(SIGNAL_ROWS, cases(QUICK, 'part'))} {OUTCOME}) AS a JOIN (WITH {sales_sql(SIGNAL_ROWS, cases(PATIENT, 'part'))} {OUTCOME}) AS b ON b.k = a.k", "v1 v2")

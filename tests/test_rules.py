@@ -60,5 +60,6 @@ def test_nothing_to_do(spark):
 def test_rule_tables_use_all_signals():
     from sparkseries.queries import kernels as Q
 
-    life = " ".join(r.when for r in Q.LIFE_RULES)
+    life, patient = (" ".join(r.when for r in rules) for rules in (Q.LIFE_RULES, Q.PATIENT))
     assert all(name in life for name in ("dry", "holders", "off_peak", "best", "roc_4", "roc_12", "joining", "flow", "gap"))
+    assert all(r.when.startswith("v ") for r in Q.PATIENT) and "lasting" in patient  # bands of the value
