@@ -2,7 +2,7 @@
 
 A rule is an action, the part of the whole position that it sells, and a condition on a row's columns, as SQL text. The first rule that holds counts. Parts do
 not depend on what was sold before, so what is left of a position is 1 minus the sum of the parts so far, not below 0: a running sum, without a
-loop over rows. Rules and their bounds belong to the caller.
+loop over rows. Where they do (a rule with ``late``), the rows of a position are folded in order. Rules and their bounds belong to the caller.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ class Rule:
     action: str
     part: float
     when: str
+    late: tuple[str, float] | None = None  # action and part once half of the position or less is left
 
 
 def position(df: DataFrame, key: str, order: Sequence[str], v: str) -> DataFrame:
@@ -56,6 +57,24 @@ def sell(df: DataFrame, key: str, order: Sequence[str], part: Column, action: Co
     return (out if action is None else out.withColumn("action", F.when(F.col("sold") > 0, action).otherwise("HOLD"))).drop("_part")
 
 
+def sell_by_share(df: DataFrame, key: str, order: Sequence[str], rules: Sequence[Rule], *keep: str) -> DataFrame:
+    """(key, *order, *keep, before, action, sold, after) under rules that may depend on the share that is left. What each row sells above half and from
+    half on is known by itself; a fold over the key's rows picks between the two. The rows of a key (a bounded holding time) meet in one array."""
+    early, late = first_rule(rules), first_rule([Rule(*r.late, r.when) if r.late else r for r in rules])
+    rows = df.select(key, *order, *keep, early[0].alias("_a1"), early[1].alias("_p1"), late[0].alias("_a2"), late[1].alias("_p2"))
+
+    def step(s: Column, x: Column) -> Column:
+        left = s["left"]
+        return F.struct(F.greatest(F.lit(0.0), left - F.when(left > 0.5, x["_p1"]).otherwise(x["_p2"])).alias("left"), F.concat(s["before"], F.array(left)).alias("before"))
+
+    start = F.struct(F.lit(1.0).alias("left"), F.expr("CAST(array() AS array<double>)").alias("before"))
+    held = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*rows.columns[1:]))).alias("r")).withColumn("before", F.aggregate("r", start, step, lambda s: s["before"]))
+    out = held.select(key, F.explode(F.arrays_zip("r", "before")).alias("x")).select(key, "x.r.*", "x.before")
+    out = out.withColumn("sold", F.least("before", F.when(F.col("before") > 0.5, F.col("_p1")).otherwise(F.col("_p2")))).withColumn("after", F.col("before") - F.col("sold"))
+    action = F.when(F.col("before") > 0.5, F.col("_a1")).when(F.col("before") > 0, F.col("_a2")).otherwise("HOLD")
+    return out.select(key, *order, *keep, "before", action.alias("action"), "sold", "after")
+
+
 def outcome(df: DataFrame, key: str, order: Sequence[str], slippage: float = 0.03) -> DataFrame:
     """(key, ret, n_sales, held): return of each position, what is left closed on its last row; rows until nothing was left."""
     at = F.struct(*order)

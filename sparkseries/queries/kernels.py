@@ -418,9 +418,13 @@ ENTRY_ROWS = f"""{BARS_U}, t AS (SELECT e.k || ':' || e.i AS entry_id, b.i - e.i
 y AS (SELECT *, count(*) OVER a - 1 - tick AS to_end, max(v) OVER f AS top, min(v) OVER (PARTITION BY entry_id ORDER BY tick ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS low, coalesce(count(v) OVER n3 = 3 AND v >= max(v) OVER n3, false) AS peak
 FROM t WINDOW a AS (PARTITION BY entry_id), f AS (PARTITION BY entry_id ORDER BY tick ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), n3 AS (PARTITION BY entry_id ORDER BY tick ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)),
 x AS (SELECT entry_id, tick, v, to_end, peak, (top - v) / greatest(v, 1) AS upside, (low - v) / greatest(v, 1) AS dip FROM y)"""
+#: Cuts of losses and sales at a large gain, whose size depends on the share that is left.
+CUTS = [Rule("SL_50", 0.5, "gain < -0.2 AND upside < 0.05", ("EXIT", 1.0)), Rule("SL_25", 0.25, "gain < -0.15 AND upside < 0.03 AND dip < -0.05")]
+AT_PEAK = Rule("TP_50", 0.5, "peak AND gain > 1.5 AND upside < 0.2", ("TP_100", 1.0))
 #: With the future known (upside: to the best later value, dip: to the lowest of the next rows): what would have been right.
 BY_WINDOW = [Rule("EXIT", 1.0, "to_end = 0"), Rule("TP_50", 0.5, "peak AND gain > 0.4 AND upside < 0.1"), Rule("TP_25", 0.25, "peak AND gain > 0 AND dip < -0.5"), Rule("SL_50", 0.5, "gain < -0.5 AND upside < 0.2"), Rule("SL_25", 0.25, "gain < -0.1 AND upside < 0.05")]
-BY_TICK = [Rule("EXIT", 1.0, "gain < -0.9"), Rule("TP_100", 1.0, "gain > 0.5 AND upside <= 0"), Rule("TP_25", 0.25, "gain > 0.2 AND dip < -0.6"), Rule("SL_25", 0.25, "gain < -0.4 AND dip < -0.2 AND upside < 0.4")]
+BY_TICK = [Rule("HOLD", 0.0, "to_end = 0"), Rule("EXIT", 1.0, "gain < -0.35"), AT_PEAK, Rule("TP_50", 0.5, "peak AND gain > 0.8 AND dip < -0.15", ("TP_25", 0.25)), Rule("TP_25", 0.25, "peak AND gain > 0.3 AND dip < -0.15"),
+           Rule("TP_50", 0.5, "gain > 1 AND dip < -0.25", ("TP_100", 1.0)), Rule("TP_25", 0.25, "gain > 0.5 AND dip < -0.3 AND upside < 0.3"), Rule("EXIT", 1.0, "gain < -0.25 AND upside < 0.1"), *CUTS]
 
 
 def actions_sql(rules: list[Rule]) -> str:
@@ -428,9 +432,26 @@ def actions_sql(rules: list[Rule]) -> str:
     return "WITH " + sales_sql(ENTRY_ROWS, cases(rules, "part"), "entry_id", "tick", cases(rules, "action"))
 
 
+def shares_sql(rules: list[Rule]) -> str:
+    """Recursive SQL of hindsight rules that depend on the share left: ``s`` has for each row after an entry its gain, action and the share before and after it."""
+    held = lambda of: "CASE WHEN share <= 0.01 THEN " + of(("HOLD", 0.0)) + " " + " ".join(f"WHEN {r.when} THEN " + (f"CASE WHEN share > 0.5 THEN {of((r.action, r.part))} ELSE {of(r.late)} END" if r.late else of((r.action, r.part))) for r in rules) + f" ELSE {of(('HOLD', 0.0))} END"
+    return f"""WITH RECURSIVE {ENTRY_ROWS}, g AS (SELECT *, (v - first(v) OVER w) / greatest(first(v) OVER w, 1) AS gain FROM x WINDOW w AS (PARTITION BY entry_id ORDER BY tick)),
+s(entry_id, tick, gain, action, before, after) AS (SELECT entry_id, -1::BIGINT, 0::DOUBLE, '', 1::DOUBLE, 1::DOUBLE FROM g WHERE tick = 0 UNION ALL
+SELECT entry_id, tick, gain, action, before, before - least(before, part) FROM (SELECT *, CASE WHEN share > 0.01 THEN share ELSE 0 END AS before, {held(lambda c: f"'{c[0]}'")} AS action, {held(lambda c: f"{c[1]!r}::DOUBLE")} AS part
+FROM (SELECT g.*, s.after AS share FROM s JOIN g ON g.entry_id = s.entry_id AND g.tick = s.tick + 1)))"""
+
+
+SHARES = "SELECT entry_id, CAST(tick AS INT) AS tick, action, before, after FROM s WHERE tick >= 0"
 ACTIONS = "SELECT entry_id, CAST(tick AS INT) AS tick, CASE WHEN sold > 0 THEN wanted ELSE 'HOLD' END AS action, before, after FROM sales"
 
 
+def shares(spark, d, rules: list[Rule]):
+    """Hindsight actions of each row after an entry, under rules that depend on the share left, with the shares before and after."""
+    base = F.greatest("v", F.lit(1.0))
+    t = entries(spark, d).withColumns({"to_end": F.count("*").over(Window.partitionBy("entry_id")) - 1 - F.col("tick"), "upside": (F.col("best") - F.col("v")) / base, "dip": (F.col("near_low") - F.col("v")) / base}).drop("best")
+    return Q.sell_by_share(Q.position(t, "entry_id", ["tick"], "v"), "entry_id", ["tick"], rules, "gain")
+
+
 def actions(spark, d, rules: list[Rule]):
     """Hindsight actions of each row after an entry, with the shares left before and after."""
     t = entries(spark, d).withColumns({"to_end": F.count("*").over(Window.partitionBy("entry_id")) - 1 - F.col("tick"), "upside": (F.col("best") - F.col("v")) / F.greatest("v", F.lit(1.0)), "dip": (F.col("near_low") - F.col("v")) / F.greatest("v", F.lit(1.0))}).drop("best")
@@ -438,10 +459,10 @@ def actions(spark, d, rules: list[Rule]):
     return Q.sell(Q.position(t, "entry_id", ["tick"], "v"), "entry_id", ["tick"], part, action)
 
 
-@query(f"{actions_sql(BY_TICK)} {ACTIONS}", "before after")
+@query(f"{shares_sql(BY_TICK)} {SHARES}", "before after")
 def h23_tick_actions(spark, d):
-    """The second rule set: profits taken off the peak too, and nothing closed at the end."""
-    return actions(spark, d, BY_TICK).select("entry_id", F.col("tick").cast("int").alias("tick"), "action", "before", "after")
+    """The second rule set: a hard stop, and profits taken off the peak too; nothing is closed at the end."""
+    return shares(spark, d, BY_TICK).select("entry_id", F.col("tick").cast("int").alias("tick"), "action", "before", "after")
 
 
 @query(f"{actions_sql(BY_WINDOW)} {ACTIONS}", "before after")

@@ -63,3 +63,54 @@ def test_rule_tables_use_all_signals():
     life, patient = (" ".join(r.when for r in rules) for rules in (Q.LIFE_RULES, Q.PATIENT))
     assert all(name in life for name in ("dry", "holders", "off_peak", "best", "roc_4", "roc_12", "joining", "flow", "gap"))
     assert all(r.when.startswith("v ") for r in Q.PATIENT) and "lasting" in patient  # bands of the value
+
+
+def hindsight(v, variant):
+    """(action, before, after) of each row from the entry on, with what is sold depending on the share left."""
+    left, out, n = 1.0, [], len(v)
+    for i, x in enumerate(v):
+        if left <= 0.01:
+            out.append(("HOLD", 0.0, 0.0))
+            continue
+        base, later = max(x, 1), v[i + 1 : i + 4]
+        gain, upside, dip = (x - v[0]) / max(v[0], 1), (max(v[i:]) - x) / base, (min(v[i : i + 6]) - x) / base
+        peak, more = len(later) == 3 and x >= max(later), left > 0.5
+        at_peak = [("TP_50" if more else "TP_100", peak and gain > 1.5 and upside < 0.2)]
+        cuts = [("SL_50" if more else "EXIT", gain < -0.2 and upside < 0.05), ("SL_25", gain < -0.15 and upside < 0.03 and dip < -0.05)]
+        half = "TP_50" if more else "TP_25"
+        if variant == "window":
+            table = [("TP_100", i >= n - 2 and gain > 0.1), ("EXIT", i >= n - 2), ("EXIT", gain < -0.3 and upside < 0.1), *cuts, *at_peak, (half, peak and gain > 0.5 and dip < -0.2), ("TP_25", peak and gain > 0.2 and dip < -0.15)]
+        else:
+            table = [("HOLD", i == n - 1), ("EXIT", gain < -0.35), *at_peak, (half, peak and gain > 0.8 and dip < -0.15), ("TP_25", peak and gain > 0.3 and dip < -0.15), ("TP_50" if more else "TP_100", gain > 1 and dip < -0.25),
+                     ("TP_25", gain > 0.5 and dip < -0.3 and upside < 0.3), ("EXIT", gain < -0.25 and upside < 0.1), *cuts]
+        action = next((a for a, ok in table if ok), "HOLD")
+        after = left - min(left, {"TP_25": 0.25, "SL_25": 0.25, "TP_50": 0.5, "SL_50": 0.5, "TP_100": 1.0, "EXIT": 1.0}.get(action, 0.0))
+        out.append((action, left, after))
+        left = after
+    return out
+
+
+def entry_values(spark, d):
+    from sparkseries.queries.kernels import O, bars_u
+
+    bars = {}
+    for r in bars_u(spark, d).orderBy("k", *O).collect():
+        bars.setdefault(r.k, []).append(r.v)
+    return {f"{k}:{i}": v[i : i + 24] for k, v in bars.items() for i in range(len(v)) if v[i] >= 60}
+
+
+def test_tick_actions_depend_on_the_share_left(spark):
+    from sparkseries.queries import load_all
+
+    d = "/root/testdata/sf0.001"
+    got = {(r.entry_id, r.tick): (r.action, r.before, r.after) for r in load_all()[0]["h23_tick_actions"](spark, d).collect()}
+    assert got == {(e, i): x for e, v in entry_values(spark, d).items() for i, x in enumerate(hindsight(v, "tick"))}
+    assert {"TP_50", "TP_25", "EXIT"} <= {a for a, _, _ in got.values()}
+
+
+def test_sales_depend_on_the_share_left(spark):
+    df = spark.createDataFrame([(k, i, x) for k, xs in {"a": [1, 0, 1, 1, 2], "b": [2, 1, 1], "c": [None]}.items() for i, x in enumerate(xs)], "k string, i int, x int").repartition(3)
+    got = Q.sell_by_share(df, "k", ["i"], [Rule("half", 0.5, "x = 1", ("rest", 1.0)), Rule("bit", 0.25, "x = 2")], "x")
+    assert got.columns == ["k", "i", "x", "before", "action", "sold", "after"]
+    assert sorted(tuple(r)[:2] + tuple(r)[3:] for r in got.collect()) == [("a", 0, 1.0, "half", 0.5, 0.5), ("a", 1, 0.5, "HOLD", 0.0, 0.5), ("a", 2, 0.5, "rest", 0.5, 0.0), ("a", 3, 0.0, "HOLD", 0.0, 0.0), ("a", 4, 0.0, "HOLD", 0.0, 0.0),
+                                                                           ("b", 0, 1.0, "bit", 0.25, 0.75), ("b", 1, 0.75, "half", 0.5, 0.25), ("b", 2, 0.25, "rest", 0.25, 0.0), ("c", 0, 1.0, "HOLD", 0.0, 1.0)]
