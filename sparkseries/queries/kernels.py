@@ -422,7 +422,9 @@ x AS (SELECT entry_id, tick, v, to_end, peak, (top - v) / greatest(v, 1) AS upsi
 CUTS = [Rule("SL_50", 0.5, "gain < -0.2 AND upside < 0.05", ("EXIT", 1.0)), Rule("SL_25", 0.25, "gain < -0.15 AND upside < 0.03 AND dip < -0.05")]
 AT_PEAK = Rule("TP_50", 0.5, "peak AND gain > 1.5 AND upside < 0.2", ("TP_100", 1.0))
 #: With the future known (upside: to the best later value, dip: to the lowest of the next rows): what would have been right.
-BY_WINDOW = [Rule("EXIT", 1.0, "to_end = 0"), Rule("TP_50", 0.5, "peak AND gain > 0.4 AND upside < 0.1"), Rule("TP_25", 0.25, "peak AND gain > 0 AND dip < -0.5"), Rule("SL_50", 0.5, "gain < -0.5 AND upside < 0.2"), Rule("SL_25", 0.25, "gain < -0.1 AND upside < 0.05")]
+BY_WINDOW = [Rule("TP_100", 1.0, "to_end <= 1 AND gain > 0.1"), Rule("EXIT", 1.0, "to_end <= 1"), Rule("EXIT", 1.0, "gain < -0.3 AND upside < 0.1"), *CUTS, AT_PEAK, Rule("TP_50", 0.5, "peak AND gain > 0.5 AND dip < -0.2", ("TP_25", 0.25)),
+             Rule("TP_25", 0.25, "peak AND gain > 0.2 AND dip < -0.15")]
+BY_RUNNING = [Rule("EXIT", 1.0, "to_end = 0"), Rule("TP_50", 0.5, "peak AND gain > 0.4 AND upside < 0.1"), Rule("TP_25", 0.25, "peak AND gain > 0 AND dip < -0.5"), Rule("SL_50", 0.5, "gain < -0.5 AND upside < 0.2"), Rule("SL_25", 0.25, "gain < -0.1 AND upside < 0.05")]
 BY_TICK = [Rule("HOLD", 0.0, "to_end = 0"), Rule("EXIT", 1.0, "gain < -0.35"), AT_PEAK, Rule("TP_50", 0.5, "peak AND gain > 0.8 AND dip < -0.15", ("TP_25", 0.25)), Rule("TP_25", 0.25, "peak AND gain > 0.3 AND dip < -0.15"),
            Rule("TP_50", 0.5, "gain > 1 AND dip < -0.25", ("TP_100", 1.0)), Rule("TP_25", 0.25, "gain > 0.5 AND dip < -0.3 AND upside < 0.3"), Rule("EXIT", 1.0, "gain < -0.25 AND upside < 0.1"), *CUTS]
 
@@ -465,9 +467,10 @@ def h23_tick_actions(spark, d):
     return shares(spark, d, BY_TICK).select("entry_id", F.col("tick").cast("int").alias("tick"), "action", "before", "after")
 
 
-@query(f"{actions_sql(BY_WINDOW)} {ACTIONS}", "before after")
+@query(f"{shares_sql(BY_WINDOW)} {SHARES}", "before after")
 def h23_label_actions(spark, d):
-    return actions(spark, d, BY_WINDOW).select("entry_id", F.col("tick").cast("int").alias("tick"), "action", "before", "after")
+    """The first rule set: also empties the position on its last two rows."""
+    return shares(spark, d, BY_WINDOW).select("entry_id", F.col("tick").cast("int").alias("tick"), "action", "before", "after")
 
 
 @query(f"""WITH RECURSIVE {BARS_U}, w AS (SELECT k, i, v, coalesce(v / nullif(lag(v, 4) OVER w, 0) - 1 >= 0.2, false) AND least(vol / 100, 1) >= 0.5 AS cand, CASE WHEN v / nullif(max(v) OVER w, 0) - 1 < -0.5 THEN 'SL_25' ELSE 'HOLD' END AS act FROM bars_u {W}),
@@ -482,11 +485,11 @@ def h24_funnel(spark, d):
     return K.simulate_funnel(b, "k", O, "v", "cand", "score", "act", 0.5)
 
 
-@query(f"""{actions_sql(BY_WINDOW)} SELECT entry_id, sum(sold * gain) + last(after * gain ORDER BY tick) AS ret, CAST(coalesce(min(tick) FILTER (after <= 0), max(tick)) + 1 AS INT) AS held, last(gain ORDER BY tick) AS hold_ret, coalesce(first(gain ORDER BY tick) FILTER (gain >= 1 OR gain <= -0.2), last(gain ORDER BY tick)) AS rules_ret
+@query(f"""{actions_sql(BY_RUNNING)} SELECT entry_id, sum(sold * gain) + last(after * gain ORDER BY tick) AS ret, CAST(coalesce(min(tick) FILTER (after <= 0), max(tick)) + 1 AS INT) AS held, last(gain ORDER BY tick) AS hold_ret, coalesce(first(gain ORDER BY tick) FILTER (gain >= 1 OR gain <= -0.2), last(gain ORDER BY tick)) AS rules_ret
 FROM sales GROUP BY entry_id""", "ret hold_ret rules_ret")
 def h25_replay_actions(spark, d):
     """Return of each entry under its actions, against holding to the end and against a fixed target and stop."""
-    t = actions(spark, d, BY_WINDOW)
+    t = actions(spark, d, BY_RUNNING)
     fixed = F.min_by("gain", F.when((F.col("gain") >= 1) | (F.col("gain") <= -0.2), F.col("tick")))
     other = t.groupBy("entry_id").agg(F.max_by("gain", "tick").alias("hold_ret"), F.coalesce(fixed, F.max_by("gain", "tick")).alias("rules_ret"))
     return Q.outcome(t, "entry_id", ["tick"], 0.0).drop("n_sales").join(other, "entry_id")

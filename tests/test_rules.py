@@ -114,3 +114,11 @@ def test_sales_depend_on_the_share_left(spark):
     assert got.columns == ["k", "i", "x", "before", "action", "sold", "after"]
     assert sorted(tuple(r)[:2] + tuple(r)[3:] for r in got.collect()) == [("a", 0, 1.0, "half", 0.5, 0.5), ("a", 1, 0.5, "HOLD", 0.0, 0.5), ("a", 2, 0.5, "rest", 0.5, 0.0), ("a", 3, 0.0, "HOLD", 0.0, 0.0), ("a", 4, 0.0, "HOLD", 0.0, 0.0),
                                                                            ("b", 0, 1.0, "bit", 0.25, 0.75), ("b", 1, 0.75, "half", 0.5, 0.25), ("b", 2, 0.25, "rest", 0.25, 0.0), ("c", 0, 1.0, "HOLD", 0.0, 1.0)]
+
+
+def test_label_actions_depend_on_the_share_left(spark):
+    from sparkseries.queries import load_all
+
+    d = "/root/testdata/sf0.001"
+    got = {(r.entry_id, r.tick): (r.action, r.before, r.after) for r in load_all()[0]["h23_label_actions"](spark, d).collect()}
+    assert got == {(e, i): x for e, v in entry_values(spark, d).items() for i, x in enumerate(hindsight(v, "window"))}
