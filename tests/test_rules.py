@@ -122,3 +122,17 @@ def test_label_actions_depend_on_the_share_left(spark):
     d = "/root/testdata/sf0.001"
     got = {(r.entry_id, r.tick): (r.action, r.before, r.after) for r in load_all()[0]["h23_label_actions"](spark, d).collect()}
     assert got == {(e, i): x for e, v in entry_values(spark, d).items() for i, x in enumerate(hindsight(v, "window"))}
+
+
+def test_replay_follows_the_actions(spark):
+    from sparkseries.queries import load_all
+
+    d = "/root/testdata/sf0.001"
+    got = {r.entry_id: r for r in load_all()[0]["h25_replay_actions"](spark, d).collect()}
+    values = entry_values(spark, d)
+    assert got.keys() == values.keys()
+    for e, v in values.items():
+        gain, told = [(x - v[0]) / max(v[0], 1) for x in v], hindsight(v, "window")
+        held = next(i for i, (_, _, after) in enumerate(told) if after <= 0.01) + 1
+        assert abs(got[e].ret - sum((b - a) * g for g, (_, b, a) in zip(gain, told))) < 1e-5 and got[e].held == held
+        assert abs(got[e].hold_ret - gain[-1]) < 1e-5 and abs(got[e].rules_ret - next((g for g in gain if g >= 1 or g <= -0.2), gain[-1])) < 1e-5
