@@ -89,3 +89,22 @@ def test_rows_travel_once_for_the_queries_of_their_cell(spark):
     met = N._met(asked, corpus, 1, 1)
     assert met.count() == 9_000  # 4,500 queries of a cell make two lots
     assert {r.neighbour for r in met.collect()} == {10_000, 10_001}
+
+
+@pytest.mark.parametrize("tops", [1, 7])
+def test_many_cells_in_two_steps(spark, monkeypatch, tops):
+    """Cells stay small while the table grows, and rows of one entity around a query do not make it ask every cell."""
+    monkeypatch.setattr(N, "MAX_PIVOTS", tops)
+    monkeypatch.setattr(N, "CELL", 25)
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(size=(900, 3)) * 9, np.repeat([[40.0, 40, 40]], 60, axis=0) + r.normal(size=(60, 3)) / 50])
+    label = [*(int(v) for v in r.integers(0, 50, 900)), *([99] * 60)]  # the last cell has one entity
+    df = spark.createDataFrame([(i, v.tolist(), e) for i, (v, e) in enumerate(zip(x, label))], "i long, x array<double>, e int").repartition(4)
+    got = N.knn(df.where("i % 10 = 0"), df, "i", "x", 3, "e")
+    assert asked(got) == brute(list(range(960)), x, range(0, 960, 10), 3, label)
+    assert asked(N.knn(df.where("i % 10 = 0"), df, "i", "x", 3)) == brute(list(range(960)), x, range(0, 960, 10), 3)
+    cells = N._celled(N._usable(df, "i", "x", 3, "e"), x[::25]).groupBy("cell").count().collect()
+    assert len(cells) > 30 and max(c["count"] for c in cells) < 200
+    far = {q: int((np.sqrt(((x - x[q]) ** 2).sum(axis=1)) < 1).sum()) for q in range(900, 960, 10)}
+    seen = {g["query"]: g.scored for g in got.collect()}
+    assert all(n == 60 for n in far.values()) and all(seen[q] < 960 for q in seen if q < 900)
