@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,43 @@ def per_key(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str], f
     return df.select(*dict.fromkeys([by, *order, *cols])).groupBy(by).applyInArrow(run, out_schema)
 
 
+def many_keys(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str], fn: Callable[[list[Arrays]], list[Arrays]], schema: str, rows: int = 2**16) -> DataFrame:
+    """``fn`` on the ordered arrays of about ``rows`` rows' keys at a time (at least one key), for kernels that step through many series at once. Spark sorts the
+    rows; a task holds the keys of one call."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    out_schema = T.StructType([df.schema[by], *T._parse_datatype_string(f"struct<{schema}>").fields])
+    kinds = [to_arrow_type(f.dataType) for f in out_schema.fields[1:]]
+
+    def called(table: pa.Table, new: np.ndarray) -> pa.RecordBatch:
+        arrays = {c: table[c].to_numpy(zero_copy_only=False) for c in cols}
+        cuts = np.flatnonzero(new)[1:]
+        split = {c: np.split(x, cuts) for c, x in arrays.items()}
+        got = fn([{c: split[c][j] for c in cols} for j in range(len(cuts) + 1)])
+        made = [pa.array(np.concatenate([g[n] for g in got])).cast(t) for n, t in zip(out_schema.names[1:], kinds)]
+        return pa.RecordBatch.from_arrays([table[by].combine_chunks(), *made], names=out_schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n < rows:
+                continue
+            table = pa.Table.from_batches(held)
+            new = table["_new"].to_numpy(zero_copy_only=False)
+            last = int(np.flatnonzero(new)[-1])  # the last key may go on
+            if last:
+                yield called(table.slice(0, last), new[:last])
+            held, n = table.slice(last).to_batches(), len(table) - last
+        if n:
+            table = pa.Table.from_batches(held)
+            yield called(table, table["_new"].to_numpy(zero_copy_only=False))
+
+    new = (F.row_number().over(Window.partitionBy(by).orderBy(*order)) == 1).alias("_new")
+    return df.select(*dict.fromkeys([by, *order, *cols]), new).select(*dict.fromkeys([by, *cols]), "_new").mapInArrow(run, out_schema)
+
+
 # --- hidden states ----------------------------------------------------------------------------------
 
 
@@ -75,12 +112,13 @@ def momentum_signals(df: DataFrame, by: str, order: Sequence[str], v: str, idx:
 def hmm_regime(df: DataFrame, by: str, order: Sequence[str], v: str, idx: str, k: int = 3) -> DataFrame:
     """State, rows in it and P(to the lowest state) from a key's own log returns (fitted on its whole history)."""
 
-    def run(a: Arrays) -> Arrays:
-        r = np.diff(np.log(np.maximum(a[v].astype(float), 1)), prepend=0.0)
-        r[:1] = 0.0
-        return {idx: a[idx], **regimes.hmm_regime(r, k)}
+    def run(keys: list[Arrays]) -> list[Arrays]:
+        returns = [np.diff(np.log(np.maximum(a[v].astype(float), 1)), prepend=0.0) for a in keys]
+        for r in returns:
+            r[:1] = 0.0
+        return [{idx: a[idx], **found} for a, found in zip(keys, regimes.hmm_regimes(returns, k))]
 
-    return per_key(df, by, order, [v, idx], run, f"{idx} bigint, state int, duration int, p_down double")
+    return many_keys(df, by, order, [v, idx], run, f"{idx} bigint, state int, duration int, p_down double")
 
 
 # --- paths ------------------------------------------------------------------------------------------

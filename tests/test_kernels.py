@@ -179,3 +179,26 @@ def test_md5_bucket(spark):
 
     got = spark.createDataFrame([(k,) for k in ("a", "token", "")], "k string").select("k", hash_bucket("k").alias("b")).collect()
     assert all(r["b"] == int(hashlib.md5(r["k"].encode()).hexdigest(), 16) % 100 for r in got)
+
+
+def test_regimes_of_many_series_at_once(spark):
+    """Series of all lengths, fitted together, have the states of a fit of each by itself."""
+    from sparkseries.operators import kernels as K
+
+    r = np.random.default_rng(4)
+    series = {k: np.round(np.exp(3 + np.cumsum(r.normal(0, 0.1 + 0.2 * (np.arange(n) // 15 % 2), n))), 3) for k, n in enumerate([1, 2, 19, 20, 21, 30, 33, 67, 68, 70, 200])}
+    series[99] = np.full(40, 5.0)
+    want = {}
+    for k, v in series.items():
+        x = np.diff(np.log(np.maximum(v, 1)), prepend=0.0)
+        x[0] = 0.0
+        one = regimes.hmm_regime(x)
+        want |= {(k, i): (one["state"][i], one["duration"][i], one["p_down"][i]) for i in range(len(v))}
+    df = spark.createDataFrame([(k, i, float(x)) for k, v in series.items() for i, x in enumerate(v)], "k int, i long, v double").repartition(5)
+    got = {(g.k, g.i): (g.state, g.duration, g.p_down) for g in K.hmm_regime(df, "k", ["i"], "v", "i").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[x][:2] == want[x][:2] and abs(got[x][2] - want[x][2]) < 1e-6 for x in want)
+    x = [np.diff(np.log(np.maximum(v, 1)), prepend=0.0) for v in series.values()]
+    for a, b in zip(regimes.hmm_regimes(x, cells=1), regimes.hmm_regimes(x)):
+        assert all(np.allclose(a[n], b[n]) for n in a)
+    assert K.hmm_regime(df.limit(0), "k", ["i"], "v", "i").count() == 0
