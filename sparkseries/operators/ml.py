@@ -1,4 +1,7 @@
-"""Folds, training and validation with MLlib trees."""
+"""Folds, training and validation with MLlib trees.
+
+Every fit and every level of a tree reads its rows again, so they are written once for all folds (where the session has a checkpoint folder).
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import blend, hash_bucket
+from .stats import written_once
 
 
 def _dealt(keys: DataFrame, key: str, n: int, by: tuple[str, ...] = ()) -> DataFrame:
@@ -53,6 +57,7 @@ def assembled(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def train_binary(df: DataFrame, cols: list[str], label: str, fold: str = "fold", folds: int = 5, trees: int = 20, depth: int = 4, seed: int = 1) -> DataFrame:
     """Out-of-fold P(label = 1) as ``p`` from class-balanced boosted trees."""
+    df = written_once(df)
     data, out = assembled(balanced(df, label), cols), None
     for i in range(folds):
         model = GBTClassifier(labelCol=label, weightCol="weight", maxIter=trees, maxDepth=depth, seed=seed).fit(data.where(F.col(fold) != i))
@@ -63,6 +68,7 @@ def train_binary(df: DataFrame, cols: list[str], label: str, fold: str = "fold",
 
 def train_multiclass(df: DataFrame, cols: list[str], label: str, fold: str = "fold", folds: int = 5, trees: int = 30, depth: int = 6, seed: int = 1) -> DataFrame:
     """Out-of-fold class (number) as ``pred`` from a class-balanced random forest."""
+    df = written_once(df)
     data, out = assembled(balanced(df, label), cols), None
     for i in range(folds):
         model = RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed).fit(data.where(F.col(fold) != i))
@@ -82,7 +88,7 @@ def predict_multiple(df: DataFrame, model, cols: list[str], name: str) -> DataFr
 
 def train_forward_multiple(df: DataFrame, base: list[str], history: list[str], multiple: str, fold: str = "fold", folds: int = 5, w: float = 0.5, **how) -> DataFrame:
     """Out-of-fold ``pred``: base and base + history regressions blended in log space."""
-    out = None
+    df, out = written_once(df), None
     for i in range(folds):
         train, test = df.where(F.col(fold) != i), df.where(F.col(fold) == i)
         a, b = fit_multiple(train, base, multiple, **how), fit_multiple(train, base + history, multiple, **how)

@@ -140,3 +140,21 @@ def test_workloads_over_models(spark):
     assert set(grades) <= set("SABCD") and grades["S"].n <= 0.05 * total and all(r.mean_multiple > 0 for r in grades.values())
     found = q["w3_lifecycle_candidates"](spark, SF).collect()
     assert 0 < len(found) <= 50 and [r.composite for r in found] == sorted((r.composite for r in found), reverse=True) and all(r.cluster >= 2 for r in found if "cluster" in r)
+
+
+@pytest.mark.parametrize("how", ["forward", "binary"])
+def test_folds_read_their_rows_once(spark, how):
+    """Rows are computed for all folds together (a checkpoint takes two passes), not for each fit and each level of its trees."""
+    from sparkseries.operators import ml
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(300).selectExpr("id", "CAST(id % 3 AS int) AS fold", "CAST(id % 7 AS double) AS a", "CAST(id % 5 AS double) AS b", "1.0 + id % 4 AS m", "CAST(id % 2 AS int) AS y")
+    df = df.mapInArrow(counted, df.schema)
+    out = ml.train_forward_multiple(df, ["a"], ["b"], "m", folds=3, trees=2, depth=2) if how == "forward" else ml.train_binary(df, ["a", "b"], "y", folds=3, trees=2, depth=2)
+    assert out.count() == 300 and 300 <= seen.value <= 600
