@@ -47,9 +47,9 @@ def src2_read_candles(spark, d):
 @query(f"WITH {TICKS} SELECT k, CASE WHEN kind = 'view' THEN 'holder_count' ELSE 'top10_holder_percent' END AS metric, count(*) AS n, sum(v) AS s FROM ticks WHERE kind IN ('view', 'click') GROUP BY ALL", "s", 3)
 def src3_read_metrics(spark, d):
     p = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct(F.unix_timestamp("ts").alias("timestamp"), F.col("v").cast("string").alias("value"))))
-    docs = ticks(spark, d).groupBy("k").agg(F.struct(F.struct(p("view").alias("holder_count"), p("click").alias("top10_holder_percent")).alias("trends")).alias("data"))  # a document is a key's snapshot file
-    docs.repartition("k").write.partitionBy("k").json(path := landing(spark, "trends"))
-    return R.read_metrics(spark, path).groupBy(F.regexp_replace("address", "^k=", "").cast("bigint").alias("k"), "metric").agg(F.count("*").alias("n"), F.sum("value").alias("s"))
+    docs = ticks(spark, d).groupBy("k").agg(F.to_json(F.struct(F.struct(F.struct(p("view").alias("holder_count"), p("click").alias("top10_holder_percent")).alias("trends")).alias("data"))).alias("value"))  # a document is a key's snapshot file
+    L.land(docs.select(F.col("k").cast("string").alias("address"), F.lit("trends").alias("dataset"), F.lit(1_700_000_000_000).alias("version"), "value"), path := landing(spark, "trends"))
+    return R.read_landed_metrics(spark, path).groupBy(F.col("address").cast("bigint").alias("k"), "metric").agg(F.count("*").alias("n"), F.sum("value").alias("s"))
 
 
 @query(f"WITH {TICKS} SELECT id, CAST(CASE WHEN kind = 'click' THEN vol ELSE 0 END AS BIGINT) AS swap, CAST(CASE WHEN kind = 'view' THEN vol ELSE 0 END - CASE WHEN kind = 'error' THEN vol ELSE 0 END AS BIGINT) AS big_flow FROM ticks")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.scalars import map_sum, parse_iso, safe_float, to_ts
+from .landing import read_landing
 
 
 def _with_path(df: DataFrame) -> DataFrame:
@@ -42,9 +43,19 @@ def read_candles(spark: SparkSession, path: str) -> DataFrame:
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Long metric series (address, version, metric, ts, value) of trend documents."""
-    docs = _with_path(spark.read.schema(schemas.TRENDS).json(path, multiLine=True))
-    parts = [docs.select("address", "version", F.lit(m).alias("metric"), F.explode(f"data.trends.{m}").alias("p")) for m in ("holder_count", "top10_holder_percent")]
-    return reduce(DataFrame.unionByName, parts).select("address", "version", "metric", to_ts("p.timestamp").alias("ts"), _number("p.value")).where("ts is not null and value is not null")
+    return metric_rows(_with_path(spark.read.schema(schemas.TRENDS).json(path, multiLine=True)))
+
+
+def read_landed_metrics(spark: SparkSession, path: str, dataset: str = "trends") -> DataFrame:
+    """The same from a landing folder (see ``landing``): the newest document of each address. A task opens many small files, and none is renamed to be written."""
+    return metric_rows(read_landing(spark, path, dataset, schemas.TRENDS).select("address", "version", "doc.data"))
+
+
+def metric_rows(docs: DataFrame) -> DataFrame:
+    """Rows (address, version, metric, ts, value) of parsed trend documents; both metrics come from one reading."""
+    series = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"data.trends.{m}").alias("points")) for m in ("holder_count", "top10_holder_percent")])
+    points = docs.select("address", "version", F.explode(series).alias("s")).select("address", "version", "s.metric", F.explode("s.points").alias("p"))
+    return points.select("address", "version", "metric", to_ts("p.timestamp").alias("ts"), _number("p.value")).where("ts is not null and value is not null")
 
 
 def read_holder_history(spark: SparkSession, path: str) -> DataFrame:
