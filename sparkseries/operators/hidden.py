@@ -33,14 +33,22 @@ class Messages(Step):
             s.memo["densities"] = np.exp(log_b - shift), shift
         return s.memo["densities"]
 
+    def steps(self, s: Segment) -> np.ndarray:
+        """The matrix of each row: moves times densities. The first row of a series starts from the model, whatever stands before it."""
+        if "steps" not in s.memo:
+            b = self.densities(s)[0]
+            s.memo["steps"] = self.model["move"] * b[:, None, :]
+            if not s.base:
+                s.memo["steps"][0] = self.model["start"] * b[0]
+        return s.memo["steps"]
+
     def reduce(self, s: Segment) -> Sequence[float]:
         if "product" not in s.memo:
-            b, product = self.densities(s)[0], np.eye(self.k)
-            for i, row in enumerate(b):
-                # the first row of a series starts from the model, whatever stands before it
-                product = np.tile(self.model["start"] * row, (self.k, 1)) if not s.base and not i else product @ (self.model["move"] * row)
-                product = product / product.sum()
-            s.memo["product"] = product
+            m = self.steps(s)
+            while len(m) > 1:
+                pairs = m[: len(m) // 2 * 2]
+                m = np.concatenate([_scaled(pairs[::2] @ pairs[1::2]), m[len(pairs) :]])
+            s.memo["product"] = _scaled(m)[0]
         return s.memo["product"].ravel()
 
     def apply(self, state: np.ndarray, found: np.ndarray) -> Sequence[float]:
@@ -50,30 +58,41 @@ class Messages(Step):
 
     def forward(self, s: Segment) -> tuple[np.ndarray, np.ndarray]:
         """Scaled forward messages of the rows, and their scales."""
-        b, a = self.densities(s)[0], s.state["before"]
-        out, scale = np.empty(b.shape), np.empty(len(b))
-        for i, row in enumerate(b):
-            a = (self.model["start"] if not s.base and not i else a @ self.model["move"]) * row
-            scale[i] = a.sum() + 1e-300
-            a = out[i] = a / scale[i]
-        return out, scale
+        m = self.steps(s)
+        a = s.state["before"] @ _running(m)
+        a = a / a.sum(axis=1, keepdims=True)
+        prior = np.concatenate([s.state["before"][None], a[:-1]])
+        return a, (prior[:, None, :] @ m).sum(axis=(1, 2)) + 1e-300
 
     def smoothed(self, s: Segment) -> tuple[np.ndarray, np.ndarray, float]:
         """Posteriors of the rows, summed posteriors of the moves into them, and the log likelihood that they add."""
         b, shift = self.densities(s)
         a, scale = self.forward(s)
-        back, moves, post = s.state["behind"], np.zeros((self.k, self.k)), np.empty(b.shape)
-        for i in range(len(b) - 1, -1, -1):
-            post[i] = a[i] * back
-            pull = b[i] * back
-            if i or s.base:
-                each = (a[i - 1] if i else s.state["before"])[:, None] * self.model["move"] * pull
-                moves += each / each.sum()
-            back = self.model["move"] @ pull
-            back = back / back.sum()
+        last = s.state["behind"]
+        # the messages behind a row: products of the rows after it, from the end on
+        behind = _running(self.steps(s)[:0:-1].transpose(0, 2, 1)).transpose(0, 2, 1) @ last
+        back = np.concatenate([(behind / behind.sum(axis=1, keepdims=True))[::-1], last[None]])
+        post = a * back
+        into = slice(0 if s.base else 1, None)
+        prior = np.concatenate([s.state["before"][None], a[:-1]])[into]
+        each = prior[:, :, None] * self.model["move"] * (b * back)[into][:, None, :]
+        moves = (each / each.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         return post / post.sum(axis=1, keepdims=True), moves, float(np.log(scale).sum() + shift.sum())
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    return m / m.sum(axis=(1, 2), keepdims=True)
+
+
+def _running(m: np.ndarray) -> np.ndarray:
+    """Products of the matrices up to each one, scaled, by doubling the span that they cover."""
+    m, span = _scaled(m), 1
+    while span < len(m):
+        m = np.concatenate([m[:span], _scaled(m[:-span] @ m[span:])])
+        span *= 2
+    return m
+
+
 def fit_pooled_hmm(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str], k: int = 2, rounds: int = 8, start_rows: int = 5000, rows: int = ROWS) -> dict:
     """One HMM for many series of at least two rows without nulls. Each round, segments send their sums, which Spark adds up; the driver holds only the
     model. The start comes from at most ``start_rows`` rows, taken in key order."""

@@ -129,3 +129,13 @@ def test_pooled_model_in_segments(spark, rows):
     for k, v in x.items():
         post = regimes.forward_backward(regimes.log_density(v, want["mean"], want["cov"]), want["start"], want["move"])[0]
         assert np.allclose([g.growth for g in smooth[k]], post[:, state], atol=1e-8), k
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 67])
+def test_products_of_many_rows_at_once(n):
+    """Running products by doubling are those taken row by row, up to their scale."""
+    m = np.random.default_rng(n).random((n, 3, 3))
+    product, got = np.eye(3), hidden._running(m)
+    for i in range(n):
+        product = product @ m[i]
+        assert np.allclose(got[i], product / product.sum())
