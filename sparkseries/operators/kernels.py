@@ -47,8 +47,8 @@ def per_key(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str], f
 
 
 def many_keys(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str], fn: Callable[[list[Arrays]], list[Arrays]], schema: str, rows: int = 2**16) -> DataFrame:
-    """``fn`` on the ordered arrays of about ``rows`` rows' keys at a time (at least one key), for kernels that step through many series at once. Spark sorts the
-    rows; a task holds the keys of one call."""
+    """``fn`` on the ordered arrays of about ``rows`` rows' keys at a time (at least one key), for kernels that step through many series at once and for short
+    series, where a call for each key costs more than its work. ``fn`` returns arrays of any length for each key. Spark sorts the rows; a task holds the keys of one call."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     out_schema = T.StructType([df.schema[by], *T._parse_datatype_string(f"struct<{schema}>").fields])
@@ -56,11 +56,12 @@ def many_keys(df: DataFrame, by: str, order: Sequence[str], cols: Sequence[str],
 
     def called(table: pa.Table, new: np.ndarray) -> pa.RecordBatch:
         arrays = {c: table[c].to_numpy(zero_copy_only=False) for c in cols}
-        cuts = np.flatnonzero(new)[1:]
-        split = {c: np.split(x, cuts) for c, x in arrays.items()}
-        got = fn([{c: split[c][j] for c in cols} for j in range(len(cuts) + 1)])
+        starts = np.flatnonzero(new)
+        split = {c: np.split(x, starts[1:]) for c, x in arrays.items()}
+        got = fn([{c: split[c][j] for c in cols} for j in range(len(starts))])
         made = [pa.array(np.concatenate([g[n] for g in got])).cast(t) for n, t in zip(out_schema.names[1:], kinds)]
-        return pa.RecordBatch.from_arrays([table[by].combine_chunks(), *made], names=out_schema.names)
+        of = np.repeat(starts, [len(g[out_schema.names[1]]) for g in got])
+        return pa.RecordBatch.from_arrays([table[by].combine_chunks().take(pa.array(of)), *made], names=out_schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -237,10 +238,14 @@ def partial_returns(df: DataFrame, by: str, order: Sequence[str], cols: Sequence
 
 
 def simulate_funnel(df: DataFrame, by: str, order: Sequence[str], v: str, candidate: str, score: str, action: str, threshold: float, **how) -> DataFrame:
-    def run(a: Arrays) -> list[dict]:
-        return trades.funnel(a[v].astype(float), a[candidate].astype(bool), a[score].astype(float), list(a[action]), threshold, **how)
+    """Trades of the funnel (see ``kernels.trades``) on many keys at a time."""
+    kinds = {"entry_idx": np.int32, "ret": float, "held": np.int32, "best": float}
+
+    def run(keys: list[Arrays]) -> list[Arrays]:
+        got = [trades.funnel(a[v].astype(float), a[candidate].astype(bool), a[score].astype(float), list(a[action]), threshold, **how) for a in keys]
+        return [{n: np.array([t[n] for t in found], kind) for n, kind in kinds.items()} for found in got]
 
-    return per_key(df, by, order, [v, candidate, score, action], run, "entry_idx int, ret double, held int, best double")
+    return many_keys(df, by, order, [v, candidate, score, action], run, "entry_idx int, ret double, held int, best double")
 
 
 # --- survival regression ----------------------------------------------------------------------------

@@ -57,7 +57,7 @@ def lifecycle_candidates(bars: DataFrame, by: str, ts: str, v: str, volume: str,
 
 def funnel(bars: DataFrame, by: str, order: list[str], v: str, volume: str, holders: str, idx: str, min_value: float, min_gain: float, threshold: float, **how) -> DataFrame:
     """W4: scan and scam filters give candidates, a class-balanced tree model scores them out of fold, the funnel kernel
-    trades the scored rows with drawdown actions; risk statistics overall."""
+    trades the scored rows with drawdown actions; risk statistics overall. Statistics read the trades twice, so their returns are written once."""
     s = Series(by, order)
     x = features.funnel_features(bars, s, v, volume, idx).withColumn("y", F.coalesce(ratio(s.future_extreme(v, 12, "max", True), v) >= 1.5, F.lit(False)).cast("int"))
     cand = x.where((F.col(v) >= min_value) & (F.col("roc_6") >= min_gain))
@@ -65,4 +65,4 @@ def funnel(bars: DataFrame, by: str, order: list[str], v: str, volume: str, hold
     scored = ml.train_binary(ml.hashed_folds(cand, by, 3), cols, "y", folds=3, **how).select(by, idx, "p")
     joined = x.join(scored, [by, idx], "left").withColumns({"cand": F.col("p").isNotNull(), "score": F.coalesce("p", F.lit(0.0)), "act": F.when(F.col("drawdown") < -0.5, "SL_25").otherwise("HOLD")})
     trades = kernels.simulate_funnel(joined, by, order, v, "cand", "score", "act", threshold)
-    return stats.risk_stats(trades.withColumn("g", F.lit("all")), ["g"], "ret")
+    return stats.risk_stats(stats.written_once(trades.select("ret")).withColumn("g", F.lit("all")), ["g"], "ret")

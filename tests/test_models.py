@@ -158,3 +158,41 @@ def test_folds_read_their_rows_once(spark, how):
     df = df.mapInArrow(counted, df.schema)
     out = ml.train_forward_multiple(df, ["a"], ["b"], "m", folds=3, trees=2, depth=2) if how == "forward" else ml.train_binary(df, ["a", "b"], "y", folds=3, trees=2, depth=2)
     assert out.count() == 300 and 300 <= seen.value <= 600
+
+
+def test_funnel_reads_its_bars_for_training_and_for_trades_only(spark):
+    """The statistics do not compute the scored trades again."""
+    from sparkseries.plans import workloads
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    bars = spark.range(800).selectExpr("id DIV 40 AS k", "id", "id % 40 AS i", "timestamp_seconds(id) AS ts", "30 + 25 * sin(0.9 * (id % 40) + id DIV 40) AS v", "1.0 + id % 7 AS vol", "0L AS h")
+    out = workloads.funnel(bars.mapInArrow(counted, bars.schema), "k", ["ts", "id"], "v", "vol", "h", "i", 10, 0.2, 0.5, trees=2, depth=2).collect()
+    assert len(out) == 1 and out[0].n > 20 and seen.value == 2 * 800
+
+
+def test_funnel_trades_of_many_keys(spark):
+    """The trades of each key by itself: with a null key, keys of one row, keys without a trade and rows in no order."""
+    from sparkseries.kernels import trades
+
+    r = np.random.default_rng(5)
+    series = {k: (r.uniform(5, 100, n), r.random(n) < p, r.random(n), r.choice(["HOLD", "SL_25"], n)) for k, n, p in [(None, 70, 0.4), (1, 1, 1.0), (2, 90, 0.0), (3, 130, 0.5), (4, 1, 0.0), (5, 60, 0.2)]}
+    rows = [(k, i, float(v), bool(c), float(s), str(a)) for k, cols in series.items() for i, (v, c, s, a) in enumerate(zip(*cols))]
+    df = spark.createDataFrame([rows[j] for j in r.permutation(len(rows))], "k int, i int, v double, c boolean, s double, a string").repartition(3)
+    got = sorted(kernels.simulate_funnel(df, "k", ["i"], "v", "c", "s", "a", 0.5).collect(), key=lambda x: (x.k or 0, x.entry_idx))
+    wanted = [(k, t["entry_idx"], t["ret"], t["held"], t["best"]) for k, (v, c, s, a) in series.items() for t in trades.funnel(v, c, s, list(a), 0.5)]
+    assert len({k for k, *_ in wanted}) >= 3 and [tuple(x) for x in got] == wanted
+    assert kernels.simulate_funnel(df.where("k IN (2, 4)"), "k", ["i"], "v", "c", "s", "a", 0.5).collect() == []
+
+
+def test_kernel_on_many_keys_returns_any_number_of_rows(spark):
+    """Rows come back under their own key, over calls of about 40 rows (one key is longer than that)."""
+    df = spark.range(400).selectExpr("IF(id < 300, id DIV 20, 99) AS k", "id")
+    odd = lambda keys: [{"x": a["id"][a["id"] % 20 < a["id"][0] // 20] for _ in "x"} for a in keys]
+    got = sorted(tuple(x) for x in kernels.many_keys(df, "k", ["id"], ["id"], odd, "x bigint", rows=40).collect())
+    assert got == [(i // 20, i) for i in range(300) if i % 20 < i // 20] + [(99, i) for i in range(300, 400) if i % 20 < 15]
