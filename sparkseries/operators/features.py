@@ -167,7 +167,7 @@ def funnel_features(df: DataFrame, s: Series, v: str, volume: str, idx: str) ->
     drawdown, bearish run, time since the peak."""
     out = df.withColumns({f"roc_{p}": s.roc(v, p, head=0.0) for p in (1, 3, 6, 12, 24)})
     out = out.withColumns({"accel_3": F.coalesce(F.col("roc_3") - s.lag("roc_3", 3), F.lit(0.0)), "vwap": s.vwap(v, volume, 24), "std_12": F.coalesce(s.rolling("roc_1", 12, "stddev_pop", 1), F.lit(0.0)), "volume_trend": F.coalesce(s.split_half_trend(volume, 12), F.lit(0.0)), "drawdown": s.drawdown(v)})
-    out = out.withColumns({"vwap_gap": ratio(v, "vwap") - 1, "vwap_slope": F.coalesce(ratio("vwap", s.lag("vwap", 6)) - 1, F.lit(0.0)), "since_peak": F.col(idx) - F.last(F.when(F.col("drawdown") == 0, F.col(idx)), ignorenulls=True).over(s.past)})
+    out = out.withColumns({"vwap_gap": ratio(v, "vwap") - 1, "vwap_slope": F.coalesce(ratio("vwap", s.lag("vwap", 6)) - 1, F.lit(0.0)), "since_peak": F.col(idx) - F.last(F.when(F.col(v) == s.running_max(v), F.col(idx)), ignorenulls=True).over(s.past)})
     return streak(out, s, F.col("roc_1") < 0, "bearish_run", cap=12)
 
 

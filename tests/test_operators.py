@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkseries.functions.windows import Series
-from sparkseries.operators import clean, joins, kernels, ml, stats, topk
+from sparkseries.operators import clean, features, joins, kernels, ml, stats, topk
 
 T0 = datetime(2024, 1, 1)
 
@@ -342,3 +342,9 @@ def test_streamed_positions_from_a_value_of_zero():
     out = [r for v, s in [(0.0, True), (0.0, False), (3.0, False), (0.0, True), (0.0, False), (0.0, False)] for r in p.step(state, {"v": v, "s": s})]
     assert [(r["entry_idx"], r["exit_idx"], r["exit_reason"]) for r in out] == [(0, 2, "time_stop"), (3, 5, "time_stop")]
     assert out[0]["return_pct"] == math.inf and math.isnan(out[1]["return_pct"])
+
+
+def test_zero_is_a_peak_while_nothing_is_higher(spark):
+    df = series(spark, [("a", 0, 0.0), ("a", 1, 0.0), ("a", 2, 3.0), ("a", 3, 1.0), ("a", 4, 3.0), ("b", 0, -2.0), ("b", 1, -5.0)]).withColumns({"i": F.hour("ts"), "vol": F.lit(1.0)})
+    got = features.funnel_features(df, Series("k", "ts"), "v", "vol", "i").orderBy("k", "i").collect()
+    assert [r.since_peak for r in got] == [0, 0, 0, 1, 0, 0, 1] and got[0].drawdown is None
