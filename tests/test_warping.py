@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 import pytest
 
@@ -56,3 +58,30 @@ def test_classes_by_sums_of_blocks_equal_all_pairs(spark):
     want = {r.k: (r.nearest, round(r.mean_distance, 9)) for r in K.classify_by_dtw(K.pairwise(df, "k", "path", "shape", block=1000), df.select("k", "label"), "k", "label").collect()}
     plan = K.classify_by_paths(df, "k", "path", "label", block=20)
     assert {r.k: (r.nearest, round(r.mean_distance, 9)) for r in plan.collect()} == want and len(want) == 90
+
+
+def test_a_path_goes_to_a_task_for_each_of_few_blocks(spark):
+    from sparkseries.operators import kernels as K
+
+    df = spark.range(20000).selectExpr("id AS k", "array(array(1D), array(2D)) AS path", "id % 3 AS label")
+    tiles = K._tiles(df, "k", "path", inspect.signature(K.classify_by_paths).parameters["block"].default, "label")
+    assert tiles.groupBy("k").count().agg({"count": "max"}).first()[0] <= 16 and tiles.rdd.getNumPartitions() >= 16
+
+
+@pytest.mark.parametrize("dims, band", [(1, None), (1, 1), (3, None), (2, 0)])
+def test_one_path_after_another_against_many(dims, band):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(70, 6, dims))
+    far = P.Warper(x, 7, band)
+    for a in r.normal(size=(3, 7, dims)):
+        assert np.allclose(far(a), [P.dtw(a, y, band) for y in x])
+    shape = P.distances_to(x, 7, "shape", 0.3)
+    assert np.allclose(shape(a), [P.shape_distance(a, y, 0.3) for y in x])
+
+
+def test_resampled_paths_of_many_keys_in_one_call(spark):
+    from sparkseries.operators import kernels as K
+
+    df = spark.createDataFrame([("a", 3, 9.0), ("a", 1, 0.0), ("a", None, 11.0), ("b", 1, 4.0), (None, 2, 1.0), (None, 1, 3.0)], "k string, t int, v double")
+    got = {r.k: r.path for r in K.resampled(df, "k", ["t"], ["v"], 3, "linear").collect()}
+    assert got == {"a": [[0.0], [9.0], [11.0]], "b": [[4.0]] * 3, None: [[3.0], [2.0], [1.0]]}
