@@ -5,6 +5,7 @@ from __future__ import annotations
 import inspect
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkseries.kernels import paths as P
@@ -85,3 +86,19 @@ def test_resampled_paths_of_many_keys_in_one_call(spark):
     df = spark.createDataFrame([("a", 3, 9.0), ("a", 1, 0.0), ("a", None, 11.0), ("b", 1, 4.0), (None, 2, 1.0), (None, 1, 3.0)], "k string, t int, v double")
     got = {r.k: r.path for r in K.resampled(df, "k", ["t"], ["v"], 3, "linear").collect()}
     assert got == {"a": [[0.0], [9.0], [11.0]], "b": [[4.0]] * 3, None: [[3.0], [2.0], [1.0]]}
+
+
+def test_pairs_come_in_batches(spark, monkeypatch):
+    from sparkseries.operators import kernels as K
+
+    r = np.random.default_rng(9)
+    x = {i: r.normal(size=(5 + i % 2, 1)) for i in range(60)}
+    own = [i % 2 for i in x]
+    for pairs, n in ((100, 5), (2**17, 1)):
+        monkeypatch.setattr(K, "PAIRS", pairs)
+        batches = list(K._pairs(pa.table({"i": [0] * 60, "j": [1] * 60, "own": own, "k": list(x), "p": [p.tolist() for p in x.values()]}), "dtw", 0.5))
+        assert (len(batches) >= n if n > 1 else len(batches) == 1) and max(b.num_rows for b in batches) < pairs + 60
+        assert sorted((p["a"], p["b"]) for b in batches for p in b.to_pylist()) == [(a, b) for a in x for b in x if a < b and own[a] != own[b]]
+    df = spark.createDataFrame([(k, p.tolist()) for k, p in x.items()], "k long, path array<array<double>>")
+    got = K.pairwise(df, "k", "path", block=20).collect()
+    assert sorted((g.a, g.b) for g in got) == [(a, b) for a in x for b in x if a < b] and all(np.isclose(g.distance, P.dtw(x[g.a], x[g.b])) for g in got)
