@@ -102,3 +102,33 @@ def test_pairs_come_in_batches(spark, monkeypatch):
     df = spark.createDataFrame([(k, p.tolist()) for k, p in x.items()], "k long, path array<array<double>>")
     got = K.pairwise(df, "k", "path", block=20).collect()
     assert sorted((g.a, g.b) for g in got) == [(a, b) for a in x for b in x if a < b] and all(np.isclose(g.distance, P.dtw(x[g.a], x[g.b])) for g in got)
+
+
+def test_a_query_warps_as_few_paths_of_many_blocks_as_of_one(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 100)
+    monkeypatch.setattr(D, "LOT", 16)
+    monkeypatch.setattr(D, "CELL", 40, raising=False)
+    r = np.random.default_rng(17)
+    x = np.repeat(r.normal(size=(24, 1, 1)) * 40, 50, axis=0) + r.normal(size=(1200, 8, 1)).cumsum(axis=1)
+    x[700:705] = x[700]  # ties
+    x[900:] = x[900]  # a cell in parts
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "k long, path array<array<double>>").repartition(3)
+    got = D.nearest_paths(df.where("k % 50 = 0"), df, "k", "path", 3).collect()
+    want = set()
+    for q in range(0, 1200, 50):
+        far = sorted((round(float(d), 9), i) for i, d in enumerate(P.dtw(x[q], x)) if i != q)
+        want |= {(q, i, d, n + 1) for n, (d, i) in enumerate(far[:3])}
+    assert {(g.query, g.neighbour, round(g.distance, 9), g["rank"]) for g in got} == want
+    assert np.mean([g.warped for g in got if g.query < 900]) < 130  # 12 blocks; 16 of each at least if each starts anew
+
+
+@pytest.mark.parametrize("n, dims", [(1, 1), (2, 1), (5, 1), (8, 1), (8, 2)])
+def test_near_bounds_keep_all_near_paths(n, dims):
+    r = np.random.default_rng(2)
+    x, a = r.normal(size=(300, n, dims)).cumsum(axis=1), r.normal(size=(n, dims)).cumsum(axis=0)
+    x = x[np.argsort(x[:, 0, 0])]
+    far = P.dtw(a, x)
+    for limit in (0.0, float(np.sort(far)[5]), np.inf):
+        at, low = P.near_bounds(a, np.ascontiguousarray(x.transpose(1, 2, 0)), limit)
+        assert set(np.flatnonzero(far <= limit)) <= set(at) and (low <= far[at] + 1e-9).all()
+    assert set(P.near_bounds(x[7], np.ascontiguousarray(x.transpose(1, 2, 0)), 0.0)[0]) == {7}
